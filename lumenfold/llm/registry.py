@@ -1,9 +1,10 @@
 """Registered queries of the training-data operators."""
 
-from . import mixing
+from . import mixing, tokens
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op10_tokens": tokens.op10_tokens,
 }
 
 ORACLES = {
