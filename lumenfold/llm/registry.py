@@ -1,9 +1,11 @@
 """Registered queries of the training-data operators."""
 
-from . import mixing, tokens
+from . import decontaminate, mixing, tokens, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op10_tokens": tokens.op10_tokens,
 }
 
