@@ -1,11 +1,12 @@
 """Registered queries of the training-data operators."""
 
-from . import decontaminate, mixing, tokens, toxicity
+from . import decontaminate, mixing, neardup, tokens, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op7_neardup": neardup.op7_neardup,
     "op10_tokens": tokens.op10_tokens,
 }
 
