@@ -9,9 +9,10 @@ Writing range-partitions the documents by id, so the files in order hold ascendi
 under a name that holds the task attempt, and only the files named by committed rows exist for readers. A lost executor
 or a second attempt leaves at worst an unreferenced file.
 
-Text is split by the tokenizer's own pattern and each distinct piece is encoded once by the ``tokenizers`` library and
-kept in a bounded table. Texts that hold a special token or characters whose class depends on the Unicode version are
-given to the library whole; both ways give the same ids.
+Text is cut where the tokenizer's pattern always cuts and each distinct cut is encoded once by the ``tokenizers`` library
+and kept in a bounded table. Where no two white-space characters meet, that is before each of them (a blank stays with
+the word after it). Other texts are cut by the whole pattern, or, if they hold characters whose class depends on the
+Unicode version, given to the library whole, as are texts with a special token. All ways give the same ids.
 
 Defined results: a null text is encoded as the empty text; null ids come first and are kept as null; repeated rows are
 written as often as they occur, ties ordered by a hash of the text; an empty table writes no files and reads back empty.
@@ -38,7 +39,7 @@ PIECES = rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}
 #: Characters outside these ranges may be classed differently by two Unicode versions.
 RANGES = ((0x00, 0x377), (0x391, 0x3A1), (0x3A3, 0x481), (0x48A, 0x527), (0x2000, 0x2044), (0x20A0, 0x20B9), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FCB), (0xAC00, 0xD7A3))
 SETTLED = "[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in RANGES) + "]"
-TABLE_PIECES, PIECE_CHARS = 300_000, 48
+TABLE_PIECES, PIECE_CHARS = 800_000, 48
 
 FILE_SCHEMA = "part int, path string, docs long, ids long"
 ROW_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -58,30 +59,40 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.split = regex.compile(PIECES).findall
+        self.cut = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]").findall
+        self.runs = re.compile(rf"[{SPACE}]{{2}}|[{SPACE}]\Z").search
         self.unsettled = re.compile(SETTLED).search
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+        from array import array
 
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces: list[list[str] | None] = []
         for text in texts:
-            whole = any(s in text for s in self.special) or not text.isascii() and self.unsettled(text)
-            pieces.append(None if whole else self.split(text))
+            if any(s in text for s in self.special):
+                pieces.append(None)
+            elif not self.runs(text):
+                pieces.append(self.cut(text))
+            else:
+                pieces.append(self.split(text) if text.isascii() or not self.unsettled(text) else None)
         if len(self.known) > TABLE_PIECES:
             self.known.clear()
-        wanted = {p for ps in pieces if ps is not None for p in ps}
-        new = list(wanted.difference(self.known))
         table = self.known
+        cuts = list(set().union(*[ps for ps in pieces if ps is not None]).difference(table))
+        parts = {c: self.split(c) for c in cuts if c.isascii() or not self.unsettled(c)}  # a cut may hold several pieces
+        new = list(set().union(*parts.values(), [c for c in cuts if c not in parts]).difference(table))
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             table.update(zip(some, self._library(some)))
-        out = [self._library([text])[0] if ps is None else b"".join([table[p] for p in ps]) for text, ps in zip(texts, pieces)]
-        for p in new:
+        for c, ps in parts.items():
+            if c not in table:
+                table[c] = b"".join(map(table.__getitem__, ps))
+        out = [self._library([text])[0] if ps is None else b"".join(map(table.__getitem__, ps)) for text, ps in zip(texts, pieces)]
+        for p in {*new, *cuts}:
             if len(p) > PIECE_CHARS:
                 del table[p]
         return out

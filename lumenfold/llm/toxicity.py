@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 BITS = 22
 ORDERS = (3, 4, 5, 6)
-MAX_LABELS = 20_000
-MAX_FEATURES = 1 << 15
+MAX_LABELS = 12_000
+MAX_FEATURES = 1 << 13
 MIN_G2 = 10.8  # likelihood-ratio statistic at p = 0.001
 SMOOTHING = 1.0
 THRESHOLD = 0.5
@@ -74,8 +74,8 @@ def held_out(id_column: str = "doc_id"):
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % FOLDS == 0
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, *, label="toxic", id_column="doc_id", max_labels=MAX_LABELS) -> DataFrame:
-    """Texts and labels of at most ``max_labels`` documents outside the held-out fold."""
+def training_rows(documents: DataFrame, labels: DataFrame, *, label="toxic", id_column="doc_id", max_labels=MAX_LABELS) -> tuple[DataFrame, DataFrame]:
+    """All usable labels, and texts with labels of at most ``max_labels`` documents outside the held-out fold."""
     usable = labels.where(F.col(id_column).isNotNull() & F.col(label).isin(0, 1) & ~held_out(id_column))
     one_each = usable.groupBy(F.col(id_column).alias("_id")).agg(F.max(label).alias("_label"))
     order = [F.xxhash64("_id"), F.col("_id")]
@@ -83,7 +83,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, *, label="toxic", id_
     positive = one_each.where("_label = 1").orderBy(*order).limit(half)
     negative = one_each.where("_label = 0").orderBy(*order).limit(half)
     sample = positive.unionAll(negative)
-    return documents.join(F.broadcast(sample), documents[id_column] == sample["_id"]).select("_id", "_label", F.col("text").alias("_text"))
+    return one_each, documents.join(F.broadcast(sample), documents[id_column] == sample["_id"]).select("_id", "_label", F.col("text").alias("_text"))
 
 
 def train(documents: DataFrame, labels: DataFrame, **options) -> Model:
@@ -98,12 +98,16 @@ def train(documents: DataFrame, labels: DataFrame, **options) -> Model:
             rows = [features(t) for t in batch["_text"]]
             yield pd.DataFrame({"label": batch["_label"], "buckets": [r.astype(np.int32) for r in rows]})
 
-    rows = materialize(training_rows(documents, labels, **options).mapInPandas(presence, "label int, buckets array<int>"), "toxicity-train")
+    usable, sample = training_rows(documents, labels, **options)
+    share = usable.agg(F.sum(F.col("_label").cast("double")).alias("n1"), F.count("*").alias("n")).first()
+    rows = materialize(sample.mapInPandas(presence, "label int, buckets array<int>"), "toxicity-train")
     classes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = float(classes.get(0, 0)), float(classes.get(1, 0))
     base = float(np.log((n1 + SMOOTHING) / (n0 + SMOOTHING)))
+    # the sample holds more of the rarer label than the labels do; the intercept takes that back
+    shift = float(np.log(((share["n1"] or 0.0) + SMOOTHING) / (share["n"] - (share["n1"] or 0.0) + SMOOTHING))) - base
     if not n0 or not n1:
-        return Model(np.empty(0, np.int64), np.empty(0, np.float32), base)
+        return Model(np.empty(0, np.int64), np.empty(0, np.float32), base + shift)
     counts = rows.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sum(F.col("label") * 1.0).alias("c1"), F.sum(1.0 - F.col("label")).alias("c0"))
 
     def term(observed: str, expected: str):
@@ -114,7 +118,7 @@ def train(documents: DataFrame, labels: DataFrame, **options) -> Model:
     telling = counts.where("c0 + c1 >= 3").withColumn("g2", F.expr(f"2 * ({g2})")).where(F.col("g2") >= MIN_G2)
     kept = telling.orderBy(F.desc("g2"), "bucket").limit(MAX_FEATURES).collect()  # at most MAX_FEATURES rows
     if not kept:
-        return Model(np.empty(0, np.int64), np.empty(0, np.float32), base)
+        return Model(np.empty(0, np.int64), np.empty(0, np.float32), base + shift)
     kept.sort(key=lambda r: r["bucket"])
     buckets = np.array([r["bucket"] for r in kept], np.int64)
     c1, c0 = (np.array([r[c] for r in kept]) for c in ("c1", "c0"))
@@ -126,31 +130,37 @@ def train(documents: DataFrame, labels: DataFrame, **options) -> Model:
             for row in batch["buckets"]:
                 at = np.searchsorted(buckets, row)
                 at[at == len(buckets)] = 0
-                out.append(at[buckets[at] == row].astype(np.int32))
+                out.append(at[buckets[at] == row].astype(np.int32).tobytes())
             yield pd.DataFrame({"label": batch["label"], "columns": out})
 
-    labelled = rows.mapInPandas(restrict, "label int, columns array<int>").collect()  # at most max_labels rows
-    lengths = np.array([len(r["columns"]) for r in labelled])
-    columns = np.concatenate([np.array(r["columns"], np.int64) for r in labelled])
+    labelled = rows.mapInPandas(restrict, "label int, columns binary").collect()  # at most max_labels rows
+    cells = [np.frombuffer(r["columns"], np.int32) for r in labelled]
     y = np.array([r["label"] for r in labelled], float)
-    weights, intercept = fit(np.repeat(np.arange(len(y)), lengths), columns, ratio, y, base)
-    return Model(buckets, (weights * ratio).astype(np.float32), intercept)
+    weights, intercept = fit(cells, ratio, y, base)
+    return Model(buckets, (weights * ratio).astype(np.float32), intercept + shift)
 
 
-def fit(rows, columns, ratio, y, base: float, *, l2: float = 1e-3, steps: int = 300):
-    """Logistic regression on x[row, column] = ratio[column] by accelerated full-batch gradient steps."""
+def fit(cells, ratio, y, base: float, *, l2: float = 1e-3, steps: int = 300):
+    """Logistic regression on the rows x[c] = ratio[c] for c in cells[row], by accelerated full-batch gradient steps."""
     import numpy as np
 
-    values, n, d = ratio[columns], len(y), len(ratio)
-    per_row = np.bincount(rows, values**2, n).max() + 1.0
-    rate = 4.0 / per_row  # the logistic loss is smooth with constant max |x|^2 / 4
+    n, d = len(y), len(ratio)
+    blocks = []
+    for at in range(0, n, 1000):
+        some = cells[at : at + 1000]
+        blocks.append((slice(at, at + len(some)), np.repeat(np.arange(len(some), dtype=np.int32), [len(c) for c in some]), np.concatenate(some), len(some)))
+    widest = max((ratio[c] ** 2).sum() for c in cells) + 1.0
+    rate = 32.0 / widest
     w, b = np.zeros(d), base
     w_look, b_look, t = w.copy(), b, 1.0
     for _ in range(steps):
-        z = np.bincount(rows, values * w_look[columns], n) + b_look
-        g = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / n
-        grad = np.bincount(columns, values * g[rows], d) + l2 * w_look
-        w_next, b_next = w_look - rate * 8 * grad, b_look - rate * 8 * g.sum()
+        scaled, grad, slope = ratio * w_look, l2 * w_look, 0.0
+        for span, rows, columns, size in blocks:
+            z = np.bincount(rows, scaled[columns], size) + b_look
+            g = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[span]) / n
+            grad += np.bincount(columns, g[rows], d) * ratio
+            slope += g.sum()
+        w_next, b_next = w_look - rate * grad, b_look - rate * slope
         t_next = (1 + (1 + 4 * t * t) ** 0.5) / 2
         w_look, b_look = w_next + (t - 1) / t_next * (w_next - w), b_next + (t - 1) / t_next * (b_next - b)
         w, b, t = w_next, b_next, t_next
