@@ -82,17 +82,12 @@ class Encoder:
         if len(self.known) > TABLE_PIECES:
             self.known.clear()
         table = self.known
-        cuts = list(set().union(*[ps for ps in pieces if ps is not None]).difference(table))
-        parts = {c: self.split(c) for c in cuts if c.isascii() or not self.unsettled(c)}  # a cut may hold several pieces
-        new = list(set().union(*parts.values(), [c for c in cuts if c not in parts]).difference(table))
+        new = list(set().union(*[ps for ps in pieces if ps is not None]).difference(table))
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             table.update(zip(some, self._library(some)))
-        for c, ps in parts.items():
-            if c not in table:
-                table[c] = b"".join(map(table.__getitem__, ps))
         out = [self._library([text])[0] if ps is None else b"".join(map(table.__getitem__, ps)) for text, ps in zip(texts, pieces)]
-        for p in {*new, *cuts}:
+        for p in new:
             if len(p) > PIECE_CHARS:
                 del table[p]
         return out
