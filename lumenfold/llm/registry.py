@@ -1,15 +1,18 @@
 """Registered queries of the training-data operators."""
 
-from . import decontaminate, mixing, neardup, tokens, toxicity
+from . import decontaminate, lmscore, mixing, neardup, tokens, topk, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_topk": topk.op6_topk,
     "op7_neardup": neardup.op7_neardup,
+    "op9_lm_score": lmscore.op9_lm_score,
     "op10_tokens": tokens.op10_tokens,
 }
 
 ORACLES = {
     "op1_mix": mixing.ORACLE,
+    "op6_topk": topk.ORACLE,
 }
