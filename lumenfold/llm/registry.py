@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators."""
 
-from . import decontaminate, lmscore, mixing, neardup, tokens, topk, toxicity
+from . import decontaminate, lmscore, mixing, neardup, pii, tokens, topk, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_topk": topk.op6_topk,
     "op7_neardup": neardup.op7_neardup,
+    "op8_pii": pii.op8_pii,
     "op9_lm_score": lmscore.op9_lm_score,
     "op10_tokens": tokens.op10_tokens,
 }
