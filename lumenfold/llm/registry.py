@@ -1,9 +1,10 @@
 """Registered queries of the training-data operators."""
 
-from . import decontaminate, lmscore, mixing, neardup, pii, tokens, topk, toxicity
+from . import decontaminate, linededup, lmscore, mixing, neardup, pii, tokens, topk, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op2_line_dedup": linededup.op2_line_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op6_topk": topk.op6_topk,
