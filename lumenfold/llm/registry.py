@@ -1,12 +1,13 @@
 """Registered queries of the training-data operators."""
 
-from . import decontaminate, linededup, lmscore, mixing, neardup, pii, tokens, topk, toxicity
+from . import decontaminate, linededup, lmscore, mixing, neardup, pii, suffixdedup, tokens, topk, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_line_dedup": linededup.op2_line_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_repeats": suffixdedup.op5_repeats,
     "op6_topk": topk.op6_topk,
     "op7_neardup": neardup.op7_neardup,
     "op8_pii": pii.op8_pii,
