@@ -43,6 +43,8 @@ class Execution:
     dataset_id: str = ""
     source_label: str = ""
     warnings: tuple[str, ...] = field(default=())
+    #: Rows come straight from the query, which groups by the key; then they are not searched for repeated keys.
+    grouped: bool = False
 
 
 def _formulas(complete: dict[str, Column]) -> dict[str, Column]:
@@ -109,7 +111,7 @@ def check(metrics, group_by, executions) -> dict[str, Execution]:
         if set(group_by) - set(e.rows.columns):
             raise ValueError(f"{e.tool} has no {sorted(set(group_by) - set(e.rows.columns))}")
         keys = list(KEYS[e.tool])
-        if not e.rows.groupBy(*keys).count().where("count > 1").isEmpty():
+        if not e.grouped and not e.rows.groupBy(*keys).count().where("count > 1").isEmpty():
             raise ValueError(f"{e.tool} repeats a key")
     return chosen
 
@@ -122,7 +124,9 @@ def calculate_metrics(executions, metrics, group_by=()) -> DataFrame:
     sums = [s for tool in chosen for s in SUMS[tool]]
     parts = []
     for tool, e in chosen.items():
-        values = [F.sum(F.when(F.col("period") == p, F.col(s))).alias(f"{p}_{s}") for s in SUMS[tool] for p in PERIODS]
+        # money is summed as decimals, so the order of rows can't change a total
+        exact = {s: F.col(s).cast("decimal(28,6)") if s in ("gmv", "spend") else F.col(s) for s in SUMS[tool]}
+        values = [F.sum(F.when(F.col("period") == p, x)).cast("double" if s in ("gmv", "spend") else "long").alias(f"{p}_{s}") for s, x in exact.items() for p in PERIODS]
         parts.append(e.rows.groupBy(*group_by).agg(*values))
     if group_by:
         joined = reduce(lambda a, b: a.join(b, group_by, "full"), parts)

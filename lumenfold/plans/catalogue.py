@@ -1,4 +1,386 @@
-"""Queries of the commerce engine and their SQL counterparts."""
+"""Registered queries of the commerce engine over the test tables, and their SQL counterparts.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Rule queries use windows of 15 days on the ``funnel`` reading (its events span 30 days); sales queries also run on the
+``commerce`` reading with windows of 30 days.
+"""
+
+from __future__ import annotations
+
+from datetime import timedelta
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import formats
+from ..operators import derive, kpis, lookups, quality, rules
+from ..operators.windows import Windows
+from ..sources import testdata
+
+DAYS = testdata.DAYS
+
+
+def _rule(name):
+    return lambda spark, sf_dir: rules.RULES[name](testdata.funnel(spark, sf_dir), DAYS)
+
+
+def _funnel_windows(tables):
+    return rules.latest(tables, DAYS)
+
+
+def _commerce_windows(tables) -> Windows:
+    return Windows.latest(tables.orders.agg(F.max("order_date")).first()[0], 30)
+
+
+def _sales(reading, windows_of, **options):
+    def run(spark, sf_dir):
+        tables = reading(spark, sf_dir)
+        return lookups.query_sales(tables, windows_of(tables), **options)
+
+    return run
+
+
+def query_product(spark, sf_dir):
+    return lookups.query_product(testdata.funnel(spark, sf_dir), ["P001", "P004", "P999"])
+
+
+def _traffic(**options):
+    def run(spark, sf_dir):
+        tables = testdata.funnel(spark, sf_dir)
+        return lookups.query_traffic(tables, _funnel_windows(tables), **options)
+
+    return run
+
+
+def query_marketing(spark, sf_dir):
+    tables = testdata.funnel(spark, sf_dir)
+    return lookups.query_marketing(tables, _funnel_windows(tables))
+
+
+def _executions(tables, windows, tools):
+    run = {"query_sales": lookups.query_sales, "query_traffic": lookups.query_traffic, "query_marketing": lookups.query_marketing}
+    return [derive.Execution(t, windows, run[t](tables, windows), grouped=True) for t in tools]
+
+
+ALL_TOOLS = ("query_sales", "query_traffic", "query_marketing")
+SALES_METRICS = [m for m, needs in derive.NEEDS.items() if needs == {"query_sales"}]
+COMMON_METRICS = [m for m in derive.METRICS if m != "evidence_value"]
+
+
+def _metrics(reading, windows_of, tools, metrics, group_by):
+    def run(spark, sf_dir):
+        tables = reading(spark, sf_dir)
+        return derive.calculate_metrics(_executions(tables, windows_of(tables), tools), metrics, group_by)
+
+    return run
+
+
+def daily_kpis(spark, sf_dir):
+    return kpis.daily_kpis(testdata.funnel(spark, sf_dir))
+
+
+def coverage_gaps(spark, sf_dir):
+    """Share of cohorts with traffic on each day, where it is not all of them."""
+    tables = testdata.funnel(spark, sf_dir)
+    n = tables.products.agg(F.count("*").alias("total_rows"))
+    days = tables.traffic.groupBy("date").agg(F.count_if(~F.col("is_missing")).alias("observed_rows")).crossJoin(F.broadcast(n))
+    return kpis.coverage_gaps(days.withColumn("coverage", F.col("observed_rows") / F.col("total_rows")))
+
+
+def summary_stats(spark, sf_dir):
+    stats = kpis.summary_stats(kpis.daily_kpis(testdata.funnel(spark, sf_dir)))
+    return stats.select("metric", "count", *[F.round(c, 6).alias(c) for c in stats.columns[2:]])  # engines add doubles in different orders
+
+
+def fk_violations(spark, sf_dir):
+    """Labels of documents that don't exist, and cohorts ordered from that have no product."""
+    tables = testdata.funnel(spark, sf_dir)
+    fewer = tables.products.where("product_id < 'P050'")
+    return quality.broken_references(tables.orders, fewer, "product_id").groupBy("product_id").agg(F.count("*").alias("orders"))
+
+
+def duplicate_keys(spark, sf_dir):
+    return quality.duplicate_keys(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_orderkey", "l_linenumber"])
+
+
+def grain_gaps(spark, sf_dir):
+    tables = testdata.funnel(spark, sf_dir)
+    return quality.grain_gaps(tables, tables.traffic)
+
+
+def funnel_violations(spark, sf_dir):
+    """Counts as the rule sees them, with visits lowered on every third day so that some break it."""
+    traffic = testdata.funnel(spark, sf_dir).traffic
+    lowered = traffic.withColumn("visits", F.when(F.dayofmonth("date") % 3 == 0, F.col("visits") - 2).otherwise(F.col("visits")))
+    return quality.funnel_violations(lowered)
+
+
+def revenue_identity(spark, sf_dir):
+    return quality.revenue_violations(testdata.commerce(spark, sf_dir).orders)
+
+
+def quality_report(spark, sf_dir):
+    return quality.report(testdata.funnel(spark, sf_dir), identifiers=False)
+
+
+def evidence_ids(spark, sf_dir):
+    """Anomalies numbered in their order."""
+    found = rules.product_anomalies(testdata.funnel(spark, sf_dir), DAYS)
+    n = F.row_number().over(Window.orderBy("product_id"))
+    return found.select(F.format_string("EV_PRODUCT_ANOMALIES_%03d", n).alias("evidence_id"), "product_id", "anomaly_type")
+
+
+def topk_nulls_last(spark, sf_dir):
+    tables = testdata.funnel(spark, sf_dir)
+    wide = rules.product_metrics(tables, _funnel_windows(tables))
+    return wide.select("product_id", F.round("cvr_change", 9).alias("cvr_change"), F.round("gmv_change_rate", 9).alias("gmv_change_rate")).orderBy(F.asc_nulls_last("cvr_change"), F.desc_nulls_last("gmv_change_rate"), "product_id").limit(5)
+
+
+def difficulty_buckets(spark, sf_dir):
+    """Documents ranked by size, the first 30 % easy, the next 40 % medium, the rest hard."""
+    docs = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal")
+    total = docs.agg(F.count("*").alias("n"))
+    # the rank over all rows comes from sorted partitions, not from one task: counts of earlier nations, then inside one
+    keyed = docs.join(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey"), "c_custkey")
+    before = keyed.groupBy("c_nationkey").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("c_nationkey").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")) + F.col("before")
+    ranked = keyed.join(F.broadcast(before.select("c_nationkey", "before")), "c_nationkey").withColumn("rank", rank).crossJoin(F.broadcast(total))
+    share = (F.col("rank") - 1) / F.col("n")
+    return ranked.select("c_custkey", F.col("rank").cast("long").alias("position"), F.when(share < 0.3, "easy").when(share < 0.7, "medium").otherwise("hard").alias("difficulty"))
+
+
+def distractor_min_by_hash(spark, sf_dir):
+    """For each category the product outside it with the smallest hash."""
+    products = testdata.funnel(spark, sf_dir).products.select("product_id", "category")
+    kinds = products.select(F.col("category").alias("task")).distinct()
+    pairs = products.join(F.broadcast(kinds), F.col("category") != F.col("task"))
+    key = F.sha2(F.concat_ws("|", F.lit("dataset"), "task", "product_id"), 256)
+    return pairs.groupBy("task").agg(F.min_by("product_id", key).alias("distractor"))
+
+
+def run_summary(spark, sf_dir):
+    """Turns by role, with the first and last conversation of each."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turns.groupBy("role").agg(F.count("*").alias("turns"), F.count_if(F.coalesce(F.char_length("text"), F.lit(0)) == 0).alias("empty"), F.min("conv_id").alias("first"), F.max("conv_id").alias("last"))
+
+
+def period_union(spark, sf_dir):
+    tables = testdata.funnel(spark, sf_dir)
+    windows = _funnel_windows(tables)
+    parts = [tables.orders.where(windows.within("order_date", p)).agg(F.lit(p).alias("period"), F.sum("revenue").cast("double").alias("gmv"), F.count("*").alias("orders")) for p in windows.periods]
+    return parts[0].unionAll(parts[1])
+
+
+def product_id_extract(spark, sf_dir):
+    """Distinct words of two to four letters and a digit in each text, upper case, in order of appearance."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ids = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(?i)(?<![A-Za-z0-9])([a-z]{2,4}[0-9])(?![A-Za-z0-9])"), F.lit(1)), F.upper))
+    return docs.select("doc_id", F.array_join(ids, ",").alias("ids")).where("ids <> ''")
+
+
+def formatters(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    price = F.col("p_retailprice").cast("decimal(18,6)")
+    return parts.select("p_partkey", formats.money(price).alias("money"), formats.count(F.col("p_partkey") * 1000).alias("count"), formats.rate((price - 1000) / 1000).alias("rate"))
+
+
+QUERIES = {
+    **{name: _rule(name) for name in rules.RULES},
+    "query_product": query_product,
+    "query_sales": _sales(testdata.funnel, _funnel_windows),
+    "query_sales_commerce": _sales(testdata.commerce, _commerce_windows),
+    "query_sales_without_refunds": _sales(testdata.funnel, _funnel_windows, include_refunds=False),
+    "query_traffic": _traffic(),
+    "query_traffic_complete": _traffic(include_missing=False),
+    "query_marketing": query_marketing,
+    "metrics_total": _metrics(testdata.funnel, _funnel_windows, ALL_TOOLS, COMMON_METRICS, []),
+    "metrics_by_product": _metrics(testdata.funnel, _funnel_windows, ALL_TOOLS, list(derive.METRICS), ["product_id"]),
+    "metrics_by_category": _metrics(testdata.funnel, _funnel_windows, ALL_TOOLS, COMMON_METRICS, ["category"]),
+    "metrics_by_product_category": _metrics(testdata.funnel, _funnel_windows, ALL_TOOLS, COMMON_METRICS, ["product_id", "category"]),
+    "metrics_by_region": _metrics(testdata.funnel, _funnel_windows, ["query_sales"], SALES_METRICS, ["region"]),
+    "metrics_by_channel": _metrics(testdata.commerce, _commerce_windows, ["query_sales"], SALES_METRICS, ["channel"]),
+    "daily_kpis": daily_kpis,
+    "coverage_gaps": coverage_gaps,
+    "summary_stats": summary_stats,
+    "fk_violations": fk_violations,
+    "duplicate_keys": duplicate_keys,
+    "grain_gaps": grain_gaps,
+    "funnel_violations": funnel_violations,
+    "revenue_identity": revenue_identity,
+    "quality_report": quality_report,
+    "evidence_ids": evidence_ids,
+    "topk_nulls_last": topk_nulls_last,
+    "difficulty_buckets": difficulty_buckets,
+    "distractor_min_by_hash": distractor_min_by_hash,
+    "run_summary": run_summary,
+    "period_union": period_union,
+    "product_id_extract": product_id_extract,
+    "formatters": formatters,
+}
+
+# --- SQL counterparts -------------------------------------------------------------------------------------------------
+
+FUNNEL = """
+ev AS (SELECT event_id, CAST(ts AS DATE) AS date, user_id, event_type, value, 'P' || lpad(CAST(user_id % 60 AS VARCHAR), 3, '0') AS product_id FROM events),
+f_products AS (SELECT DISTINCT product_id, 'K' || CAST((user_id % 60) % 4 AS VARCHAR) AS category, user_id % 60 AS n FROM ev),
+f_customers AS (SELECT DISTINCT 'C' || lpad(CAST(user_id AS VARCHAR), greatest(4, length(CAST(user_id AS VARCHAR)))::INT, '0') AS customer_id, user_id,
+                'R' || CAST(user_id % 4 AS VARCHAR) AS region, 'H' || CAST(user_id % 3 AS VARCHAR) AS channel FROM ev),
+f_traffic AS (SELECT date, product_id, count(*) FILTER (event_type IN ('view', 'click')) AS impressions, count(*) FILTER (event_type = 'click') AS clicks,
+              count(*) FILTER (event_type IN ('click', 'signup')) AS visits FROM ev WHERE event_type IN ('view', 'click', 'signup') GROUP BY ALL),
+f_marketing AS (SELECT date, product_id, 'M' || lpad(CAST(event_id % 3 AS VARCHAR), 3, '0') AS campaign_id, sum(CAST(value AS DECIMAL(18,2))) AS spend FROM ev WHERE event_type = 'signup' GROUP BY ALL),
+f_orders AS (SELECT CAST(event_id AS VARCHAR) AS order_id, product_id, user_id, date AS order_date, CAST(value AS DECIMAL(18,2)) AS revenue, value < 5 AS is_refund FROM ev WHERE event_type = 'purchase'),
+bounds AS (SELECT max(date) AS as_of_date, CAST(max(date) - INTERVAL 14 DAY AS DATE) AS current_start, max(date) AS current_end,
+           CAST(max(date) - INTERVAL 29 DAY AS DATE) AS previous_start, CAST(max(date) - INTERVAL 15 DAY AS DATE) AS previous_end FROM f_traffic),
+periods AS (SELECT 'current' AS period, current_start AS a, current_end AS b FROM bounds UNION ALL SELECT 'previous', previous_start, previous_end FROM bounds),
+p_traffic AS (SELECT p.product_id,
+    count(t.date) FILTER (t.date BETWEEN current_start AND current_end) AS current_observed_days, count(t.date) FILTER (t.date BETWEEN previous_start AND previous_end) AS previous_observed_days,
+    CAST(coalesce(sum(t.visits) FILTER (t.date BETWEEN current_start AND current_end), 0) AS BIGINT) AS current_visits,
+    CAST(coalesce(sum(t.visits) FILTER (t.date BETWEEN previous_start AND previous_end), 0) AS BIGINT) AS previous_visits
+  FROM f_products p CROSS JOIN bounds LEFT JOIN f_traffic t ON t.product_id = p.product_id GROUP BY p.product_id),
+p_orders AS (SELECT p.product_id,
+    count(DISTINCT o.order_id) FILTER (o.order_date BETWEEN current_start AND current_end) AS current_orders, count(DISTINCT o.order_id) FILTER (o.order_date BETWEEN previous_start AND previous_end) AS previous_orders,
+    CAST(coalesce(sum(o.revenue) FILTER (o.order_date BETWEEN current_start AND current_end), 0) AS DOUBLE) AS current_gmv, CAST(coalesce(sum(o.revenue) FILTER (o.order_date BETWEEN previous_start AND previous_end), 0) AS DOUBLE) AS previous_gmv,
+    count(DISTINCT o.order_id) FILTER (o.order_date BETWEEN current_start AND current_end AND o.is_refund) AS current_refunds
+  FROM f_products p CROSS JOIN bounds LEFT JOIN f_orders o ON o.product_id = p.product_id GROUP BY p.product_id),
+wide AS (SELECT *, CASE WHEN current_observed_days = 15 THEN CAST(current_orders AS DOUBLE) / nullif(current_visits, 0) END AS current_cvr,
+    CASE WHEN previous_observed_days = 15 THEN CAST(previous_orders AS DOUBLE) / nullif(previous_visits, 0) END AS previous_cvr,
+    CAST(current_refunds AS DOUBLE) / nullif(current_orders, 0) AS refund_rate, CAST(current_visits - previous_visits AS DOUBLE) / nullif(previous_visits, 0) AS traffic_change_rate,
+    (current_gmv - previous_gmv) / nullif(previous_gmv, 0) AS gmv_change_rate,
+    (current_gmv / nullif(current_orders, 0) - previous_gmv / nullif(previous_orders, 0)) / nullif(previous_gmv / nullif(previous_orders, 0), 0) AS aov_change_rate
+  FROM p_traffic JOIN p_orders USING (product_id)),
+labelled AS (SELECT *, current_cvr - previous_cvr AS cvr_change, current_observed_days < 15 OR previous_observed_days < 15 AS gaps FROM wide)"""
+BOUNDS = "as_of_date, current_start, current_end, previous_start, previous_end"
+COMMERCE = """
+c_lines AS (SELECT CAST(o_orderkey AS VARCHAR) AS order_id, p_brand AS product_id, o_custkey, CAST(o_orderdate AS DATE) AS order_date, CAST(l_quantity AS BIGINT) AS quantity,
+            CAST(l_extendedprice AS DECIMAL(18,2)) AS revenue, l_returnflag = 'R' AS is_refund FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
+c_end AS (SELECT max(order_date) AS d FROM c_lines),
+c_known AS (SELECT CASE WHEN order_date > d - INTERVAL 30 DAY THEN 'current' ELSE 'previous' END AS period, l.product_id, category, r_name AS region, c_mktsegment AS channel, order_id, revenue, quantity, is_refund
+            FROM c_lines l, c_end, (SELECT p_brand, min(p_type) AS category FROM part GROUP BY p_brand) b, customer, nation, region
+            WHERE order_date > d - INTERVAL 60 DAY AND b.p_brand = l.product_id AND c_custkey = o_custkey AND c_nationkey = n_nationkey AND n_regionkey = r_regionkey),
+c_sales AS (SELECT period, product_id, category, region, channel, CAST(sum(revenue) AS DOUBLE) AS gmv, count(DISTINCT order_id) AS orders, CAST(sum(quantity) AS BIGINT) AS units,
+            count(DISTINCT order_id) FILTER (is_refund) AS refund_orders FROM c_known GROUP BY ALL)"""
+
+
+def _funnel_sales(where: str = "TRUE") -> str:
+    return f"""f_sales AS (SELECT period, o.product_id, category, region, channel, CAST(sum(revenue) AS DOUBLE) AS gmv, count(DISTINCT order_id) AS orders, count(*) AS units,
+      count(DISTINCT order_id) FILTER (is_refund) AS refund_orders FROM f_orders o JOIN periods ON order_date BETWEEN a AND b JOIN f_products p ON p.product_id = o.product_id JOIN f_customers c ON c.user_id = o.user_id
+      WHERE {where} GROUP BY ALL)"""
+
+
+GRID = """f_grid AS (SELECT period, product_id, category, a, b, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM periods, f_products),
+f_daily AS (SELECT period, g.product_id, category, CAST(coalesce(sum(impressions), 0) AS BIGINT) AS impressions, CAST(coalesce(sum(clicks), 0) AS BIGINT) AS clicks, CAST(coalesce(sum(visits), 0) AS BIGINT) AS visits,
+  count(t.date) AS observed_days, count(*) - count(t.date) AS missing_days FROM f_grid g LEFT JOIN f_traffic t ON t.product_id = g.product_id AND t.date = g.date GROUP BY ALL)"""
+SPEND = "f_spend AS (SELECT period, m.product_id, category, campaign_id, CAST(sum(spend) AS DOUBLE) AS spend FROM f_marketing m JOIN periods ON date BETWEEN a AND b JOIN f_products p ON p.product_id = m.product_id GROUP BY ALL)"
+
+
+def _derived(metrics: list[str], group_by: list[str], *, sales: str = "f_sales", traffic: bool = True) -> str:
+    """SELECT of derived metrics from the CTEs of the window queries."""
+    both = ("current", "previous")
+    on = ", ".join(group_by)
+    by = f"GROUP BY {on}" if on else ""
+    lead = f"{on}, " if on else ""
+
+    def sums(table, names):
+        exact = lambda n: f"CAST({n} AS DECIMAL(28,6))" if n in ("gmv", "spend") else n
+        cells = ", ".join(f"coalesce(sum({exact(n)}) FILTER (period = '{p}'), 0) AS {p}_{n}" for n in names for p in both)
+        return f"(SELECT {lead}{cells} FROM {table} {by})"
+
+    parts = [sums(sales, ["gmv", "orders", "refund_orders"])]
+    if traffic:
+        parts += [sums("f_daily", ["impressions", "clicks", "visits", "observed_days"]), sums("f_spend", ["spend"])]
+        inner = ", ".join(f"coalesce(max(observed_days) FILTER (period = '{p}'), -1) = 15 AS {p}_ok" for p in both)
+        parts.append(f"(SELECT {lead}{', '.join(f'bool_and({p}_ok) AS {p}_full' for p in both)} FROM (SELECT {lead}product_id AS pid, {inner} FROM f_daily GROUP BY {lead}product_id) {by})")
+    source = parts[0] + " s0"
+    for k, part in enumerate(parts[1:], 1):
+        source += f" FULL JOIN {part} s{k} USING ({on})" if on else f" CROSS JOIN {part} s{k}"
+    v = lambda n: f"CAST(coalesce({n}, 0) AS DOUBLE)"
+    div = lambda a, b: f"({a} / nullif({b}, 0))"
+    rate = lambda a, b: f"(({a} - {b}) / nullif({b}, 0))"
+    f = {}
+    for p in both:
+        f |= {f"{p}_{m}": f"CAST(coalesce({p}_{m}, 0) AS BIGINT)" for m in ("orders", "impressions", "clicks", "visits", "observed_days")}
+        f |= {f"{p}_{m}": v(f"{p}_{m}") for m in ("gmv", "spend")}
+        f[f"{p}_aov"] = div(v(f"{p}_gmv"), v(f"{p}_orders"))
+        f[f"{p}_ctr"] = div(v(f"{p}_clicks"), v(f"{p}_impressions"))
+        f[f"{p}_cvr"] = f"CASE WHEN {p}_full THEN {div(v(f'{p}_orders'), v(f'{p}_visits'))} END"
+        f[f"{p}_roas"] = div(v(f"{p}_gmv"), v(f"{p}_spend"))
+    f["gmv_change_rate"], f["aov_change_rate"] = rate(f["current_gmv"], f["previous_gmv"]), rate(f["current_aov"], f["previous_aov"])
+    f["cvr_change"] = f"({f['current_cvr']} - {f['previous_cvr']})"
+    f["cvr_change_rate"] = rate(f["current_cvr"].join("()"), f["previous_cvr"].join("()")) if traffic else ""
+    f["traffic_change_rate"] = rate(v("current_visits"), v("previous_visits"))
+    f["current_refund_rate"] = f["refund_rate"] = div(v("current_refund_orders"), v("current_orders"))
+    f["evidence_value"] = f"CASE WHEN NOT coalesce(current_full AND previous_full, FALSE) THEN CAST(least(coalesce(current_observed_days, 0), coalesce(previous_observed_days, 0)) AS DOUBLE) WHEN {f['refund_rate']} >= 0.12 THEN {f['refund_rate']} WHEN {f['cvr_change']} <= -0.01 THEN {f['cvr_change']} WHEN {f['traffic_change_rate']} <= -0.2 THEN {f['traffic_change_rate']} END"
+    f["cvr_change"] = f"(({f['current_cvr']}) - ({f['previous_cvr']}))"
+    return f"SELECT {lead}{', '.join(f'{f[m]} AS {m}' for m in metrics)} FROM {source}"
+
+
+_ALL = f"WITH {FUNNEL}, {_funnel_sales()}, {GRID}, {SPEND} "
+KPI = """k_traffic AS (SELECT date, count(*) AS observed_rows, count(*) AS total_rows, sum(impressions) AS i, sum(clicks) AS c, sum(visits) AS v FROM f_traffic GROUP BY date),
+k_orders AS (SELECT order_date AS date, CAST(sum(revenue) AS DOUBLE) AS gmv, count(DISTINCT order_id) AS orders, count(*) FILTER (is_refund) AS refunds FROM f_orders GROUP BY 1),
+k_spend AS (SELECT date, CAST(sum(spend) AS DOUBLE) AS spend FROM f_marketing GROUP BY 1),
+kpi AS (SELECT date, observed_rows, total_rows, CAST(observed_rows AS DOUBLE) / total_rows AS coverage, gmv AS "GMV", orders AS "Orders", gmv / nullif(orders, 0) AS "AOV", CAST(c AS DOUBLE) / nullif(i, 0) AS "CTR",
+  CAST(orders AS DOUBLE) / nullif(v, 0) AS "CVR", CAST(refunds AS DOUBLE) / nullif(orders, 0) AS "Refund Rate", gmv / nullif(spend, 0) AS "ROAS"
+  FROM k_traffic LEFT JOIN k_orders USING (date) LEFT JOIN k_spend USING (date))"""
+ANOMALY = """CASE WHEN gaps THEN 'missing_traffic' WHEN refund_rate >= 0.12 THEN 'high_refund' WHEN traffic_change_rate <= -0.3 AND gmv_change_rate <= -0.3 THEN 'multi_factor_drop'
+  WHEN traffic_change_rate <= -0.3 THEN 'traffic_drop' WHEN cvr_change <= -0.01 THEN 'conversion_drop' WHEN gmv_change_rate <= -0.3 AND aov_change_rate <= -0.3 THEN 'sales_drop' END"""
+
+ORACLES = {
+    "gmv_change": f"""WITH {FUNNEL}, t AS (SELECT {BOUNDS},
+        CAST(coalesce(sum(revenue) FILTER (order_date BETWEEN current_start AND current_end), 0) AS DOUBLE) AS current_gmv, CAST(coalesce(sum(revenue) FILTER (order_date BETWEEN previous_start AND previous_end), 0) AS DOUBLE) AS previous_gmv,
+        count(DISTINCT order_id) FILTER (order_date BETWEEN current_start AND current_end) AS current_orders, count(DISTINCT order_id) FILTER (order_date BETWEEN previous_start AND previous_end) AS previous_orders
+        FROM bounds LEFT JOIN f_orders ON order_date BETWEEN previous_start AND current_end GROUP BY ALL)
+      SELECT *, current_gmv / nullif(current_orders, 0) AS current_aov, previous_gmv / nullif(previous_orders, 0) AS previous_aov, (current_gmv - previous_gmv) / nullif(previous_gmv, 0) AS gmv_change_rate,
+        (current_gmv / nullif(current_orders, 0) - previous_gmv / nullif(previous_orders, 0)) / nullif(previous_gmv / nullif(previous_orders, 0), 0) AS aov_change_rate FROM t""",
+    "product_anomalies": f"""WITH {FUNNEL} SELECT {BOUNDS}, product_id, {ANOMALY} AS anomaly_type, traffic_change_rate, current_cvr, previous_cvr, refund_rate AS current_refund_rate, gmv_change_rate, aov_change_rate,
+        current_observed_days, previous_observed_days FROM labelled, bounds WHERE {ANOMALY} IS NOT NULL""",
+    "conversion_decline": f"""WITH {FUNNEL} SELECT {BOUNDS}, product_id, current_cvr, previous_cvr, cvr_change, current_orders, previous_orders, current_visits, previous_visits, current_observed_days, previous_observed_days
+        FROM labelled, bounds WHERE cvr_change < 0 ORDER BY cvr_change, product_id LIMIT 10""",
+    "products_to_watch": f"""WITH {FUNNEL}, r AS (SELECT *, CASE WHEN gaps THEN 1 WHEN refund_rate >= 0.12 THEN 2 WHEN cvr_change <= -0.01 THEN 3 WHEN gmv_change_rate <= -0.2 THEN 4 END AS k FROM labelled)
+      SELECT {BOUNDS}, product_id, ['data_quality_review', 'refund_risk', 'conversion_decline', 'gmv_decline'][k] AS watch_reason, gmv_change_rate, cvr_change, refund_rate, current_observed_days, previous_observed_days
+      FROM r, bounds WHERE k IS NOT NULL ORDER BY k, product_id LIMIT 10""",
+    "next_week_priorities": f"""WITH {FUNNEL}, r AS (SELECT *, CASE WHEN gaps THEN 1 WHEN refund_rate >= 0.12 THEN 2 WHEN cvr_change <= -0.01 THEN 3 WHEN traffic_change_rate <= -0.2 THEN 4 END AS k FROM labelled),
+      e AS (SELECT *, CASE k WHEN 1 THEN CAST(least(current_observed_days, previous_observed_days) AS DOUBLE) WHEN 2 THEN refund_rate WHEN 3 THEN cvr_change ELSE traffic_change_rate END AS evidence_value FROM r WHERE k IS NOT NULL)
+      SELECT {BOUNDS}, product_id, ['repair_data_quality', 'investigate_refunds', 'recover_conversion', 'recover_traffic'][k] AS priority_reason,
+        ['observed_days', 'refund_rate', 'cvr_change', 'traffic_change_rate'][k] AS evidence_metric, evidence_value, current_observed_days, previous_observed_days
+      FROM e, bounds ORDER BY k, abs(evidence_value) DESC, product_id LIMIT 10""",
+    "query_product": f"""WITH {FUNNEL} SELECT product_id, 'Cohort ' || n AS product_name, category, CAST(10 + n % 7 AS DECIMAL(18,2)) AS price, CAST(5 + n % 7 AS DECIMAL(18,2)) AS cost, DATE '2023-01-01' AS launch_date
+        FROM f_products WHERE product_id IN ('P001', 'P004', 'P999')""",
+    "query_sales": f"WITH {FUNNEL}, {_funnel_sales()} SELECT * FROM f_sales",
+    "query_sales_commerce": f"WITH {COMMERCE} SELECT * FROM c_sales",
+    "query_sales_without_refunds": f"WITH {FUNNEL}, {_funnel_sales('NOT is_refund')} SELECT * FROM f_sales",
+    "query_traffic": f"WITH {FUNNEL}, {GRID} SELECT * FROM f_daily",
+    "query_traffic_complete": f"WITH {FUNNEL}, {GRID} SELECT * FROM f_daily WHERE missing_days = 0",
+    "query_marketing": f"WITH {FUNNEL}, {SPEND} SELECT * FROM f_spend",
+    "metrics_total": _ALL + _derived(COMMON_METRICS, []),
+    "metrics_by_product": _ALL + _derived(list(derive.METRICS), ["product_id"]),
+    "metrics_by_category": _ALL + _derived(COMMON_METRICS, ["category"]),
+    "metrics_by_product_category": _ALL + _derived(COMMON_METRICS, ["product_id", "category"]),
+    "metrics_by_region": f"WITH {FUNNEL}, {_funnel_sales()} " + _derived(SALES_METRICS, ["region"], traffic=False),
+    "metrics_by_channel": f"WITH {COMMERCE} " + _derived(SALES_METRICS, ["channel"], sales="c_sales", traffic=False),
+    "daily_kpis": f"WITH {FUNNEL}, {KPI} SELECT * FROM kpi",
+    "coverage_gaps": f"WITH {FUNNEL}, d AS (SELECT date, count(*) AS observed_rows, (SELECT count(*) FROM f_products) AS total_rows FROM f_traffic GROUP BY date) SELECT *, CAST(observed_rows AS DOUBLE) / total_rows AS coverage FROM d WHERE observed_rows < total_rows",
+    "summary_stats": f"WITH {FUNNEL}, {KPI} "
+    + " UNION ALL ".join(f"""SELECT '{c}' AS metric, count("{c}") AS count, """ + ", ".join(f"""round(CAST({f.replace('?', f'"{c}"')} AS DOUBLE), 6) AS {n}""" for f, n in (("avg(?)", "mean"), ("stddev_samp(?)", "std"), ("min(?)", "min"), ("quantile_cont(?, 0.25)", "q25"), ("quantile_cont(?, 0.5)", "q50"), ("quantile_cont(?, 0.75)", "q75"), ("max(?)", "max"))) + " FROM kpi" for c in ("coverage", "GMV", "Orders", "AOV", "CTR", "CVR", "Refund Rate", "ROAS")),
+    "fk_violations": f"WITH {FUNNEL} SELECT product_id, count(*) AS orders FROM f_orders WHERE product_id NOT IN (SELECT product_id FROM f_products WHERE product_id < 'P050') GROUP BY product_id",
+    "duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+    "grain_gaps": f"""WITH {FUNNEL}, g AS (SELECT product_id, CAST(unnest(generate_series((SELECT min(date) FROM f_traffic), (SELECT max(date) FROM f_traffic), INTERVAL 1 DAY)) AS DATE) AS date FROM f_products)
+      SELECT product_id, date, 'absent' AS problem FROM (SELECT product_id, date FROM g EXCEPT SELECT product_id, date FROM f_traffic)""",
+    "funnel_violations": f"""WITH {FUNNEL}, l AS (SELECT date, product_id, impressions, clicks, CASE WHEN day(date) % 3 = 0 THEN visits - 2 ELSE visits END AS visits FROM f_traffic) SELECT * FROM l WHERE impressions < clicks OR visits < clicks""",
+    "revenue_identity": f"WITH {COMMERCE} SELECT order_id, quantity, revenue AS unit_price, revenue FROM c_lines WHERE round(revenue, 2) <> round(revenue * quantity, 2)",
+    "quality_report": f"""WITH {FUNNEL} SELECT * FROM (VALUES ('schema:products', 0::BIGINT), ('schema:customers', 0), ('schema:marketing', (SELECT count(*) FROM f_marketing WHERE spend < 0)), ('key:products', 0), ('key:customers', 0), ('key:traffic', 0), ('key:marketing', 0),
+        ('schema:traffic', (SELECT count(*) FROM f_traffic WHERE impressions < clicks OR visits < clicks)), ('schema:orders', (SELECT count(*) FROM f_orders WHERE revenue <= 0)), ('key:orders', 0),
+        ('reference:traffic.product_id', 0), ('reference:marketing.product_id', 0), ('reference:orders.product_id', 0), ('reference:orders.customer_id', 0),
+        ('grain:traffic', (SELECT (SELECT count(*) FROM f_products) * (max(date) - min(date) + 1) - count(DISTINCT (product_id, date)) FROM f_traffic)),
+        ('grain:marketing', (SELECT (SELECT count(*) FROM f_products) * (max(date) - min(date) + 1) - count(DISTINCT (product_id, date)) FROM f_marketing)), ('funnel', 0), ('revenue', 0)) t("check", failed)""",
+    "evidence_ids": f"""WITH {FUNNEL} SELECT 'EV_PRODUCT_ANOMALIES_' || lpad(CAST(row_number() OVER (ORDER BY product_id) AS VARCHAR), 3, '0') AS evidence_id, product_id, {ANOMALY} AS anomaly_type FROM labelled WHERE {ANOMALY} IS NOT NULL""",
+    "topk_nulls_last": f"""WITH {FUNNEL} SELECT product_id, round(cvr_change, 9) AS cvr_change, round(gmv_change_rate, 9) AS gmv_change_rate FROM labelled ORDER BY 2 ASC NULLS LAST, 3 DESC NULLS LAST, 1 LIMIT 5""",
+    "difficulty_buckets": """WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_nationkey, c_acctbal, c_custkey) AS position, count(*) OVER () AS n FROM customer)
+      SELECT c_custkey, position, CASE WHEN CAST(position - 1 AS DOUBLE) / n < 0.3 THEN 'easy' WHEN CAST(position - 1 AS DOUBLE) / n < 0.7 THEN 'medium' ELSE 'hard' END AS difficulty FROM r""",
+    "distractor_min_by_hash": f"""WITH {FUNNEL} SELECT t.category AS task, arg_min(p.product_id, sha256('dataset|' || t.category || '|' || p.product_id)) AS distractor FROM (SELECT DISTINCT category FROM f_products) t JOIN f_products p ON p.category <> t.category GROUP BY 1""",
+    "run_summary": "SELECT role, count(*) AS turns, count(*) FILTER (coalesce(length(text), 0) = 0) AS empty, min(conv_id) AS first, max(conv_id) AS last FROM conversations GROUP BY role",
+    "period_union": f"WITH {FUNNEL} SELECT period, CAST(sum(revenue) AS DOUBLE) AS gmv, count(*) AS orders FROM periods JOIN f_orders ON order_date BETWEEN a AND b GROUP BY period",
+    "product_id_extract": r"""WITH m AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9]+'), lambda w: regexp_full_match(w, '[A-Za-z]{2,4}[0-9]')), lambda w: upper(w)) AS w FROM documents)
+      SELECT doc_id, array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(w, w[i]) = i), lambda i: w[i]), ',') AS ids FROM m WHERE len(w) > 0""",
+    "formatters": """WITH p AS (SELECT p_partkey, CAST(p_retailprice AS DECIMAL(18,6)) AS price FROM part)
+      SELECT p_partkey, '¥' || format('{:,.2f}', CAST(round(price, 2) AS DECIMAL(18,2))::DOUBLE) AS money, format('{:,}', p_partkey * 1000) AS count,
+        CASE WHEN round((price - 1000) / 10, 2) > 0 THEN '+' ELSE '' END || CAST(CAST(round(CAST((price - 1000) AS DECIMAL(28,10)) / 10, 2) AS DECIMAL(20,2)) AS VARCHAR) || '%' AS rate FROM p""",
+}

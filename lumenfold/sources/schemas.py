@@ -7,19 +7,20 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 2)
+TYPES = {"string": T.StringType(), "bigint": T.LongType(), "boolean": T.BooleanType(), "date": T.DateType(), "money": T.DecimalType(18, 2)}
 
 
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from "name type, ..." (no Spark session is needed to import this module)."""
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in (part.split() for part in text.split(", "))])
 
 
 SCHEMAS: dict[str, T.StructType] = {
-    "products": _schema("product_id string, product_name string, category string, price decimal(18,2), cost decimal(18,2), launch_date date"),
+    "products": _schema("product_id string, product_name string, category string, price money, cost money, launch_date date"),
     "customers": _schema("customer_id string, is_new_customer boolean, region string, channel string"),
     "traffic": _schema("date date, product_id string, impressions bigint, clicks bigint, visits bigint, is_missing boolean"),
-    "marketing": _schema("date date, product_id string, campaign_id string, spend decimal(18,2)"),
-    "orders": _schema("order_id string, product_id string, customer_id string, order_date date, quantity bigint, unit_price decimal(18,2), revenue decimal(18,2), is_refund boolean, status string"),
+    "marketing": _schema("date date, product_id string, campaign_id string, spend money"),
+    "orders": _schema("order_id string, product_id string, customer_id string, order_date date, quantity bigint, unit_price money, revenue money, is_refund boolean, status string"),
 }
 TABLES = tuple(SCHEMAS)
 KEYS = {
