@@ -253,7 +253,9 @@ def find(documents: DataFrame, *, size=STAGE_SIZE, percent=STAGE_PERCENT, id_col
     weights = classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n"))
     sizes = clusters.join(weights, "id").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / cluster_rows), F.ceil(F.sum("n") / cluster_shingles)).cast("int").alias("chunks"))
     texts = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("text is not null")
-    members = clusters.join(sizes, "cluster").join(texts, "id").select("cluster", "id", "text", "chunks")
+    # texts move once, by a plan that doesn't change with the number of members
+    members = clusters.join(sizes, "cluster").hint("merge").join(texts, "id").select("cluster", "id", "text", "chunks")
+    members = materialize(members, "neardup-members")
     links = _by_unit(members.where("chunks = 1").select(F.col("cluster").alias("unit"), "id", "text"), size, percent)
     if not sizes.where("chunks > 1").isEmpty():
         hot = materialize(members.where("chunks > 1").dropDuplicates(["id"]), "neardup-large")
@@ -269,7 +271,7 @@ def find(documents: DataFrame, *, size=STAGE_SIZE, percent=STAGE_PERCENT, id_col
 def keep_one(documents: DataFrame, *, id_column="doc_id", **options) -> DataFrame:
     """The rows of ``documents`` that are the first of their component (or have no id); same columns."""
     found = materialize(find(documents, id_column=id_column, **options), "neardup-found")
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct().hint("merge")
     return documents.join(dropped, documents[id_column].cast("long") == dropped["_drop"], "left_anti")
 
 
