@@ -129,7 +129,7 @@ class Model:
 
 def models(documents: DataFrame, labels: DataFrame, *, label="quality", id_column="doc_id", text_column="text") -> tuple[Model, Model]:
     """Target and background model."""
-    good = labels.where(F.col(label) == 1).select(F.col(id_column).alias("_good")).where("_good is not null").distinct()
+    good = labels.where(F.col(label) == 1).select(F.col(id_column).alias("_good")).where("_good is not null").distinct().hint("merge")  # the same plan at every size
     flagged = documents.join(good, documents[id_column] == good["_good"], "left").select(F.col("_good").isNotNull().alias("target"), F.col(text_column).alias("text"))
     table = counts(flagged).toArrow().to_pandas().sort_values("code")  # at most 257^3 rows
     codes = table["code"].to_numpy()

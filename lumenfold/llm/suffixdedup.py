@@ -296,7 +296,7 @@ def removals(documents: DataFrame, *, id_column="doc_id", text_column="text") ->
     drop(occ)
     free_shuffles(spark)
     at_edges = lists.where("size(edge) > 0 or size(hot) > 0").select("doc", "edge", "hot")
-    edges = materialize(_edges(docs.select("doc", "text").join(at_edges, "doc")), "repeat-edges")
+    edges = materialize(_edges(docs.select("doc", "text").join(at_edges.hint("merge"), "doc")), "repeat-edges")
     free_shuffles(spark)
     marked = _mark_lots(edges.where("not hot")).unionAll(_mark_hot(edges.where("hot")))
     marked = materialize(marked.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("marked")), "repeat-marked")
@@ -319,7 +319,7 @@ def removals(documents: DataFrame, *, id_column="doc_id", text_column="text") ->
                     kept.append(b"".join(data[a:b] for a, b in zip(edges_[::2], edges_[1::2])))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(spans_out, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    joined = docs.join(info, "doc", "left").select("doc_id", "text", "gone", "edge", "marked")
+    joined = docs.join(info.hint("merge"), "doc", "left").select("doc_id", "text", "gone", "edge", "marked")
     return joined.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:int,stop:int>>, kept binary")
 
 
