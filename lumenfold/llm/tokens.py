@@ -39,6 +39,8 @@ PIECES = rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}
 #: Characters outside these ranges may be classed differently by two Unicode versions.
 RANGES = ((0x00, 0x377), (0x391, 0x3A1), (0x3A3, 0x481), (0x48A, 0x527), (0x2000, 0x2044), (0x20A0, 0x20B9), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FCB), (0xAC00, 0xD7A3))
 SETTLED = "[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in RANGES) + "]"
+#: White space to Python, not to the tokenizer.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 TABLE_PIECES, PIECE_CHARS = 800_000, 48
 
 FILE_SCHEMA = "part int, path string, docs long, ids long"
@@ -59,8 +61,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.split = regex.compile(PIECES).findall
-        self.cut = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]").findall
-        self.runs = re.compile(rf"[{SPACE}]{{2}}|[{SPACE}]\Z").search
+        # letters up to a mark or white space, other runs up to white space, a single white-space character before a
+        # word; all ends are ends of the tokenizer's pieces, and what is skipped tells the texts that need the pattern
+        self.cut = re.compile(r" ?[^\W\d_]+(?=[\s.,;:!?|])| ?\S+|[^\S ](?=\S)").findall
         self.unsettled = re.compile(SETTLED).search
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
@@ -71,22 +74,34 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces: list[list[str] | None] = []
-        for text in texts:
+        table, out, open_cells, new = self.known, [None] * len(texts), [], set()
+        if len(table) > TABLE_PIECES:
+            table.clear()
+        for k, text in enumerate(texts):
             if any(s in text for s in self.special):
-                pieces.append(None)
-            elif not self.runs(text):
-                pieces.append(self.cut(text))
+                out[k] = self._library([text])[0]
+                continue
+            pieces = self.cut(text)
+            if sum(map(len, pieces)) != len(text) or any(c in text for c in SEPARATORS):
+                if not text.isascii() and self.unsettled(text):
+                    out[k] = self._library([text])[0]
+                    continue
+                pieces = self.split(text)
+            ids = list(map(table.get, pieces))
+            if None in ids:
+                holes = [i for i, v in enumerate(ids) if v is None]
+                new.update([pieces[i] for i in holes])
+                open_cells.append((k, pieces, ids, holes))
             else:
-                pieces.append(self.split(text) if text.isascii() or not self.unsettled(text) else None)
-        if len(self.known) > TABLE_PIECES:
-            self.known.clear()
-        table = self.known
-        new = list(set().union(*[ps for ps in pieces if ps is not None]).difference(table))
+                out[k] = b"".join(ids)
+        new = list(new)
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             table.update(zip(some, self._library(some)))
-        out = [self._library([text])[0] if ps is None else b"".join(map(table.__getitem__, ps)) for text, ps in zip(texts, pieces)]
+        for k, pieces, ids, holes in open_cells:
+            for i in holes:
+                ids[i] = table[pieces[i]]
+            out[k] = b"".join(ids)
         for p in new:
             if len(p) > PIECE_CHARS:
                 del table[p]
