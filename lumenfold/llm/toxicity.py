@@ -10,7 +10,7 @@ bound is what makes the broadcast and the collected matrix bounded. Scoring read
 
 Defined results: a null or empty text has no features and gets the score of the intercept; a null id is never held out
 (its remainder is unknown) and never used for learning; label rows with a null are ignored; several labels of one
-document count as 1 if any is 1; with one class only, every score is that class's smoothed rate; extra columns are
+document count as 1 if any is 1; with one class only (or none), every score is the smoothed rate of label 1, (n1 + 1) / (n + 3); extra columns are
 ignored by ``score`` and kept by ``reject``.
 """
 
@@ -103,9 +103,9 @@ def train(documents: DataFrame, labels: DataFrame, **options) -> Model:
     rows = materialize(sample.mapInPandas(presence, "label int, buckets array<int>"), "toxicity-train")
     classes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = float(classes.get(0, 0)), float(classes.get(1, 0))
-    base = float(np.log((n1 + SMOOTHING) / (n0 + SMOOTHING)))
+    base = float(np.log((n1 + SMOOTHING) / (n0 + 2 * SMOOTHING)))  # no labels: a third
     # the sample holds more of the rarer label than the labels do; the intercept takes that back
-    shift = float(np.log(((share["n1"] or 0.0) + SMOOTHING) / (share["n"] - (share["n1"] or 0.0) + SMOOTHING))) - base
+    shift = float(np.log(((share["n1"] or 0.0) + SMOOTHING) / (share["n"] - (share["n1"] or 0.0) + 2 * SMOOTHING))) - base
     if not n0 or not n1:
         return Model(np.empty(0, np.int64), np.empty(0, np.float32), base + shift)
     counts = rows.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sum(F.col("label") * 1.0).alias("c1"), F.sum(1.0 - F.col("label")).alias("c0"))
