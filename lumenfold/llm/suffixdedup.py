@@ -14,8 +14,8 @@ segments with equal anchors, at equal offsets; comparing segments of one anchor
    suffix positions sampled at run ends, and for each interval of suffixes that share ``LENGTH`` bytes the first of its
    segments in document order. All segments are streamed through the index from their ends; where the matching statistic
    reaches ``LENGTH`` and the interval's first segment is an earlier one, the window is marked.
-4. An anchor with more than ``HOT`` edge occurrences is not given to one task: its windows are compared by their 128-bit
-   hashes with partial aggregation, whatever their number.
+4. An anchor with more than ``HOT`` edge occurrences (a few MB) is not given to one task: equal segments are settled by
+   their 128-bit hashes first, and the windows of the others by theirs, with partial aggregation, whatever their number.
 5. Marked windows come back to their documents as spans and merge into removals.
 
 Hashes that decide (segments with their anchors, windows) have 128 bits.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .scratch import drop, free_shuffles, materialize
 
 LENGTH, GRAM = 100, 28
-HOT = 2000
+HOT = 20_000
 LOT_BYTES = 1 << 20
 LAST = (1 << 63) - 1
 POSITION_BITS = 28
@@ -270,7 +270,11 @@ def _mark_lots(edges: DataFrame) -> DataFrame:
 
 def _mark_hot(edges: DataFrame) -> DataFrame:
     """The same for segments of frequent anchors, by hashes of their windows."""
-    each = edges.select("doc", "pos", "body", F.explode(F.expr(f"sequence(1, octet_length(body) - {LENGTH} + 1)")).alias("at"))
+    keyed = edges.select("anchor", "doc", "pos", "body", F.xxhash64("body").alias("b1"), F.xxhash64(F.lit(7), "body").alias("b2"))
+    holders = keyed.groupBy("anchor", "b1", "b2").agg(F.min("doc").alias("holder"))
+    keyed = keyed.join(holders, ["anchor", "b1", "b2"])
+    copies = keyed.where("doc > holder").select("doc", F.col("pos").alias("start"), (F.col("pos") + F.octet_length("body")).alias("stop"))
+    each = keyed.where("doc = holder").select("doc", "pos", "body", F.explode(F.expr(f"sequence(1, octet_length(body) - {LENGTH} + 1)")).alias("at"))
     window = F.expr(f"substring(body, at, {LENGTH})")
     each = each.select("doc", (F.col("pos") + F.col("at") - 1).alias("start"), F.xxhash64(window).alias("h1"), F.xxhash64(F.lit(7), window).alias("h2"))
     docs = each.groupBy("h1", "h2").agg(F.min("doc").alias("d"), F.max("doc").alias("e"), F.count("*").alias("n")).where("n > 1")
@@ -279,7 +283,7 @@ def _mark_hot(edges: DataFrame) -> DataFrame:
     own = shared.where("doc = d")
     firsts = own.groupBy("h1", "h2").agg(F.min("start").alias("s"))
     repeats = own.join(firsts, ["h1", "h2"]).where("start > s").select("doc", "start", (F.col("start") + LENGTH).alias("stop"))
-    return later.unionAll(repeats)
+    return copies.unionAll(later).unionAll(repeats)
 
 
 def removals(documents: DataFrame, *, id_column="doc_id", text_column="text") -> DataFrame:
