@@ -41,7 +41,7 @@ RANGES = ((0x00, 0x377), (0x391, 0x3A1), (0x3A3, 0x481), (0x48A, 0x527), (0x2000
 SETTLED = "[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in RANGES) + "]"
 #: White space to Python, not to the tokenizer.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
-TABLE_PIECES, PIECE_CHARS = 800_000, 48
+TABLE_PIECES, PIECE_CHARS = 1_400_000, 48
 
 FILE_SCHEMA = "part int, path string, docs long, ids long"
 ROW_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
