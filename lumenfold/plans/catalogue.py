@@ -92,7 +92,7 @@ def summary_stats(spark, sf_dir):
 
 
 def fk_violations(spark, sf_dir):
-    """Labels of documents that don't exist, and cohorts ordered from that have no product."""
+    """Orders of cohorts that a shortened product table lacks."""
     tables = testdata.funnel(spark, sf_dir)
     fewer = tables.products.where("product_id < 'P050'")
     return quality.broken_references(tables.orders, fewer, "product_id").groupBy("product_id").agg(F.count("*").alias("orders"))
@@ -136,11 +136,10 @@ def topk_nulls_last(spark, sf_dir):
 
 
 def difficulty_buckets(spark, sf_dir):
-    """Documents ranked by size, the first 30 % easy, the next 40 % medium, the rest hard."""
-    docs = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal")
-    total = docs.agg(F.count("*").alias("n"))
-    # the rank over all rows comes from sorted partitions, not from one task: counts of earlier nations, then inside one
-    keyed = docs.join(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey"), "c_custkey")
+    """Customers ranked by nation and balance, the first 30 % easy, the next 40 % medium, the rest hard."""
+    keyed = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal", "c_nationkey")
+    total = keyed.agg(F.count("*").alias("n"))
+    # the rank over all rows is not made in one task: counts of earlier nations (25 rows), then the rank inside one
     before = keyed.groupBy("c_nationkey").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("c_nationkey").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")) + F.col("before")
     ranked = keyed.join(F.broadcast(before.select("c_nationkey", "before")), "c_nationkey").withColumn("rank", rank).crossJoin(F.broadcast(total))
