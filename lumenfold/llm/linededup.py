@@ -8,8 +8,11 @@ which the minimum is the shingle hash that agrees with the seed in the most lead
 minima make buckets: a pair at similarity 0.8 shares a bucket with probability 1 - (1 - 0.8^3)^8, or 0.997; at 0.9, more
 than 0.9999.
 
-A bucket's lines are compared with its smallest and its largest member only (never all pairs), on their full shingle sets,
-and lines with Jaccard similarity of at least ``SIMILARITY`` are linked; components of links are found by rounds of joins.
+Every two lines of a bucket end as if compared on their full shingle sets: lines with Jaccard similarity of at least
+``SIMILARITY`` are linked, and components of links are found by rounds of joins. A bucket's lines first meet its smallest
+and its largest member. The pairs that this leaves in different components meet next, in chunks of about ``CHUNK_ROWS``
+lines, on ``64 * WORDS`` parity bits of their sets: each bit that differs stands for a shingle that only one set has, so a
+pair with too many is surely apart. The others are compared in full. Nothing is capped or dropped.
 The occurrence with the smallest (document, line number) in a component stays.
 
 Defined results: blank lines and lines shorter than ``MIN_CHARS`` are compared exactly only (blank lines are never
@@ -23,11 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import free_shuffles, materialize
+from .scratch import drop, free_shuffles, materialize
 
 SHINGLE, MIN_CHARS = 10, 24
 ROWS, BANDS = 3, 8
 SIMILARITY = 0.8
+#: Lines of a larger bucket are dealt in chunks of about so many.
+CHUNK_ROWS = 512
+#: Words of 64 bits that tell sets apart before they are compared.
+WORDS = 8
 #: Seeds of the orders: any distinct 64-bit values with random leading bits.
 SEED = 42
 
@@ -60,23 +67,68 @@ def _set(coded: str) -> str:
     return f"array_distinct(transform(sequence(0, octet_length({coded}) div 4 - {SHINGLE}), i -> xxhash64(substring({coded}, 4 * i + 1, {4 * SHINGLE}))))"
 
 
-def links(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) between line hashes."""
+def _marks(sets: DataFrame) -> DataFrame:
+    """lid, n and the parity of the shingles that fall to each of ``64 * WORDS`` bits."""
+    each = sets.select("lid", F.explode("p").alias("h"))
+    words = [F.expr(f"bit_xor(if((shiftright(h, 6) & {WORDS - 1}) = {w}, shiftleft(1L, cast(h & 63 as int)), 0L))").alias(f"w{w}") for w in range(WORDS)]
+    return each.groupBy("lid").agg(F.count("*").alias("n"), F.array(*words).alias("w"))
+
+
+def _may(similarity: float) -> str:
+    """Whether (n, w) and (m, v) can be similar: bits that differ are at most as many as shingles in one set only."""
+    bits = " + ".join(f"bit_count(w[{k}] ^ v[{k}])" for k in range(WORDS))
+    return f"{1 + similarity}D * ({bits}) <= {1 - similarity}D * (n + m) + 1e-6D"
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar."""
+    both = pairs.join(sets.select(F.col("lid").alias("a"), F.col("p")), "a").join(sets.select(F.col("lid").alias("b"), F.col("p").alias("q")), "b")
+    shared = both.select("a", "b", F.size("p").alias("n"), F.size("q").alias("m"), F.size(F.array_intersect("p", "q")).alias("k"))
+    return shared.where(F.col("k") >= similarity * (F.col("n") + F.col("m") - F.col("k"))).select("a", "b")
+
+
+def _open_pairs(shared: DataFrame, joined: DataFrame, marks: DataFrame, similarity: float, chunk_rows: int) -> DataFrame:
+    """All pairs (a, b) that share a bucket, no component (``joined``: node, root) and may be similar; ``shared``: lid, band, low, high."""
+    placed = shared.join(joined.withColumnRenamed("node", "lid"), "lid", "left").select("band", "lid", "low", "high", F.coalesce("root", "lid").alias("root"))
+    placed = materialize(placed, "lines-placed")
+    sizes = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s"))
+    # of two lines both are ends, and ends have met every line of their bucket
+    sizes = sizes.where("r < s and n > 3").select("band", F.ceil(F.col("n") / chunk_rows).cast("int").alias("chunks"))
+    inner = placed.join(sizes, "band").where("lid <> low and lid <> high").withColumn("c", F.expr("pmod(xxhash64(lid), chunks)").cast("int"))
+    inner = materialize(inner.join(marks, "lid").select("band", "lid", "root", "chunks", "c", "n", "w"), "lines-open")
+    # a large bucket is dealt as pairs of chunks
+    left = inner.select("band", F.col("lid").alias("u"), F.col("root").alias("ru"), F.col("c").alias("i"), F.explode(F.expr("sequence(c, chunks - 1)")).alias("j"), "n", "w")
+    right = inner.select("band", F.col("lid").alias("t"), F.col("root").alias("rt"), F.explode(F.expr("sequence(0, c)")).alias("i"), F.col("c").alias("j"), F.col("n").alias("m"), F.col("w").alias("v"))
+    met = left.join(right, ["band", "i", "j"])
+    met = met.where("ru <> rt and (i < j or u < t)").where(_may(similarity))
+    return met.select(F.least("u", "t").alias("a"), F.greatest("u", "t").alias("b")).distinct()
+
+
+def links(lines: DataFrame, similarity: float = SIMILARITY, *, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Verified links (a, b) between line hashes, which join all lines that share a bucket and are similar."""
     signed = materialize(signatures(lines), "lines-signatures")
     free_shuffles(signed.sparkSession)
     rows = signed.select("lid", F.explode("bands").alias("band"))
     ends = rows.groupBy("band").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).where("low < high")
+    shared = materialize(rows.join(ends, "band"), "lines-shared")
+    drop(signed)
+    free_shuffles(signed.sparkSession)
     # a line meets the two ends of its buckets, whichever band
-    pairs = rows.join(ends, "band").select("lid", F.explode(F.array("low", "high")).alias("end")).where("lid <> end")
+    pairs = shared.select("lid", F.explode(F.array("low", "high")).alias("end")).where("lid <> end")
     pairs = pairs.select(F.least("lid", "end").alias("a"), F.greatest("lid", "end").alias("b")).distinct()
     pairs = materialize(pairs, "lines-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
     texts = lines.select("lid", "norm").join(wanted.hint("merge"), "lid", "left_semi").select("lid", "norm").distinct().select("lid", F.encode("norm", "UTF-32").alias("coded"))
     texts = materialize(texts, "lines-texts")
-    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("coded").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("coded").alias("y")), "b")
-    sets = both.select("a", "b", F.expr(_set("x")).alias("p"), F.expr(_set("y")).alias("q"))
-    shared = sets.select("a", "b", F.size("p").alias("n"), F.size("q").alias("m"), F.size(F.array_intersect("p", "q")).alias("k"))
-    return shared.where(F.col("k") >= similarity * (F.col("n") + F.col("m") - F.col("k"))).select("a", "b")
+    sets = materialize(texts.select("lid", F.expr(_set("coded")).alias("p")), "lines-sets")
+    drop(texts)
+    free_shuffles(sets.sparkSession)
+    marks = materialize(_marks(sets), "lines-marks")
+    near = pairs.join(marks.withColumnRenamed("lid", "a"), "a").join(marks.select(F.col("lid").alias("b"), F.col("n").alias("m"), F.col("w").alias("v")), "b").where(_may(similarity)).select("a", "b")
+    first = materialize(_compared(near, sets, similarity), "lines-ends")
+    # what the ends have left apart meets inside its bucket
+    rest = materialize(_open_pairs(shared, components(first), marks, similarity, chunk_rows), "lines-rest")
+    return first.unionAll(_compared(rest, sets, similarity))
 
 
 def decide(documents: DataFrame, *, similarity: float = SIMILARITY, id_column="doc_id", text_column="text") -> DataFrame:

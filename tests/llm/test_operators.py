@@ -150,6 +150,35 @@ def test_line_links_against_all_pairs(spark):
     assert true and sum(root(p) == root(q) for p, q in true) >= 0.95 * len(true)
 
 
+def test_line_links_inside_one_large_bucket(spark, monkeypatch):
+    import random
+
+    r = random.Random(8)
+    shared = sentence(500, 12)
+    lines = []
+    for k in range(40):
+        base = shared + " " + sentence(600 + k, 12)
+        lines += [base, base + " q", base + " qz"]
+    r.shuffle(lines)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    split = linededup.split_lines(docs)
+    # one bucket of all lines: its ends belong to two of the forty families
+    monkeypatch.setattr(linededup, "signatures", lambda x: x.select("lid").distinct().selectExpr("lid", "array(1L) as bands"))
+    for chunk_rows in (1000, 16):
+        found = [(x.a, x.b) for x in linededup.links(split, chunk_rows=chunk_rows).collect()]
+        lids = {x.norm: x.lid for x in split.collect()}
+        sets = {lids[n]: {n[i : i + linededup.SHINGLE] for i in range(len(n) - linededup.SHINGLE + 1)} for n in lids}
+        near = lambda p, q: len(sets[p] & sets[q]) >= linededup.SIMILARITY * len(sets[p] | sets[q])
+        parts = {}
+        root = lambda x: x if parts.get(x, x) == x else root(parts[x])
+        assert all(near(p, q) for p, q in found)
+        for p, q in found:
+            parts[root(p)] = root(q)
+        keys = sorted(sets)
+        true = [(p, q) for i, p in enumerate(keys) for q in keys[:i] if near(p, q)]
+        assert len(true) >= 120 and all(root(p) == root(q) for p, q in true)
+
+
 # --- 3 toxicity
 
 
