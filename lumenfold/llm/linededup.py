@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash over character shingles (DataFrame functions only).
 
 Lines are normalised (trimmed, white-space runs as one blank, lower case) and told apart by a 64-bit hash. A line of at
-least ``MIN_CHARS`` characters is the set of its ``SHINGLE``-character shingles. Shingles are generated and hashed inside
+least ``SHINGLE`` characters is the set of its ``SHINGLE``-character shingles. Shingles are generated and hashed inside
 one generated stage: a line is encoded with four bytes a character, so that each shingle is a slice at a known place, and
 ``ROWS * BANDS`` minima of ``hash xor seed`` are kept for each line. xor with a random seed is an order of its own, in
 which the minimum is the shingle hash that agrees with the seed in the most leading bits. ``BANDS`` bands of ``ROWS``
@@ -15,7 +15,7 @@ lines, on ``64 * WORDS`` parity bits of their sets: each bit that differs stands
 pair with too many is surely apart. The others are compared in full. Nothing is capped or dropped.
 The occurrence with the smallest (document, line number) in a component stays.
 
-Defined results: blank lines and lines shorter than ``MIN_CHARS`` are compared exactly only (blank lines are never
+Defined results: blank lines and lines shorter than ``SHINGLE`` are compared exactly only (blank lines are never
 removed); null texts have no lines; rows with a null id sort after all others; documents with a repeated id count their
 lines together; an empty table gives an empty result; ``dedup`` keeps the columns of its input and changes the text.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import drop, free_shuffles, materialize
 
-SHINGLE, MIN_CHARS = 10, 24
+SHINGLE = 10
 ROWS, BANDS = 3, 8
 SIMILARITY = 0.8
 #: Lines of a larger bucket are dealt in chunks of about so many.
@@ -48,7 +48,7 @@ def split_lines(documents: DataFrame, *, id_column="doc_id", text_column="text")
 
 def shingle_rows(lines: DataFrame) -> DataFrame:
     """lid and one shingle hash a row."""
-    coded = lines.where(F.char_length("norm") >= MIN_CHARS).select("lid", F.encode("norm", "UTF-32").alias("coded"))
+    coded = lines.where(F.char_length("norm") >= SHINGLE).select("lid", F.encode("norm", "UTF-32").alias("coded"))
     each = coded.select("lid", "coded", F.explode(F.expr(f"sequence(0, octet_length(coded) div 4 - {SHINGLE})")).alias("at"))
     return each.select("lid", F.expr(f"xxhash64(substring(coded, 4 * at + 1, {4 * SHINGLE}))").alias("h"))
 

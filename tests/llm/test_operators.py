@@ -179,6 +179,11 @@ def test_line_links_inside_one_large_bucket(spark, monkeypatch):
         assert len(true) >= 120 and all(root(p) == root(q) for p, q in true)
 
 
+def test_near_copies_of_short_lines(spark):
+    docs = spark.createDataFrame([(1, "page footer no 1"), (2, "page footer no 12"), (3, "page foo"), (4, "page fooo")], "doc_id long, text string")
+    assert {r.doc_id: r.kept for r in linededup.decide(docs).collect()} == {1: True, 2: False, 3: True, 4: True}
+
+
 # --- 3 toxicity
 
 
