@@ -11,9 +11,10 @@ segments with equal anchors, at equal offsets; comparing segments of one anchor
    and goes everywhere else.
 3. An anchor with several segment hashes stands at an edge of repeated text. These segments (the bytes) are grouped by
    anchor and, in lots of about ``LOT_BYTES``, put into a run-length index: the run-compressed transform of the lot with
-   suffix positions sampled at run ends, and for each interval of suffixes that share ``LENGTH`` bytes the first of its
-   segments in document order. All segments are streamed through the index from their ends; where the matching statistic
-   reaches ``LENGTH`` and the interval's first segment is an earlier one, the window is marked.
+   suffix positions sampled at run ends (not read), and for each interval of suffixes that share ``LENGTH`` bytes the first of its
+   segments in document order. All segments are streamed through the index from their ends, each from its
+   own suffix row, so no matching statistics are computed; where ``LENGTH`` bytes are left and the interval's first segment
+   is an earlier one, the window is marked.
 4. An anchor with more than ``HOT`` edge occurrences (a few MB) is not given to one task: equal segments are settled by
    their 128-bit hashes first, and the windows of the others by theirs, with partial aggregation, whatever their number.
 5. Marked windows come back to their documents as spans and merge into removals.
