@@ -1,4 +1,4 @@
-"""Evaluation cases from rule results: evidence ids, top-k evidence, distractors, split and difficulty."""
+"""Evaluation cases from rule results: evidence ids, top-k evidence, distractors and difficulty."""
 
 from __future__ import annotations
 
