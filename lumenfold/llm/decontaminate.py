@@ -3,16 +3,17 @@
 Words are cut and lower-cased bytewise, and replaced by numbers: words of the benchmark from 2, all others 1. A phrase
 can only occur inside a run of benchmark words that is at least as long as the shortest phrase, so a shard's text is the
 runs of at least that length, parted by 1; everything else cannot match and is left out of the index, which makes this
-exact. The shard's text is sorted by suffix; its Burrows-Wheeler transform goes into a wavelet matrix of packed bits with rank counts, and all phrases are searched
-backward at once. Occurrences are located from suffix positions sampled every ``SAMPLE`` words by walking the transform.
+exact. The shard's text is sorted by suffix; its Burrows-Wheeler transform goes into a wavelet matrix of packed bits
+with a count for each 64 of them, and all phrases are searched backward at once. Occurrences are located from suffix positions sampled every ``SAMPLE`` words by walking the transform.
 Overlapping and touching occurrences merge into removal spans.
 
-A shard is one batch of rows of a Spark partition. The benchmark is read in blocks of at most ``BLOCK_BYTES`` of text;
-each block is broadcast and passes over the documents inside the same stage, so the benchmark may be of any size.
+A shard is a run of rows of a partition with at most ``SHARD_BYTES`` of text (or one longer text). The benchmark is read
+in blocks of at most ``BLOCK_BYTES`` of text; each block is broadcast and passes over the documents inside the same stage,
+so the benchmark may be of any size.
 
 Defined results: null and empty texts have no words, no spans and are not contaminated; null or wordless benchmark items
-match nothing; several items with one id count as one item; an empty benchmark or table is no error; other columns of
-the documents are kept by ``annotate`` and ``drop_contaminated``.
+match nothing; several items with one id count as one item; an empty benchmark or table is no error; repeated rows and
+ids are rows like others; columns of any other name are kept as they are by ``annotate`` and ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -21,20 +22,17 @@ import hashlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .scratch import bound_batches, byte_slices, unused
 
 WINDOW = 13
 SAMPLE = 8
 BLOCK_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Bytes that are part of a word (0-9, a-z, A-Z lower-cased, all of 0x80 and above).
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-FIELDS = [
-    T.StructField("_words", T.LongType()),
-    T.StructField("_starts", T.ArrayType(T.IntegerType())),
-    T.StructField("_ends", T.ArrayType(T.IntegerType())),
-    T.StructField("_items", T.ArrayType(T.LongType())),
-]
+FOUND = "words long, starts array<int>, ends array<int>, items array<long>"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -63,27 +61,37 @@ class Phrases:
 
 
 class WaveletMatrix:
-    """Rank of any symbol in any prefix, by one bit vector with counts for each binary digit."""
+    """Rank of any symbol in any prefix: for each binary digit one packed bit vector with a count for each 64 bits."""
 
     def __init__(self, symbols, bits: int):
         import numpy as np
 
         self.levels = []
         for bit in range(bits - 1, -1, -1):
-            ones = (symbols >> bit) & 1
-            counts = np.concatenate([[0], np.cumsum(ones, dtype=np.int32)])
-            zeros = len(symbols) - int(counts[-1])
-            self.levels.append((bit, counts, zeros))
-            symbols = np.concatenate([symbols[ones == 0], symbols[ones == 1]])
+            ones = ((symbols >> bit) & 1).astype(bool)
+            padded = np.zeros((len(ones) // 64 + 1) * 64, bool)  # one bit more at least, for the rank at the end
+            padded[: len(ones)] = ones
+            words = np.packbits(padded, bitorder="little").view("<u8")
+            counts = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
+            self.levels.append((bit, words, counts, len(ones) - int(counts[-1])))
+            symbols = np.concatenate([symbols[~ones], symbols[ones]])
+
+    @staticmethod
+    def _ones(words, counts, position):
+        import numpy as np
+
+        at = position >> 6
+        below = (np.uint64(1) << (position & 63).astype(np.uint64)) - np.uint64(1)
+        return counts[at] + np.bitwise_count(words[at] & below)
 
     def rank(self, symbol, position):
         """Occurrences of symbol[i] before position[i], for arrays."""
         import numpy as np
 
         start = np.zeros_like(position)
-        for bit, counts, zeros in self.levels:
+        for bit, words, counts, zeros in self.levels:
             one = ((symbol >> bit) & 1).astype(bool)
-            s, p = counts[start], counts[position]
+            s, p = self._ones(words, counts, start), self._ones(words, counts, position)
             start, position = np.where(one, zeros + s, start - s), np.where(one, zeros + p, position - p)
         return position - start
 
@@ -91,11 +99,11 @@ class WaveletMatrix:
         import numpy as np
 
         symbol = np.zeros_like(position)
-        for bit, counts, zeros in self.levels:
-            before = counts[position]
-            one = counts[position + 1] - before
+        for bit, words, counts, zeros in self.levels:
+            one = (words[position >> 6] >> (position & 63).astype(np.uint64)) & np.uint64(1) == 1
+            before = self._ones(words, counts, position)
             symbol |= one.astype(symbol.dtype) << bit
-            position = np.where(one == 1, zeros + before, position - before)
+            position = np.where(one, zeros + before, position - before)
         return symbol
 
 
@@ -239,54 +247,61 @@ def blocks(benchmark: DataFrame, *, item_column="item_id", text_column="text", b
         yield rows
 
 
-def annotate(documents: DataFrame, benchmark: DataFrame, *, text_column="text", window=WINDOW, **options) -> DataFrame:
-    """``documents`` with _words, _starts, _ends (word spans hit, end exclusive) and _items."""
+def annotate(documents: DataFrame, benchmark: DataFrame, *, text_column="text", output="contamination", window=WINDOW, shard_bytes=SHARD_BYTES, **options) -> DataFrame:
+    """``documents`` with a column ``output``: words, starts, ends (word spans hit, end exclusive) and items.
+
+    Only texts go to Python and only spans come back; all other columns stay where they are. A column of the input that
+    is named like the output is an error.
+    """
     import pyarrow as pa
 
+    if output.lower() in {c.lower() for c in documents.columns}:
+        raise ValueError(f"the documents have a column {output} already")
+    bound_batches(documents.sparkSession)
     context = documents.sparkSession.sparkContext
-    out = documents.select("*", F.lit(0).cast("long").alias("_words"), *[F.array().cast(f.dataType).alias(f.name) for f in FIELDS[1:]])
-    first = True
+    shape = pa.struct([("words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.int64()))])
+    column = None
     for rows in blocks(benchmark, **options) if not benchmark.isEmpty() else [[]]:
         shared = context.broadcast(rows)  # at most block_bytes of text
 
-        def scan(batches, shared=shared, first=first):
+        def scan(batches, shared=shared):
             phrases = Phrases(shared.value, window)
             for batch in batches:
-                texts, new = batch.column(batch.schema.get_field_index(text_column)), []
-                for at in range(0, batch.num_rows, 2048):
-                    new += find(texts.slice(at, 2048).to_pylist(), phrases)
-                spans, items = [], []
-                for k, (_, starts, ends, found) in enumerate(new):
-                    s, e, i = ([], [], []) if first else (batch.column(batch.schema.get_field_index(f.name))[k].as_py() for f in FIELDS[1:])
-                    spans.append(merge_spans(s, e, starts, ends) if s else (starts, ends))
-                    items.append(sorted({*i, *found}) if i else found)
-                columns = {"_words": pa.array([n[0] for n in new], pa.int64()), "_starts": pa.array([s for s, _ in spans], pa.list_(pa.int32())), "_ends": pa.array([e for _, e in spans], pa.list_(pa.int32())), "_items": pa.array(items, pa.list_(pa.int64()))}
-                yield pa.RecordBatch.from_arrays([columns.get(f.name, c) for f, c in zip(batch.schema, batch.columns)], names=batch.schema.names)
-
-        out = out.mapInArrow(scan, out.schema)
-        first = False
-    return out
+                texts, earlier = batch if isinstance(batch, tuple) else (batch, None)
+                new = []
+                for first, last in byte_slices(texts, shard_bytes):
+                    new += find(texts.slice(first, last - first).to_pylist(), phrases)
+                if earlier is not None:
+                    new = [(n, *merge_spans(e["starts"], e["ends"], starts, ends), sorted({*e["items"], *items})) for e, (n, starts, ends, items) in zip(earlier.to_pylist(), new)]
+                yield pa.array([dict(zip(("words", "starts", "ends", "items"), row)) for row in new], shape)
+
+        scanner = F.arrow_udf(scan, FOUND, F.ArrowUDFType.SCALAR_ITER).asNondeterministic()  # run once, where it stands
+        column = scanner(F.col(text_column)) if column is None else scanner(F.col(text_column), column)
+    return documents.withColumn(output, column)
 
 
-def is_contaminated(hits: F.Column | str = "_hits", total="_words"):
-    return (F.col(hits) > 0) & (20 * F.col(hits) >= F.col(total))
+def n_hits(found: str) -> F.Column:
+    """Words hit, of a column made by ``annotate``."""
+    return F.expr(f"aggregate(zip_with(`{found}`.starts, `{found}`.ends, (s, e) -> cast(e - s as long)), 0L, (a, x) -> a + x)")
 
 
-def with_hits(annotated: DataFrame) -> DataFrame:
-    lengths = F.expr("aggregate(zip_with(_starts, _ends, (s, e) -> cast(e - s as long)), 0L, (a, x) -> a + x)")
-    return annotated.withColumn("_hits", lengths)
+def is_contaminated(hits: F.Column, total: F.Column) -> F.Column:
+    return (hits > 0) & (20 * hits >= total)
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` that are not contaminated; same columns."""
-    return with_hits(annotate(documents, benchmark, **options)).where(~is_contaminated()).select(*documents.columns)
+    found = unused("contamination", documents)
+    marked = annotate(documents, benchmark, output=found, **options)
+    return marked.where(~is_contaminated(n_hits(found), F.col(f"{found}.words"))).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = with_hits(annotate(documents, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    names = F.array_join(F.array_sort(F.transform("_items", lambda x: x.cast("string"))), ",")
-    return found.select("doc_id", F.col("_words").alias("n_words"), F.col("_hits").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
+    found = annotate(documents, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), output="found").drop("text").withColumn("n_hit", n_hits("found"))
+    names = F.array_join(F.array_sort(F.transform("found.items", lambda x: x.cast("string"))), ",")
+    n_words = F.col("found.words")
+    return found.select("doc_id", n_words.alias("n_words"), "n_hit", F.size("found.items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), is_contaminated(F.col("n_hit"), n_words).alias("contaminated"))
 
 
 def brute_force(texts: dict, items: dict, window: int = WINDOW) -> dict:

@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bound_batches
+
 SYMBOLS, END = 257, 256
 CHUNK = 4 << 20
 
@@ -138,6 +140,7 @@ def models(documents: DataFrame, labels: DataFrame, *, label="quality", id_colum
 
 def score(documents: DataFrame, target: Model, background: Model, *, id_column="doc_id", text_column="text") -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (mean nats a token), score (their difference)."""
+    bound_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast((target, background))  # at most 257^3 entries each
 
     def losses(batches):

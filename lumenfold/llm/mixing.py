@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import materialize, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -124,13 +124,13 @@ def decide(documents: DataFrame, *, seed: int = 7, weights=WEIGHTS, total_share=
 def mix(documents: DataFrame, *, id_column="doc_id", source_column="source", text_column="text", **options) -> DataFrame:
     """The mixed rows, each row of ``documents`` as often as the mix repeats it; same columns."""
     picked = decide(documents, id_column=id_column, source_column=source_column, text_column=text_column, **options)
-    picked = picked.select(F.struct("doc_id", "source", "size").alias("_mix_key"), F.col("copies").alias("_mix_copies"))
-    keyed = documents.withColumn("_mix_key", F.struct(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), size_of(text_column).alias("size")))
+    key, copies = unused("mix_key", documents), unused("mix_copies", documents)
+    picked = picked.select(F.struct("doc_id", "source", "size").alias("picked"), F.col("copies").alias("n")).alias("p")
+    keyed = documents.withColumn(key, F.struct(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), size_of(text_column).alias("size")))
     return (
-        keyed.join(picked, keyed["_mix_key"].eqNullSafe(picked["_mix_key"]))
-        .withColumn("_mix_n", F.explode(F.expr("sequence(1, greatest(_mix_copies, 1))")))
-        .where("_mix_copies > 0")
-        .select(*[keyed[c] for c in documents.columns])
+        keyed.alias("d").join(picked.where("n > 0"), F.col(f"d.{key}").eqNullSafe(F.col("p.picked")))
+        .select(*[F.col(f"d.`{c}`") for c in documents.columns], F.explode(F.expr("sequence(1, p.n)")).alias(copies))
+        .drop(copies)
     )
 
 

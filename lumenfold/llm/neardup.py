@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import materialize
+from .scratch import bound_batches, materialize, unused
 
 PERMUTATIONS, BANDS = 40, 20
 SIZE, PERCENT = 3, 85
@@ -122,6 +122,7 @@ def signatures(documents: DataFrame, size: int, *, id_column="doc_id", text_colu
 
                 yield pa.RecordBatch.from_arrays([ids.slice(at, 1024), pa.array(counts, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
 
+    bound_batches(documents.sparkSession)
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     return rows.mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
@@ -271,8 +272,9 @@ def find(documents: DataFrame, *, size=STAGE_SIZE, percent=STAGE_PERCENT, id_col
 def keep_one(documents: DataFrame, *, id_column="doc_id", **options) -> DataFrame:
     """The rows of ``documents`` that are the first of their component (or have no id); same columns."""
     found = materialize(find(documents, id_column=id_column, **options), "neardup-found")
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct().hint("merge")
-    return documents.join(dropped, documents[id_column].cast("long") == dropped["_drop"], "left_anti")
+    name = unused("dropped", documents)
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct().hint("merge")
+    return documents.join(dropped, F.col(f"`{id_column}`").cast("long") == F.col(name), "left_anti")
 
 
 def op7_neardup(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that all executors share."""
+"""What the operators share: tables in the folder that all executors see, bounded Arrow batches, unused column names."""
 
 from __future__ import annotations
 
@@ -7,14 +7,27 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of one Arrow batch on its way to or from a Python worker (a longer row is a batch of its own).
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where the setting is missing."""
+    """The folder named by spark.checkpoint.dir, on the default file system where it has no scheme.
+
+    A local session without the setting gets a temporary one; a cluster without it is an error, as executors there
+    don't share local folders.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
         spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/") if "://" in path else "file://" + path.rstrip("/")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    full = files.makeQualified(at).toString().rstrip("/")
+    return full if "://" in full else full.replace("file:/", "file:///", 1)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -39,9 +52,33 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished plans now instead of at the driver's next collection."""
-    import gc
+def bound_batches(spark: SparkSession) -> None:
+    """Cut the session's Arrow batches by bytes, unless it has a smaller setting of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().rstrip("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def byte_slices(column, limit: int = BATCH_BYTES):
+    """(first, last) of slices of an Arrow text column with at most ``limit`` bytes each, or one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if not len(column):
+        return
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
+    first = 0
+    while first < len(ends):
+        base = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield first, last
+        first = last
+
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, underscored until no column of the frames has it."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize, new_path
+from .scratch import bound_batches, materialize, new_path
 
 END_ID = 0
 LEVEL = 1
@@ -210,6 +210,7 @@ def write_tokens(documents: DataFrame, folder: str | None = None, *, tokenizer:
     ``folder`` is a URI that driver and executors share; by default a new one under the session's checkpoint folder.
     """
     spark = documents.sparkSession
+    bound_batches(spark)
     folder, tokenizer = folder or new_path(spark, "token-files"), tokenizer or default_tokenizer()
 
     def write(batches):

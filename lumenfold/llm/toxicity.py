@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bound_batches, materialize, unused
+
 BITS = 22
 ORDERS = (3, 4, 5, 6)
 MAX_LABELS = 12_000
@@ -74,7 +76,7 @@ def held_out(id_column: str = "doc_id"):
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % FOLDS == 0
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, *, label="toxic", id_column="doc_id", max_labels=MAX_LABELS) -> tuple[DataFrame, DataFrame]:
+def training_rows(documents: DataFrame, labels: DataFrame, *, label="toxic", id_column="doc_id", text_column="text", max_labels=MAX_LABELS) -> tuple[DataFrame, DataFrame]:
     """All usable labels, and texts with labels of at most ``max_labels`` documents outside the held-out fold."""
     usable = labels.where(F.col(id_column).isNotNull() & F.col(label).isin(0, 1) & ~held_out(id_column))
     one_each = usable.groupBy(F.col(id_column).alias("_id")).agg(F.max(label).alias("_label"))
@@ -83,13 +85,14 @@ def training_rows(documents: DataFrame, labels: DataFrame, *, label="toxic", id_
     positive = one_each.where("_label = 1").orderBy(*order).limit(half)
     negative = one_each.where("_label = 0").orderBy(*order).limit(half)
     sample = positive.unionAll(negative)
-    return one_each, documents.join(F.broadcast(sample), documents[id_column] == sample["_id"]).select("_id", "_label", F.col("text").alias("_text"))
+    texts = documents.select(F.col(id_column).alias("_doc"), F.col(text_column).alias("_text"))
+    return one_each, texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "_label", "_text")
 
 
 def train(documents: DataFrame, labels: DataFrame, **options) -> Model:
     import numpy as np
 
-    from .scratch import materialize
+    bound_batches(documents.sparkSession)
 
     def presence(batches):
         import numpy as np
@@ -169,9 +172,9 @@ def fit(cells, ratio, y, base: float, *, l2: float = 1e-3, steps: int = 300):
 
 def score(documents: DataFrame, model: Model, *, text_column="text", output="score") -> DataFrame:
     """``documents`` with a score between 0 and 1 added."""
+    bound_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast((model.buckets, model.weights, model.intercept))  # at most MAX_FEATURES weights
 
-    @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np
 
@@ -181,13 +184,15 @@ def score(documents: DataFrame, model: Model, *, text_column="text", output="sco
             z = np.array([table[features(t)].sum(dtype=np.float64) for t in texts]) + intercept
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
-    return documents.withColumn(output, scores(text_column))
+    scorer = F.pandas_udf(scores, "double").asNondeterministic()  # run once, where it stands
+    return documents.withColumn(output, scorer(F.col(text_column)))
 
 
 def reject(documents: DataFrame, labels: DataFrame, *, threshold=THRESHOLD, **options) -> DataFrame:
     """The rows of ``documents`` whose score is under the threshold; same columns."""
-    scored = score(documents, train(documents, labels, **options), output="_toxicity")
-    return scored.where(F.col("_toxicity") < threshold).select(*documents.columns)
+    text_column, found = options.get("text_column", "text"), unused("toxicity", documents)
+    scored = score(documents, train(documents, labels, **options), text_column=text_column, output=found)
+    return scored.where(F.col(found) < threshold).select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -215,12 +215,12 @@ ITEMS = {1: sentence(1, 30), 2: "one two", 3: None, 4: "", 5: sentence(6, 13), 6
 @pytest.mark.parametrize("block_bytes", [1 << 20, 200])
 def test_decontamination(spark, documents, odd, empty, block_bytes):
     items = spark.createDataFrame(list(ITEMS.items()), "item_id long, text string")
-    found = decontaminate.with_hits(decontaminate.annotate(documents, items, block_bytes=block_bytes))
+    found = decontaminate.annotate(documents, items, output="f", block_bytes=block_bytes).withColumn("hits", decontaminate.n_hits("f"))
     want = decontaminate.brute_force(texts(), ITEMS)
     for r in found.collect():
-        names = ",".join(sorted(map(str, r._items)))
-        assert (r._words, r._hits, len(r._items), hashlib.sha256(names.encode()).hexdigest()) == want[r.doc_id][:4]
-        assert all(a < b for a, b in zip(r._starts, r._ends)) and all(b < c for b, c in zip(r._ends, r._starts[1:]))
+        names = ",".join(sorted(map(str, r.f["items"])))
+        assert (r.f.words, r.hits, len(r.f["items"]), hashlib.sha256(names.encode()).hexdigest()) == want[r.doc_id][:4]
+        assert all(a < b for a, b in zip(r.f.starts, r.f.ends)) and all(b < c for b, c in zip(r.f.ends, r.f.starts[1:]))
     clean = decontaminate.drop_contaminated(documents, items, block_bytes=block_bytes)
     assert clean.columns == documents.columns and {r.doc_id for r in clean.collect()} == {d for d, w in want.items() if not w[4]}
     assert decontaminate.annotate(empty, items).count() == 0 and decontaminate.drop_contaminated(odd, items.where("false")).count() == 5
