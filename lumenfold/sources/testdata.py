@@ -30,7 +30,8 @@ def funnel(spark, sf_dir: str) -> Tables:
         (price - 5).cast("decimal(18,2)").alias("cost"),
         F.lit("2023-01-01").cast("date").alias("launch_date"),
     )
-    customer = F.concat(F.lit("C"), F.lpad(F.col("user_id").cast("string"), 4, "0"))
+    number = F.col("user_id").cast("string")
+    customer = F.concat(F.lit("C"), F.when(F.char_length(number) < 4, F.lpad(number, 4, "0")).otherwise(number))  # longer numbers stay whole
     customers = events.select("user_id").distinct().select(
         customer.alias("customer_id"),
         (F.col("user_id") % 5 == 0).alias("is_new_customer"),
