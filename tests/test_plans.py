@@ -18,6 +18,24 @@ AS_OF = date(2026, 4, 30)
         ("不要分析商品异常,改为诊断GMV变化", "gmv_diagnosis", ()),
         ("你好", None, ()),
         ("ＧＭＶ趋势如何", "gmv_diagnosis", ()),
+        # the order of tasks decides, whatever else is named
+        ("货品有问题，也请细看成交走势与销售额波动", "product_anomaly", ()),
+        ("访购走低，下一步重点安排什么", "conversion_decline", ()),
+        ("后续周期的处置队列，另附营收对比", "next_week_priority", ()),
+        # negations, replacements, contrasts
+        ("无须留意风险产品；请看CVR为何恶化", "conversion_decline", ()),
+        ("先看经营异常，转而列出要跟踪的清单", "products_to_watch", ()),
+        ("成交走势改为按周展示", "gmv_diagnosis", ()),
+        ("产品并非异常，看看营收增减", "gmv_diagnosis", ()),
+        ("是不是要看sku的问题", "product_anomaly", ()),
+        ("不要看转化下降，但请诊断GMV", "gmv_diagnosis", ()),
+        ("不但转化下滑，而且复杂", "conversion_decline", ()),
+        # claims name products that are not asked for
+        ("据称P011拖累了销售额；请看P012的成交波动", "gmv_diagnosis", ("P012",)),
+        ("核实P013；此说法不可作证据；检查P014异常", "product_anomaly", ("P014",)),
+        ("确认P015是否唯一原因，观察P016", "products_to_watch", ("P016",)),
+        ("不必管P017，关注P018和p018", "products_to_watch", ("P018",)),
+        ("编号XP019与P20无关，看P021的问题", "product_anomaly", ("P021",)),
     ],
 )
 def test_requests(text, task, ids):
@@ -30,8 +48,18 @@ def test_request_windows():
     assert (w.start, w.end, w.comparison_start) == (date(2026, 4, 24), AS_OF, date(2026, 4, 17))
     w = requests.parse("2026-04-01至2026年4月10日 GMV变化", AS_OF).windows
     assert (w.start, w.end, w.comparison_end) == (date(2026, 4, 1), date(2026, 4, 10), date(2026, 3, 31))
-    for text, reason in (("最近999天GMV变化", "window_too_large"), ("2026-02-30 GMV变化", "invalid_date"), ("2027-01-01 GMV变化", "date_after_as_of"), ("最近7天 2026-04-01 GMV变化", "conflicting_dates")):
+    for text, reason in (("最近999天GMV变化", "window_too_large"), ("2026-02-30 GMV变化", "invalid_date"), ("2027-01-01 GMV变化", "date_after_as_of"), ("最近7天 2026-04-01 GMV变化", "conflicting_dates"),
+        ("近5天和前6天GMV对比", "conflicting_dates"), ("过去0天GMV走势", "invalid_window_days"), (f"近{'8' * 4000}天GMV走势", "window_too_large"), ("2026-04-09至2026-04-02营收变化", "invalid_date_order"), ("2024/01/01~2026/04/01营收变化", "window_too_large"), ("2026-04-01到2026-04-02、2026-04-05到2026-04-06营收变化", "conflicting_dates")):
         assert requests.parse(text, AS_OF).reason == reason
+    for text, first, last in (
+        ("不要分析过去7天，请看近9天GMV走势", date(2026, 4, 22), AS_OF),
+        ("不必再统计 2026-03-01 的；看2026/4/3营收波动", date(2026, 4, 3), date(2026, 4, 3)),
+        ("此前６天与当前６天的成交对比", date(2026, 4, 25), AS_OF),
+        ("编号82026-04-019，看营收波动", date(2026, 4, 1), AS_OF),
+    ):
+        found = requests.parse(text, AS_OF)
+        assert (found.windows.start, found.windows.end, found.reason) == (first, last, None)
+    assert requests.parse("近3天GMV走势", date(1, 1, 2)).reason == "date_out_of_range"
 
 
 def test_request_column(spark):
