@@ -43,14 +43,35 @@ def _row_rules(name: str, *, identifiers: bool = True) -> dict[str, str]:
     return rules
 
 
+#: Columns that a rule is about, where it is not named like its column.
+ABOUT = {"name": "product_name", "missing": "is_missing", "sign": "impressions", "funnel": "clicks", "price": "unit_price"}
+
+
+def table_errors(name: str, df: DataFrame, *, identifiers: bool = True) -> DataFrame:
+    """table, key, location (column), type (missing or value_error) and message for each row rule that a row breaks."""
+    found = []
+    for rule, condition in _row_rules(name, identifiers=identifiers).items():
+        column = rule if rule in df.columns else ABOUT.get(rule, rule)
+        kind = F.when(F.col(column).isNull(), "missing").otherwise("value_error")
+        broken = F.struct(F.lit(column).alias("location"), kind.alias("type"), F.lit(condition).alias("message"))
+        found.append(F.when(~F.coalesce(F.expr(condition), F.lit(False)), broken))
+    key = F.concat_ws("|", *[F.col(k).cast("string") for k in KEYS[name]])
+    return df.select(F.lit(name).alias("table"), key.alias("key"), F.explode(F.array_compact(F.array(*found))).alias("e")).select("table", "key", "e.*")
+
+
 def row_errors(tables: Tables, *, identifiers: bool = True) -> DataFrame:
-    """table, key, rule for each broken row rule."""
-    parts = []
-    for name, df in tables.items():
-        broken = F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(c), F.lit(False)), F.lit(rule)) for rule, c in _row_rules(name, identifiers=identifiers).items()]))
-        key = F.concat_ws("|", *[F.col(k).cast("string") for k in KEYS[name]])
-        parts.append(df.select(F.lit(name).alias("table"), key.alias("key"), F.explode(broken).alias("rule")))
-    return reduce(DataFrame.unionAll, parts)
+    """The errors of all tables."""
+    return reduce(DataFrame.unionAll, [table_errors(name, df, identifiers=identifiers) for name, df in tables.items()])
+
+
+def id_differences(df: DataFrame, key: str, prefix: str, n: int) -> DataFrame:
+    """id and problem: ids of 1..n that are absent, ids that are unexpected, and ids that repeat."""
+    width = 3 if prefix == "P" else 4
+    want = df.sparkSession.range(1, n + 1).select(F.concat(F.lit(prefix), F.lpad(F.col("id").cast("string"), width, "0")).alias("id"))
+    have = df.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n"))
+    both = want.withColumn("wanted", F.lit(True)).join(have, "id", "full")
+    problem = F.when(F.col("n").isNull(), "absent").when(F.col("wanted").isNull(), "unexpected").when(F.col("n") > 1, "repeated")
+    return both.select("id", problem.alias("problem")).where("problem is not null")
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,10 +103,37 @@ def revenue_violations(orders: DataFrame) -> DataFrame:
 def report(tables: Tables, *, identifiers: bool = True) -> DataFrame:
     """check and failed (how many cases), in fixed order."""
     t = dict(tables.items())
-    checks: list[tuple[str, DataFrame]] = [(f"schema:{n}", row_errors(tables, identifiers=identifiers).where(F.col("table") == n)) for n in TABLES]
+    checks: list[tuple[str, DataFrame]] = [(f"schema:{n}", table_errors(n, t[n], identifiers=identifiers)) for n in TABLES]
     checks += [(f"key:{n}", duplicate_keys(t[n], KEYS[n])) for n in TABLES]
     checks += [(f"reference:{c}.{k}", broken_references(t[c], t[p], k)) for c, k, p in REFERENCES]
     checks += [("grain:traffic", grain_gaps(tables, t["traffic"])), ("grain:marketing", grain_gaps(tables, t["marketing"]))]
     checks += [("funnel", funnel_violations(t["traffic"])), ("revenue", revenue_violations(t["orders"]))]
     parts = [df.agg(F.count("*").alias("failed")).select(F.lit(k).alias("position"), F.lit(n).alias("check"), "failed") for k, (n, df) in enumerate(checks)]
     return reduce(DataFrame.unionAll, parts).orderBy("position").select("check", "failed")
+
+
+#: Names of the checks in the order in which they are reported.
+NAMES = {
+    "products_schema": "schema:products", "customers_schema": "schema:customers", "traffic_schema": "schema:traffic", "marketing_schema": "schema:marketing", "orders_schema": "schema:orders",
+    "product_id_unique": "key:products", "customer_id_unique": "key:customers", "traffic_primary_key": "key:traffic", "marketing_primary_key": "key:marketing", "order_id_unique": "key:orders",
+    "product_dimension_ids": "ids:products", "customer_dimension_ids": "ids:customers",
+    "traffic_product_fk": "reference:traffic.product_id", "marketing_product_fk": "reference:marketing.product_id", "order_product_fk": "reference:orders.product_id", "order_customer_fk": "reference:orders.customer_id",
+    "traffic_daily_grain": "grain:traffic", "marketing_daily_grain": "grain:marketing",
+    "traffic_funnel_impressions_clicks": "funnel:impressions", "traffic_funnel_clicks_visits": "funnel:visits", "order_revenue_identity": "revenue",
+}
+
+
+def validate(tables: dict[str, DataFrame], products: int, customers: int) -> dict:
+    """status, errors (names of failed checks, in order), schema_errors and rows of a data set of so many products and
+    customers; without the five tables nothing else is checked."""
+    if set(tables) != set(TABLES):
+        return {"status": "fail", "errors": ["required_tables"], "schema_errors": [], "rows": {}}
+    whole = Tables(**tables)
+    failed = {r.check: r.failed for r in report(whole).collect()}
+    failed["ids:products"] = id_differences(tables["products"], "product_id", "P", products).count()
+    failed["ids:customers"] = id_differences(tables["customers"], "customer_id", "C", customers).count()
+    traffic = tables["traffic"].where("not is_missing")
+    failed["funnel:impressions"], failed["funnel:visits"] = traffic.agg(F.expr("count_if(impressions < clicks)"), F.expr("count_if(visits < clicks)")).first()
+    errors = [name for name, check in NAMES.items() if failed[check]]
+    details = [r.asDict() for n in TABLES if failed[f"schema:{n}"] for r in table_errors(n, tables[n]).orderBy("key", "location").collect()]
+    return {"status": "fail" if errors else "pass", "errors": errors, "schema_errors": details, "rows": {n: df.count() for n, df in tables.items()}}

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import formats
+from ..functions import formats, requests
 from ..operators import derive, kpis, lookups, quality, rules
 from ..operators.windows import Windows
 from ..sources import testdata
+from . import answers, artifacts, cases, contract, runner
 
 DAYS = testdata.DAYS
 
@@ -124,42 +124,47 @@ def quality_report(spark, sf_dir):
 
 def evidence_ids(spark, sf_dir):
     """Anomalies numbered in their order."""
-    found = rules.product_anomalies(testdata.funnel(spark, sf_dir), DAYS)
-    n = F.row_number().over(Window.orderBy("product_id"))
-    return found.select(F.format_string("EV_PRODUCT_ANOMALIES_%03d", n).alias("evidence_id"), "product_id", "anomaly_type")
+    return cases.evidence(testdata.funnel(spark, sf_dir), DAYS)["product_anomaly"].select("evidence_id", "product_id", "anomaly_type")
 
 
-def topk_nulls_last(spark, sf_dir):
-    tables = testdata.funnel(spark, sf_dir)
-    wide = rules.product_metrics(tables, _funnel_windows(tables))
-    return wide.select("product_id", F.round("cvr_change", 9).alias("cvr_change"), F.round("gmv_change_rate", 9).alias("gmv_change_rate")).orderBy(F.asc_nulls_last("cvr_change"), F.desc_nulls_last("gmv_change_rate"), "product_id").limit(5)
+def gold_evidence(spark, sf_dir):
+    """Every row of every rule as evidence, with the number of its metrics."""
+    return cases.gold(testdata.funnel(spark, sf_dir), DAYS).select("task", F.col("number").cast("long").alias("number"), "product_id", "evidence_id", F.size("metrics").cast("long").alias("n_metrics"))
+
 
+def case_table(spark, sf_dir):
+    """The hundred cases with split, tools, evidence, score and difficulty."""
+    table = cases.case_table(cases.grid(spark), cases.gold(testdata.funnel(spark, sf_dir), DAYS))
+    sizes = [F.size("evidence_ids").cast("long").alias("n_evidence"), "n_metrics", "complexity_score", "difficulty"]
+    return table.select("case_id", "task", "capability", "variant", "split", F.array_join("tools", ",").alias("tools"), *sizes)
 
-def difficulty_buckets(spark, sf_dir):
-    """Customers ranked by nation and balance, the first 30 % easy, the next 40 % medium, the rest hard."""
-    keyed = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal", "c_nationkey")
-    total = keyed.agg(F.count("*").alias("n"))
-    # the rank over all rows is not made in one task: counts of earlier nations (25 rows), then the rank inside one
-    before = keyed.groupBy("c_nationkey").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("c_nationkey").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_acctbal", "c_custkey")) + F.col("before")
-    ranked = keyed.join(F.broadcast(before.select("c_nationkey", "before")), "c_nationkey").withColumn("rank", rank).crossJoin(F.broadcast(total))
-    share = (F.col("rank") - 1) / F.col("n")
-    return ranked.select("c_custkey", F.col("rank").cast("long").alias("position"), F.when(share < 0.3, "easy").when(share < 0.7, "medium").otherwise("hard").alias("difficulty"))
+
+def run_summary(spark, sf_dir):
+    """Counts and ends of a batch's records by split and status; here hard cases count as failed."""
+    table = cases.case_table(cases.grid(spark), cases.gold(testdata.funnel(spark, sf_dir), DAYS))
+    records = table.select(F.col("number").alias("sequence"), "case_id", "split", F.when(F.col("difficulty") == "hard", "failed").otherwise("completed").alias("status"))
+    return artifacts.status_counts(records).select("split", "status", "n", "first", "last")
 
 
 def distractor_min_by_hash(spark, sf_dir):
-    """For each category the product outside it with the smallest hash."""
-    products = testdata.funnel(spark, sf_dir).products.select("product_id", "category")
-    kinds = products.select(F.col("category").alias("task")).distinct()
-    pairs = products.join(F.broadcast(kinds), F.col("category") != F.col("task"))
-    key = F.sha2(F.concat_ws("|", F.lit("dataset"), "task", "product_id"), 256)
-    return pairs.groupBy("task").agg(F.min_by("product_id", key).alias("distractor"))
+    """For each task the product without any evidence that has the smallest hash."""
+    tables = testdata.funnel(spark, sf_dir)
+    return cases.distractors(tables, cases.gold(tables, DAYS), "dataset")
 
 
-def run_summary(spark, sf_dir):
-    """Turns by role, with the first and last conversation of each."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return turns.groupBy("role").agg(F.count("*").alias("turns"), F.count_if(F.coalesce(F.char_length("text"), F.lit(0)) == 0).alias("empty"), F.min("conv_id").alias("first"), F.max("conv_id").alias("last"))
+def _answer(task, tools):
+    def run(spark, sf_dir):
+        tables = testdata.funnel(spark, sf_dir)
+        metrics = derive.calculate_metrics(_executions(tables, _funnel_windows(tables), tools), runner.METRICS[task], ["product_id"])
+        return answers.answer_lines(task, metrics, tables.products).select("rank", "line", "missing")
+
+    return run
+
+
+def topk_nulls_last(spark, sf_dir):
+    tables = testdata.funnel(spark, sf_dir)
+    wide = rules.product_metrics(tables, _funnel_windows(tables))
+    return wide.select("product_id", F.round("cvr_change", 9).alias("cvr_change"), F.round("gmv_change_rate", 9).alias("gmv_change_rate")).orderBy(F.asc_nulls_last("cvr_change"), F.desc_nulls_last("gmv_change_rate"), "product_id").limit(5)
 
 
 def period_union(spark, sf_dir):
@@ -170,10 +175,11 @@ def period_union(spark, sf_dir):
 
 
 def product_id_extract(spark, sf_dir):
-    """Distinct words of two to four letters and a digit in each text, upper case, in order of appearance."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ids = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(?i)(?<![A-Za-z0-9])([a-z]{2,4}[0-9])(?![A-Za-z0-9])"), F.lit(1)), F.upper))
-    return docs.select("doc_id", F.array_join(ids, ",").alias("ids")).where("ids <> ''")
+    """Product ids in texts, upper case, each once, in order of appearance."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    digits = lambda c: F.lpad((F.col(c) % 1000).cast("string"), 3, "0")
+    text = F.concat(F.lit("XP123 "), F.col("o_orderpriority"), F.lit(" p"), digits("o_custkey"), F.lit("、P"), digits("o_orderkey"), F.lit("。P12 P1234 P"), digits("o_custkey"))
+    return orders.select("o_orderkey", F.array_join(requests.product_ids(text), ",").alias("ids"))
 
 
 def formatters(spark, sf_dir):
@@ -208,7 +214,11 @@ QUERIES = {
     "quality_report": quality_report,
     "evidence_ids": evidence_ids,
     "topk_nulls_last": topk_nulls_last,
-    "difficulty_buckets": difficulty_buckets,
+    "gold_evidence": gold_evidence,
+    "case_table": case_table,
+    "answer_watch": _answer("products_to_watch", ("query_sales", "query_traffic")),
+    "answer_priorities": _answer("next_week_priority", ("query_sales", "query_traffic")),
+    "answer_conversion": _answer("conversion_decline", ("query_sales", "query_traffic")),
     "distractor_min_by_hash": distractor_min_by_hash,
     "run_summary": run_summary,
     "period_union": period_union,
@@ -370,16 +380,79 @@ ORACLES = {
         ('reference:traffic.product_id', 0), ('reference:marketing.product_id', 0), ('reference:orders.product_id', 0), ('reference:orders.customer_id', 0),
         ('grain:traffic', (SELECT (SELECT count(*) FROM f_products) * (max(date) - min(date) + 1) - count(DISTINCT (product_id, date)) FROM f_traffic)),
         ('grain:marketing', (SELECT (SELECT count(*) FROM f_products) * (max(date) - min(date) + 1) - count(DISTINCT (product_id, date)) FROM f_marketing)), ('funnel', 0), ('revenue', 0)) t("check", failed)""",
-    "evidence_ids": f"""WITH {FUNNEL} SELECT 'EV_PRODUCT_ANOMALIES_' || lpad(CAST(row_number() OVER (ORDER BY product_id) AS VARCHAR), 3, '0') AS evidence_id, product_id, {ANOMALY} AS anomaly_type FROM labelled WHERE {ANOMALY} IS NOT NULL""",
+    "evidence_ids": f"""WITH {FUNNEL} SELECT 'EV_PRODUCT_ANOMALY_' || lpad(CAST(row_number() OVER (ORDER BY product_id) AS VARCHAR), 3, '0') AS evidence_id, product_id, {ANOMALY} AS anomaly_type FROM labelled WHERE {ANOMALY} IS NOT NULL""",
     "topk_nulls_last": f"""WITH {FUNNEL} SELECT product_id, round(cvr_change, 9) AS cvr_change, round(gmv_change_rate, 9) AS gmv_change_rate FROM labelled ORDER BY 2 ASC NULLS LAST, 3 DESC NULLS LAST, 1 LIMIT 5""",
-    "difficulty_buckets": """WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_nationkey, c_acctbal, c_custkey) AS position, count(*) OVER () AS n FROM customer)
-      SELECT c_custkey, position, CASE WHEN CAST(position - 1 AS DOUBLE) / n < 0.3 THEN 'easy' WHEN CAST(position - 1 AS DOUBLE) / n < 0.7 THEN 'medium' ELSE 'hard' END AS difficulty FROM r""",
-    "distractor_min_by_hash": f"""WITH {FUNNEL} SELECT t.category AS task, arg_min(p.product_id, sha256('dataset|' || t.category || '|' || p.product_id)) AS distractor FROM (SELECT DISTINCT category FROM f_products) t JOIN f_products p ON p.category <> t.category GROUP BY 1""",
-    "run_summary": "SELECT role, count(*) AS turns, count(*) FILTER (coalesce(length(text), 0) = 0) AS empty, min(conv_id) AS first, max(conv_id) AS last FROM conversations GROUP BY role",
     "period_union": f"WITH {FUNNEL} SELECT period, CAST(sum(revenue) AS DOUBLE) AS gmv, count(*) AS orders FROM periods JOIN f_orders ON order_date BETWEEN a AND b GROUP BY period",
-    "product_id_extract": r"""WITH m AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9]+'), lambda w: regexp_full_match(w, '[A-Za-z]{2,4}[0-9]')), lambda w: upper(w)) AS w FROM documents)
-      SELECT doc_id, array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(w, w[i]) = i), lambda i: w[i]), ',') AS ids FROM m WHERE len(w) > 0""",
+    "product_id_extract": """WITH i AS (SELECT o_orderkey, 'P' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') AS a, 'P' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') AS b FROM orders)
+      SELECT o_orderkey, CASE WHEN a = b THEN a ELSE a || ',' || b END AS ids FROM i""",
     "formatters": """WITH p AS (SELECT p_partkey, CAST(p_retailprice AS DECIMAL(18,6)) AS price FROM part)
       SELECT p_partkey, '¥' || format('{:,.2f}', CAST(round(price, 2) AS DECIMAL(18,2))::DOUBLE) AS money, format('{:,}', p_partkey * 1000) AS count,
         CASE WHEN round((price - 1000) / 10, 2) > 0 THEN '+' ELSE '' END || CAST(CAST(round(CAST((price - 1000) AS DECIMAL(28,10)) / 10, 2) AS DECIMAL(20,2)) AS VARCHAR) || '%' AS rate FROM p""",
 }
+
+#: Order of each rule's rows in SQL, and how many metrics a row has.
+RULE_ROWS = {
+    "gmv_diagnosis": ("1", 8),
+    "product_anomaly": ("product_id", 8),
+    "conversion_decline": ("cvr_change, product_id", 9),
+    "products_to_watch": ("list_position(['data_quality_review', 'refund_risk', 'conversion_decline', 'gmv_decline'], watch_reason), product_id", 5),
+    "next_week_priority": ("list_position(['repair_data_quality', 'investigate_refunds', 'recover_conversion', 'recover_traffic'], priority_reason), abs(evidence_value) DESC, product_id", 3),
+}
+GOLD = "gold AS (" + " UNION ALL ".join(
+    f"SELECT '{task}' AS task, row_number() OVER (ORDER BY {order}) AS number, {'CAST(NULL AS VARCHAR)' if task == 'gmv_diagnosis' else 'product_id'} AS product_id, CAST({n} AS BIGINT) AS n_metrics FROM ({ORACLES[contract.TASK_RULES[task]]})"
+    for task, (order, n) in RULE_ROWS.items()
+) + ")"
+
+
+def _cells() -> str:
+    rows = []
+    for i, task in enumerate(contract.TASKS):
+        for j, (capability, weight) in enumerate(contract.WEIGHTS.items()):
+            for variant in (1, 2):
+                source, answerable, _ = contract.INSUFFICIENT[task]
+                short = capability == "data_insufficiency"
+                split = "public_validation" if (task, variant) in contract.VALIDATION[capability] else "development"
+                tools = contract.DEFAULT.tools(task, capability)
+                per_row = len(answerable) if short else RULE_ROWS[task][1]
+                rows.append(f"({(i * 10 + j) * 2 + variant}, '{task}', '{capability}', {variant}, '{split}', '{','.join(tools)}', {len(tools)}, {weight}, '{source if short else task}', {'NULL' if short else contract.TOP[task]}, {per_row})")
+    return "cells(number, task, capability, variant, split, tools, n_tools, weight, source, top, per_row) AS (VALUES " + ", ".join(rows) + ")"
+
+
+CASES = f"""WITH {GOLD}, {_cells()},
+  counted AS (SELECT c.*, 'CASE_' || lpad(CAST(c.number AS VARCHAR), 3, '0') AS case_id, count(g.number) AS n_evidence FROM cells c LEFT JOIN gold g ON g.task = c.source AND CASE WHEN c.top IS NULL THEN g.product_id = 'P005' ELSE g.number <= c.top END GROUP BY ALL),
+  scored AS (SELECT *, n_evidence * per_row AS n_metrics, CAST(weight + 2 * n_tools + n_evidence AS DOUBLE) + CAST(n_evidence * per_row AS DOUBLE) / 10 AS complexity_score FROM counted),
+  placed AS (SELECT *, row_number() OVER (ORDER BY complexity_score, case_id) AS place FROM scored),
+  cases AS (SELECT *, CASE WHEN place <= 30 THEN 'easy' WHEN place <= 70 THEN 'medium' ELSE 'hard' END AS difficulty FROM placed)"""
+
+
+def _shown(name: str, kind: str) -> str:
+    percent = f"round(CAST({name} AS DECIMAL(28,10)) * 100, 2)"
+    text = {
+        "money": f"'¥' || format('{{:,.2f}}', CAST(CAST(round(CAST({name} AS DECIMAL(28,6)), 2) AS DECIMAL(18,2)) AS DOUBLE))",
+        "count": f"format('{{:,}}', {name})",
+        "rate": f"CASE WHEN {percent} > 0 THEN '+' ELSE '' END || CAST(CAST({percent} AS DECIMAL(20,2)) AS VARCHAR) || '%'",
+    }[kind]
+    return f"CASE WHEN {name} IS NULL THEN '{formats.NO_DATA}' ELSE {text} END"
+
+
+def _answer_sql(task: str) -> str:
+    column, direction = answers.ORDER[task]
+    label = "product_id" if task == "conversion_decline" else "'Cohort ' || CAST(CAST(substr(product_id, 2) AS INTEGER) AS VARCHAR) || '（' || product_id || '）'"
+    cells = ", ".join(f"'{name} ' || {_shown(c, kind)}" for part in answers.FIELDS[task] for c, name, kind in part)
+    missing = " OR ".join(f"{m} IS NULL" for m in runner.METRICS[task])
+    order = f"{column} {direction.upper()} NULLS LAST, product_id"
+    metrics = _ALL + _derived(runner.METRICS[task], ["product_id"])
+    return f"SELECT CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank, '- ' || {label} || '：' || concat_ws('；', {cells}) AS line, {missing} AS missing FROM ({metrics}) ORDER BY {order} LIMIT 5"
+
+
+ORACLES |= {
+    "gold_evidence": f"WITH {GOLD} SELECT task, number, product_id, 'EV_' || upper(task) || '_' || lpad(CAST(number AS VARCHAR), 3, '0') AS evidence_id, n_metrics FROM gold",
+    "case_table": f"{CASES} SELECT case_id, task, capability, variant, split, tools, n_evidence, n_metrics, complexity_score, difficulty FROM cases",
+    "run_summary": f"""{CASES}, records AS (SELECT *, CASE WHEN difficulty = 'hard' THEN 'failed' ELSE 'completed' END AS status FROM cases)
+      SELECT split, status, count(*) AS n, arg_min(case_id, number) AS first, arg_max(case_id, number) AS last FROM records GROUP BY split, status""",
+    "distractor_min_by_hash": f"""WITH {GOLD}, t(task) AS (VALUES {', '.join(f"('{t}')" for t in contract.TASKS)}), {FUNNEL}
+      SELECT task, arg_min(product_id, sha256('dataset|' || task || '|' || product_id)) AS distractor FROM t, f_products WHERE product_id NOT IN (SELECT product_id FROM gold WHERE product_id IS NOT NULL) GROUP BY task""",
+    "answer_watch": _answer_sql("products_to_watch"),
+    "answer_priorities": _answer_sql("next_week_priority"),
+    "answer_conversion": _answer_sql("conversion_decline"),
+}

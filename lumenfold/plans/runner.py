@@ -1,27 +1,27 @@
-"""Tools, plans, runs with a decision trace, answers and batches.
+"""Plans, runs with a decision trace, and batches.
 
 Each step of a plan is a lazy DataFrame; only the rows of an answer (five at most) and counts reach the driver.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
+import hashlib
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..functions import formats
+from ..functions import requests
 from ..functions.requests import Request, parse
-from ..operators import derive, lookups
 from ..operators.windows import common_as_of
+from . import answers, artifacts
+from .tools import DERIVE, PRODUCT, SALES, TRAFFIC, InvalidArguments, InvalidResult, Registry, Result, UnknownTool, default_registry, window_arguments
 
-MAX_STEPS, TOP = 8, 5
-SALES, TRAFFIC, MARKETING, PRODUCT, DERIVE = "query_sales", "query_traffic", "query_marketing", "query_product", "calculate_metrics"
+MAX_STEPS = 8
+POLICY_NAME, POLICY_VERSION = "rules", "1"
+#: Errors that stand in a record by a code; any other is the generic code.
+CODES = {InvalidArguments: "invalid_arguments", InvalidResult: "invalid_result", UnknownTool: "unknown_tool"}
+OTHER_ERROR = "case_execution_error"
 
-# Tools, metrics and order of each task.
+# Tools and metrics of each task.
 PATHS = {
     "product_anomaly": (PRODUCT, SALES, TRAFFIC, DERIVE),
     "conversion_decline": (TRAFFIC, SALES, DERIVE),
@@ -29,61 +29,9 @@ PATHS = {
     "products_to_watch": (SALES, TRAFFIC, DERIVE),
     "gmv_diagnosis": (SALES, DERIVE),
 }
-METRICS = {
-    "product_anomaly": "current_gmv previous_gmv gmv_change_rate current_orders previous_orders current_refund_rate current_visits previous_visits traffic_change_rate current_ctr previous_ctr current_cvr previous_cvr cvr_change".split(),
-    "conversion_decline": "current_visits previous_visits current_orders previous_orders current_cvr previous_cvr cvr_change cvr_change_rate current_observed_days previous_observed_days".split(),
-    "next_week_priority": "current_gmv gmv_change_rate current_visits traffic_change_rate current_cvr cvr_change".split(),
-    "products_to_watch": "evidence_value gmv_change_rate traffic_change_rate cvr_change current_refund_rate".split(),
-    "gmv_diagnosis": "current_gmv previous_gmv gmv_change_rate current_orders previous_orders current_aov previous_aov aov_change_rate".split(),
-}
-ORDER = {
-    "product_anomaly": ("gmv_change_rate", "asc"),
-    "conversion_decline": ("cvr_change", "asc"),
-    "next_week_priority": ("gmv_change_rate", "asc"),
-    "products_to_watch": ("evidence_value", "desc"),
-}
-
-
-@dataclass(frozen=True)
-class Tool:
-    name: str
-    description: str
-    handler: Callable
-
-
-class Registry:
-    def __init__(self):
-        self._tools: dict[str, Tool] = {}
-
-    def register(self, tool: Tool) -> None:
-        if tool.name in self._tools:
-            raise ValueError(f"{tool.name} is registered already")
-        self._tools[tool.name] = tool
-
-    def get(self, name: str) -> Tool:
-        if name not in self._tools:
-            raise KeyError(f"unknown tool {name}")
-        return self._tools[name]
-
-    @property
-    def names(self) -> list[str]:
-        return sorted(self._tools)
-
-    def invoke(self, name: str, *args, **options) -> DataFrame:
-        return self.get(name).handler(*args, **options)
-
-
-def default_registry() -> Registry:
-    registry = Registry()
-    for name, text, handler in (
-        (PRODUCT, "Products by id", lookups.query_product),
-        (SALES, "Sales of two windows", lookups.query_sales),
-        (TRAFFIC, "Traffic of two windows", lookups.query_traffic),
-        (MARKETING, "Marketing spend of two windows", lookups.query_marketing),
-        (DERIVE, "Metrics derived from earlier results", derive.calculate_metrics),
-    ):
-        registry.register(Tool(name, text, handler))
-    return registry
+METRICS = {task: [name for part in parts for name, _, _ in part] for task, parts in answers.FIELDS.items()}
+#: Where the metrics are asked for in another order than they are shown.
+METRICS["conversion_decline"] = "current_visits previous_visits current_orders previous_orders current_cvr previous_cvr cvr_change cvr_change_rate current_observed_days previous_observed_days".split()
 
 
 @dataclass
@@ -92,6 +40,7 @@ class Run:
     request: Request
     answer: str | None = None
     error: str | None = None
+    results: list[Result] = field(default_factory=list)
     trace: list[dict] = field(default_factory=list)
 
 
@@ -102,125 +51,95 @@ def group_by(request: Request) -> list[str]:
 
 def plan(request: Request) -> list[tuple[str, dict]]:
     """Tool names and arguments of a request, in order."""
-    ids, steps = list(request.product_ids), []
+    window, steps = window_arguments(request.windows, request.product_ids), []
     for name in PATHS[request.task]:
         if name == PRODUCT:
-            steps += [(name, {"product_ids": ids})] if ids else []
+            steps += [(name, {"product_ids": list(request.product_ids)})] if request.product_ids else []
         elif name == DERIVE:
             steps.append((name, {"metrics": METRICS[request.task], "group_by": group_by(request)}))
         else:
-            steps.append((name, {"product_ids": ids}))
+            steps.append((name, window | {"include_refunds" if name == SALES else "include_missing": True}))
     return steps
 
 
-def run(tables, text: str, as_of, *, registry: Registry | None = None, max_steps: int = MAX_STEPS) -> Run:
+def run(tables, text: str, as_of, *, registry: Registry | None = None, max_steps: int = MAX_STEPS, dataset_id: str = "") -> Run:
     """Answer one request; failures become a code, not an exception's text."""
     registry, request = registry or default_registry(), parse(text, as_of)
     out = Run("failed", request)
-    note = lambda kind, **payload: out.trace.append({"sequence": len(out.trace) + 1, "event": kind, **payload})
-    note("parsed", task=request.task, reason=request.reason)
+    note = lambda kind, **payload: out.trace.append({"sequence": len(out.trace) + 1, "event_type": kind, "payload": payload})
+    note("parsed", task=request.task, reason=request.reason, product_ids=list(request.product_ids))
     if request.task is None:
-        out.status, out.answer = "completed", formats.NO_DATA
-        note("answered")
+        out.error = request.reason
+        note("unsupported", reason=request.reason)
         return out
     steps = plan(request)
     if len(steps) > max_steps:
         out.error = "step_limit"
         return out
-    results: dict[str, DataFrame] = {}
-    executions: list[derive.Execution] = []
-    for name, arguments in steps:
-        note("tool", name=name, arguments=arguments)
-        try:
-            if name == DERIVE:
-                results[name] = registry.invoke(name, executions, **arguments)
-            elif name == PRODUCT:
-                results[name] = registry.invoke(name, tables, **arguments)
-            else:
-                results[name] = registry.invoke(name, tables, request.windows, **arguments)
-                executions.append(derive.Execution(name, request.windows, results[name], tuple(arguments["product_ids"]), grouped=True))
-        except ValueError:
-            out.error = "invalid_arguments"
-            return out
-    out.answer = render(request, results)
+    try:
+        for name, arguments in steps:
+            note("tool", name=name, arguments=arguments)
+            out.results.append(registry.invoke(name, arguments, tables, earlier=out.results, dataset_id=dataset_id))
+        out.answer = answers.render(request, out.results)
+    except (InvalidArguments, InvalidResult, UnknownTool) as e:
+        out.error = CODES[type(e)]
+        note("failed", code=out.error)
+        return out
     out.status = "completed"
-    note("answered")
+    note("answered", results=[r.result_id for r in out.results])
     return out
 
 
-def top_rows(request: Request, metrics: DataFrame) -> list:
-    """At most five rows in the task's order, missing values last in either direction."""
-    if "product_id" not in metrics.columns:
-        return metrics.take(1)
-    column, direction = ORDER[request.task]
-    first = F.col(column).asc_nulls_last() if direction == "asc" else F.col(column).desc_nulls_last()
-    return metrics.orderBy(first, "product_id").limit(TOP).collect()
-
-
-def _shown(name: str, value) -> str:
-    if name.endswith(("gmv", "aov", "spend")):
-        return formats.money_text(value)
-    if name.endswith(("orders", "visits", "clicks", "impressions", "days")):
-        return formats.count_text(value)
-    if name.endswith("roas") or (name == "evidence_value" and value is not None and abs(value) > 1):
-        return formats.NO_DATA if value is None else f"{value:.2f}"
-    return formats.rate_text(value)
-
-
-def render(request: Request, results: dict[str, DataFrame]) -> str:
-    rows = top_rows(request, results[DERIVE])
-    head = f"{request.task} {request.windows.start}..{request.windows.end} / {request.windows.comparison_start}..{request.windows.comparison_end}"
-    if not rows:
-        return f"{head}\n{formats.NO_DATA}"
-    names = {r.product_id: r.product_name for r in results[PRODUCT].collect()} if PRODUCT in results else {}
-    metrics = METRICS[request.task]
-    limited = any(r[m] is None for r in rows for m in metrics)
-    lines = [head + (" (" + formats.NO_DATA + ")" if limited else "")]
-    for r in rows:
-        label = "" if "product_id" not in r.__fields__ else f"{names.get(r.product_id, r.product_id)} ({r.product_id}): "
-        lines.append("- " + label + ", ".join(f"{m} {_shown(m, r[m])}" for m in metrics))
-    return "\n".join(lines)
+def policy() -> dict:
+    """What decided a run, as JSON values."""
+    return {
+        "policy_name": POLICY_NAME,
+        "policy_version": POLICY_VERSION,
+        "routing_priority": list(requests.TASKS),
+        "routing_keywords": {t: [list(g) for g in groups] for t, groups in requests.TASKS.items()},
+        "default_window_days": requests.DEFAULT_DAYS,
+        "default_top_k": answers.TOP,
+        "tool_paths": {t: list(p) for t, p in PATHS.items()},
+        "metrics": METRICS,
+        "stable_sort_fields": {t: [":".join(answers.ORDER[t]), "product_id:asc"] if t in answers.ORDER else [] for t in PATHS},
+    }
 
 
-RECORD = "sequence int, case_id string, split string, dataset_id string, user_input string, status string, final_answer string, error_code string, steps int"
+def record(number: int, case: dict, done: Run | None) -> dict:
+    """A run of a case as it is published; ``None`` is a run that broke down."""
+    executions = [{"call_id": f"call_{r.number:04d}", "tool_name": r.tool, "arguments": r.arguments, "result_id": r.result_id, "columns": list(r.columns), "warnings": r.warnings} for r in (done.results if done else [])]
+    status = done.status if done else "failed"
+    return {
+        "sequence": number,
+        **{k: case[k] for k in ("case_id", "split", "dataset_id", "dataset_version", "user_input")},
+        "status": status,
+        "final_answer": done.answer if status == "completed" else None,
+        "prior_tool_executions": executions,
+        "decision_trace": done.trace if done else [],
+        "usage": None,
+        "error_code": None if status == "completed" else (done.error if done else None) or OTHER_ERROR,
+    }
 
 
-def batch(spark, cases, datasets: dict, out: str | Path | None = None) -> tuple[DataFrame, dict]:
-    """Run cases (case_id, split, dataset_id, user_input) over opened data sets; records and their summary.
+def batch(spark, cases: list[dict], datasets: dict, out: str | Path | None = None, run_id: str = "run") -> tuple[list[dict], dict]:
+    """Run cases (what ``casefiles.load`` returns) over opened data sets by id; records and their summary.
 
-    A case that fails is a record like any other. With ``out``, records and summary are written there once.
+    A case that fails is a record like any other. With ``out``, the run is published there once.
     """
     as_of = {name: common_as_of(tables) for name, tables in datasets.items()}
-    rows = []
+    records = []
     for k, case in enumerate(cases, 1):
         name = case["dataset_id"]
-        done = run(datasets[name], case["user_input"], as_of[name])
-        rows.append((k, case["case_id"], case["split"], name, case["user_input"], done.status, done.answer, done.error, len(done.trace)))
-    records = spark.createDataFrame(rows, RECORD)
-    totals = summarise(records)
+        try:
+            done = run(datasets[name], case["user_input"], as_of[name], dataset_id=name)
+        except Exception:  # noqa: BLE001  one case must not end the batch
+            done = None
+        records.append(record(k, case, done))
+        artifacts.check_record(records[-1])
+    rows = [(r["sequence"], r["case_id"], r["split"], r["status"]) for r in records]
+    summary = artifacts.summarise(spark.createDataFrame(rows, "sequence int, case_id string, split string, status string"))
     if out is not None:
-        folder = Path(out)
-        folder.mkdir(parents=True)  # never over an earlier run
-        lines = [json.dumps(r.asDict(), sort_keys=True, separators=(",", ":"), ensure_ascii=False) for r in records.orderBy("sequence").toLocalIterator()]
-        (folder / "records.jsonl").write_text("\n".join(lines) + "\n", encoding="utf-8")
-        (folder / "summary.json").write_text(json.dumps(totals, sort_keys=True, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
-    return records, totals
-
-
-def summarise(records: DataFrame) -> dict:
-    cells = records.groupBy("split", "status").agg(F.count("*").alias("n"), F.min_by("case_id", "sequence").alias("first"), F.max_by("case_id", "sequence").alias("last"), F.min("sequence").alias("a"), F.max("sequence").alias("b")).collect()
-    total = sum(c.n for c in cells)
-    if cells and (min(c.a for c in cells), max(c.b for c in cells)) != (1, total):
-        raise ValueError("record sequence has gaps")
-    count = lambda status: sum(c.n for c in cells if c.status == status)
-    by_split: dict[str, dict[str, int]] = {}
-    for c in cells:
-        by_split.setdefault(c.split, {})[c.status] = c.n
-    return {
-        "total": total,
-        "completed": count("completed"),
-        "failed": count("failed"),
-        "by_split": by_split,
-        "first_case": min(cells, key=lambda c: c.a).first if cells else None,
-        "last_case": max(cells, key=lambda c: c.b).last if cells else None,
-    }
+        sources = [Path(m.__file__) for m in (answers, requests)] + [Path(__file__)]
+        manifest = {"artifact_schema_version": "1", "policy_source_sha256": hashlib.sha256(b"".join(p.read_bytes() for p in sources)).hexdigest(), "datasets": sorted({(c["split"], c["dataset_id"], c["dataset_version"]) for c in cases}), "usage_status": "unavailable"}
+        artifacts.publish(out, run_id, records, summary, policy(), manifest)
+    return records, summary

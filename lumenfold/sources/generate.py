@@ -8,6 +8,7 @@ product-day. Products and customers are small and made on the driver; traffic, m
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 from decimal import ROUND_HALF_UP, Decimal
@@ -35,6 +36,10 @@ MULTIPLIERS = {
     "multi_factor_drop": ("traffic", "conversion"),
     "missing_traffic": (),
 }
+DROPS = {"sales_drop", "traffic_drop", "conversion_drop", "multi_factor_drop"}
+RISES = {"high_refund", "extreme_traffic_spike"}
+#: What an anomaly changes, where it is not a multiplier.
+TOUCHES = {"missing_traffic": ("observation",)}
 FACTS = "kind string, date date, product_id string, impressions long, clicks long, visits long, is_missing boolean, campaign_id string, spend decimal(18,2), order_id string, customer_id string, quantity long, unit_price decimal(18,2), revenue decimal(18,2), is_refund boolean, status string"
 
 
@@ -45,6 +50,7 @@ class Anomaly:
     first_day: int
     last_day: int
     multiplier: float = 1.0
+    name: str = ""
 
 
 @dataclass(frozen=True)
@@ -60,18 +66,25 @@ class Config:
     channels: tuple[str, ...] = CHANNELS
 
     def __post_init__(self):
-        if self.seed < 0 or not 60 <= self.days <= 366 or not 7 <= self.products <= 999 or not 20 <= self.customers <= 9999:
+        if not 0 <= self.seed < 1 << 32 or not 60 <= self.days <= 366 or not 7 <= self.products <= 999 or not 20 <= self.customers <= 9999:
             raise ValueError("configuration out of range")
-        seen: dict[tuple[str, str], list[Anomaly]] = {}
-        for a in self.anomalies:
-            if a.kind not in MULTIPLIERS or not 0 <= a.first_day <= a.last_day < self.days or a.multiplier <= 0:
+        for names, most in ((self.categories, self.products), (self.regions, self.customers), (self.channels, self.customers)):
+            if not 1 <= len(names) <= most or len(set(names)) != len(names) or not all(n.strip() for n in names):
+                raise ValueError(f"dimension values must be distinct, not blank, and at most {most}: {names}")
+        known = [a.name for a in self.anomalies if a.name]
+        if len(set(known)) != len(known):
+            raise ValueError("anomaly names repeat")
+        for k, a in enumerate(self.anomalies):
+            if a.kind not in MULTIPLIERS or not 0 <= a.first_day <= a.last_day < self.days or not 0 < a.multiplier <= 10:
                 raise ValueError(f"bad anomaly {a}")
-            if not 1 <= int(a.product_id[1:]) <= self.products:
+            if (a.kind in DROPS and a.multiplier >= 1) or (a.kind in RISES and a.multiplier <= 1) or (a.kind == "missing_traffic" and a.multiplier != 1):
+                raise ValueError(f"the multiplier of {a} contradicts its kind")
+            if not re.fullmatch("P[0-9]{3}", a.product_id) or not 1 <= int(a.product_id[1:]) <= self.products:
                 raise ValueError(f"unknown product {a.product_id}")
-            for other in seen.setdefault((a.kind, a.product_id), []):
-                if a.first_day <= other.last_day and other.first_day <= a.last_day:
-                    raise ValueError(f"{a} overlaps {other}")
-            seen[a.kind, a.product_id].append(a)
+            for b in self.anomalies[:k]:
+                together = a.product_id == b.product_id and a.first_day <= b.last_day and b.first_day <= a.last_day
+                if together and set(TOUCHES.get(a.kind, MULTIPLIERS[a.kind])) & set(TOUCHES.get(b.kind, MULTIPLIERS[b.kind])):
+                    raise ValueError(f"{a} overlaps {b} in what it changes")
 
 
 def stream(seed: int, name: str):

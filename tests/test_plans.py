@@ -1,10 +1,14 @@
+import json
+import shutil
 from datetime import date
+from decimal import Decimal
 
 import pytest
+import yaml
 
-from lumenfold.functions import formats, requests
-from lumenfold.plans import cases, runner
-from lumenfold.sources import generate
+from lumenfold.functions import formats, requests, values
+from lumenfold.plans import answers, artifacts, casefiles, cases, contract, runner, tools
+from lumenfold.sources import config, generate
 
 AS_OF = date(2026, 4, 30)
 
@@ -98,17 +102,204 @@ def test_generation_is_deterministic_and_local(spark, tables):
 def test_run_and_batch(spark, tables, tmp_path):
     done = runner.run(tables, "分析P001商品异常", date(2026, 3, 1))
     assert done.status == "completed" and "P001" in done.answer and [e["sequence"] for e in done.trace] == list(range(1, len(done.trace) + 1))
-    some = [{"case_id": "CASE_001", "split": "dev", "dataset_id": "d", "user_input": "GMV变化"}, {"case_id": "CASE_002", "split": "test", "dataset_id": "d", "user_input": "你好"}]
-    _, summary = runner.batch(spark, some, {"d": tables}, tmp_path / "run")
-    assert (summary["total"], summary["completed"], summary["first_case"], summary["last_case"]) == (2, 2, "CASE_001", "CASE_002")
+    case = lambda k, text: {"case_id": f"CASE_{k:03d}", "split": "development" if k == 1 else "public_validation", "dataset_id": "d", "dataset_version": "v1", "user_input": text}
+    some = [case(1, "GMV变化"), case(2, "你好"), case(3, "关注商品P001")]
+    records, summary = runner.batch(spark, some, {"d": tables}, tmp_path, "run-1")
+    assert [r["status"] for r in records] == ["completed", "failed", "completed"] and records[1]["error_code"] == "no_task_signal"
+    assert (summary["total"], summary["completed"], summary["first_case_id"], summary["last_case_id"]) == (3, 2, "CASE_001", "CASE_003")
+    assert summary["split_status_counts"]["public_validation"] == {"completed": 1, "failed": 1}
     with pytest.raises(FileExistsError):
-        runner.batch(spark, some, {"d": tables}, tmp_path / "run")
+        runner.batch(spark, some, {"d": tables}, tmp_path, "run-1")
+    read = artifacts.verify(tmp_path / "run-1")
+    assert read["records"] == records and artifacts.scan(spark, str(tmp_path / "run-1")).count() == 3
+    assert artifacts.summarise(artifacts.scan(spark, str(tmp_path / "run-1"))) == read["summary"]
+    for name, change in ((artifacts.SUMMARY, lambda b: b.replace(b'"total":3', b'"total":4')), (artifacts.RECORDS, lambda b: b.replace(b"CASE_003", b"CASE_002"))):
+        copy = shutil.copytree(tmp_path / "run-1", tmp_path / f"copy-{name}")
+        (copy / name).write_bytes(change((copy / name).read_bytes()))
+        with pytest.raises(ValueError):
+            artifacts.verify(copy)
+    with pytest.raises(ValueError):
+        artifacts.check_summary({**summary, "completed": 3}, records)
+    with pytest.raises(ValueError):
+        artifacts.check_record({**records[0], "decision_trace": [{"sequence": 1, "event_type": "x", "payload": {"a": [{"goldMetric": 1}]}}]})
+
+
+def test_forbidden_keys_casts_and_usage():
+    assert values.forbidden_keys({"a": [{"ExpectedValue": 1, "costume": 2}], "latency-ms": {"b": 1}}) == ["$.latency-ms", "$.a[0].ExpectedValue"]
+    assert [values.json_safe(v) for v in (Decimal("1.5"), float("nan"), float("inf"), date(2026, 1, 2), None, 3, "x")] == [1.5, None, None, "2026-01-02", None, 3, "x"]
+    assert values.strict(Decimal("2.5")) == 2.5 and values.strict(date(2026, 1, 2)) == "2026-01-02"
+    for bad in (float("nan"), Decimal("Infinity")):
+        with pytest.raises(ValueError):
+            values.strict(bad)
+    with pytest.raises(TypeError):
+        values.strict([1])
+    with pytest.raises(ValueError):
+        values.load_json('{"a": 1, "a": 2}')
+    with pytest.raises(ValueError):
+        values.load_json('{"a": NaN}')
+    use = {"prompt_tokens": 1, "completion_tokens": 2, "total_tokens": 3}
+    assert values.total_usage([None, use, use]) == {"prompt_tokens": 2, "completion_tokens": 4, "total_tokens": 6} and values.total_usage([None]) is None
+
+
+def test_tools_check_what_goes_in_and_out(tables):
+    registry = tools.default_registry()
+    window = tools.window_arguments(requests.parse("最近7天GMV变化", date(2026, 3, 1)).windows, [])
+    assert registry.names == sorted(registry.names) and len(registry.names) == 5
+    assert [t["function"]["name"] for t in registry.export()] == registry.names and all(not t["function"]["parameters"]["additionalProperties"] for t in registry.export())
+    for name, arguments in (
+        ("query_product", {"product_ids": []}),
+        ("query_product", {"product_ids": ["P1"]}),
+        ("query_product", {"product_ids": ["P001"], "more": 1}),
+        ("query_sales", window),
+        ("query_sales", window | {"include_refunds": 1}),
+        ("query_traffic", window | {"include_missing": True, "start_date": "2026-03-09"}),
+        ("query_traffic", window | {"include_missing": True, "end_date": "2026-3-1"}),
+        ("calculate_metrics", {"metrics": [], "group_by": []}),
+        ("calculate_metrics", {"metrics": ["current_gmv", "current_gmv"], "group_by": []}),
+        ("calculate_metrics", {"metrics": ["current_gmv"], "group_by": ["period"]}),
+        ("calculate_metrics", {"metrics": ["current_gmv"], "group_by": []}),  # no earlier result
+    ):
+        with pytest.raises(tools.InvalidArguments):
+            registry.invoke(name, arguments, tables)
+    with pytest.raises(tools.UnknownTool):
+        registry.invoke("query", {}, tables)
+    with pytest.raises(ValueError):
+        registry.register(registry.get("query_sales"))
+    found = registry.invoke("query_product", {"product_ids": ["P999"]}, tables, dataset_id="d")
+    assert found.warnings == [tools.NO_ROWS] and found.payload()["row_count"] == 0 and found.result_id == "result_0001"
+    sales = registry.invoke("query_sales", window | {"include_refunds": True}, tables)
+    payload = sales.payload()
+    assert payload["row_count"] == len(payload["rows"]) > 0 and payload["columns"][0] == "period" and not payload["warnings"]
+    odd = tools.Registry()
+    odd.register(tools.Tool("query_product", "", {"product_ids": "products"}, lambda a: ["other"], lambda t, _, a: t.products))
+    with pytest.raises(tools.InvalidResult):
+        odd.invoke("query_product", {"product_ids": ["P001"]}, tables)
+
+
+def test_answers_are_gated_by_evidence(spark, tables):
+    as_of = date(2026, 3, 1)
+    plain = runner.run(tables, "诊断GMV变化", as_of).answer.splitlines()
+    assert plain[0].startswith("数据来源：Synthetic") and plain[1].startswith("时间窗口：当前期 2026-01-31 至 2026-03-01") and plain[2] == answers.CONCLUSIONS["gmv_diagnosis"] and len(plain) == 6
+    missing = runner.run(tables, "P002转化下降", as_of).answer.splitlines()
+    assert missing[2] == answers.LIMITED and "当前转化率 数据不足" in missing[3] and missing[3].startswith("- P002：")
+    named = runner.run(tables, "P003商品异常", as_of).answer.splitlines()
+    assert named[3].startswith("- 模拟商品 003（P003）：当前 GMV ¥")
+    unknown = runner.run(tables, "P099商品异常", as_of).answer.splitlines()
+    assert unknown[-1] == answers.INSUFFICIENT.format(answers.REASONS["warning"])
+    assert len(runner.run(tables, "关注商品清单", as_of).answer.splitlines()) == 3 + answers.TOP
+    request = requests.parse("诊断GMV变化", as_of)
+    assert answers.render(request, []).splitlines()[0] == "数据来源：数据不足。" and answers.REASONS["no_metrics"] in answers.render(request, [])
+    rows = spark.createDataFrame([("P001", None), ("P002", 0.5), ("P003", -0.5), ("P004", 0.5)], "product_id string, cvr_change double")
+    assert [r.product_id for r in answers.shown_rows("conversion_decline", rows, 3).orderBy("rank").collect()] == ["P003", "P002", "P004"]
+    assert [r.product_id for r in answers.shown_rows("conversion_decline", rows).orderBy("rank").collect()][-1] == "P001"
 
 
 def test_cases(tables):
     rows = cases.gold(tables).collect()
-    assert rows and all(r.evidence_id.startswith("EV_") for r in rows)
-    assert cases.distractors(tables, cases.gold(tables), "d").count() >= 1
+    assert rows and all(r.evidence_id.startswith(f"EV_{r.task.upper()}_") for r in rows)
+    assert {r.task for r in cases.distractors(tables, cases.gold(tables).where("product_id <> 'P006'"), "d").collect()} == set(contract.TASKS)
+
+
+@pytest.fixture(scope="module")
+def case_set(spark):
+    """Two published data sets with fewer days; the frozen shares need evidence as in these."""
+    made = {}
+    for split, config in (("development", generate.DEVELOPMENT), ("public_validation", generate.VALIDATION)):
+        data = generate.generate(spark, config)
+        made[split] = (data, {"dataset_id": ("a" if split == "development" else "b") * 16, "dataset_version": "v1", "config_sha256": "0" * 64})
+    return made, cases.build(spark, made)
+
+
+def test_case_set(spark, case_set, tmp_path):
+    made, built = case_set
+    assert [c["case_id"] for c in built] == [f"CASE_{k:03d}" for k in range(1, 101)]
+    by = {(c["business_task"], c["primary_capability"], c["metadata"]["variant"]): c for c in built}
+    lured, short = by["gmv_diagnosis", "adversarial_distractor", 1], by["next_week_priority", "data_insufficiency", 1]
+    assert lured["metadata"]["distractor_product_id"] in lured["user_input"] and lured["expected_tool_calls"][0]["parameters"]["product_ids"] == [lured["metadata"]["distractor_product_id"]]
+    assert [t["name"] for t in short["expected_tool_calls"]] == ["query_traffic"] and set(short["gold_metrics"]) == set(contract.INSUFFICIENT["next_week_priority"][1])
+    several = by["product_anomaly", "basic_query", 2]
+    assert len(several["gold_evidence"]) == 3 and all(k.split(".")[0] in {"P001", "P002", "P003", "P004", "P005", "P006", "P007"} for k in several["gold_metrics"])
+    for spoil in (
+        lambda c: c["gold_metrics"].update({next(iter(c["gold_metrics"])): "x"}),
+        lambda c: c["numeric_tolerances"].clear(),
+        lambda c: c["gold_evidence"].append(c["gold_evidence"][0]),
+        lambda c: c["capability_tags"].append(c["capability_tags"][0]),
+        lambda c: c["allowed_alternatives"].append(c["expected_tool_calls"]),
+    ):
+        bad = json.loads(json.dumps(several))
+        spoil(bad)
+        with pytest.raises(ValueError):
+            cases.check_case(bad)
+    with pytest.raises(ValueError):
+        cases.check_shares(built[:-1])
+    manifest = casefiles.write(built, tmp_path / "set")
+    assert casefiles.write(built, tmp_path / "set") == manifest and manifest["difficulty_counts"] == {"easy": 30, "hard": 30, "medium": 40}
+    again, safe = casefiles.load(tmp_path / "set")
+    assert again == manifest and len(safe) == 100 and all(tuple(c) == casefiles.SAFE for c in safe)
+    assert casefiles.scan(spark, str(tmp_path / "set")).columns == list(casefiles.SAFE)
+    changed = json.loads(json.dumps(built))
+    changed[0]["user_input"] += "!"
+    with pytest.raises(FileExistsError):
+        casefiles.write(changed, tmp_path / "set")
+    data = (tmp_path / "set" / casefiles.LINES).read_bytes()
+    (tmp_path / "set" / casefiles.LINES).write_bytes(data.replace(b"CASE_100", b"CASE_099"))
+    with pytest.raises(ValueError):
+        casefiles.load(tmp_path / "set")
+
+
+def test_published_anchor(case_set):
+    """Figures published for the development data set."""
+    from lumenfold.operators import rules
+
+    data = case_set[0]["development"][0]
+    assert rules.gmv_change(data).first().gmv_change_rate == pytest.approx(-0.022536435249076572, abs=2e-3)
+    assert (data.products.count(), data.customers.count(), data.traffic.count(), data.marketing.count()) == (40, 300, 4800, 4800)
+
+
+def test_contract_and_configuration(tmp_path):
+    text = {
+        "contract_version": "1.0",
+        "tools": {t: {"required_parameters": list(p)} for t, p in contract.DEFAULT.parameters.items()},
+        "paths": {t: list(p) for t, p in contract.DEFAULT.paths.items()},
+        "capability_overrides": {"adversarial_distractor": {"prepend_tools": ["query_product"]}},
+    }
+    path = tmp_path / "contract.yaml"
+    path.write_text(yaml.safe_dump(text))
+    read = contract.load(path)
+    assert read.tools("gmv_diagnosis", "adversarial_distractor") == ["query_product", "query_sales", "calculate_metrics"] and len(read.sha256) == 64
+    for spoil in (lambda t: t["paths"].pop("gmv_diagnosis"), lambda t: t["paths"].update(gmv_diagnosis=["query_none"]), lambda t: t["tools"].update(query_product={"required_parameters": ["a", "a"]}), lambda t: t["capability_overrides"].update(other={}), lambda t: t.pop("tools")):
+        bad = yaml.safe_load(yaml.safe_dump(text))
+        spoil(bad)
+        path.write_text(yaml.safe_dump(bad))
+        with pytest.raises(ValueError):
+            contract.load(path)
+    data = {"dataset_version": "v1", "seed": 3, "start_date": date(2026, 1, 1), "days": 60, "product_count": 7, "customer_count": 20, "categories": ["a"], "regions": ["r"], "channels": ["c"]}
+    drop = {"anomaly_id": "A1", "kind": "traffic_drop", "product_id": "P001", "start_day": 3, "end_day": 9, "multiplier": 0.5}
+    path = tmp_path / "data.yaml"
+    path.write_text(yaml.safe_dump({**data, "anomalies": [drop]}))
+    loaded = config.load(path)
+    assert loaded.config.anomalies == (generate.Anomaly("traffic_drop", "P001", 3, 9, 0.5, "A1"),) and loaded.version == "v1"
+    for change in ({"seed": True}, {"seed": 1 << 32}, {"days": 59}, {"categories": ["a", "a"]}, {"regions": [" "]}, {"dataset_version": "V 1"}, {"schema_version": "2"}, {"start_date": "x"}, {"extra": 1}):
+        path.write_text(yaml.safe_dump({**data, "anomalies": [drop], **change}))
+        with pytest.raises(ValueError):
+            config.load(path)
+    for others in ([drop, drop], [{**drop, "multiplier": 1.5}], [{**drop, "end_day": 60}], [{**drop, "product_id": "P008"}], [drop, {**drop, "anomaly_id": "A2", "kind": "multi_factor_drop"}], [{**drop, "kind": "missing_traffic"}]):
+        path.write_text(yaml.safe_dump({**data, "anomalies": others}))
+        with pytest.raises(ValueError):
+            config.load(path)
+
+
+def test_validate_names_what_is_wrong(spark, tables):
+    from lumenfold.operators import quality
+
+    whole = dict(tables.items())
+    good = quality.validate(whole, 7, 20)
+    assert good["status"] == "pass" and good["errors"] == [] and good["rows"]["traffic"] == 420
+    assert quality.validate({"products": tables.products}, 7, 20)["errors"] == ["required_tables"]
+    bad = quality.validate(whole | {"products": tables.products.where("product_id <> 'P003'").selectExpr("product_id", "product_name", "category", "if(product_id = 'P001', null, price) as price", "cost", "launch_date")}, 7, 20)
+    assert bad["errors"] == ["products_schema", "product_dimension_ids", "traffic_product_fk", "marketing_product_fk", "order_product_fk", "traffic_daily_grain", "marketing_daily_grain"]
+    assert [(e["table"], e["key"], e["location"], e["type"]) for e in bad["schema_errors"]] == [("products", "P001", "cost", "value_error"), ("products", "P001", "price", "missing")]
+    assert {(r.id, r.problem) for r in quality.id_differences(tables.products.unionAll(tables.products.where("product_id = 'P002'")), "product_id", "P", 8).collect()} == {("P008", "absent"), ("P002", "repeated")}
 
 
 def test_snapshot_and_catalog(spark, tables, tmp_path):
@@ -118,7 +309,8 @@ def test_snapshot_and_catalog(spark, tables, tmp_path):
     assert snapshot.publish(tables, tmp_path / "snap") == identity == snapshot.verify(tmp_path / "snap")["dataset_id"]
     with catalog.open_dataset(spark, tmp_path / "snap") as opened:
         assert opened.execute("SELECT count(*) AS n FROM traffic").first().n == 420
-        for sql in ("DROP TABLE orders", "SELECT 1; SELECT 2", "SET x=1", "SHOW TABLES", "SELECT * FROM range(3)", "CREATE TABLE x AS SELECT 1"):
+        assert opened.execute("WITH t AS (SELECT product_id, sum(visits) AS v FROM traffic GROUP BY product_id) SELECT max(v) > 0 AS fine FROM t WHERE product_id IN (SELECT product_id FROM Products)").first().fine
+        for sql in ("DROP TABLE orders", "SELECT 1; SELECT 2", "SET x=1", "SHOW TABLES", "SELECT * FROM range(3)", "CREATE TABLE x AS SELECT 1", "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT count(*) FROM global_temp.other", "SELECT (SELECT count(*) FROM elsewhere) AS n", "SELECT java_method('java.lang.System', 'nanoTime')", "WITH x AS (SELECT 1 AS a) SELECT * FROM x JOIN y ON true", "SELECT * FROM parquet.`/tmp`"):
             with pytest.raises(PermissionError):
                 opened.execute(sql)
     (tmp_path / "snap" / "orders.parquet").write_bytes(b"x")
