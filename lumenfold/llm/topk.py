@@ -4,10 +4,11 @@ Components become integers floor(1024 * x). Rows are cut into blocks of consecut
 index (the integer matrix of its rows) and, for each term (dimension), the largest and smallest value. The sum over
 terms of the larger of q * max and q * min bounds every score in the block. Each query visits blocks in descending order
 of bound and stops when the bound falls below its kth score; a block whose bound equals the kth score is still scored, as
-it may hold a tie with a smaller id. Each task keeps k rows a query, and a window over these picks the k best.
+it may hold a tie with a smaller id.
 
-Queries are read in blocks of ``QUERY_ROWS`` rows; each block is broadcast (its size is bounded by that) and searched
-against all rows, so any number of queries works without a join. A block's result is written before the next starts.
+The rows are written once as ranges (ids and integer matrix of at most ``RANGE_ROWS`` rows or ``RANGE_BYTES``), the queries
+likewise as blocks. One job pairs every query block with every range; a task carries each query's k best over all of its
+ranges, so later ranges are pruned by them, and returns k rows a query; a window over these picks the k best.
 
 Defined results: rows with a null id or vector, or with a null or non-finite component, take no part; a shorter vector
 counts as padded with zeros; equal scores go to the smaller id; a repeated candidate row is as many candidates; a query
@@ -20,10 +21,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import bound_batches, materialize
 
 SCALE, K = 1024, 10
 BLOCK_ROWS, QUERY_ROWS = 256, 2048
+RANGE_ROWS, RANGE_BYTES = 8192, 2 << 20
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -44,7 +46,7 @@ def matrix(rows, width: int):
 
 
 class Blocks:
-    """Rows of one task, cut into blocks of consecutive ids."""
+    """Rows of one range, cut into blocks of consecutive ids."""
 
     def __init__(self, ids, values, block_rows: int = BLOCK_ROWS):
         import numpy as np
@@ -56,8 +58,8 @@ class Blocks:
         self.low = np.array([self.values[a:b].min(0) for a, b in self.spans])
         self.scored = 0
 
-    def search(self, query_ids, queries, k: int):
-        """Yields query position, ids and scores of the k best rows."""
+    def search(self, query_ids, queries, k: int, best: dict):
+        """Improves ``best``: position of a query to the ids and scores of its k best rows so far."""
         import numpy as np
 
         exact = np.abs(queries).max(initial=0) * max(np.abs(self.high).max(initial=0), np.abs(self.low).max(initial=0)) * max(1, queries.shape[1]) < 2**52
@@ -73,8 +75,7 @@ class Blocks:
         else:  # rounded sums are no bound: visit every block
             bounds = np.full((len(queries), len(self.spans)), np.inf)
         visit = np.argsort(-bounds, axis=1, kind="stable")
-        best = [(np.empty(0, np.int64), np.empty(0, np.int64 if exact else object)) for _ in queries]
-        kth = np.full(len(queries), -np.inf)
+        kth = np.array([best[q][1][-1] if q in best and len(best[q][1]) == k else -np.inf for q in range(len(queries))])
         for step in range(len(self.spans)):
             block = visit[:, step]
             live = np.flatnonzero(bounds[np.arange(len(queries)), block] >= kth)
@@ -85,65 +86,74 @@ class Blocks:
                 start, end = self.spans[b]
                 scores = product(queries[asking], self.values[start:end])
                 self.scored += len(asking)
-                for row, q in zip(scores, asking):
+                for row, q in zip(scores, asking.tolist()):
                     keep = (row >= kth[q]) & (self.ids[start:end] != query_ids[q])
                     if not keep.any():
                         continue
-                    ids, got = np.concatenate([best[q][0], self.ids[start:end][keep]]), np.concatenate([best[q][1], row[keep]])
+                    old = best.get(q, (np.empty(0, np.int64), np.empty(0, row.dtype)))
+                    ids, got = np.concatenate([old[0], self.ids[start:end][keep]]), np.concatenate([old[1], row[keep]])
                     top = np.lexsort((ids, -got))[:k]
                     best[q] = (ids[top], got[top])
                     if len(top) == k:
                         kth[q] = got[top[-1]]
-        for q, (ids, scores) in enumerate(best):
-            if len(ids):
-                yield q, ids, scores
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, k: int = K, query_rows: int = QUERY_ROWS, block_rows: int = BLOCK_ROWS, **names) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k best rows of ``vectors`` for each row of ``queries``."""
-    spark = vectors.sparkSession
-    rows = usable(vectors, **names)
-    asked = usable(queries, **names).groupBy("id").agg(F.min("x").alias("x"))
-    parts, block = [], []
-    each = asked.toLocalIterator()
-    while True:
-        row = next(each, None)
-        if row is not None:
-            block.append((row["id"], row["x"]))
-        if block and (row is None or len(block) == query_rows):
-            parts.append(_block(spark, rows, block, k, block_rows))
-            block = []
-        if row is None:
-            break
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionAll(part)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def pack(rows: DataFrame, n_rows: int) -> DataFrame:
+    """Rows of (id, x) in ranges: width, and the ids and integer components of at most ``n_rows`` rows each."""
+
+    def ranges(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def one(ids, vectors):
+            width = max(map(len, vectors))
+            return pa.RecordBatch.from_pydict({"width": pa.array([width], pa.int32()), "ids": [ids.tobytes()], "values": [matrix(vectors, width).tobytes()]})
 
+        ids, vectors, cells = [], [], 0
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if ids and (len(ids) >= n_rows or (cells + len(x)) * 8 > RANGE_BYTES):
+                    yield one(np.array(ids, np.int64), vectors)
+                    ids, vectors, cells = [], [], 0
+                ids.append(i), vectors.append(x)
+                cells += len(x)
+        if ids:
+            yield one(np.array(ids, np.int64), vectors)
+
+    return rows.mapInArrow(ranges, "width int, ids binary, values binary")
 
-def _block(spark, rows: DataFrame, block: list, k: int, block_rows: int) -> DataFrame:
-    shared = spark.sparkContext.broadcast(block)  # at most query_rows vectors
+
+def search(vectors: DataFrame, queries: DataFrame, *, k: int = K, query_rows: int = QUERY_ROWS, block_rows: int = BLOCK_ROWS, range_rows: int = RANGE_ROWS, **names) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k best rows of ``vectors`` for each row of ``queries``."""
+    bound_batches(vectors.sparkSession)
+    ranges = materialize(pack(usable(vectors, **names), range_rows), "topk-ranges")
+    asked = usable(queries, **names).groupBy("id").agg(F.min("x").alias("x"))
+    blocks = materialize(pack(asked, query_rows), "topk-queries")
+    # a query set in blocks against all ranges: each pair of (query block, range) is one row of one job
+    pairs = blocks.select(*[F.col(c).alias(f"q_{c}") for c in blocks.columns]).crossJoin(ranges)
 
     def scan(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
+        best: dict = {}  # of the query blocks of this task, carried over all of its ranges
         for batch in batches:
-            if not len(batch):
-                continue
-            width = max(*(len(x) for x in batch["x"]), *(len(x) for _, x in shared.value), 1)
-            names = np.array([i for i, _ in shared.value], np.int64)
-            asked = matrix([x for _, x in shared.value], width)
-            blocks = Blocks(batch["id"].to_numpy(np.int64), matrix(batch["x"], width), block_rows)
-            out = [(np.full(len(ids), names[q]), ids, scores) for q, ids, scores in blocks.search(names, asked, k)]
-            if out:
-                q, ids, scores = (np.concatenate(c) for c in zip(*out))
-                yield pd.DataFrame({"query_id": q, "vec_id": ids, "score": [int(s) for s in scores]})
-
-    return materialize(rows.mapInPandas(scan, RESULT), "topk-block")
+            for q_width, q_ids, q_values, width, ids, values in zip(*(c.to_pylist() for c in batch.columns)):
+                query_ids, ids, wide = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64), max(q_width, width)
+                of_block = best.setdefault(q_ids, {})  # a query is in one block only
+                pad = lambda v, n, w: np.pad(np.frombuffer(v).reshape(n, w), ((0, 0), (0, wide - w)))
+                Blocks(ids, pad(values, len(ids), width), block_rows).search(query_ids, pad(q_values, len(query_ids), q_width), k, of_block)
+        for q_ids, found in best.items():
+            if found:
+                n = [len(ids) for ids, _ in found.values()]
+                q = np.repeat(np.frombuffer(q_ids, np.int64)[list(found)], n)
+                ids = np.concatenate([ids for ids, _ in found.values()])
+                scores = [int(s) for _, scores in found.values() for s in scores]
+                yield pa.RecordBatch.from_pydict({"query_id": q, "vec_id": ids, "score": pa.array(scores, pa.int64())})
+
+    found = pairs.mapInArrow(scan, RESULT)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_topk(spark, sf_dir: str) -> DataFrame:
