@@ -9,12 +9,13 @@ Documents with equal sets are one class, joined by their set's 128-bit hash befo
 one row each. Bands connect classes to candidate clusters (linear: each class to the smallest of its bucket), and inside
 a cluster every pair of classes is decided exactly on the full sets: an inverted index counts intersections, and only
 links that join two parts are returned. A cluster above ``CLUSTER_ROWS`` classes or ``CLUSTER_SHINGLES`` shingles is not
-given to one task: all its classes are first compared with a few pivots, and of the rest, the pairs not yet joined to
-the cluster's largest part are dealt as pairs of chunks, each as one task. Nothing is capped or dropped.
+given to one task: all its classes are first compared with a few pivots. What that leaves in different parts meets in its
+buckets (as ids; texts are fetched for buckets of several parts only): the classes outside a bucket's largest part are
+compared with all others of the bucket, in pairs of chunks. Nothing is capped or dropped.
 
 Defined results: null, empty and wordless texts have the empty set, no class and no links, and are their own component;
-rows with a null id are kept, with a null component; rows that share an id but not a text each follow their own text;
-an empty table gives an empty result; ``keep_one`` keeps the columns of its input.
+rows with a null id are kept, with a null component; rows that share an id but not a text each follow their own text,
+rows that share both are one document and stay or go together; an empty table gives an empty result; ``keep_one`` keeps the columns of its input.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ def band_hashes(values):
 
 
 def signatures(documents: DataFrame, size: int, *, id_column="doc_id", text_column="text") -> DataFrame:
-    """doc_id, n_shingles, h1, h2 (hash of the set; null if empty), bands."""
+    """doc_id, text_hash, n_shingles, h1, h2 (hash of the set; null if empty), bands."""
 
     def sign(batches):
         import numpy as np
@@ -120,11 +121,11 @@ def signatures(documents: DataFrame, size: int, *, id_column="doc_id", text_colu
                     bands.append(band_hashes(s) if len(s) else np.empty(0, np.int64))
                 import pyarrow as pa
 
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 1024), pa.array(counts, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 1024), batch.column(2).slice(at, 1024), pa.array(counts, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "h1", "h2", "bands"])
 
     bound_batches(documents.sparkSession)
-    rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
 def linked(sets, percent: int, apart=None):
@@ -198,11 +199,11 @@ def _by_unit(frame: DataFrame, size: int, percent: int) -> DataFrame:
     return frame.repartition("unit").sortWithinPartitions("unit", "id").mapInPandas(decide, "a long, b long")
 
 
-def _hot_links(hot: DataFrame, size: int, percent: int, cluster_rows: int) -> DataFrame:
-    """All links of clusters too large for one task; ``hot``: cluster, id, text, chunks."""
+def _hot_links(hot: DataFrame, bands: DataFrame, size: int, percent: int, cluster_rows: int) -> DataFrame:
+    """All links of clusters too large for one task; ``hot``: cluster, id, text; ``bands``: band, id."""
     # pivots: the smallest salted hash in each of PIVOTS draws, combined before the shuffle
     draws = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64("id", F.lit(k)).alias("h")) for k in range(PIVOTS)])).alias("x")
-    pivots = hot.select("cluster", "id", draws).groupBy("cluster", "x.k").agg(F.min(F.struct("x.h", "id")).alias("p")).select("cluster", F.col("p.id").alias("pivot")).distinct()
+    pivots = hot.select("cluster", "id", draws).groupBy("cluster", "x.k").agg(F.min_by("id", "x.h").alias("pivot")).select("cluster", "pivot").distinct()
     texts = pivots.join(hot.select(F.col("id").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
     pairs = hot.join(texts, "cluster").where("id <> pivot").select("id", "text", "pivot", "pivot_text")
 
@@ -226,57 +227,61 @@ def _hot_links(hot: DataFrame, size: int, percent: int, cluster_rows: int) -> Da
 
     stars = materialize(pairs.mapInPandas(compare, "a long, b long"), "neardup-pivots")
     parts = components(stars)
-    labelled = hot.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("root", "id"))
-    sizes = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("m")).select("cluster", F.col("m.label").alias("main"))
-    labelled = materialize(labelled.join(sizes, "cluster").withColumn("loose", F.col("label") != F.col("main")).select("cluster", "id", "text", "label", "loose", "chunks"), "neardup-hot")
+    labelled = hot.select("id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("label"))
+    # what the pivots leave apart meets in its buckets, as ids; a bucket of one part has nothing left to decide
+    placed = materialize(bands.join(labelled, "id"), "neardup-placed")
+    sizes = placed.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("label", "n").alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    half = cluster_rows // 2
+    open_ = sizes.where("most < n").select("band", "main", F.ceil((F.col("n") - F.col("most")) / half).cast("int").alias("loose_chunks"), F.ceil(F.col("n") / half).cast("int").alias("chunks"))
     # every pair with a loose end meets in the unit (chunk of the loose one, chunk of the other)
-    loose = labelled.where("loose").groupBy("cluster").agg(F.count("*").alias("n")).select("cluster", F.ceil(F.col("n") / (cluster_rows // 2)).cast("int").alias("loose_chunks"))
-    dealt = labelled.join(loose, "cluster").withColumn("mine", F.expr("if(loose, pmod(xxhash64(id), loose_chunks), null)")).withColumn("other", F.expr("pmod(xxhash64(id, 1), chunks * 2)"))
-    as_other = dealt.withColumn("i", F.explode(F.expr("sequence(0, loose_chunks - 1)"))).select("cluster", "id", "text", "label", "i", F.col("other").alias("j"))
-    as_loose = dealt.where("loose").withColumn("j", F.explode(F.expr("sequence(0, chunks * 2 - 1)"))).select("cluster", "id", "text", "label", F.col("mine").alias("i"), "j")
-    units = as_other.unionAll(as_loose).select(F.xxhash64("cluster", "i", "j").alias("unit"), "id", "text", "label")
-    return stars.unionAll(_by_unit(units, size, percent))
+    dealt = placed.join(open_, "band").withColumn("loose", F.expr("label <> main")).withColumn("mine", F.expr("pmod(xxhash64(id), loose_chunks)")).withColumn("other", F.expr("pmod(xxhash64(id, 1), chunks)"))
+    as_other = dealt.select("band", "id", "label", F.explode(F.expr("sequence(0, loose_chunks - 1)")).alias("i"), F.col("other").alias("j"))
+    as_loose = dealt.where("loose").select("band", "id", "label", F.col("mine").alias("i"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("j"))
+    units = as_other.unionAll(as_loose).select(F.xxhash64("band", "i", "j").alias("unit"), "id", "label").distinct()
+    return stars.unionAll(_by_unit(units.join(hot.select("id", "text"), "id").select("unit", "id", "text", "label"), size, percent))
 
 
 def find(documents: DataFrame, *, size=STAGE_SIZE, percent=STAGE_PERCENT, id_column="doc_id", text_column="text", cluster_rows=CLUSTER_ROWS, cluster_shingles=CLUSTER_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``documents``."""
+    """doc_id, text_hash, n_shingles, component_id for each row of ``documents``."""
     signed = materialize(signatures(documents, size, id_column=id_column, text_column=text_column), "neardup-signatures")
     usable = signed.where("h1 is not null and doc_id is not null")
-    classes = usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    classes = materialize(classes, "neardup-classes")
-    bands = usable.select("doc_id", "h1", "h2", F.explode("bands").alias("band"))
-    bands = bands.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"]).select("band", F.col("doc_id").alias("id")).distinct()
-    bands = materialize(bands, "neardup-bands")
+    # one class for each set, with a number of its own; its first document and one of that document's texts speak for it
+    classes = usable.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", "doc_id").alias("rep_hash"), F.max("n_shingles").alias("n"))
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "neardup-classes")
+    speaking = usable.join(classes, ["h1", "h2"]).where("doc_id = rep and text_hash = rep_hash").dropDuplicates(["id"])
+    bands = materialize(speaking.select(F.explode("bands").alias("band"), "id"), "neardup-bands")
     buckets = bands.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("band", "least")
     clusters = components(bands.join(buckets, "band").select(F.col("id").alias("a"), F.col("least").alias("b")))
     clusters = materialize(clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster")), "neardup-clusters")
-    # one text for each class representative; ids that repeat with other texts are told apart by their set
-    weights = classes.groupBy(F.col("rep").alias("id")).agg(F.sum("n").alias("n"))
-    sizes = clusters.join(weights, "id").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / cluster_rows), F.ceil(F.sum("n") / cluster_shingles)).cast("int").alias("chunks"))
-    texts = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).where("text is not null")
-    # texts move once, by a plan that doesn't change with the number of members
-    members = clusters.join(sizes, "cluster").hint("merge").join(texts, "id").select("cluster", "id", "text", "chunks")
+    sizes = clusters.join(classes, "id").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / cluster_rows), F.ceil(F.sum("n") / cluster_shingles)).cast("int").alias("chunks"))
+    texts = documents.select(F.col(id_column).cast("long").alias("rep"), F.col(text_column).alias("text")).where("text is not null").withColumn("rep_hash", F.xxhash64("text"))
+    # texts move once, by a plan that doesn't change with the number of members; repeated rows are one text
+    wanted = clusters.join(sizes, "cluster").join(classes.select("id", "rep", "rep_hash"), "id")
+    members = wanted.hint("merge").join(texts, ["rep", "rep_hash"]).select("cluster", "id", "text", "chunks")
     members = materialize(members, "neardup-members")
     links = _by_unit(members.where("chunks = 1").select(F.col("cluster").alias("unit"), "id", "text"), size, percent)
     if not sizes.where("chunks > 1").isEmpty():
         hot = materialize(members.where("chunks > 1").dropDuplicates(["id"]), "neardup-large")
-        links = links.unionAll(_hot_links(hot, size, percent, cluster_rows))
-    joined = components(links)
-    roots = classes.join(joined, classes["rep"] == joined["node"], "left").select("h1", "h2", F.coalesce("root", "rep").alias("component_id"))
+        links = links.unionAll(_hot_links(hot, bands, size, percent, cluster_rows))
+    joined = materialize(components(links), "neardup-joined")
+    least = joined.join(classes, joined["node"] == classes["id"]).groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = joined.join(least, "root").select(F.col("node").alias("id"), "component_id")
+    roots = classes.join(named, "id", "left").select("h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
     roots = materialize(roots, "neardup-roots")
-    known = usable.select("doc_id", "n_shingles", "h1", "h2").join(roots, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id")
-    alone = signed.where("h1 is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    known = usable.select("doc_id", "text_hash", "n_shingles", "h1", "h2").join(roots, ["h1", "h2"]).select("doc_id", "text_hash", "n_shingles", "component_id")
+    alone = signed.where("h1 is null or doc_id is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return known.unionAll(alone)
 
 
-def keep_one(documents: DataFrame, *, id_column="doc_id", **options) -> DataFrame:
+def keep_one(documents: DataFrame, *, id_column="doc_id", text_column="text", **options) -> DataFrame:
     """The rows of ``documents`` that are the first of their component (or have no id); same columns."""
-    found = materialize(find(documents, id_column=id_column, **options), "neardup-found")
-    name = unused("dropped", documents)
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct().hint("merge")
-    return documents.join(dropped, F.col(f"`{id_column}`").cast("long") == F.col(name), "left_anti")
+    found = find(documents, id_column=id_column, text_column=text_column, **options)
+    name, text_hash = unused("dropped", documents), unused("dropped_hash", documents)
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias(name), F.col("text_hash").alias(text_hash)).distinct().hint("merge")
+    same = (F.col(f"`{id_column}`").cast("long") == F.col(name)) & (F.xxhash64(F.col(f"`{text_column}`")) == F.col(text_hash))
+    return documents.join(dropped, same, "left_anti")
 
 
 def op7_neardup(spark, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=SIZE, percent=PERCENT)
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return found.drop("text_hash").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
