@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of one Arrow batch on its way to or from a Python worker (a longer row is a batch of its own).
 BATCH_BYTES = 4 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,10 +37,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once and return a reader of the written table: lineage ends there and a lost executor costs
-    a reread only."""
+    a reread only. The shuffle files of the write are deleted with its end."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
