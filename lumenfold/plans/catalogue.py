@@ -14,6 +14,7 @@ from ..functions import formats, requests
 from ..operators import derive, kpis, lookups, quality, rules
 from ..operators.windows import Windows
 from ..sources import testdata
+from ..sources.schemas import Tables
 from . import answers, artifacts, cases, contract, runner
 
 DAYS = testdata.DAYS
@@ -122,6 +123,37 @@ def quality_report(spark, sf_dir):
     return quality.report(testdata.funnel(spark, sf_dir), identifiers=False)
 
 
+def _damaged(spark, sf_dir):
+    """The funnel tables with a fault of each kind: an absent and a repeated product, prices without a value, blank
+    regions, lowered visits, a lost day, wrong quantities and unknown states."""
+    tables = testdata.funnel(spark, sf_dir)
+    event, day = F.col("order_id").cast("long"), F.dayofmonth("date")
+    n = F.substring("product_id", 2, 3).cast("int")
+    products = tables.products.where("product_id <> 'P007'").withColumn("price", F.when(n % 10 != 3, F.col("price")))
+    traffic = tables.traffic.where(~((F.col("product_id") == "P013") & (day == 2))).withColumn("visits", F.when(day % 5 == 0, F.col("visits") - 3).otherwise(F.col("visits")))
+    quantity = F.when(event % 7 == 0, 2).when(event % 11 == 0, 0).otherwise(1).cast("long")
+    return Tables(
+        products.unionAll(products.where("product_id = 'P011'")),
+        tables.customers.withColumn("region", F.when(F.substring("customer_id", 2, 9).cast("int") % 50 != 0, F.col("region")).otherwise("")),
+        traffic,
+        tables.marketing,
+        tables.orders.withColumn("quantity", quantity).withColumn("status", F.when(event % 13 == 0, "lost").otherwise(F.col("status"))),
+    )
+
+
+def quality_report_damaged(spark, sf_dir):
+    return quality.report(_damaged(spark, sf_dir), identifiers=False)
+
+
+def schema_errors(spark, sf_dir):
+    """Broken row rules by table, column and type."""
+    return quality.row_errors(_damaged(spark, sf_dir), identifiers=False).groupBy("table", "location", "type").agg(F.count("*").alias("rows"), F.min("key").alias("first_key"))
+
+
+def id_differences(spark, sf_dir):
+    return quality.id_differences(_damaged(spark, sf_dir).products, "product_id", "P", 61)
+
+
 def evidence_ids(spark, sf_dir):
     """Anomalies numbered in their order."""
     return cases.evidence(testdata.funnel(spark, sf_dir), DAYS)["product_anomaly"].select("evidence_id", "product_id", "anomaly_type")
@@ -212,6 +244,9 @@ QUERIES = {
     "funnel_violations": funnel_violations,
     "revenue_identity": revenue_identity,
     "quality_report": quality_report,
+    "quality_report_damaged": quality_report_damaged,
+    "schema_errors": schema_errors,
+    "id_differences": id_differences,
     "evidence_ids": evidence_ids,
     "topk_nulls_last": topk_nulls_last,
     "gold_evidence": gold_evidence,
@@ -456,3 +491,55 @@ ORACLES |= {
     "answer_priorities": _answer_sql("next_week_priority"),
     "answer_conversion": _answer_sql("conversion_decline"),
 }
+
+DAMAGED = f"""WITH {FUNNEL},
+  d_one AS (SELECT product_id, n, CASE WHEN n % 10 <> 3 THEN CAST(10 + n % 7 AS DECIMAL(18,2)) END AS price, CAST(5 + n % 7 AS DECIMAL(18,2)) AS cost FROM f_products WHERE product_id <> 'P007'),
+  d_products AS (SELECT * FROM d_one UNION ALL SELECT * FROM d_one WHERE product_id = 'P011'),
+  d_customers AS (SELECT customer_id, CASE WHEN user_id % 50 <> 0 THEN region ELSE '' END AS region FROM f_customers),
+  d_traffic AS (SELECT date, product_id, impressions, clicks, CASE WHEN day(date) % 5 = 0 THEN visits - 3 ELSE visits END AS visits FROM f_traffic WHERE NOT (product_id = 'P013' AND day(date) = 2)),
+  d_orders AS (SELECT order_id, product_id, CAST(order_id AS BIGINT) AS event, revenue, CASE WHEN CAST(order_id AS BIGINT) % 7 = 0 THEN 2 WHEN CAST(order_id AS BIGINT) % 11 = 0 THEN 0 ELSE 1 END AS quantity FROM f_orders),
+  broken AS (
+    SELECT 'products' AS "table", product_id AS key, 'price' AS location, 'missing' AS type FROM d_products WHERE price IS NULL
+    UNION ALL SELECT 'products', product_id, 'cost', 'value_error' FROM d_products WHERE price IS NULL OR cost <= 0 OR cost >= price
+    UNION ALL SELECT 'customers', customer_id, 'region', 'value_error' FROM d_customers WHERE region = ''
+    UNION ALL SELECT 'traffic', CAST(date AS VARCHAR) || '|' || product_id, 'impressions', 'value_error' FROM d_traffic WHERE least(impressions, clicks, visits) < 0
+    UNION ALL SELECT 'traffic', CAST(date AS VARCHAR) || '|' || product_id, 'clicks', 'value_error' FROM d_traffic WHERE impressions < clicks OR visits < clicks
+    UNION ALL SELECT 'marketing', CAST(date AS VARCHAR) || '|' || product_id || '|' || campaign_id, 'spend', 'value_error' FROM f_marketing WHERE spend < 0
+    UNION ALL SELECT 'orders', order_id, 'quantity', 'value_error' FROM d_orders WHERE quantity NOT BETWEEN 1 AND 20
+    UNION ALL SELECT 'orders', order_id, 'unit_price', 'value_error' FROM d_orders WHERE revenue <= 0
+    UNION ALL SELECT 'orders', order_id, 'revenue', 'value_error' FROM d_orders WHERE revenue <> revenue * quantity
+    UNION ALL SELECT 'orders', order_id, 'status', 'value_error' FROM d_orders WHERE event % 13 = 0)"""
+
+
+def _grain(table: str) -> str:
+    days = f"(SELECT min(date) AS a, max(date) AS b FROM {table})"
+    grid = f"(SELECT product_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM d_products, {days})"
+    return f"""((SELECT count(*) FROM {grid} g WHERE NOT EXISTS (SELECT 1 FROM {table} t WHERE t.product_id = g.product_id AND t.date = g.date))
+      + (SELECT count(*) FROM (SELECT DISTINCT product_id, date FROM {table}) WHERE product_id NOT IN (SELECT product_id FROM d_products)))"""
+
+
+_KNOWN = "(SELECT product_id FROM d_products)"
+_repeats = lambda table, keys: f"(SELECT count(*) FROM (SELECT 1 FROM {table} GROUP BY {keys} HAVING count(*) > 1))"
+_DAMAGED_CHECKS = {
+    **{f"schema:{t}": f"""(SELECT count(*) FROM broken WHERE "table" = '{t}')""" for t in ("products", "customers", "traffic", "marketing", "orders")},
+    "key:products": _repeats("d_products", "product_id"),
+    "key:customers": _repeats("d_customers", "customer_id"),
+    "key:traffic": _repeats("d_traffic", "date, product_id"),
+    "key:marketing": _repeats("f_marketing", "date, product_id, campaign_id"),
+    "key:orders": _repeats("d_orders", "order_id"),
+    "reference:traffic.product_id": f"(SELECT count(*) FROM d_traffic WHERE product_id NOT IN {_KNOWN})",
+    "reference:marketing.product_id": f"(SELECT count(*) FROM f_marketing WHERE product_id NOT IN {_KNOWN})",
+    "reference:orders.product_id": f"(SELECT count(*) FROM d_orders WHERE product_id NOT IN {_KNOWN})",
+    "reference:orders.customer_id": "(SELECT count(*) FROM f_orders o WHERE NOT EXISTS (SELECT 1 FROM f_customers c WHERE c.user_id = o.user_id))",
+    "grain:traffic": _grain("d_traffic"),
+    "grain:marketing": _grain("f_marketing"),
+    "funnel": "(SELECT count(*) FROM d_traffic WHERE impressions < clicks OR visits < clicks)",
+    "revenue": "(SELECT count(*) FROM d_orders WHERE round(revenue, 2) <> round(revenue * quantity, 2))",
+}
+ORACLES |= {
+    "quality_report_damaged": DAMAGED + " " + " UNION ALL ".join(f"""SELECT '{name}' AS "check", CAST({sql} AS BIGINT) AS failed""" for name, sql in _DAMAGED_CHECKS.items()),
+    "schema_errors": DAMAGED + ' SELECT "table", location, type, count(*) AS rows, min(key) AS first_key FROM broken GROUP BY ALL',
+    "id_differences": DAMAGED
+    + """, want AS (SELECT 'P' || lpad(CAST(i AS VARCHAR), 3, '0') AS id FROM range(1, 62) t(i)), have AS (SELECT product_id AS id, count(*) AS n FROM d_products GROUP BY 1)
+      SELECT coalesce(w.id, h.id) AS id, CASE WHEN h.id IS NULL THEN 'absent' WHEN w.id IS NULL THEN 'unexpected' ELSE 'repeated' END AS problem FROM want w FULL JOIN have h ON w.id = h.id WHERE h.id IS NULL OR w.id IS NULL OR n > 1""",
+}

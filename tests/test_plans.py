@@ -318,6 +318,23 @@ def test_snapshot_and_catalog(spark, tables, tmp_path):
         snapshot.verify(tmp_path / "snap")
 
 
+def test_distributed_snapshot(spark, tables, tmp_path):
+    from lumenfold.sources import lake
+
+    folder = f"file://{tmp_path}/lake"
+    manifest = lake.write(tables, folder)
+    again, read = lake.read(spark, folder)
+    assert again == manifest and manifest["tables"]["traffic"]["rows"] == 420 and sorted(read.orders.collect()) == sorted(tables.orders.collect())
+    assert lake.digest(read.orders.repartition(7)) == manifest["tables"]["orders"]
+    plan = read.traffic.where("date = date'2026-01-05'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    with pytest.raises(FileExistsError):
+        lake.write(tables, folder)
+    tables.customers.limit(1).write.mode("append").parquet(f"{folder}/customers.parquet")
+    with pytest.raises(ValueError):
+        lake.read(spark, folder)
+
+
 def test_streaming_daily_equals_batch(spark, tmp_path):
     from pyspark.sql import functions as F
 
