@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import bound_batches, materialize, unused
+from .scratch import Workspace, bound_batches, materialize, unused
 
 PERMUTATIONS, BANDS = 40, 20
 SIZE, PERCENT = 3, 85
@@ -243,6 +243,11 @@ def _hot_links(hot: DataFrame, bands: DataFrame, size: int, percent: int, cluste
 
 def find(documents: DataFrame, *, size=STAGE_SIZE, percent=STAGE_PERCENT, id_column="doc_id", text_column="text", cluster_rows=CLUSTER_ROWS, cluster_shingles=CLUSTER_SHINGLES) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id for each row of ``documents``."""
+    with Workspace(documents.sparkSession) as work:
+        return _find(work, documents, size, percent, id_column, text_column, cluster_rows, cluster_shingles)
+
+
+def _find(work: Workspace, documents: DataFrame, size: int, percent: int, id_column: str, text_column: str, cluster_rows: int, cluster_shingles: int) -> DataFrame:
     signed = materialize(signatures(documents, size, id_column=id_column, text_column=text_column), "neardup-signatures")
     usable = signed.where("h1 is not null and doc_id is not null")
     # one class for each set, with a number of its own; its first document and one of that document's texts speak for it
@@ -268,6 +273,7 @@ def find(documents: DataFrame, *, size=STAGE_SIZE, percent=STAGE_PERCENT, id_col
     named = joined.join(least, "root").select(F.col("node").alias("id"), "component_id")
     roots = classes.join(named, "id", "left").select("h1", "h2", F.coalesce("component_id", "rep").alias("component_id"))
     roots = materialize(roots, "neardup-roots")
+    work.keep(signed, roots)
     known = usable.select("doc_id", "text_hash", "n_shingles", "h1", "h2").join(roots, ["h1", "h2"]).select("doc_id", "text_hash", "n_shingles", "component_id")
     alone = signed.where("h1 is null or doc_id is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return known.unionAll(alone)

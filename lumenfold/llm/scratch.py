@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,16 +46,55 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._scratch = path
+    if _open():
+        _open()[-1].paths.append(path)
+    return written
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop(df: DataFrame) -> None:
     """Delete the files of a materialized table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._scratch)
+    for work in _open():
+        work.paths = [p for p in work.paths if p != df._scratch]
+
+
+class Workspace:
+    """Deletes, at its end, the tables that were materialized inside and not kept; what is kept passes to the workspace
+    around it, if there is one."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], []
+
+    def __enter__(self) -> Workspace:
+        _open().append(self)
+        return self
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Tables (as ``materialize`` returned them) that the result still reads."""
+        self.kept += [t._scratch for t in tables]
+
+    def __exit__(self, *_) -> None:
+        _open().remove(self)
+        for path in self.paths:
+            if path not in self.kept:
+                _delete(self.spark, path)
+        if _open():
+            _open()[-1].paths += [p for p in self.paths if p in self.kept]
+
+
+_state = threading.local()
+
+
+def _open() -> list[Workspace]:
+    """The workspaces of this thread, the innermost last."""
+    return _state.__dict__.setdefault("open", [])
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches, drop, materialize
+from .scratch import Workspace, bound_batches, drop, materialize
 
 LENGTH, GRAM = 100, 28
 SPLIT, BLOCK = 4096, 4
@@ -435,6 +435,11 @@ def _distinct_blocks(strings: DataFrame) -> tuple[DataFrame, DataFrame]:
 def removals(documents: DataFrame, *, id_column="doc_id", text_column="text", split: int = SPLIT) -> DataFrame:
     """``doc_id``, n_bytes, spans (merged removals, starts and stops in bytes), kept (the remaining bytes)."""
     bound_batches(documents.sparkSession)
+    with Workspace(documents.sparkSession) as work:
+        return _removals(work, documents, id_column, text_column, split)
+
+
+def _removals(work: Workspace, documents: DataFrame, id_column: str, text_column: str, split: int) -> DataFrame:
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_column).alias("text"))
     occ = materialize(_occurrences(docs.select("doc", "text")), "repeat-anchors")
     by_anchor = occ.groupBy("anchor").agg(F.min("seg").alias("low"), F.max("seg").alias("high"), F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1")
@@ -458,7 +463,7 @@ def removals(documents: DataFrame, *, id_column="doc_id", text_column="text", sp
     marks = _mark_lots(strings.where("not split").unionAll(blocks)).unionAll(copies)
     marked = marks.groupBy("doc").agg(F.collect_list(F.struct("place", "seg", "start", "stop")).alias("marked"))
     marked = materialize(marked, "repeat-marked")
-    drop(strings)
+    work.keep(lists, marked)
     gone = lists.select("doc", F.expr("filter(told, x -> x.kind = 0)").alias("gone")).join(marked, "doc", "full")
     joined = docs.join(gone.hint("merge"), "doc", "left").select("doc_id", "text", "gone", "marked")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start:int,stop:int>>, kept binary")
