@@ -1,166 +1,263 @@
 """Language-model scoring by cross-entropy difference.
 
-A target model (documents labelled as good) and a background model (all documents) are trigram models over one
-vocabulary: the 256 bytes of UTF-8 and an end symbol, which also fills the context before a document's first byte. Both
-are interpolated by Witten-Bell: a trigram's probability mixes its count with the bigram's, that with the unigram's, and
-that with the uniform one, by the number of distinct continuations. A document's score is the mean over its tokens of
-target loss minus background loss, in nats; lower means more like the target.
-
-Counting covers every byte of every document. Each task sends its distinct trigrams with counts, which are summed by
-trigram; the vocabulary bounds the model at 257^3 entries whatever the size of the corpus, so its broadcast is bounded.
-Scoring looks tokens up in dense tables.
-
-Defined results: a null or empty text is one token, the end symbol; without any target document (or any document) the
-target model is uniform; label rows with a null are ignored, any good label of a document counts; an empty table gives
-an empty result; repeated rows count as often as they occur.
+A target model (documents labelled as good) and a background model (all documents) are word bigram models of the same form
+over one vocabulary, the distinct bigrams of the corpus: words are parted by ASCII white space with A-Z lower-cased, and an
+end symbol closes each document and stands before its first word. Both give a bigram seen k times among n the probability
+(k + D) / (n + D * v), v being the size of the vocabulary and D = ``DISCOUNT``. A document's score is the mean over its
+tokens (a word or the end, with the word before it) of target loss minus background loss, in nats; lower means more like
+the target.
+
+What is gathered grows with the corpus: every bigram of every document is counted, in a table that is dealt by bigram. To
+keep that cheap, bigrams travel packed. A batch of documents is hashed by array operations and cut into one packet for each
+of the parts that bigrams are dealt to (as many as the text has ``PART_BYTES``): the 64-bit hashes, and for each the
+document's number in the batch. A part counts its bigrams, turns counts to losses and returns, for each packet, the sums of
+its documents; sums meet by batch. Nothing of this reaches the driver but four totals.
+
+Labelled documents of one fold in ``FOLDS`` (by a hash of the id) are held out of the target, so that the score can be
+measured on them.
+
+Defined results: a null or empty text is one token, the end symbol; without any target document all target losses are the
+logarithm of the vocabulary's size; label rows with a null are ignored, any good label of a document counts; an empty table
+gives an empty result; repeated rows are scored and counted each; other columns of the documents are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches
+from .scratch import bound_batches, drop, materialize
+
+FOLDS = 5
+DISCOUNT = 0.1
+#: Text of a part of the bigrams, on average; a part is held in memory at about ten times that.
+PART_BYTES = 8 << 20
+#: More parts than this share tasks, one after the other.
+MAX_TASKS = 20_000
+#: At most so many ids are broadcast (8 MB); more are joined as Spark plans it.
+BROADCAST_IDS = 1_000_000
+#: Bytes that are hashed at once (a longer word is hashed whole).
+CHUNK = 1 << 17
+#: A-Z lower-cased, all other bytes kept; and the bytes that part words.
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+SPACES = b" \t\n\x0b\x0c\r"
+#: Fixed hash of the end of a document (also what stands before its first word).
+END = 0x5BD1E9955BD1E995
+BASE = 0x9E3779B97F4A7C15 | 1
+#: Marks the documents of the target among numbers in a batch.
+TARGET = 1 << 15
+
+_tables: dict = {}
+
+
+def _powers(n: int):
+    import numpy as np
+
+    if _tables.get("n", 0) < n:
+        size, inverse = max(n, 2 * CHUNK), np.uint64(pow(BASE, -1, 1 << 64))
+        _tables.update(n=size, up=np.cumprod(np.full(size, np.uint64(BASE))), down=np.cumprod(np.full(size, inverse)))
+    return _tables["up"], _tables["down"]
+
+
+def mix(x):
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(32))
 
-SYMBOLS, END = 257, 256
-CHUNK = 4 << 20
 
+def word_hashes(data, starts, ends):
+    """Hash and text of each word of some texts that lie side by side in ``data`` (bytes as an array)."""
+    import numpy as np
 
-def trigrams(texts: list[str | None]):
-    """Trigram codes of all tokens of some texts, and how many belong to each text."""
+    lower, space = np.frombuffer(LOWER, np.uint8), np.zeros(256, bool)
+    space[list(SPACES)] = True
+    hashes, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    base, last = (int(starts[0]), int(ends[-1])) if len(starts) else (0, 0)
+    blank = space[data[base:last]]
+    edge = np.zeros(last - base + 1, bool)  # where a text starts
+    edge[starts - base] = True
+    opens = np.flatnonzero(~blank & (edge[:-1] | np.concatenate([[True], blank[:-1]])))
+    closes = np.flatnonzero(~blank & (edge[1:] | np.concatenate([blank[1:], [True]]))) + 1
+    at = 0
+    while at < len(opens):
+        begin = int(opens[at])
+        until = max(at + 1, int(np.searchsorted(closes, begin + CHUNK, side="right")))
+        o, c = opens[at:until] - begin, closes[at:until] - begin
+        n = int(c[-1])
+        up, down = _powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((lower[data[base + begin : base + begin + n]].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+        hashes.append(mix((sums[c] - sums[o]) * down[o] + (c - o).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)))
+        rows.append(np.searchsorted(ends - base, opens[at:until], side="right"))
+        at = until
+    return np.concatenate(hashes), np.concatenate(rows)
+
+
+def bigrams(data, starts, ends):
+    """Hash and text of each bigram, in order, and the number of each text's tokens."""
     import numpy as np
 
-    data = [(t or "").encode("utf-8", "replace") for t in texts]
-    sizes = np.array([len(d) + 1 for d in data], np.int64)
-    ends = np.cumsum(sizes) - 1
-    symbols = np.full(int(sizes.sum()), END, np.int32)
-    flat = np.frombuffer(b"\0".join([*data, b""]), np.uint8)
-    symbols[:] = flat
-    symbols[ends] = END
-    starts = ends - sizes + 1
-    before = np.concatenate([[END], symbols[:-1]]).astype(np.int32)
-    before2 = np.concatenate([[END, END], symbols[:-2]]).astype(np.int32)[: len(symbols)]
-    before[starts], before2[starts] = END, END
-    second = starts[sizes > 1] + 1
-    before2[second] = END
-    return (before2 * SYMBOLS + before) * SYMBOLS + symbols, sizes
-
-
-def _chunks(texts: list):
-    some, size = [], 0
-    for t in texts:
-        some.append(t)
-        size += len(t or "")
-        if size >= CHUNK:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
-def counts(flagged: DataFrame) -> DataFrame:
-    """code, target, background over (target boolean, text)."""
-
-    def tally(batches):
+    word, row = word_hashes(data, starts, ends)
+    counts = np.bincount(row, minlength=len(starts))
+    token = np.empty(len(word) + len(starts), np.uint64)
+    token[np.arange(len(word)) + row] = word
+    token[np.cumsum(counts) + np.arange(len(starts))] = END
+    before = np.concatenate([np.array([END], np.uint64), token[:-1]])  # the end of one text stands before the next
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) ^ token), np.repeat(np.arange(len(starts)), counts + 1), counts + 1
+
+
+PACKET = "part int, batch long, codes binary, rows binary, docs array<long>, sizes array<int>"
+SUMS = "batch long, rows binary, sums binary, docs array<long>, sizes array<int>, bigrams long, n long, m long"
+
+
+def _packets(documents: DataFrame, parts: int) -> DataFrame:
+    """A packet for each batch and part, and one with the batch's documents; from doc_id, text, good."""
+
+    def emit(batches):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
+        import xxhash
+        from pyspark import TaskContext
 
-        total, target, seen = None, {}, False
-        for batch in batches:
-            if total is None:
-                total = np.zeros(SYMBOLS**3, np.int64)
-            for flag in (True, False):
-                texts = batch.column(1).filter(pc.equal(batch.column(0), flag)).to_pylist()
-                for some in _chunks(texts):
-                    codes, _ = trigrams(some)
-                    total += np.bincount(codes, minlength=len(total))
-                    seen = True
-                    if flag:
-                        for c, n in zip(*(x.tolist() for x in np.unique(codes, return_counts=True))):
-                            target[c] = target.get(c, 0) + n
-        if seen:
-            found = np.flatnonzero(total)
-            own = np.array([target.get(c, 0) for c in found.tolist()], np.int64)
-            for at in range(0, len(found), 100_000):
-                part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_pydict({"code": found[part].astype(np.int32), "target": own[part], "background": total[found[part]]})
-
-    partial = flagged.mapInArrow(tally, "code int, target long, background long")
-    return partial.groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-@dataclass
-class Model:
-    """Witten-Bell trigram model: seen trigrams with their log probabilities, back-off weights, bigram probabilities."""
-
-    codes: object
-    logs: object
-    backoff: object
-    bigram: object
-
-    @classmethod
-    def fit(cls, codes, n):
-        import numpy as np
+        from .suffixdedup import raw
 
-        codes, n = codes[n > 0].astype(np.int64), n[n > 0].astype(float)
-        last, pair, context = codes % SYMBOLS, codes % SYMBOLS**2, codes // SYMBOLS
-        unigram = np.bincount(last, n, SYMBOLS)
-        kinds = (unigram > 0).sum()
-        unigram = (unigram + kinds / SYMBOLS) / (unigram.sum() + kinds) if kinds else np.full(SYMBOLS, 1 / SYMBOLS)
-        two = np.bincount(pair, n, SYMBOLS**2).reshape(SYMBOLS, SYMBOLS)
-        kinds2, total2 = (two > 0).sum(1, keepdims=True), two.sum(1, keepdims=True)
-        bigram = np.where(total2 > 0, (two + kinds2 * unigram) / np.maximum(total2 + kinds2, 1), unigram)
-        kinds3, total3 = np.bincount(context, minlength=SYMBOLS**2), np.bincount(context, n, SYMBOLS**2)
-        backoff = np.where(total3 > 0, kinds3 / np.maximum(total3 + kinds3, 1), 1.0)
-        p = n / (total3 + kinds3)[context] + backoff[context] * bigram.reshape(-1)[pair]
-        return cls(codes.astype(np.int32), np.log(p).astype(np.float32), backoff.astype(np.float32), bigram.astype(np.float32))
-
-    def table(self):
-        """Log probability of every trigram, dense."""
+        number = TaskContext.get().partitionId() << 20
+        for batch in batches:
+            for at in range(0, batch.num_rows, TARGET):
+                some = batch.slice(at, TARGET)
+                data, starts, ends = raw(some.column(1))
+                codes, row, sizes = bigrams(data, starts, ends)
+                docs = some.column(0)
+                number += 1
+                # a batch that is made again, after a loss, is the same or goes by another name
+                name = xxhash.xxh64(codes.tobytes(), seed=number)
+                name.update(str(docs.to_pylist()))
+                key = name.intdigest() >> 1
+                part = ((codes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+                mark = row.astype(np.uint16) | np.where(np.asarray(some.column(2))[row], np.uint16(TARGET), np.uint16(0))
+                order = np.argsort(part, kind="stable")
+                part, codes, mark = part[order], codes[order], mark[order]
+                heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                tails = np.append(heads[1:], len(part))
+                spans = list(zip(heads.tolist(), tails.tolist()))
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array([*part[heads].tolist(), key % parts], pa.int32()), "batch": pa.array([key] * (len(spans) + 1), pa.int64()),
+                    "codes": pa.array([*[codes[a:b].tobytes() for a, b in spans], None], pa.binary()), "rows": pa.array([*[mark[a:b].tobytes() for a, b in spans], None], pa.binary()),
+                    "docs": pa.array([None] * len(spans) + [docs.to_pylist()], pa.list_(pa.int64())), "sizes": pa.array([None] * len(spans) + [sizes.tolist()], pa.list_(pa.int32())),
+                })
+
+    return documents.mapInArrow(emit, PACKET)
+
+
+def _count(packets: DataFrame, parts: int) -> DataFrame:
+    """Per packet, the sums of its documents' losses (without what is the same for all bigrams); per part, its totals."""
+
+    def count(batches):
         import numpy as np
+        import pyarrow as pa
 
-        with np.errstate(divide="ignore"):
-            out = np.log(self.backoff.reshape(SYMBOLS, SYMBOLS, 1))
-            out = (out + np.log(self.bigram)[None, :, :]).reshape(-1)
-        out[self.codes] = self.logs
-        return out
-
+        types = {"batch": pa.int64(), "rows": pa.binary(), "sums": pa.binary(), "docs": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "bigrams": pa.int64(), "n": pa.int64(), "m": pa.int64()}
+
+        def table(rows):
+            return pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(types.items())))
+
+        def flush(held):
+            codes = np.concatenate([np.frombuffer(c, np.uint64) for _, c, _ in held])
+            marks = np.concatenate([np.frombuffer(r, np.uint16) for _, _, r in held])
+            order = np.argsort(codes)
+            heads = np.flatnonzero(np.concatenate([[True], codes[order[1:]] != codes[order[:-1]]]))
+            good = (marks >= TARGET).astype(np.int64)
+            n, m = np.diff(np.append(heads, len(codes))), np.add.reduceat(good[order], heads)
+            losses = np.empty((2, len(codes)))
+            for out, k in zip(losses, (m, n)):
+                out[order] = np.repeat(-np.log(k + DISCOUNT), n)
+            at, sums = 0, []
+            for batch, _, r in held:
+                size = len(r) // 2
+                row = (marks[at : at + size] & np.uint16(TARGET - 1)).astype(np.int64)
+                got = np.stack([np.bincount(row), *(np.bincount(row, x[at : at + size]) for x in losses)])
+                there = np.flatnonzero(got[0])
+                sums.append({"batch": batch, "rows": there.astype(np.uint16).tobytes(), "sums": got[:, there].tobytes()})
+                at += size
+            return table([*sums, {"batch": -1, "bigrams": len(heads), "n": len(codes), "m": int(good.sum())}])
+
+        held, current = [], None
+        for batch in batches:
+            for part, key, codes, rows, docs, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+                if codes is None:
+                    yield table([{"batch": key, "docs": docs, "sizes": sizes}])
+                    continue
+                if held and part != current:
+                    yield flush(held)
+                    held = []
+                current = part
+                held.append((key, codes, rows))
+        if held:
+            yield flush(held)
 
-def models(documents: DataFrame, labels: DataFrame, *, label="quality", id_column="doc_id", text_column="text") -> tuple[Model, Model]:
-    """Target and background model."""
-    good = labels.where(F.col(label) == 1).select(F.col(id_column).alias("_good")).where("_good is not null").distinct().hint("merge")  # the same plan at every size
-    flagged = documents.join(good, documents[id_column] == good["_good"], "left").select(F.col("_good").isNotNull().alias("target"), F.col(text_column).alias("text"))
-    table = counts(flagged).toArrow().to_pandas().sort_values("code")  # at most 257^3 rows
-    codes = table["code"].to_numpy()
-    return Model.fit(codes, table["target"].to_numpy()), Model.fit(codes, table["background"].to_numpy())
+    return packets.repartitionById(min(parts, MAX_TASKS), F.col("part") % MAX_TASKS).sortWithinPartitions("part").mapInArrow(count, SUMS)
 
 
-def score(documents: DataFrame, target: Model, background: Model, *, id_column="doc_id", text_column="text") -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (mean nats a token), score (their difference)."""
-    bound_batches(documents.sparkSession)
-    shared = documents.sparkSession.sparkContext.broadcast((target, background))  # at most 257^3 entries each
+def _documents(sums: DataFrame) -> DataFrame:
+    """doc_id, n, t, b: tokens and summed losses of each document."""
 
-    def losses(batches):
+    def gather(batches):
         import numpy as np
         import pyarrow as pa
 
-        tables = [m.table() for m in shared.value]
+        def flush(packets, names):
+            docs, sizes = names
+            total = np.zeros((3, len(sizes)))
+            for rows, got in packets:
+                at = np.frombuffer(rows, np.uint16)
+                total[:, at] += np.frombuffer(got).reshape(3, -1)
+            if not np.array_equal(total[0], sizes):
+                raise RuntimeError("a batch is not whole")  # its documents were read in another order after a loss
+            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(total[1]), pa.array(total[2])], names=["doc_id", "n", "t", "b"])
+
+        held, names, current = [], None, None
         for batch in batches:
-            at = 0
-            for some in _chunks(batch.column(1).to_pylist()):
-                codes, sizes = trigrams(some)
-                first = np.cumsum(sizes) - sizes
-                t, b = (-np.add.reduceat(table[codes].astype(np.float64), first) / sizes for table in tables)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(at, len(some)), "n_tokens": sizes, "target_loss": t, "background_loss": b, "score": t - b})
-                at += len(some)
+            for key, rows, got, docs, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != current and current is not None:
+                    yield flush(held, names)
+                    held, names = [], None
+                current = key
+                if docs is None:
+                    held.append((rows, got))
+                else:
+                    names = docs, sizes
+        if current is not None:
+            yield flush(held, names)
 
+    of_batches = sums.where("batch >= 0").select("batch", "rows", "sums", "docs", "sizes")
+    return of_batches.repartition("batch").sortWithinPartitions("batch").mapInArrow(gather, "doc_id long, n long, t double, b double")
+
+
+def held_out(id_column: str = "doc_id"):
+    return F.crc32(F.col(id_column).cast("string").cast("binary")) % FOLDS == 0
+
+
+def score(documents: DataFrame, labels: DataFrame, *, label="quality", id_column="doc_id", text_column="text", part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss (mean nats a token), score (their difference)."""
+    bound_batches(documents.sparkSession)
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(losses, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    good = labels.where((F.col(label) == 1) & F.col(id_column).isNotNull() & ~held_out(id_column)).select(F.col(id_column).cast("long").alias("good_id")).distinct()
+    target = materialize(good, "lm-target")
+    good = F.broadcast(target) if target.count() <= BROADCAST_IDS else target
+    flagged = rows.join(good, F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().alias("good"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // part_bytes))
+    sums = materialize(_count(_packets(flagged, parts), parts), "lm-sums")
+    drop(target)
+    totals = sums.where("batch = -1").agg(F.sum("bigrams").alias("v"), F.sum("n").alias("n"), F.sum("m").alias("m")).first()
+    v, n, m = (totals[k] or 0 for k in ("v", "n", "m"))
+    mean = lambda c, seen: F.col(c) / F.col("n") + F.log(F.lit(max(seen + DISCOUNT * v, DISCOUNT)))
+    found = _documents(sums).select("doc_id", F.col("n").alias("n_tokens"), mean("t", m).alias("target_loss"), mean("b", n).alias("background_loss"))
+    return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def op9_lm_score(spark, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return score(documents, *models(documents, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return score(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
