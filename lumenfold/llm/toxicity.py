@@ -3,7 +3,8 @@
 Features are the distinct byte n-grams (orders 3 to 6) of the lower-cased text with white space runs as one blank,
 hashed into ``2 ** BITS`` buckets. From the labelled documents each bucket gets its document counts by class; its scale
 is the log ratio of the smoothed class rates. A logistic regression is then fitted on these scaled presence features.
-Buckets whose counts say nothing about the class (a likelihood-ratio test) keep weight 0.
+Buckets whose counts say nothing about the class (a likelihood-ratio test at p = 0.001) keep weight 0; every other
+bucket is a feature, whatever their number.
 
 The labelled sample is bounded by ``MAX_LABELS`` rows, chosen by a hash of the id, half of it kept for label 1; that
 bound is what makes the broadcast and the collected matrix bounded. Scoring reads every whole text.
@@ -21,12 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches, materialize, unused
+from .scratch import Workspace, bound_batches, materialize, unused
 
 BITS = 22
 ORDERS = (3, 4, 5, 6)
 MAX_LABELS = 12_000
-MAX_FEATURES = 1 << 13
 MIN_G2 = 10.8  # likelihood-ratio statistic at p = 0.001
 SMOOTHING = 1.0
 THRESHOLD = 0.5
@@ -90,6 +90,11 @@ def training_rows(documents: DataFrame, labels: DataFrame, *, label="toxic", id_
 
 
 def train(documents: DataFrame, labels: DataFrame, **options) -> Model:
+    with Workspace(documents.sparkSession):
+        return _train(documents, labels, **options)
+
+
+def _train(documents: DataFrame, labels: DataFrame, **options) -> Model:
     import numpy as np
 
     bound_batches(documents.sparkSession)
@@ -118,13 +123,12 @@ def train(documents: DataFrame, labels: DataFrame, **options) -> Model:
 
     both, n = "(c0 + c1)", n0 + n1
     g2 = " + ".join([term("c1", f"{both} * {n1 / n}D"), term("c0", f"{both} * {n0 / n}D"), term(f"({n1}D - c1)", f"({n}D - {both}) * {n1 / n}D"), term(f"({n0}D - c0)", f"({n}D - {both}) * {n0 / n}D")])
-    telling = counts.where("c0 + c1 >= 3").withColumn("g2", F.expr(f"2 * ({g2})")).where(F.col("g2") >= MIN_G2)
-    kept = telling.orderBy(F.desc("g2"), "bucket").limit(MAX_FEATURES).collect()  # at most MAX_FEATURES rows
-    if not kept:
+    telling = counts.withColumn("g2", F.expr(f"2 * ({g2})")).where(F.col("g2") >= MIN_G2)
+    kept = telling.select("bucket", "c1", "c0").toArrow().sort_by("bucket")  # at most 2 ** BITS rows of 20 bytes
+    if not kept.num_rows:
         return Model(np.empty(0, np.int64), np.empty(0, np.float32), base + shift)
-    kept.sort(key=lambda r: r["bucket"])
-    buckets = np.array([r["bucket"] for r in kept], np.int64)
-    c1, c0 = (np.array([r[c] for r in kept]) for c in ("c1", "c0"))
+    buckets = kept.column("bucket").to_numpy().astype(np.int64)
+    c1, c0 = (kept.column(c).to_numpy() for c in ("c1", "c0"))
     ratio = np.log((c1 + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((c0 + SMOOTHING) / (n0 + 2 * SMOOTHING))
 
     def restrict(batches):
@@ -136,44 +140,73 @@ def train(documents: DataFrame, labels: DataFrame, **options) -> Model:
                 out.append(at[buckets[at] == row].astype(np.int32).tobytes())
             yield pd.DataFrame({"label": batch["label"], "columns": out})
 
-    labelled = rows.mapInPandas(restrict, "label int, columns binary").collect()  # at most max_labels rows
-    cells = [np.frombuffer(r["columns"], np.int32) for r in labelled]
-    y = np.array([r["label"] for r in labelled], float)
+    labelled = rows.mapInPandas(restrict, "label int, columns binary").toArrow()  # at most max_labels rows
+    cells = [np.frombuffer(c.as_buffer(), np.int32) for c in labelled.column("columns")]
+    y = labelled.column("label").to_numpy().astype(float)
     weights, intercept = fit(cells, ratio, y, base)
     return Model(buckets, (weights * ratio).astype(np.float32), intercept + shift)
 
 
-def fit(cells, ratio, y, base: float, *, l2: float = 1e-3, steps: int = 300):
-    """Logistic regression on the rows x[c] = ratio[c] for c in cells[row], by accelerated full-batch gradient steps."""
+def fit(cells, ratio, y, base: float, *, l2: float = 1e-3, steps: int = 100, memory: int = 8):
+    """Logistic regression on the rows x[c] = ratio[c] for c in cells[row], by L-BFGS with step halving. The intercept is
+    not penalised; the end is a flat gradient, no gain, or ``steps``."""
     import numpy as np
 
     n, d = len(y), len(ratio)
     blocks = []
     for at in range(0, n, 1000):
         some = cells[at : at + 1000]
-        blocks.append((slice(at, at + len(some)), np.repeat(np.arange(len(some), dtype=np.int32), [len(c) for c in some]), np.concatenate(some), len(some)))
-    widest = max((ratio[c] ** 2).sum() for c in cells) + 1.0
-    rate = 32.0 / widest
-    w, b = np.zeros(d), base
-    w_look, b_look, t = w.copy(), b, 1.0
+        sizes = np.array([len(c) for c in some])
+        full = np.flatnonzero(sizes)
+        blocks.append((at + full, sizes[full], np.cumsum(sizes[full]) - sizes[full], np.concatenate(some)))
+
+    def loss(theta):
+        scaled, z = ratio * theta[:d], np.full(n, theta[d])
+        for rows, _, starts, columns in blocks:
+            if len(rows):
+                z[rows] += np.add.reduceat(scaled[columns], starts)
+        value = (np.logaddexp(0, z) - y * z).mean() + l2 / 2 * theta[:d] @ theta[:d]
+        slopes, grad = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / n, np.zeros(d + 1)
+        for rows, sizes, _, columns in blocks:
+            if len(rows):
+                grad[:d] += np.bincount(columns, np.repeat(slopes[rows], sizes), d)
+        grad[:d] = grad[:d] * ratio + l2 * theta[:d]
+        grad[d] = slopes.sum()
+        return value, grad
+
+    theta = np.append(np.zeros(d), base)
+    value, grad = loss(theta)
+    past: list = []
     for _ in range(steps):
-        scaled, grad, slope = ratio * w_look, l2 * w_look, 0.0
-        for span, rows, columns, size in blocks:
-            z = np.bincount(rows, scaled[columns], size) + b_look
-            g = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[span]) / n
-            grad += np.bincount(columns, g[rows], d) * ratio
-            slope += g.sum()
-        w_next, b_next = w_look - rate * grad, b_look - rate * slope
-        t_next = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        w_look, b_look = w_next + (t - 1) / t_next * (w_next - w), b_next + (t - 1) / t_next * (b_next - b)
-        w, b, t = w_next, b_next, t_next
-    return w, float(b)
+        move, kept = grad.copy(), []
+        for s, t, r in reversed(past):
+            kept.append(r * (s @ move))
+            move -= kept[-1] * t
+        if past:
+            s, t, r = past[-1]
+            move *= 1 / (r * (t @ t))
+        for (s, t, r), k in zip(past, reversed(kept)):
+            move += (k - r * (t @ move)) * s
+        size, downhill = 1.0 if past else 1 / max(1.0, np.abs(grad).max() * d**0.5), grad @ move
+        while True:
+            new = theta - size * move
+            new_value, new_grad = loss(new)
+            if new_value <= value - 1e-4 * size * downhill or size < 1e-8:
+                break
+            size /= 2
+        s, t = new - theta, new_grad - grad
+        if s @ t > 1e-14:
+            past = [*past, (s, t, 1 / (s @ t))][-memory:]
+        gain, theta, value, grad = value - new_value, new, new_value, new_grad
+        if gain <= 1e-9 * max(1.0, abs(value)) or np.abs(grad).max() < 1e-7:
+            break
+    return theta[:d], float(theta[d])
 
 
 def score(documents: DataFrame, model: Model, *, text_column="text", output="score") -> DataFrame:
     """``documents`` with a score between 0 and 1 added."""
     bound_batches(documents.sparkSession)
-    shared = documents.sparkSession.sparkContext.broadcast((model.buckets, model.weights, model.intercept))  # at most MAX_FEATURES weights
+    shared = documents.sparkSession.sparkContext.broadcast((model.buckets, model.weights, model.intercept))  # at most 2 ** BITS weights
 
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np
