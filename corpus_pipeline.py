@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.llm import decontaminate, mixing, neardup, tokens, toxicity
-from lumenfold.llm.scratch import materialize
+from lumenfold.llm.scratch import Workspace, drop, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with Workspace(spark) as work:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            work.keep(docs)
+        if before is not None:
+            drop(before)
+        before = docs
+    out = STAGES[-1][1](spark, docs, sf_dir)  # the token files are written by now
+    drop(docs)
+    return out
