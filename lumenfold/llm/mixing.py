@@ -1,8 +1,8 @@
 """Mixing sources to target weights by capped water-filling (DataFrame functions only).
 
-A source's target is ``level * weight`` words, but never more than ``max_epochs`` times its size. The level is found in
-closed form: with the sources ordered by cap / weight, the first k are clamped, where k is the smallest number for
-which the rest of the budget, shared by weight, exceeds no cap of the others. One row a source takes part in that.
+A source's target is ``level * weight`` words, but never more than ``max_epochs`` times its size. The level is found by
+rounds: sources above their cap are clamped and what they leave is shared by weight among the others, until none is
+above. One row a source takes part in that, as a distributed table.
 
 A source is then sampled for ``target / size`` repetitions: each document whole ``floor(r)`` times, and a seeded choice
 of documents once more. Documents are dealt by a seeded hash to strata of about ``stratum_rows`` rows; inside a
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize, unused
+from .scratch import Workspace, materialize, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -42,36 +42,49 @@ def cyclic_weight(position: Column, weights=WEIGHTS) -> Column:
     return F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (position % len(weights) + 1).cast("int"))
 
 
-def water_fill(sources: DataFrame, total: Column, *, size="size", weight="weight", max_epochs=MAX_EPOCHS) -> DataFrame:
-    """Add ``target`` to one row a source. ``total`` is the budget in words, the same on each row.
+def water_fill(sources: DataFrame, total: float, *, size="size", weight="weight", max_epochs=MAX_EPOCHS) -> DataFrame:
+    """Add ``target`` to one row a source, for a budget of ``total`` words.
 
-    The single-partition windows hold one row a source, not documents.
+    The level starts as if no source were clamped; sources above their cap are clamped and the rest of the budget is
+    shared anew, until none is above. Each round is one aggregate over the sources (Newton's method on a concave
+    function, so few rounds), and only the level is on the driver.
     """
-    cap = F.col(size) * F.lit(max_epochs)
-    order = Window.orderBy(F.col("_cap") / F.col(weight), F.col("_cap"), F.col("_pos"))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(0))
-    filled = (
-        sources.withColumn("_cap", cap.cast("double"))
-        .withColumn("_spent", F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
-        .withColumn("_left", F.sum(weight).over(everything) - F.coalesce(F.sum(weight).over(before), F.lit(0.0)))
-        # the level that holds if all sources before this one are clamped and this one is not
-        .withColumn("_level", (total.cast("double") - F.col("_spent")) / F.col("_left"))
-        .withColumn("_free", F.col("_level") * F.col(weight) <= F.col("_cap"))
-        .withColumn("_at", F.min(F.when(F.col("_free"), F.struct(F.col("_cap") / F.col(weight), F.col("_cap"), F.col("_pos"), F.col("_level")))).over(everything))
-    )
-    level = F.col("_at._level")
-    target = F.when(level.isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), level * F.col(weight)))
-    return filled.withColumn("target", target).drop("_cap", "_spent", "_left", "_level", "_free", "_at")
+    cap, share = F.col(size).cast("double") * F.lit(float(max_epochs)), F.col(weight).cast("double")
+    level, clamped = 0.0, -1
+    while True:
+        above = cap < F.lit(level) * share
+        found = sources.agg(F.count_if(above).alias("n"), F.sum(F.when(above, cap)).alias("spent"), F.sum(F.when(~above, share)).alias("left")).first()
+        if found["n"] == clamped or found["left"] is None:
+            break
+        clamped, level = found["n"], (float(total) - (found["spent"] or 0.0)) / found["left"]
+    if found["left"] is None:  # every source is clamped (or there is none)
+        return sources.withColumn("target", cap)
+    return sources.withColumn("target", F.least(cap, F.lit(level) * share))
+
+
+def numbered(sources: DataFrame) -> DataFrame:
+    """Sources with their position (from 0) by code point, null last. Ranges are ordered apart from one another; the
+    driver sees one count for each."""
+    placed = sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id())
+    placed = materialize(placed, "mix-sources")
+    counts = sorted((r["range"], r["n"]) for r in placed.groupBy("range").agg(F.count("*").alias("n")).collect())
+    if not counts:
+        return placed.select("*", F.lit(0).cast("long").alias("position")).drop("range")
+    before, at = [], 0
+    for number, n in counts:
+        before += [F.lit(number), F.lit(at).cast("long")]
+        at += n
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1
+    return placed.withColumn("position", F.create_map(*before)[F.col("range")] + inside).drop("range")
 
 
 def source_plan(sized: DataFrame, *, weights=WEIGHTS, total_share=TOTAL_SHARE, max_epochs=MAX_EPOCHS) -> DataFrame:
     """One row a source: source, source_size, source_rows, target."""
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("rows").alias("source_rows"))
-    ranked = by_source.withColumn("_pos", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
-    ranked = ranked.withColumn("weight", cyclic_weight(F.col("_pos"), weights))
-    total = F.sum("source_size").over(Window.partitionBy(F.lit(0))) * F.lit(float(total_share))
-    return water_fill(ranked, total, size="source_size", max_epochs=max_epochs).drop("_pos", "weight")
+    ranked = numbered(by_source)
+    ranked = materialize(ranked.withColumn("weight", cyclic_weight(F.col("position"), weights)), "mix-ranked")
+    total = (ranked.agg(F.sum("source_size")).first()[0] or 0) * float(total_share)
+    return water_fill(ranked, total, size="source_size", max_epochs=max_epochs).drop("position", "weight")
 
 
 def seeded(seed: int, key: Column) -> Column:
@@ -86,7 +99,9 @@ def decide(documents: DataFrame, *, seed: int = 7, weights=WEIGHTS, total_share=
     """
     sized = documents.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), size_of(text_column).alias("size"))
     sized = materialize(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")).withColumn("words", F.col("size") * F.col("rows")), "mix-sizes")
-    plan = materialize(source_plan(sized.select("source", F.col("words").alias("size"), "rows"), weights=weights, total_share=total_share, max_epochs=max_epochs), "mix-plan")
+    with Workspace(documents.sparkSession) as work:
+        plan = materialize(source_plan(sized.select("source", F.col("words").alias("size"), "rows"), weights=weights, total_share=total_share, max_epochs=max_epochs), "mix-plan")
+        work.keep(plan)
     few = plan.count() <= BROADCAST_SOURCES
     joined = sized.alias("d").join(F.broadcast(plan).alias("p") if few else plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", "source_size", "source_rows", "target")
     repeats = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
