@@ -160,7 +160,7 @@ def case_table(cells: DataFrame, gold_rows: DataFrame) -> DataFrame:
     rows = gold_rows.select(F.col("task").alias("evidence_task"), F.col("number").alias("place"), "product_id", "evidence_id", F.map_keys("metrics").alias("names"))
     mine = F.when(F.col("top").isNull(), F.col("product_id") == INSUFFICIENT_PRODUCT).otherwise(F.col("place") <= F.col("top"))
     shown = F.when(F.col("answerable").isNull(), F.col("names")).otherwise(F.array_intersect("names", "answerable"))
-    joined = cells.join(F.broadcast(rows), "evidence_task").where(mine)  # at most a row a product and task
+    joined = rows.join(F.broadcast(cells), "evidence_task").where(mine)  # a hundred cells
     counts = joined.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "evidence_id"))), lambda x: x["evidence_id"]).alias("evidence_ids"), F.sum(F.size(shown)).alias("n_metrics"))
     full = cells.join(counts, "case_id", "left").withColumn("evidence_ids", F.coalesce("evidence_ids", F.expr("cast(array() as array<string>)"))).withColumn("n_metrics", F.coalesce("n_metrics", F.lit(0)).cast("long"))
     score = F.col("weight") + 2 * F.size("tools") + F.size("evidence_ids") + F.col("n_metrics") / 10

@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.values import json_safe
 from . import schemas, snapshot
 
 #: What a query may call.
@@ -60,6 +61,14 @@ class Catalog:
         self.check(sql)
         return self.session.sql(sql, args=args) if args else self.session.sql(sql)
 
+    def fetch(self, sql: str, args=None, *, limit: int = 100_000) -> tuple[list[str], list[dict]]:
+        """Column names and rows (values as JSON holds them); more than ``limit`` rows are an error, not a cut."""
+        found = self.execute(sql, args)
+        rows = found.limit(limit + 1).collect()
+        if len(rows) > limit:
+            raise ValueError(f"more than {limit} rows")
+        return found.columns, [{c: json_safe(v) for c, v in zip(found.columns, row)} for row in rows]
+
 
 def open_dataset(spark: SparkSession, folder: str | Path, label: str = "") -> Catalog:
     """Verify a snapshot and open it in a session of its own."""

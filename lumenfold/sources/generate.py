@@ -1,8 +1,8 @@
 """Synthetic base tables with injected anomalies, generated in parallel and independent of partitioning.
 
 Every fact has a random stream of its own, keyed by seed, field, date, product and sequence, so any partition can make any
-product-day. Products and customers are small and made on the driver; traffic, marketing and orders come from one pass of
-``mapInPandas`` over the product-day grid.
+product-day. Products and customers are small and made on the driver; traffic, marketing and orders each come from a pass
+of ``mapInPandas`` over the product-day grid.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import re
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 from decimal import ROUND_HALF_UP, Decimal
+from itertools import islice
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -163,16 +164,23 @@ def generate(spark: SparkSession, config: Config) -> Tables:
     customers = spark.createDataFrame(customer_rows(config), SCHEMAS["customers"])
     names = [part.split()[0] for part in FACTS.split(", ")]
 
-    def make(batches):
-        import pandas as pd
+    grid = spark.range(config.days).withColumnRenamed("id", "day").crossJoin(F.broadcast(products.select("product_id", "price")))  # at most 999 products
+    grid = grid.repartition("day", "product_id")
 
-        for batch in batches:
-            rows = [row for day, product_id, price in zip(batch["day"], batch["product_id"], batch["price"]) for row in product_day(config, int(day), product_id, price)]
-            yield pd.DataFrame(rows, columns=names).astype(object).where(lambda x: x.notna(), None)
+    def pick(kind):
+        # a day's traffic and marketing come first, so its orders are made for their own table only
+        most = None if kind == "orders" else 2
+
+        def make(batches):
+            import pandas as pd
+
+            for batch in batches:
+                days = (product_day(config, int(day), product_id, price) for day, product_id, price in zip(batch["day"], batch["product_id"], batch["price"]))
+                rows = [row for facts in days for row in islice(facts, most) if row[0] == kind]
+                yield pd.DataFrame(rows, columns=names).astype(object).where(lambda x: x.notna(), None)
+
+        return grid.mapInPandas(make, FACTS)
 
-    grid = spark.range(config.days).withColumnRenamed("id", "day").crossJoin(F.broadcast(products.select("product_id", "price")))
-    facts = grid.repartition("day", "product_id").mapInPandas(make, FACTS).persist()  # three tables read it
-    pick = lambda kind: facts.where(F.col("kind") == kind)
     return Tables(
         products,
         customers,

@@ -310,6 +310,10 @@ def test_snapshot_and_catalog(spark, tables, tmp_path):
     with catalog.open_dataset(spark, tmp_path / "snap") as opened:
         assert opened.execute("SELECT count(*) AS n FROM traffic").first().n == 420
         assert opened.execute("WITH t AS (SELECT product_id, sum(visits) AS v FROM traffic GROUP BY product_id) SELECT max(v) > 0 AS fine FROM t WHERE product_id IN (SELECT product_id FROM Products)").first().fine
+        names, rows = opened.fetch("SELECT product_id, price, launch_date FROM products WHERE product_id = :id", {"id": "P002"})
+        assert names == ["product_id", "price", "launch_date"] and [type(v) for v in rows[0].values()] == [str, float, str]
+        with pytest.raises(ValueError):
+            opened.fetch("SELECT * FROM orders", limit=3)
         for sql in ("DROP TABLE orders", "SELECT 1; SELECT 2", "SET x=1", "SHOW TABLES", "SELECT * FROM range(3)", "CREATE TABLE x AS SELECT 1", "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT count(*) FROM global_temp.other", "SELECT (SELECT count(*) FROM elsewhere) AS n", "SELECT java_method('java.lang.System', 'nanoTime')", "WITH x AS (SELECT 1 AS a) SELECT * FROM x JOIN y ON true", "SELECT * FROM parquet.`/tmp`"):
             with pytest.raises(PermissionError):
                 opened.execute(sql)
