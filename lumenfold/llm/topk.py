@@ -25,7 +25,7 @@ from .scratch import bound_batches, materialize
 
 SCALE, K = 1024, 10
 BLOCK_ROWS, QUERY_ROWS = 256, 2048
-RANGE_ROWS, RANGE_BYTES = 8192, 2 << 20
+RANGE_ROWS, RANGE_BYTES = 8192, 4 << 20
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -36,15 +36,6 @@ def usable(vectors: DataFrame, *, id_column="vec_id", vector_column="embedding")
     return vectors.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull() & fine).select(F.col(id_column).cast("long").alias("id"), x.alias("x"))
 
 
-def matrix(rows, width: int):
-    import numpy as np
-
-    out = np.zeros((len(rows), width))
-    for k, row in enumerate(rows):
-        out[k, : len(row)] = row
-    return np.floor(SCALE * out)
-
-
 class Blocks:
     """Rows of one range, cut into blocks of consecutive ids."""
 
@@ -105,20 +96,22 @@ def pack(rows: DataFrame, n_rows: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        def one(ids, vectors):
-            width = max(map(len, vectors))
-            return pa.RecordBatch.from_pydict({"width": pa.array([width], pa.int32()), "ids": [ids.tobytes()], "values": [matrix(vectors, width).tobytes()]})
-
-        ids, vectors, cells = [], [], 0
         for batch in batches:
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if ids and (len(ids) >= n_rows or (cells + len(x)) * 8 > RANGE_BYTES):
-                    yield one(np.array(ids, np.int64), vectors)
-                    ids, vectors, cells = [], [], 0
-                ids.append(i), vectors.append(x)
-                cells += len(x)
-        if ids:
-            yield one(np.array(ids, np.int64), vectors)
+            if not batch.num_rows:
+                continue
+            ids, x = np.asarray(batch.column(0), np.int64), batch.column(1)
+            offsets, flat = np.asarray(x.offsets, np.int64), np.asarray(x.flatten(), np.float64)
+            offsets, widths = offsets - offsets[0], np.diff(offsets)
+            step = max(1, min(n_rows, RANGE_BYTES // (8 * max(1, int(widths.max())))))
+            out = {"width": [], "ids": [], "values": []}
+            for at in range(0, len(ids), step):
+                mine = widths[at : at + step]
+                width = max(1, int(mine.max()))
+                matrix = np.zeros((len(mine), width))
+                matrix[np.arange(width) < mine[:, None]] = flat[offsets[at] : offsets[at + len(mine)]]
+                for name, value in zip(out, (width, ids[at : at + step].tobytes(), np.floor(SCALE * matrix).tobytes())):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_pydict({"width": pa.array(out["width"], pa.int32()), "ids": pa.array(out["ids"], pa.binary()), "values": pa.array(out["values"], pa.binary())})
 
     return rows.mapInArrow(ranges, "width int, ids binary, values binary")
 
