@@ -15,6 +15,8 @@ number bounded by the labelers and features (243 patterns, 5 features of at most
 Patterns are written so that each position is tried a bounded number of times: a run of name characters or digits is
 entered at its start only, and inner loops never give back. They match what the plain patterns match.
 
+Counts of spans by kind (as ``op8_pii`` returns them) include the added ones; the digest of base spans does not.
+
 Defined results: null and empty texts have no spans; rows with a null or repeated id are rows like others; an empty table
 gives an empty result; other columns pass through ``find`` under their own names.
 """
