@@ -105,6 +105,50 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+_caches: list[dict] = []
+_operator = ""
+
+
+def cache() -> dict:
+    """A table that a Python worker keeps from one task of an operator to the next."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def enter(operator: str) -> None:
+    """Called by a task in a Python worker: tables that another operator left in it are dropped."""
+    global _operator
+    if operator != _operator:
+        for table in _caches:
+            table.clear()
+        _operator = operator
+        release()
+
+
+def release() -> None:
+    """Give a Python worker's free memory back to the system: workers outlive their tasks, and the next stage's add to
+    them."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def sorted_distinct(x):
+    """The distinct values of an array, sorted (several times faster than numpy.unique on short arrays)."""
+    import numpy as np
+
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def byte_slices(column, limit: int = BATCH_BYTES):
     """(first, last) of slices of an Arrow text column with at most ``limit`` bytes each, or one row."""
     import numpy as np

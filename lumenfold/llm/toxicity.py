@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Workspace, bound_batches, materialize, unused
+from .scratch import Workspace, bound_batches, enter, materialize, release, sorted_distinct, unused
 
 BITS = 22
 ORDERS = (3, 4, 5, 6)
@@ -35,8 +35,8 @@ FOLDS = 5
 CHUNK = 1 << 20
 
 
-def features(text: str | None):
-    """Sorted distinct buckets of a text."""
+def features(text: str | None, among=None):
+    """Sorted distinct buckets of a text; with ``among`` (a mask of buckets) only those."""
     import numpy as np
 
     data = b" " + b" ".join((text or "").lower().encode("utf-8", "replace").split()) + b" "
@@ -52,8 +52,9 @@ def features(text: str | None):
             packed |= x[k : k + len(packed)] << np.uint64(8 * k)
         packed |= np.uint64(n << 56)
         packed *= np.uint64(0x9E3779B97F4A7C15)
-        found.append((packed >> np.uint64(64 - BITS)).astype(np.uint32))
-    return np.unique(np.concatenate(found))
+        buckets = (packed >> np.uint64(64 - BITS)).astype(np.uint32)
+        found.append(buckets if among is None else buckets[among[buckets]])
+    return sorted_distinct(np.concatenate(found))
 
 
 @dataclass
@@ -102,9 +103,11 @@ def _train(documents: DataFrame, labels: DataFrame, **options) -> Model:
     def presence(batches):
         import numpy as np
 
+        enter("toxicity")
         for batch in batches:
             rows = [features(t) for t in batch["_text"]]
             yield pd.DataFrame({"label": batch["_label"], "buckets": [r.astype(np.int32) for r in rows]})
+        release()
 
     usable, sample = training_rows(documents, labels, **options)
     share = usable.agg(F.sum(F.col("_label").cast("double")).alias("n1"), F.count("*").alias("n")).first()
@@ -211,11 +214,15 @@ def score(documents: DataFrame, model: Model, *, text_column="text", output="sco
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np
 
+        enter("toxicity")
         buckets, weights, intercept = shared.value
         table = Model(buckets, weights, intercept).table()
+        among = table != 0
         for texts in batches:
-            z = np.array([table[features(t)].sum(dtype=np.float64) for t in texts]) + intercept
+            z = np.array([table[features(t, among)].sum(dtype=np.float64) for t in texts]) + intercept
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+        del table
+        release()
 
     scorer = F.pandas_udf(scores, "double").asNondeterministic()  # run once, where it stands
     return documents.withColumn(output, scorer(F.col(text_column)))

@@ -56,3 +56,13 @@ def test_byte_slices():
     column = pa.array(["a" * 10, None, "b" * 30, "c", "", "d" * 9])
     assert list(scratch.byte_slices(column, 10)) == [(0, 2), (2, 3), (3, 6)]
     assert list(scratch.byte_slices(column.slice(2), 100)) == [(0, 4)] and list(scratch.byte_slices(column.slice(0, 0), 10)) == []
+
+
+def test_workers_drop_tables_of_other_operators():
+    table = scratch.cache()
+    scratch.enter("one")
+    table["a"] = 1
+    scratch.enter("one")
+    assert table == {"a": 1}
+    scratch.enter("two")
+    assert table == {}
