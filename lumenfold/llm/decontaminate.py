@@ -23,7 +23,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches, byte_slices, unused
+from .scratch import bound_batches, byte_slices, enter, release, unused
 
 WINDOW = 13
 SAMPLE = 8
@@ -265,6 +265,7 @@ def annotate(documents: DataFrame, benchmark: DataFrame, *, text_column="text",
         shared = context.broadcast(rows)  # at most block_bytes of text
 
         def scan(batches, shared=shared):
+            enter("decontaminate")
             phrases = Phrases(shared.value, window)
             for batch in batches:
                 texts, earlier = batch if isinstance(batch, tuple) else (batch, None)
@@ -274,6 +275,8 @@ def annotate(documents: DataFrame, benchmark: DataFrame, *, text_column="text",
                 if earlier is not None:
                     new = [(n, *merge_spans(e["starts"], e["ends"], starts, ends), sorted({*e["items"], *items})) for e, (n, starts, ends, items) in zip(earlier.to_pylist(), new)]
                 yield pa.array([dict(zip(("words", "starts", "ends", "items"), row)) for row in new], shape)
+            del phrases
+            release()
 
         scanner = F.arrow_udf(scan, FOUND, F.ArrowUDFType.SCALAR_ITER).asNondeterministic()  # run once, where it stands
         column = scanner(F.col(text_column)) if column is None else scanner(F.col(text_column), column)

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches, drop, materialize
+from .scratch import bound_batches, drop, enter, materialize
 
 FOLDS = 5
 DISCOUNT = 0.1
@@ -123,6 +123,7 @@ def _packets(documents: DataFrame, parts: int) -> DataFrame:
 
         from .suffixdedup import raw
 
+        enter("lmscore")
         number = TaskContext.get().partitionId() << 20
         for batch in batches:
             for at in range(0, batch.num_rows, TARGET):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Workspace, bound_batches, materialize, unused
+from .scratch import Workspace, bound_batches, cache, enter, materialize, release, sorted_distinct, unused
 
 PERMUTATIONS, BANDS = 40, 20
 SIZE, PERCENT = 3, 85
@@ -35,7 +35,7 @@ TABLE_WORDS = 400_000
 #: A-Z lower-cased, all other bytes kept.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-_hashes: dict[bytes, int] = {}
+_hashes: dict[bytes, int] = cache()
 
 
 def mix64(x):
@@ -71,7 +71,7 @@ def shingles(text: str | None, size: int):
     for k in range(n):
         out = (out + h[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
-    return np.unique(mix64(out))
+    return sorted_distinct(mix64(out))
 
 
 def signature(values, multipliers, addends):
@@ -108,6 +108,7 @@ def signatures(documents: DataFrame, size: int, *, id_column="doc_id", text_colu
         import pandas as pd
         import xxhash
 
+        enter("neardup")
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, batch.num_rows, 1024):
@@ -122,6 +123,7 @@ def signatures(documents: DataFrame, size: int, *, id_column="doc_id", text_colu
                 import pyarrow as pa
 
                 yield pa.RecordBatch.from_arrays([ids.slice(at, 1024), batch.column(2).slice(at, 1024), pa.array(counts, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "h1", "h2", "bands"])
+        release()
 
     bound_batches(documents.sparkSession)
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -183,6 +185,7 @@ def _by_unit(frame: DataFrame, size: int, percent: int) -> DataFrame:
             found = linked([r[1] for r in rows], percent, [r[2] for r in rows] if with_labels else None)
             return pd.DataFrame([(rows[i][0], rows[j][0]) for i, j in found], columns=["a", "b"]) if found else None
 
+        enter("neardup")
         unit, rows = None, []
         for batch in batches:
             labels = batch["label"] if with_labels else batch["id"]
@@ -195,6 +198,8 @@ def _by_unit(frame: DataFrame, size: int, percent: int) -> DataFrame:
                     rows.append((i, shingles(text, size), label))
         if (out := flush(rows)) is not None:
             yield out
+        rows = []
+        release()
 
     return frame.repartition("unit").sortWithinPartitions("unit", "id").mapInPandas(decide, "a long, b long")
 

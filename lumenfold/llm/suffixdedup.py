@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Workspace, bound_batches, drop, materialize
+from .scratch import Workspace, bound_batches, drop, enter, materialize
 
 LENGTH, GRAM = 100, 28
 SPLIT, BLOCK = 4096, 4
@@ -317,6 +317,7 @@ def _occurrences(documents: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        enter("suffixdedup")
         for batch in batches:
             data, starts, ends = raw(batch.column(1))
             found = segments(data, starts, ends)
@@ -340,6 +341,7 @@ def _strings(documents: DataFrame) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
+        enter("suffixdedup")
         for batch in batches:
             data, starts, ends = raw(batch.column(1))
             found = segments(data, starts, ends)
@@ -407,6 +409,7 @@ def _mark_lots(strings: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc", "place", "seg", "start", "stop"])
 
+        enter("suffixdedup")
         lot, size, current = [], 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):

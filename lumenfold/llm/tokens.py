@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches, materialize, new_path
+from .scratch import bound_batches, cache, enter, materialize, new_path, release
 
 END_ID = 0
 LEVEL = 1
@@ -108,7 +108,7 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = cache()
 
 
 def encoder(path: str) -> Encoder:
@@ -216,6 +216,7 @@ def write_tokens(documents: DataFrame, folder: str | None = None, *, tokenizer:
     def write(batches):
         from pyspark import TaskContext
 
+        enter("tokens")
         context, writer, stream = TaskContext.get(), None, None
         encode = encoder(tokenizer).encode
         files, root = _filesystem(folder)
@@ -238,6 +239,7 @@ def write_tokens(documents: DataFrame, folder: str | None = None, *, tokenizer:
 
             writer.close()
             stream.close()
+            release()
             yield pa.RecordBatch.from_pydict({"part": pa.array([context.partitionId()], pa.int32()), "path": [f"{folder}/{path}"], "docs": [len(writer.doc_ids)], "ids": [writer.ids]})
 
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
