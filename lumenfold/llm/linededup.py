@@ -1,6 +1,7 @@
 """Fuzzy line dedup by MinHash over character shingles (DataFrame functions only).
 
-Lines are normalised (trimmed, white-space runs as one blank, lower case) and told apart by a 64-bit hash. A line of at
+Lines are normalised (trimmed, white-space runs as one blank, lower case); equal ones become one distinct line with a
+number of its own and the place of its first occurrence, and all that follows works on distinct lines. A line of at
 least ``SHINGLE`` characters is the set of its ``SHINGLE``-character shingles. Shingles are generated and hashed inside
 one generated stage: a line is encoded with four bytes a character, so that each shingle is a slice at a known place, and
 ``ROWS * BANDS`` minima of ``hash xor seed`` are kept for each line. xor with a random seed is an order of its own, in
@@ -16,8 +17,9 @@ pair with too many is surely apart. The others are compared in full. Nothing is
 The occurrence with the smallest (document, line number) in a component stays.
 
 Defined results: blank lines and lines shorter than ``SHINGLE`` are compared exactly only (blank lines are never
-removed); null texts have no lines; rows with a null id sort after all others; documents with a repeated id count their
-lines together; an empty table gives an empty result; ``dedup`` keeps the columns of its input and changes the text.
+removed); null texts have no lines; rows with a null id sort after all others; rows that share an id are documents of
+their own, in the order in which they are read, so of repeated rows one keeps its lines; an empty table gives an empty
+result; ``dedup`` keeps the columns of its input, whatever their names, and changes the text.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import drop, materialize
+from .scratch import Workspace, drop, materialize
 
 SHINGLE = 10
 ROWS, BANDS = 3, 8
@@ -39,11 +41,26 @@ WORDS = 8
 SEED = 42
 
 
-def split_lines(documents: DataFrame, *, id_column="doc_id", text_column="text") -> DataFrame:
-    """doc_id, line_no (from 0), line, norm, lid (hash of norm)."""
-    lines = documents.select(F.col(id_column).alias("doc_id"), F.posexplode(F.split(text_column, "\n", -1)).alias("line_no", "line"))
-    norm = F.lower(F.trim(F.regexp_replace("line", r"\s+", " ")))
-    return lines.withColumn("norm", norm).withColumn("lid", F.xxhash64("norm"))
+def _numbered(documents: DataFrame, id_column: str, text_column: str, *others: str) -> DataFrame:
+    """Written once: row (a number of its own for each row), doc_id, text and other columns by place."""
+    more = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"), *more)
+    return materialize(rows, "lines-documents")
+
+
+def split_lines(numbered: DataFrame) -> DataFrame:
+    """row, doc_id, line_no (from 0), norm."""
+    lines = numbered.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    # the pattern runs only where there is something to replace
+    marks = " or ".join(f"contains(line, {m})" for m in ("'  '", r"'\t'", r"'\r'", "char(11)", "char(12)"))
+    return lines.select("row", "doc_id", "line_no", F.expr(rf"lower(trim(if({marks}, regexp_replace(line, r'\s+', ' '), line)))").alias("norm"))
+
+
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """lid (a number of its own for each distinct line that is not blank), norm, first (place of its first occurrence)."""
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "line_no")
+    one = lines.where("norm <> ''").groupBy("norm").agg(F.min(place).alias("first"))
+    return materialize(one.select(F.monotonically_increasing_id().alias("lid"), "norm", "first"), "lines-distinct")
 
 
 def shingle_rows(lines: DataFrame) -> DataFrame:
@@ -62,14 +79,16 @@ def signatures(lines: DataFrame) -> DataFrame:
     return signed.select("lid", F.array(*bands).alias("bands"))
 
 
-def _set(coded: str) -> str:
-    """Distinct shingle hashes of a column that holds an encoded line (a stored one: encoding inside would be per shingle)."""
-    return f"array_distinct(transform(sequence(0, octet_length({coded}) div 4 - {SHINGLE}), i -> xxhash64(substring({coded}, 4 * i + 1, {4 * SHINGLE}))))"
+def _shingles(coded: str) -> str:
+    """Shingle hashes of an encoded line. The line is a variable of the outer function, so that it is made once, not once
+    a shingle."""
+    each = f"transform(sequence(0, octet_length(c) div 4 - {SHINGLE}), i -> xxhash64(substring(c, 4 * i + 1, {4 * SHINGLE})))"
+    return f"transform(array({coded}), c -> {each})[0]"
 
 
-def _marks(sets: DataFrame) -> DataFrame:
+def _marks(texts: DataFrame) -> DataFrame:
     """lid, n and the parity of the shingles that fall to each of ``64 * WORDS`` bits."""
-    each = sets.select("lid", F.explode("p").alias("h"))
+    each = texts.select("lid", F.explode(F.array_distinct(F.expr(_shingles("encode(norm, 'UTF-32')")))).alias("h"))
     words = [F.expr(f"bit_xor(if((shiftright(h, 6) & {WORDS - 1}) = {w}, shiftleft(1L, cast(h & 63 as int)), 0L))").alias(f"w{w}") for w in range(WORDS)]
     return each.groupBy("lid").agg(F.count("*").alias("n"), F.array(*words).alias("w"))
 
@@ -80,15 +99,17 @@ def _may(similarity: float) -> str:
     return f"{1 + similarity}D * ({bits}) <= {1 - similarity}D * (n + m) + 1e-6D"
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar."""
-    both = pairs.join(sets.select(F.col("lid").alias("a"), F.col("p")), "a").join(sets.select(F.col("lid").alias("b"), F.col("p").alias("q")), "b")
-    shared = both.select("a", "b", F.size("p").alias("n"), F.size("q").alias("m"), F.size(F.array_intersect("p", "q")).alias("k"))
+def _compared(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, with the sizes n and m of their sets) whose full shingle sets are similar. The texts move, an eighth
+    of the size of their sets."""
+    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("norm").alias("y")), "b")
+    common = F.size(F.array_intersect(F.expr(_shingles("encode(x, 'UTF-32')")), F.expr(_shingles("encode(y, 'UTF-32')"))))
+    shared = both.select("a", "b", "n", "m", common.alias("k"))  # a set: what repeats in a line counts once
     return shared.where(F.col("k") >= similarity * (F.col("n") + F.col("m") - F.col("k"))).select("a", "b")
 
 
 def _open_pairs(shared: DataFrame, joined: DataFrame, marks: DataFrame, similarity: float, chunk_rows: int) -> DataFrame:
-    """All pairs (a, b) that share a bucket, no component (``joined``: node, root) and may be similar; ``shared``: lid, band, low, high."""
+    """All pairs (a, b, with their sizes n, m) that share a bucket, no component (``joined``: node, root) and may be similar; ``shared``: lid, band, low, high."""
     placed = shared.join(joined.withColumnRenamed("node", "lid"), "lid", "left").select("band", "lid", "low", "high", F.coalesce("root", "lid").alias("root"))
     placed = materialize(placed, "lines-placed")
     sizes = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s"))
@@ -101,11 +122,13 @@ def _open_pairs(shared: DataFrame, joined: DataFrame, marks: DataFrame, similari
     right = inner.select("band", F.col("lid").alias("t"), F.col("root").alias("rt"), F.explode(F.expr("sequence(0, c)")).alias("i"), F.col("c").alias("j"), F.col("n").alias("m"), F.col("w").alias("v"))
     met = left.join(right, ["band", "i", "j"])
     met = met.where("ru <> rt and (i < j or u < t)").where(_may(similarity))
-    return met.select(F.least("u", "t").alias("a"), F.greatest("u", "t").alias("b")).distinct()
+    turned = F.col("u") > F.col("t")
+    sides = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(c) for c, x, y in (("a", "u", "t"), ("b", "t", "u"), ("n", "n", "m"), ("m", "m", "n"))]
+    return met.select(*sides).distinct()
 
 
 def links(lines: DataFrame, similarity: float = SIMILARITY, *, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Verified links (a, b) between line hashes, which join all lines that share a bucket and are similar."""
+    """Verified links (a, b) between distinct lines, which join all lines that share a bucket and are similar."""
     signed = materialize(signatures(lines), "lines-signatures")
     rows = signed.select("lid", F.explode("bands").alias("band"))
     ends = rows.groupBy("band").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).where("low < high")
@@ -113,45 +136,64 @@ def links(lines: DataFrame, similarity: float = SIMILARITY, *, chunk_rows: int =
     drop(signed)
     # a line meets the two ends of its buckets, whichever band
     pairs = shared.select("lid", F.explode(F.array("low", "high")).alias("end")).where("lid <> end")
-    pairs = pairs.select(F.least("lid", "end").alias("a"), F.greatest("lid", "end").alias("b")).distinct()
-    pairs = materialize(pairs, "lines-pairs")
+    pairs = materialize(pairs.select(F.least("lid", "end").alias("a"), F.greatest("lid", "end").alias("b")).distinct(), "lines-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    texts = lines.select("lid", "norm").join(wanted.hint("merge"), "lid", "left_semi").select("lid", "norm").distinct().select("lid", F.encode("norm", "UTF-32").alias("coded"))
-    texts = materialize(texts, "lines-texts")
-    sets = materialize(texts.select("lid", F.expr(_set("coded")).alias("p")), "lines-sets")
-    drop(texts)
-    marks = materialize(_marks(sets), "lines-marks")
-    near = pairs.join(marks.withColumnRenamed("lid", "a"), "a").join(marks.select(F.col("lid").alias("b"), F.col("n").alias("m"), F.col("w").alias("v")), "b").where(_may(similarity)).select("a", "b")
-    first = materialize(_compared(near, sets, similarity), "lines-ends")
+    texts = materialize(lines.select("lid", "norm").join(wanted.hint("merge"), "lid", "left_semi"), "lines-texts")
+    marks = materialize(_marks(texts), "lines-marks")
+    near = pairs.join(marks.withColumnRenamed("lid", "a"), "a").join(marks.select(F.col("lid").alias("b"), F.col("n").alias("m"), F.col("w").alias("v")), "b").where(_may(similarity)).select("a", "b", "n", "m")
+    first = materialize(_compared(near, texts, similarity), "lines-ends")
     # what the ends have left apart meets inside its bucket
     rest = materialize(_open_pairs(shared, components(first), marks, similarity, chunk_rows), "lines-rest")
-    return first.unionAll(_compared(rest, sets, similarity))
+    return first.unionAll(_compared(rest, texts, similarity))
+
+
+def kept_lines(numbered: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
+    """row and line_no of each line that stays, blank ones left out (they all stay)."""
+    with Workspace(numbered.sparkSession) as work:
+        one = distinct_lines(split_lines(numbered))
+        joined = materialize(components(links(one, similarity)), "lines-components")
+        work.keep(one, joined)
+    alone = one.select("lid", "first").join(joined, F.col("lid") == F.col("node"), "left").select("first", "root")
+    linked = alone.where("root is not null").groupBy("root").agg(F.min("first").alias("first")).select("first.row", "first.line_no")
+    return alone.where("root is null").select("first.row", "first.line_no").unionAll(linked)
+
+
+#: How many lines ``text`` has, and the numbers of the blank ones; the parts are a variable of the outer function, so that
+#: they are made once.
+LINES = r"""transform(array(split(text, '\n', -1)), p -> struct(size(p) as n, filter(sequence(0, size(p) - 1), i -> trim(translate(p[i], concat('\t\r', char(11), char(12)), '    ')) = '') as blanks))[0]"""
+
+
+def _all_kept(kept: DataFrame) -> DataFrame:
+    return kept.groupBy("row").agg(F.collect_list("line_no").alias("chosen"))
+
+
+def _numbers(blanks):
+    """Sorted numbers of all lines that stay."""
+    return F.array_sort(F.concat(F.coalesce(blanks, F.expr("cast(array() as array<int>)")), F.coalesce("chosen", F.expr("cast(array() as array<int>)"))))
 
 
 def decide(documents: DataFrame, *, similarity: float = SIMILARITY, id_column="doc_id", text_column="text") -> DataFrame:
-    """doc_id, line_no, lid, component, kept for each line."""
-    lines = split_lines(documents, id_column=id_column, text_column=text_column)
-    joined = materialize(components(links(lines, similarity)), "lines-components")
-    rows = lines.select("doc_id", "line_no", "lid", (F.col("norm") == "").alias("blank"))
-    placed = rows.join(joined.withColumnRenamed("node", "lid"), "lid", "left").select("doc_id", "line_no", "lid", "blank", F.coalesce("root", "lid").alias("component"))
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line_no")
-    first = placed.where("not blank").groupBy("component").agg(F.min(place).alias("f")).select(F.col("f.doc_id").alias("doc_id"), F.col("f.line_no").alias("line_no"), F.lit(True).alias("is_first")).distinct()
-    # the first places are joined by place, which no key repeats, not by component
-    same = placed["doc_id"].eqNullSafe(first["doc_id"]) & (placed["line_no"] == first["line_no"])
-    return placed.join(first, same, "left").select(placed["doc_id"], placed["line_no"], "lid", "component", (F.col("blank") | F.col("is_first").isNotNull()).alias("kept"))
+    """doc_id, n_lines, kept (sorted line numbers, from 0) for each row of ``documents``."""
+    numbered = _numbered(documents, id_column, text_column)
+    kept = _all_kept(kept_lines(numbered, similarity=similarity))
+    sizes = numbered.select("row", "doc_id", F.when(F.col("text").isNotNull(), F.expr(LINES)).alias("lines"))
+    n_lines = F.coalesce(F.col("lines.n").cast("long"), F.lit(0).cast("long"))
+    return sizes.join(kept, "row", "left").select("doc_id", n_lines.alias("n_lines"), _numbers(F.col("lines.blanks")).alias("kept"))
 
 
 def dedup(documents: DataFrame, *, id_column="doc_id", text_column="text", **options) -> DataFrame:
     """``documents`` with removed lines cut from the text; a text left without lines is empty, a null text stays null."""
-    decided = decide(documents, id_column=id_column, text_column=text_column, **options)
-    gone = decided.where("not kept").groupBy(F.col("doc_id").alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_column)).otherwise(F.array_join(F.filter(F.split(text_column, "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    return documents.join(gone, documents[id_column].eqNullSafe(gone["_gone_id"]), "left").select(*[text.alias(c) if c == text_column else documents[c] for c in documents.columns])
+    others = [c for c in documents.columns if c not in (id_column, text_column)]
+    numbered = _numbered(documents, id_column, text_column, *others)
+    left = numbered.join(_all_kept(kept_lines(numbered, **options)).hint("merge"), "row", "left").withColumn("kept", _numbers(F.expr(f"{LINES}.blanks")))
+    cut = r"transform(array(split(text, '\n', -1)), p -> transform(kept, k -> p[k]))[0]"
+    text = F.when(F.col("text").isNotNull(), F.array_join(F.expr(cut), "\n"))
+    names = {id_column: F.col("doc_id"), text_column: text} | {c: F.col(f"c{k}") for k, c in enumerate(others)}
+    return left.select(*[names[c].alias(c) for c in documents.columns])
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """One row a document: its lines, those kept, and a digest of the component of each line."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    decided = decide(documents)
-    mixed = F.xxhash64("line_no", "component", "kept").cast("decimal(20,0)")
-    return decided.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("kept").alias("n_kept"), F.sum(F.col("kept").cast("long") * (F.col("line_no") + 1)).alias("kept_places"), F.sum(mixed).cast("string").alias("lines_digest"))
+    """One row a document: how many lines it has, how many stay, and the numbers of those that go."""
+    decided = decide(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    gone = F.when(F.col("n_lines") > 0, F.array_except(F.expr("sequence(0, cast(n_lines - 1 as int))"), "kept"))
+    return decided.select("doc_id", "n_lines", F.size("kept").cast("long").alias("n_kept"), F.coalesce(F.array_join(gone, ","), F.lit("")).alias("removed_lines"))

@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenfold.llm import decontaminate, linededup, lmscore, mixing, neardup, pii, registry, suffixdedup, tokens, topk, toxicity
 
@@ -117,8 +118,8 @@ def test_line_dedup(spark, empty):
     shingle = lambda s: {s[i : i + linededup.SHINGLE] for i in range(len(s) - linededup.SHINGLE + 1)}
     a, b = shingle(line.lower()), shingle(near.lower())
     assert len(a & b) / len(a | b) >= linededup.SIMILARITY
-    kept = {(r.doc_id, r.line_no): r.kept for r in linededup.decide(docs).collect()}
-    assert kept == {(1, 0): True, (1, 1): True, (1, 2): True, (1, 3): True, (2, 0): False, (2, 1): False, (2, 2): True, (4, 0): True, (None, 0): False}
+    kept = {r.doc_id: (r.n_lines, r.kept) for r in linededup.decide(docs).collect()}
+    assert kept == {1: (4, [0, 1, 2, 3]), 2: (3, [2]), 3: (0, []), 4: (1, [0]), None: (1, [])}
     out = {r.doc_id: r.text for r in linededup.dedup(docs).collect()}
     assert out == {1: f"{line}\nshort\n\n", 2: sentence(10, 14), 3: None, 4: "", None: ""}
     assert linededup.decide(empty).count() == 0
@@ -136,8 +137,9 @@ def test_line_links_against_all_pairs(spark):
             at = r.randrange(len(base))
             lines.append(base[:at] + r.choice("qxz") + base[at + 1 :])
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    found = {tuple(sorted((x.a, x.b))) for x in linededup.links(linededup.split_lines(docs)).collect()}
-    lids = {x.norm: x.lid for x in linededup.split_lines(docs).collect()}
+    split = linededup.distinct_lines(linededup.split_lines(linededup._numbered(docs, "doc_id", "text")))
+    found = {tuple(sorted((x.a, x.b))) for x in linededup.links(split).collect()}
+    lids = {x.norm: x.lid for x in split.collect()}
     sets = {lids[n]: {n[i : i + linededup.SHINGLE] for i in range(len(n) - linededup.SHINGLE + 1)} for n in lids}
     near = lambda p, q: len(sets[p] & sets[q]) >= linededup.SIMILARITY * len(sets[p] | sets[q])
     assert all(near(p, q) for p, q in found)
@@ -161,7 +163,7 @@ def test_line_links_inside_one_large_bucket(spark, monkeypatch):
         lines += [base, base + " q", base + " qz"]
     r.shuffle(lines)
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    split = linededup.split_lines(docs)
+    split = linededup.distinct_lines(linededup.split_lines(linededup._numbered(docs, "doc_id", "text")))
     # one bucket of all lines: its ends belong to two of the forty families
     monkeypatch.setattr(linededup, "signatures", lambda x: x.select("lid").distinct().selectExpr("lid", "array(1L) as bands"))
     for chunk_rows in (1000, 16):
@@ -181,7 +183,40 @@ def test_line_links_inside_one_large_bucket(spark, monkeypatch):
 
 def test_near_copies_of_short_lines(spark):
     docs = spark.createDataFrame([(1, "page footer no 1"), (2, "page footer no 12"), (3, "page foo"), (4, "page fooo")], "doc_id long, text string")
-    assert {r.doc_id: r.kept for r in linededup.decide(docs).collect()} == {1: True, 2: False, 3: True, 4: True}
+    assert {r.doc_id: r.kept for r in linededup.decide(docs).collect()} == {1: [0], 2: [], 3: [0], 4: [0]}
+
+
+def test_lines_of_repeated_rows_and_clashing_columns(spark):
+    line, other = sentence(9, 14), sentence(10, 14)
+    rows = [(1, f"{line}\n\n{other}", "a", "b"), (1, f"{line}\n\n{other}", "a", "b"), (2, f"{other}\tx  y\n{line}", None, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, line_no string").withColumn("c0", F.lit(1)).coalesce(1)
+    out = linededup.dedup(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.row, r.line_no, r.c0) for r in out.collect() if r.doc_id == 1) == [(1, "", "a", "b", 1), (1, f"{line}\n\n{other}", "a", "b", 1)]
+    assert sorted(len(r.kept) for r in linededup.decide(docs).where("doc_id = 1").collect()) == [1, 3]
+    long = "\n".join(f"{sentence(7000 + k % 900, 8)} {k % 900}" for k in range(30_000))
+    assert [(r.n_lines, len(r.kept)) for r in linededup.decide(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()][0][0] == 30_000
+
+
+def test_recall_of_a_family_of_variants(spark):
+    import random
+
+    r = random.Random(17)
+    base = sentence(77, 16)
+    variants = {base}
+    while len(variants) < 250:
+        t = list(base)
+        for _ in range(r.randrange(1, 3)):
+            t[r.randrange(len(t))] = r.choice("qxz7")
+        variants.add("".join(t))
+    docs = spark.createDataFrame(list(enumerate(sorted(variants))), "doc_id long, text string")
+    split = linededup.distinct_lines(linededup.split_lines(linededup._numbered(docs, "doc_id", "text")))
+    lids = {x.lid: x.norm for x in split.collect()}
+    sets = {k: {n[i : i + linededup.SHINGLE] for i in range(len(n) - linededup.SHINGLE + 1)} for k, n in lids.items()}
+    root = {x.node: x.root for x in linededup.components(linededup.links(split)).collect()}
+    keys = sorted(sets)
+    true = [(p, q) for i, p in enumerate(keys) for q in keys[:i] if len(sets[p] & sets[q]) >= linededup.SIMILARITY * len(sets[p] | sets[q])]
+    assert len(true) > 100 and sum(root.get(p, p) == root.get(q, q) for p, q in true) >= 0.95 * len(true)
 
 
 # --- 3 toxicity
@@ -247,28 +282,96 @@ def test_fm_index_search_and_locate():
 # --- 5 repeats
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_repeats(spark, documents, empty, hot, monkeypatch):
-    monkeypatch.setattr(suffixdedup, "HOT", hot)
-    want = suffixdedup.brute_force(texts())
-    for r in suffixdedup.removals(documents).collect():
-        assert (r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), bytes(r.kept)) == want[r.doc_id]
+def removed(frame, **options) -> dict:
+    out = {}
+    for r in suffixdedup.removals(frame, **options).collect():
+        out.setdefault(r.doc_id, []).append((r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), bytes(r.kept)))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def wanted(rows) -> dict:
+    out = {}
+    for (doc, _), row in zip(rows, suffixdedup.brute_force([(suffixdedup.LAST if d is None else d, t) for d, t in rows])):
+        out.setdefault(doc, []).append(row)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("split", [2000, 1])
+def test_repeats(documents, empty, split):
+    assert removed(documents, split=split) == wanted(list(texts().items()))
     assert suffixdedup.removals(empty).count() == 0
 
 
-def test_repeats_null_and_repeated_ids(odd):
-    assert sorted((r.doc_id or 0, len(r.spans)) for r in suffixdedup.removals(odd).collect()) == [(0, 0), (0, 0), (1, 0), (1, 0), (1, 0)]
+def passages(n: int) -> list:
+    """Texts that share passages of many lengths with others and with themselves; some ids stand on several rows."""
+    import random
+
+    r = random.Random(11)
+    shared = [sentence(900 + k, 24) for k in range(6)]
+    rows = []
+    for k in range(n):
+        parts = []
+        for _ in range(r.randrange(1, 6)):
+            s = r.choice(shared)
+            a = r.randrange(len(s) - 60)
+            parts += [s[a : a + r.randrange(60, 260)], sentence(r.randrange(10**6), r.randrange(6))]
+        rows.append((r.randrange(n) if k % 3 else k, " ".join(parts)))
+    return rows + [rows[0], (None, rows[1][1]), (None, rows[2][1]), (None, None)]
+
+
+@pytest.mark.parametrize("split, lot", [(4096, 1 << 18), (3, 1 << 18), (4096, 1500)])
+def test_repeats_of_many_passages(spark, monkeypatch, split, lot):
+    monkeypatch.setattr(suffixdedup, "LOT_BYTES", lot)
+    rows = passages(120)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert removed(frame, split=split) == wanted(rows)
+
+
+def test_repeats_in_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "CHUNK", 3000)
+    long = " ".join(t for _, t in passages(60) if t)
+    rows = [(1, long), (2, long[500:9000] + "new" + long[:2000]), (3, "ab" * 4000), (4, "ab" * 90 + long[100:400])]
+    assert len(long) > 20_000 and removed(spark.createDataFrame(rows, "doc_id long, text string")) == wanted(rows)
+
+
+def test_matching_statistics_come_from_the_samples():
+    import numpy as np
+
+    strings = [t.encode() for _, t in passages(30) if t]
+    index = suffixdedup.RunIndex(strings, 40)
+
+    def longest(q, at):
+        n = 0
+        while at + n < len(q) and any(q[at : at + n + 1] in s for s in strings):
+            n += 1
+        return n
+
+    queries = [strings[3][:70] + b"#" + strings[5][30:120], b"#?", strings[7], b"zz" + strings[1][5:60]]
+    got = {(int(k), int(a)): (int(m), int(r)) for ks, ats, ms, rows in index.statistics(queries) for k, a, m, r in zip(ks, ats, ms, rows)}
+    text = b"\0".join([*strings, b""])
+    for (k, at), (m, row) in got.items():
+        assert m == longest(queries[k], at)
+        place = int(index.order[row])
+        assert text[place : place + m] == queries[k][at : at + m]
+    # with wrong samples the statistics are wrong
+    index.sample_first, index.sample_last = np.zeros_like(index.sample_first), np.zeros_like(index.sample_last)
+    broken = {(int(k), int(a)): int(m) for ks, ats, ms, _ in index.statistics(queries) for k, a, m in zip(ks, ats, ms)}
+    assert broken != {key: m for key, (m, _) in got.items()}
 
 
 def test_segments_depend_on_content_only():
     import numpy as np
 
+    def of(data):
+        found = suffixdedup.segments(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]))
+        return [tuple(c) for c in found[[1, 2, 4]].T.tolist()]
+
     body = sentence(5, 60).encode()
     for before in (b"", b"x", sentence(8, 30).encode()):
-        anchor, whole, first, last = suffixdedup.segments(before + body)
-        inner = {(a, w) for a, w, f in zip(anchor, whole, first) if f > len(before)}
-        plain = {(a, w) for a, w, f in zip(*suffixdedup.segments(body)[:3]) if f > 0}
-        assert plain <= inner | {(a, w) for a, w in zip(anchor, whole)} and np.all(first <= last)
+        whole = of(before + body)
+        inner = {(a, w) for a, w, f in whole if f > len(before)}
+        plain = {(a, w) for a, w, f in of(body) if f > 0}
+        assert plain <= inner | {(a, w) for a, w, _ in whole}
 
 
 # --- 6 top k
@@ -290,16 +393,36 @@ def test_topk(spark):
     assert topk.search(vectors.where("false"), vectors).count() == 0 and topk.search(vectors, vectors.where("false")).count() == 0
 
 
+def best_of(blocks, ids, queries, k):
+    import numpy as np
+
+    best: dict = {}
+    for b in blocks:
+        b.search(np.array(ids), np.array(queries), k, best)
+    return {q: (i.tolist(), s.tolist()) for q, (i, s) in best.items()}
+
+
 def test_topk_prunes_and_keeps_exact_sums():
     import numpy as np
 
     ids, values = np.arange(512), np.zeros((512, 2))
     values[:, 0] = ids
     blocks = topk.Blocks(ids, values, 32)
-    assert [i.tolist() for _, i, _ in blocks.search(np.array([-1]), np.array([[1.0, 0.0]]), 3)] == [[511, 510, 509]]
-    assert blocks.scored == 1
+    assert best_of([blocks], [-1], [[1.0, 0.0]], 3)[0][0] == [511, 510, 509] and blocks.scored == 1
+    low = topk.Blocks(ids + 1000, values - 600, 32)  # the kth score of an earlier range rules all of it out
+    assert best_of([blocks, low], [-1], [[1.0, 0.0]], 3)[0][0] == [511, 510, 509] and low.scored == 0
     big = topk.Blocks(np.array([1, 2]), np.array([[2.0**30, 1.0], [2.0**30, 2.0]]), 1)
-    assert [s.tolist() for _, _, s in big.search(np.array([9]), np.array([[2.0**30, 1.0]]), 2)] == [[2**60 + 2, 2**60 + 1]]
+    assert best_of([big], [9], [[2.0**30, 1.0]], 2)[0][1] == [2**60 + 2, 2**60 + 1]
+
+
+def test_topk_returns_k_rows_a_query_from_each_task(spark, monkeypatch):
+    seen = []
+    vectors = spark.range(0, 3000, 1, 2).selectExpr("id as vec_id", "array(cast(id % 97 as double), 1D) as embedding")
+    frame_of = type(vectors).withColumn
+    monkeypatch.setattr(type(vectors), "withColumn", lambda self, name, col: (seen.append(self) if name == "rank" else None) or frame_of(self, name, col))
+    assert topk.search(vectors, vectors.where("vec_id % 100 = 0"), k=4, range_rows=100).count() == 30 * 4
+    [found] = seen
+    assert found.count() <= 4 * 30 * found.rdd.getNumPartitions()
 
 
 # --- 7 near duplicates
@@ -385,37 +508,96 @@ def test_em_tells_reliable_labelers():
     assert p[1, 1, 1, 0, 1] > 0.9 and p[0, -1, -1, 0, -1] < 0.1 and pii.em({}) == {}
 
 
-# --- 9 language-model scores
+def test_pii_learns_which_wider_forms_to_add(spark):
+    """Spans that base patterns miss, with and without signs of being personal data."""
+    import random
 
+    r = random.Random(3)
+    names = "ann bob cleo dan eve finn gus hal ida jon".split()
+    sites = "alpha.com beta.org gamma.net delta.de".split()
+    area = lambda: f"{r.randrange(200, 999)}"
+    number = lambda: f"({area()}) {area()}-{r.randrange(1000, 9999)}"
+    rows, wide = [], {}
+    for k in range(400):
+        filler = sentence(4000 + k, 12)
+        if k % 4 == 0:
+            text = f"{filler} mail {r.choice(names)}@{r.choice(sites)} or call +1 {number()} today"
+        elif k % 4 == 1:
+            text = f"{filler} e-mail {r.choice(names)} (at) {r.choice(sites)} please"
+            wide[k] = "email"
+        elif k % 4 == 2:
+            text = f"{filler} phone {number()} now"
+            wide[k] = "phone"
+        else:
+            text = f"{filler} serial x{area()}.{area()}.{r.randrange(1000, 9999)}7z order {r.randrange(10**15, 10**16)}"
+        rows.append((k, text))
+    found = {x.doc_id: [(s.kind, s.base) for s in x.spans] for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = sum((kind, False) in found[k] for k, kind in wide.items())
+    wrong = sum(any(not base for _, base in found[k]) for k in range(3, 400, 4))
+    assert caught >= 0.9 * len(wide) and wrong <= 0.05 * 100
 
-def test_lm_scores(spark, documents, odd, empty):
-    import math
 
-    docs = {0: "abab", 1: "abba", 2: None, 3: ""}
-    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    labels = spark.createDataFrame([(0, 1), (1, 0), (2, None)], "doc_id long, quality int")
-    models = lmscore.models(frame, labels)
-    got = {r.doc_id: r for r in lmscore.score(frame, *models).collect()}
+# --- 9 language-model scores
 
-    def loss(train, text):
-        grams = [(s[k - 2], s[k - 1], s[k]) for t in train for s in [[256, 256, *t.encode(), 256]] for k in range(2, len(s))]
 
-        def p(a, b, c):
-            uni = [g[2] for g in grams]
-            p1 = (uni.count(c) + len(set(uni)) / 257) / (len(uni) + len(set(uni)))
-            two = [g[2] for g in grams if g[1] == b]
-            p2 = (two.count(c) + len(set(two)) * p1) / (len(two) + len(set(two))) if two else p1
-            three = [g[2] for g in grams if g[:2] == (a, b)]
-            return (three.count(c) + len(set(three)) * p2) / (len(three) + len(set(three))) if three else p2
+def lm_brute_force(rows: list, good: set) -> list:
+    import math
 
-        s = [256, 256, *text.encode(), 256]
-        return -sum(math.log(p(*s[k - 2 : k + 1])) for k in range(2, len(s))) / (len(s) - 2)
+    def grams(text):
+        found = [w.lower().encode() for w in re.findall("[^\x20\x09-\x0D]+", text or "")] + [None]
+        return list(zip([None, *found], found))
+
+    size = len({g for _, t in rows for g in grams(t)})
+    models = [[g for i, t in rows if keep(i) for g in grams(t)] for keep in (lambda i: i in good, lambda i: True)]
+    d = lmscore.DISCOUNT
+    loss = lambda seen, text: -sum(math.log((seen.count(g) + d) / (len(seen) + d * size)) for g in grams(text)) / len(grams(text))
+    return [(doc, len(grams(text)), *(loss(seen, text) for seen in models)) for doc, text in rows]
+
+
+def test_lm_scores(spark, empty):
+    held = {r.i for r in spark.range(40).selectExpr("id as i").where(lmscore.held_out("i")).collect()}
+    rows = [(i, sentence(i % 7, 5 + i % 9) + (" fine Words" if i % 2 else "")) for i in range(40)] + [(41, None), (42, ""), (1, "again fine"), (None, "x y"), (3, sentence(3, 8))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 row", "'p' pair").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(31, None), (None, 1)], "doc_id long, quality int")
+    good = {i for i in range(1, 30, 2)} - held
+    rows_of = lambda **o: sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lmscore.score(frame, labels, **o).collect())
+    got = rows_of()
+    for g, w in zip(rows_of(part_bytes=60), got):  # many small parts
+        assert g == pytest.approx(w, rel=1e-9)
+    want = sorted((-1 if d is None else d, n, t, b) for d, n, t, b in lm_brute_force(rows, good))
+    assert len(got) == len(want) and held & set(range(30))
+    for g, w in zip(got, want):
+        assert g == pytest.approx(w, rel=1e-9)
+    assert lmscore.score(empty, labels).count() == 0
+    without = {r.target_loss for r in lmscore.score(frame, labels.where("false")).collect()}
+    assert len({round(x, 9) for x in without}) == 1
+
+
+def test_lm_word_hashes_do_not_depend_on_chunks(monkeypatch):
+    import numpy as np
 
-    for i, t in docs.items():
-        a, b = loss(["abab"], t or ""), loss([x or "" for x in docs.values()], t or "")
-        assert (got[i].target_loss, got[i].background_loss, got[i].score) == pytest.approx((a, b, a - b), rel=1e-5) and got[i].n_tokens == len(t or "") + 1
-    assert lmscore.score(odd, *models).count() == 5 and lmscore.score(empty, *models).count() == 0
-    assert lmscore.score(documents, *lmscore.models(empty, labels)).count() == documents.count()
+    parts = [t.encode() for t in ("One two  three", "", "  ONE\ttwo\n", "x" * 300 + " one", "é one", " ", "two")]
+    ends = np.cumsum([len(p) for p in parts])
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    of = lambda: [(int(h), int(r)) for h, r in zip(*lmscore.word_hashes(data, ends - [len(p) for p in parts], ends))]
+    whole = of()
+    assert [r for _, r in whole] == [0, 0, 0, 2, 2, 3, 3, 4, 4, 6]
+    assert whole[0][0] == whole[3][0] == whole[6][0] == whole[8][0] and whole[1][0] == whole[4][0] == whole[9][0] and len({h for h, _ in whole}) == 5
+    monkeypatch.setattr(lmscore, "CHUNK", 7)
+    assert of() == whole
+
+
+def test_long_texts(spark):
+    """One text of several megabytes, as one line and as many, beside short ones."""
+    one = " ".join(f"x{k * 7919 % 1_000_003}" for k in range(400_000))
+    docs = spark.createDataFrame([(1, one), (2, "short text"), (3, one.replace(" ", "\n", 50_000))], "doc_id long, text string")
+    assert len(one) > 2 << 20
+    assert {r.doc_id: r.n_lines for r in linededup.decide(docs).collect()} == {1: 1, 2: 1, 3: 50_001}
+    labels = spark.createDataFrame([(2, 1)], "doc_id long, quality int")
+    assert {r.doc_id: r.n_tokens for r in lmscore.score(docs, labels).collect()} == {1: 400_001, 2: 3, 3: 400_001}
+    assert {r.doc_id: len(r.spans) for r in pii.find(docs).collect()} == {1: 0, 2: 0, 3: 0}
+    got = {r.doc_id: r.s for r in toxicity.score(docs, toxicity.train(docs, labels.selectExpr("doc_id", "quality as toxic")), output="s").collect()}
+    assert got[1] == got[2] == got[3]
 
 
 # --- 10 token files
@@ -437,11 +619,13 @@ def test_token_files(spark, documents, odd, empty, tmp_path):
     assert tokens.read_tokens(spark, tokens.write_tokens(odd)).count() == 5 and tokens.read_tokens(spark, tokens.write_tokens(empty)).count() == 0
 
 
-def test_encoder_equals_the_library():
+@pytest.mark.parametrize("pieces", [1_000_000, 40])
+def test_encoder_equals_the_library(monkeypatch, pieces):
     import random
     from array import array
 
-    e = tokens.encoder(tokens.default_tokenizer())
+    monkeypatch.setattr(tokens, "TABLE_PIECES", pieces)
+    e = tokens.Encoder(tokens.default_tokenizer())
     r = random.Random(3)
     letters = [*"ab é²½٣'s.,;:!? \n\t\x1c_19|—ß́中", "don't ", "  ", "x. ", "l'été, ", "<|endoftext|>"]
     for _ in range(400):
