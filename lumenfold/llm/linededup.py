@@ -45,7 +45,7 @@ def _numbered(documents: DataFrame, id_column: str, text_column: str, *others: s
     """Written once: row (a number of its own for each row), doc_id, text and other columns by place."""
     more = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"), *more)
-    return materialize(rows, "lines-documents")
+    return materialize(rows, "lines-documents", compression="zstd")
 
 
 def split_lines(numbered: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     """lid (a number of its own for each distinct line that is not blank), norm, first (place of its first occurrence)."""
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "line_no")
     one = lines.where("norm <> ''").groupBy("norm").agg(F.min(place).alias("first"))
-    return materialize(one.select(F.monotonically_increasing_id().alias("lid"), "norm", "first"), "lines-distinct")
+    return materialize(one.select(F.monotonically_increasing_id().alias("lid"), "norm", "first"), "lines-distinct", compression="zstd")
 
 
 def shingle_rows(lines: DataFrame) -> DataFrame:

@@ -36,14 +36,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lumenfold/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *, compression: str = "snappy") -> DataFrame:
     """Write df once and return a reader of the written table: lineage ends there and a lost executor costs
     a reread only. The shuffle files of the write are deleted with its end."""
     spark = df.sparkSession
     path, before = new_path(spark, name), spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(CLEANUP, before)
     written = spark.read.schema(df.schema).parquet(path)
