@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators."""
 
-from . import decontaminate, linededup, lmscore, mixing, neardup, pii, suffixdedup, tokens, topk, toxicity
+from . import decontaminate, linededup, lmscore, mixing, neardup, periodic, pii, ranking, resampling, suffixdedup, tokens, topk, toxicity
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
@@ -13,9 +13,13 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_lm_score": lmscore.op9_lm_score,
     "op10_tokens": tokens.op10_tokens,
+    "op11_resample": resampling.op11_resample,
+    "op12_runs": periodic.op12_runs,
+    "op13_quality": ranking.op13_quality,
 }
 
 ORACLES = {
     "op1_mix": mixing.ORACLE,
     "op6_topk": topk.ORACLE,
+    "op11_resample": resampling.ORACLE,
 }
