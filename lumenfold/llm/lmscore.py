@@ -1,24 +1,28 @@
 """Language-model scoring by cross-entropy difference.
 
-A target model (documents labelled as good) and a background model (all documents) are word bigram models of the same form
-over one vocabulary, the distinct bigrams of the corpus: words are parted by ASCII white space with A-Z lower-cased, and an
-end symbol closes each document and stands before its first word. Both give a bigram seen k times among n the probability
-(k + D) / (n + D * v), v being the size of the vocabulary and D = ``DISCOUNT``. A document's score is the mean over its
-tokens (a word or the end, with the word before it) of target loss minus background loss, in nats; lower means more like
-the target.
-
-What is gathered grows with the corpus: every bigram of every document is counted, in a table that is dealt by bigram. To
-keep that cheap, bigrams travel packed. A batch of documents is hashed by array operations and cut into one packet for each
-of the parts that bigrams are dealt to (as many as the text has ``PART_BYTES``): the 64-bit hashes, and for each the
-document's number in the batch. A part counts its bigrams, turns counts to losses and returns, for each packet, the sums of
-its documents; sums meet by batch. Nothing of this reaches the driver but four totals.
-
-Labelled documents of one fold in ``FOLDS`` (by a hash of the id) are held out of the target, so that the score can be
-measured on them.
-
-Defined results: a null or empty text is one token, the end symbol; without any target document all target losses are the
-logarithm of the vocabulary's size; label rows with a null are ignored, any good label of a document counts; an empty table
-gives an empty result; repeated rows are scored and counted each; other columns of the documents are ignored.
+Two word bigram models of one form share one vocabulary, all distinct words of the corpus and an end symbol. Words are
+parted by ASCII white space with A-Z lower-cased; the end symbol closes each document and stands before its first word. The
+target model is counted over documents labelled as good. The background model is counted over a sample of the other
+documents that has as many tokens: documents are dealt to ``SLOTS`` slots by a hash of the id, and whole slots are taken, in
+order, until the target's tokens are matched as nearly as slots allow (or the documents run out). Labelled documents of one
+fold in ``FOLDS`` (by a hash of the id) are in neither, so that the score can be measured on them.
+
+A word w after u has the probability (c(u, w) + K * p(w)) / (c(u) + K), with p(w) = (c(w) + D) / (n + D * v), v being the size
+of the vocabulary, K = ``PRIOR`` and D = ``DISCOUNT``. A document's score is the mean over its tokens (a word or the end,
+given the token before) of target loss minus background loss, in nats; lower means more like the target.
+
+How it is done: texts are written once as batches, each with its distinct words (by 63-bit hash) and its tokens as places
+among them. A batch's distinct words and bigrams, with their counts in either sample, are sorted by code and dealt by code
+to as many parts as the text has ``part_tokens``; so a part gets a code at most once a batch, however often it stands there.
+A part adds up its codes and answers each batch in the order it was asked; a batch's answers side by side are the counts of
+its codes, and the batch scores its documents by them. What is gathered grows with the corpus, none of it on the driver, which
+sees one pair of counts a slot and the sums of the samples. A lost executor costs a reread: batches stand written, so that
+they stay what they are.
+
+Defined results: a null or empty text is one token, the end symbol; without any target document both samples are empty and
+all losses the logarithm of the vocabulary's size; label rows with a null are ignored, any good label of a document counts;
+a null id is never in the target; an empty table gives an empty result; repeated rows are scored and counted each; other
+columns of the documents are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +30,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches, drop, enter, materialize
+from .scratch import bound_batches, drop, enter, materialize, release
 
 FOLDS = 5
+PRIOR = 10.0
 DISCOUNT = 0.1
-#: Text of a part of the bigrams, on average; a part is held in memory at about ten times that.
-PART_BYTES = 8 << 20
+SLOTS = 4096
+#: Tokens of a part of the codes, on average; a part is held in memory, at up to a hundred bytes a token.
+PART_TOKENS = 1_500_000
+#: Text of a batch (a longer document is a batch of its own).
+BATCH_TEXT = 8 << 20
 #: More parts than this share tasks, one after the other.
 MAX_TASKS = 20_000
 #: At most so many ids are broadcast (8 MB); more are joined as Spark plans it.
@@ -44,8 +52,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 #: Fixed hash of the end of a document (also what stands before its first word).
 END = 0x5BD1E9955BD1E995
 BASE = 0x9E3779B97F4A7C15 | 1
-#: Marks the documents of the target among numbers in a batch.
-TARGET = 1 << 15
+#: Kinds of documents.
+HELD, OTHER, GOOD = 0, 1, 2
 
 _tables: dict = {}
 
@@ -95,8 +103,8 @@ def word_hashes(data, starts, ends):
     return np.concatenate(hashes), np.concatenate(rows)
 
 
-def bigrams(data, starts, ends):
-    """Hash and text of each bigram, in order, and the number of each text's tokens."""
+def tokens_of(data, starts, ends):
+    """Distinct words of some texts (the end among them), each token's place in them, and the tokens of each text."""
     import numpy as np
 
     word, row = word_hashes(data, starts, ends)
@@ -104,159 +112,223 @@ def bigrams(data, starts, ends):
     token = np.empty(len(word) + len(starts), np.uint64)
     token[np.arange(len(word)) + row] = word
     token[np.cumsum(counts) + np.arange(len(starts))] = END
-    before = np.concatenate([np.array([END], np.uint64), token[:-1]])  # the end of one text stands before the next
-    return mix(before * np.uint64(0x9E3779B97F4A7C15) ^ token), np.repeat(np.arange(len(starts)), counts + 1), counts + 1
+    words, place = np.unique(token, return_inverse=True)
+    return words, place.astype(np.uint32), counts + 1
 
 
-PACKET = "part int, batch long, codes binary, rows binary, docs array<long>, sizes array<int>"
-SUMS = "batch long, rows binary, sums binary, docs array<long>, sizes array<int>, bigrams long, n long, m long"
+def codes_of(words, place):
+    """Sorted codes of the distinct words (even) and bigrams (odd), where each word and each distinct bigram went, and for
+    each token its bigram, for each bigram its two words."""
+    import numpy as np
+
+    end = int(np.searchsorted(words, np.uint64(END)))
+    before = np.concatenate([[end], place[:-1]]).astype(np.int64)  # the end of one text stands before the next
+    pair, bigram = np.unique(before * len(words) + place, return_inverse=True)
+    first, second = pair // len(words), pair % len(words)
+    single = mix(words) & ~np.uint64(1)
+    double = mix(mix(words[first]) * np.uint64(0x9E3779B97F4A7C15) ^ words[second]) | np.uint64(1)
+    codes = np.concatenate([single, double])
+    order = np.argsort(codes, kind="stable")
+    at = np.empty(len(codes), np.int64)
+    at[order] = np.arange(len(codes))
+    return codes[order], at[: len(words)], at[len(words) :], bigram, first, second
+
+
+BATCHES = "batch long, docs array<long>, sizes array<int>, kinds array<tinyint>, slots array<int>, words binary, places binary"
 
 
-def _packets(documents: DataFrame, parts: int) -> DataFrame:
-    """A packet for each batch and part, and one with the batch's documents; from doc_id, text, good."""
+def _batches(documents: DataFrame) -> DataFrame:
+    """A row a batch, from doc_id, text, kind, slot."""
 
     def emit(batches):
         import numpy as np
         import pyarrow as pa
-        import xxhash
         from pyspark import TaskContext
 
+        from .scratch import byte_slices
         from .suffixdedup import raw
 
         enter("lmscore")
-        number = TaskContext.get().partitionId() << 20
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        schema = pa.schema([("batch", pa.int64()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("kinds", pa.list_(pa.int8())), ("slots", pa.list_(pa.int32())), ("words", pa.binary()), ("places", pa.binary())])
+
+        def flush():
+            some = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            words, place, sizes = tokens_of(*raw(some.column(1)))
+            row = {"batch": number, "docs": some.column(0).to_pylist(), "sizes": sizes.tolist(), "kinds": some.column(2).to_pylist(), "slots": some.column(3).to_pylist(), "words": words.tobytes(), "places": place.tobytes()}
+            return pa.RecordBatch.from_pylist([row], schema=schema)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, TARGET):
-                some = batch.slice(at, TARGET)
-                data, starts, ends = raw(some.column(1))
-                codes, row, sizes = bigrams(data, starts, ends)
-                docs = some.column(0)
-                number += 1
-                # a batch that is made again, after a loss, is the same or goes by another name
-                name = xxhash.xxh64(codes.tobytes(), seed=number)
-                name.update(str(docs.to_pylist()))
-                key = name.intdigest() >> 1
+            for a, b in byte_slices(batch.column(1)):
+                held.append(batch.slice(a, b - a))
+                size += held[-1].column(1).nbytes
+                if size >= BATCH_TEXT:
+                    yield flush()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield flush()
+        release()
+
+    return documents.mapInArrow(emit, BATCHES)
+
+
+def _expand(row, threshold: int):
+    """Tokens of a batch's row: words, places, text of each token, and which belong to the target and the background."""
+    import numpy as np
+
+    words, place = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["places"], np.uint32)
+    kinds, slots = np.array(row["kinds"], np.int8), np.array(row["slots"])
+    text = np.repeat(np.arange(len(kinds)), np.array(row["sizes"]))
+    return words, place, text, (kinds == GOOD)[text], ((kinds == OTHER) & (slots < threshold))[text]
+
+
+PACKET = "part int, batch long, codes binary, target binary, background binary"
+ANSWER = "part int, batch long, target binary, background binary, words long, n_target long, n_background long"
+
+
+def _packets(batches: DataFrame, parts: int, threshold: int) -> DataFrame:
+    """A packet for each batch and part: codes in order, with their counts in the batch's target and background."""
+
+    def emit(tables):
+        import numpy as np
+        import pyarrow as pa
+
+        enter("lmscore")
+        for table in tables:
+            for row in table.to_pylist():
+                words, place, _, good, other = _expand(row, threshold)
+                codes, single, double, bigram, _, _ = codes_of(words, place)
+                counts = np.zeros((2, len(codes)), np.uint32)
+                for k, chosen in enumerate((good, other)):
+                    if chosen.any():
+                        counts[k, single] = np.bincount(place[chosen], minlength=len(single))
+                        counts[k, double] = np.bincount(bigram[chosen], minlength=len(double))
                 part = ((codes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-                mark = row.astype(np.uint16) | np.where(np.asarray(some.column(2))[row], np.uint16(TARGET), np.uint16(0))
-                order = np.argsort(part, kind="stable")
-                part, codes, mark = part[order], codes[order], mark[order]
                 heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                tails = np.append(heads[1:], len(part))
-                spans = list(zip(heads.tolist(), tails.tolist()))
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([*part[heads].tolist(), key % parts], pa.int32()), "batch": pa.array([key] * (len(spans) + 1), pa.int64()),
-                    "codes": pa.array([*[codes[a:b].tobytes() for a, b in spans], None], pa.binary()), "rows": pa.array([*[mark[a:b].tobytes() for a, b in spans], None], pa.binary()),
-                    "docs": pa.array([None] * len(spans) + [docs.to_pylist()], pa.list_(pa.int64())), "sizes": pa.array([None] * len(spans) + [sizes.tolist()], pa.list_(pa.int32())),
-                })
+                cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(part)])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(part[heads]), pa.array([row["batch"]] * len(heads), pa.int64()), cut(codes), cut(counts[0]), cut(counts[1])], names=["part", "batch", "codes", "target", "background"])
+        release()
 
-    return documents.mapInArrow(emit, PACKET)
+    return batches.mapInArrow(emit, PACKET)
 
 
-def _count(packets: DataFrame, parts: int) -> DataFrame:
-    """Per packet, the sums of its documents' losses (without what is the same for all bigrams); per part, its totals."""
+def _answers(packets: DataFrame, parts: int) -> DataFrame:
+    """Each packet with its codes' counts over all batches; and a row for each part with its words and tokens."""
 
-    def count(batches):
+    def add_up(tables):
         import numpy as np
         import pyarrow as pa
 
-        types = {"batch": pa.int64(), "rows": pa.binary(), "sums": pa.binary(), "docs": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "bigrams": pa.int64(), "n": pa.int64(), "m": pa.int64()}
-
-        def table(rows):
-            return pa.RecordBatch.from_pylist(rows, schema=pa.schema(list(types.items())))
+        enter("lmscore")
+        names = ["part", "batch", "target", "background", "words", "n_target", "n_background"]
+        schema = pa.schema([("part", pa.int32()), ("batch", pa.int64()), *((n, pa.binary()) for n in names[2:4]), *((n, pa.int64()) for n in names[4:])])
 
-        def flush(held):
-            codes = np.concatenate([np.frombuffer(c, np.uint64) for _, c, _ in held])
-            marks = np.concatenate([np.frombuffer(r, np.uint16) for _, _, r in held])
-            order = np.argsort(codes)
+        def flush(part, held):
+            codes = np.concatenate([np.frombuffer(c, np.uint64) for _, c, *_ in held])
+            order = np.argsort(codes, kind="stable")
             heads = np.flatnonzero(np.concatenate([[True], codes[order[1:]] != codes[order[:-1]]]))
-            good = (marks >= TARGET).astype(np.int64)
-            n, m = np.diff(np.append(heads, len(codes))), np.add.reduceat(good[order], heads)
-            losses = np.empty((2, len(codes)))
-            for out, k in zip(losses, (m, n)):
-                out[order] = np.repeat(-np.log(k + DISCOUNT), n)
-            at, sums = 0, []
-            for batch, _, r in held:
-                size = len(r) // 2
-                row = (marks[at : at + size] & np.uint16(TARGET - 1)).astype(np.int64)
-                got = np.stack([np.bincount(row), *(np.bincount(row, x[at : at + size]) for x in losses)])
-                there = np.flatnonzero(got[0])
-                sums.append({"batch": batch, "rows": there.astype(np.uint16).tobytes(), "sums": got[:, there].tobytes()})
-                at += size
-            return table([*sums, {"batch": -1, "bigrams": len(heads), "n": len(codes), "m": int(good.sum())}])
+            times, words = np.diff(np.append(heads, len(codes))), codes[order[heads]] & np.uint64(1) == 0
+            back, sums = np.empty((2, len(codes)), np.uint64), []
+            for k in (0, 1):
+                total = np.add.reduceat(np.concatenate([np.frombuffer(h[2 + k], np.uint32) for h in held])[order].astype(np.uint64), heads)
+                back[k, order] = np.repeat(total, times)
+                sums.append(int(total[words].sum()))
+            at = 0
+            for batch, c, *_ in held:
+                until = at + len(c) // 8
+                yield pa.RecordBatch.from_pylist([{"part": part, "batch": batch, "target": back[0, at:until].tobytes(), "background": back[1, at:until].tobytes()}], schema=schema)
+                at = until
+            yield pa.RecordBatch.from_pylist([{"part": part, "batch": -1, "words": int(words.sum()), "n_target": sums[0], "n_background": sums[1]}], schema=schema)
 
         held, current = [], None
-        for batch in batches:
-            for part, key, codes, rows, docs, sizes in zip(*(c.to_pylist() for c in batch.columns)):
-                if codes is None:
-                    yield table([{"batch": key, "docs": docs, "sizes": sizes}])
-                    continue
+        for table in tables:
+            for part, *packet in zip(*(c.to_pylist() for c in table.columns)):
                 if held and part != current:
-                    yield flush(held)
+                    yield from flush(current, held)
                     held = []
                 current = part
-                held.append((key, codes, rows))
+                held.append(packet)
         if held:
-            yield flush(held)
+            yield from flush(current, held)
+        release()
 
-    return packets.repartitionById(min(parts, MAX_TASKS), F.col("part") % MAX_TASKS).sortWithinPartitions("part").mapInArrow(count, SUMS)
+    return packets.repartitionById(min(parts, MAX_TASKS), F.col("part") % MAX_TASKS).sortWithinPartitions("part").mapInArrow(add_up, ANSWER)
 
 
-def _documents(sums: DataFrame) -> DataFrame:
-    """doc_id, n, t, b: tokens and summed losses of each document."""
+def _scores(batches: DataFrame, answers: DataFrame, words: int, totals: tuple[int, int]) -> DataFrame:
+    """doc_id, n, t, b: tokens and summed losses of each document, from batches and the answers to them."""
 
-    def gather(batches):
+    def gather(tables):
         import numpy as np
         import pyarrow as pa
 
-        def flush(packets, names):
-            docs, sizes = names
-            total = np.zeros((3, len(sizes)))
-            for rows, got in packets:
-                at = np.frombuffer(rows, np.uint16)
-                total[:, at] += np.frombuffer(got).reshape(3, -1)
-            if not np.array_equal(total[0], sizes):
-                raise RuntimeError("a batch is not whole")  # its documents were read in another order after a loss
-            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(total[1]), pa.array(total[2])], names=["doc_id", "n", "t", "b"])
-
-        held, names, current = [], None, None
-        for batch in batches:
-            for key, rows, got, docs, sizes in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != current and current is not None:
-                    yield flush(held, names)
-                    held, names = [], None
-                current = key
-                if docs is None:
-                    held.append((rows, got))
+        enter("lmscore")
+
+        def flush(row, target, background):
+            w, place, text, _, _ = _expand(row, 0)
+            _, single, double, bigram, first, second = codes_of(w, place)
+            out = []
+            for packets, n in zip((target, background), totals):
+                count = np.frombuffer(b"".join(packets), np.uint64).astype(float)
+                alone = (count[single] + DISCOUNT) / (n + DISCOUNT * words)
+                chance = (count[double] + PRIOR * alone[second]) / (count[single][first] + PRIOR)
+                out.append(np.bincount(text, -np.log(chance)[bigram], len(row["sizes"])))
+            return pa.RecordBatch.from_arrays([pa.array(row["docs"], pa.int64()), pa.array(row["sizes"], pa.int64()), *map(pa.array, out)], names=["doc_id", "n", "t", "b"])
+
+        row, target, background = None, [], []
+        for table in tables:
+            for got in table.to_pylist():  # a batch, then its answers by part
+                if got["part"] < 0:
+                    if row is not None:
+                        yield flush(row, target, background)
+                    row, target, background = got, [], []
                 else:
-                    names = docs, sizes
-        if current is not None:
-            yield flush(held, names)
+                    target.append(got["target"])
+                    background.append(got["background"])
+        if row is not None:
+            yield flush(row, target, background)
+        release()
 
-    of_batches = sums.where("batch >= 0").select("batch", "rows", "sums", "docs", "sizes")
-    return of_batches.repartition("batch").sortWithinPartitions("batch").mapInArrow(gather, "doc_id long, n long, t double, b double")
+    both = batches.withColumn("part", F.lit(-1)).unionByName(answers.select("part", "batch", "target", "background"), allowMissingColumns=True)
+    return both.repartition("batch").sortWithinPartitions("batch", "part").mapInArrow(gather, "doc_id long, n long, t double, b double")
 
 
 def held_out(id_column: str = "doc_id"):
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % FOLDS == 0
 
 
-def score(documents: DataFrame, labels: DataFrame, *, label="quality", id_column="doc_id", text_column="text", part_bytes: int = PART_BYTES) -> DataFrame:
+def matched(batches: DataFrame) -> tuple[int, int]:
+    """The number of slots, from the first, that hold as many tokens of other documents as the target has; all tokens."""
+    each = batches.select(F.explode(F.arrays_zip("sizes", "kinds", "slots")).alias("d")).select("d.*")
+    tokens = each.groupBy("slots").agg(F.sum(F.when(F.col("kinds") == GOOD, F.col("sizes"))).alias("good"), F.sum(F.when(F.col("kinds") == OTHER, F.col("sizes"))).alias("other"), F.sum("sizes").alias("all"))
+    rows = sorted(tokens.collect())  # at most SLOTS rows
+    wanted, seen = sum(r["good"] or 0 for r in rows), 0
+    best = wanted, 0
+    for r in rows:
+        seen += r["other"] or 0
+        best = min(best, (abs(wanted - seen), r["slots"] + 1))
+    return best[1], sum(r["all"] for r in rows)
+
+
+def score(documents: DataFrame, labels: DataFrame, *, label="quality", id_column="doc_id", text_column="text", part_tokens: int = PART_TOKENS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss (mean nats a token), score (their difference)."""
     bound_batches(documents.sparkSession)
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    good = labels.where((F.col(label) == 1) & F.col(id_column).isNotNull() & ~held_out(id_column)).select(F.col(id_column).cast("long").alias("good_id")).distinct()
-    target = materialize(good, "lm-target")
-    good = F.broadcast(target) if target.count() <= BROADCAST_IDS else target
-    flagged = rows.join(good, F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().alias("good"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // part_bytes))
-    sums = materialize(_count(_packets(flagged, parts), parts), "lm-sums")
-    drop(target)
-    totals = sums.where("batch = -1").agg(F.sum("bigrams").alias("v"), F.sum("n").alias("n"), F.sum("m").alias("m")).first()
-    v, n, m = (totals[k] or 0 for k in ("v", "n", "m"))
-    mean = lambda c, seen: F.col(c) / F.col("n") + F.log(F.lit(max(seen + DISCOUNT * v, DISCOUNT)))
-    found = _documents(sums).select("doc_id", F.col("n").alias("n_tokens"), mean("t", m).alias("target_loss"), mean("b", n).alias("background_loss"))
-    return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    usable = labels.where(F.col(id_column).isNotNull() & F.col(label).isNotNull())
+    marks = usable.groupBy(F.col(id_column).cast("long").alias("label_id")).agg(F.max(F.when(held_out(id_column), HELD).when(F.col(label) == 1, GOOD).otherwise(OTHER)).alias("mark")).where(F.col("mark") != OTHER)
+    marks = materialize(marks, "lm-labels")
+    known = F.broadcast(marks) if marks.count() <= BROADCAST_IDS else marks
+    slot = F.pmod(F.xxhash64("doc_id", F.lit("background")), F.lit(SLOTS)).cast("int")
+    kinds = rows.join(known, F.col("doc_id") == F.col("label_id"), "left").select("doc_id", "text", F.coalesce("mark", F.lit(OTHER)).cast("tinyint").alias("kind"), slot.alias("slot"))
+    batches = materialize(_batches(kinds), "lm-batches", compression="zstd")
+    drop(marks)
+    threshold, tokens = matched(batches)
+    parts = max(1, -(-tokens // part_tokens))
+    answers = materialize(_answers(_packets(batches, parts, threshold), parts), "lm-answers", compression="zstd")
+    totals = answers.where("batch = -1").agg(F.sum("words").alias("v"), F.sum("n_target").alias("t"), F.sum("n_background").alias("b")).first()
+    found = _scores(batches, answers.where("batch >= 0"), totals["v"] or 0, (totals["t"] or 0, totals["b"] or 0))
+    mean = lambda c: F.col(c) / F.col("n")
+    return found.select("doc_id", F.col("n").alias("n_tokens"), mean("t").alias("target_loss"), mean("b").alias("background_loss")).withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def op9_lm_score(spark, sf_dir: str) -> DataFrame:
