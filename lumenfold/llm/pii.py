@@ -50,16 +50,33 @@ AGAINST = "version release isbn order invoice token sha hash ref serial".split()
 FEATURES = ("length", "digits", "marks", "before", "after")
 LABELERS = ("pattern", "check", "gazetteer", "context", "edges")
 CONTEXT = 40
+#: Spans that are gathered at once.
+BLOCK = 256
+
+
+def _scan(array: str, start: str, step: str, value: str, kind: str) -> str:
+    """Running fold over an SQL array: for each element ``e``, ``value`` of the state ``s`` after ``step``; ``b`` is the state
+    before. ``kind`` is the type of a value. What has been gathered is copied once a block of ``BLOCK`` elements and not for
+    each element, so the work grows with the elements."""
+    # variables of lambdas hold what is used more than once: an expression in a lambda is computed at each step
+    blocks = f"transform(sequence(0, (size(v) - 1) div {BLOCK}), k -> slice(v, k * {BLOCK} + 1, {BLOCK}))"
+    inside = f"""aggregate(block, named_struct('s', o.s, 'out', cast(array() as array<{kind}>)), (a, e) ->
+      element_at(transform(array(named_struct('b', a.s, 's', {step.format(s='a.s')})), t -> named_struct('s', t.s, 'out', concat(a.out, array({value.format(s='t.s', b='t.b')})))), 1))"""
+    walk = f"""flatten(aggregate({blocks}, named_struct('s', {start}, 'out', cast(array() as array<array<{kind}>>)),
+      (o, block) -> element_at(transform(array({inside}), r -> named_struct('s', r.s, 'out', concat(o.out, array(r.out)))), 1), o -> o.out))"""
+    return f"element_at(transform(array({array}), v -> if(size(v) = 0, cast(array() as array<{kind}>), {walk})), 1)"
 
 
 def _spans(matches: str, pieces: str) -> str:
-    """Code-point spans of matches, from the pieces between them."""
-    return f"""if(size({matches}) = 0, cast(array() as array<struct<start:int,end:int,x:string>>),
-      aggregate(zip_with(slice({pieces}, 1, size({matches})), {matches}, (g, x) -> named_struct('g', char_length(g), 'x', x)),
-        named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,x:string>>)),
-        (s, e) -> named_struct('at', s.at + e.g + char_length(e.x),
-          'out', concat(s.out, array(named_struct('start', s.at + e.g, 'end', s.at + e.g + char_length(e.x), 'x', e.x)))),
-        s -> s.out))"""
+    """Code-point spans of matches, from the pieces between them, with the characters before and after each: what a text
+    holds is walked once, however many spans it has."""
+    n = f"size({matches})"
+    each = f"arrays_zip(slice({pieces}, 1, {n}), slice({matches}, 1, {n}), slice({pieces}, 2, {n}), slice({matches}, 2, {n}))"
+    named = f"transform({each}, z -> named_struct('g', z['0'], 'x', z['1'], 'after', left(if(z['2'] = '', coalesce(z['3'], ''), z['2']), 1)))"
+    step = f"named_struct('at', {{s}}.at + char_length(e.g) + char_length(e.x), 'tail', right(concat(right(concat({{s}}.tail, e.g), {CONTEXT}), e.x), {CONTEXT}))"
+    value = f"named_struct('start', {{s}}.at - char_length(e.x), 'end', {{s}}.at, 'x', e.x, 'before', right(concat({{b}}.tail, e.g), {CONTEXT}), 'after', e.after)"
+    kind = "struct<start:int,end:int,x:string,before:string,after:string>"
+    return f"if({n} = 0, cast(array() as array<{kind}>), {_scan(named, "named_struct('at', 0, 'tail', '')", step, value, kind)})"
 
 
 def _literal(pattern: str) -> str:
@@ -92,8 +109,7 @@ def _candidates(kind: str, column: str, base: str) -> str:
         "card": _vote(f"{DIGITS} rlike '^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)'", "true"),
         "phone": _vote(f"right({DIGITS}, 10) rlike '^[2-9][0-9]{{2}}[2-9]'"),
     }[kind]
-    before = f"substring(text, greatest(c.start - {CONTEXT}, 0) + 1, least({CONTEXT}, c.start))"
-    touch_before, touch_after = "substring(text, c.start, if(c.start > 0, 1, 0))", "substring(text, c.end + 1, 1)"
+    before, touch_before, touch_after = "c.before", "right(c.before, 1)", "c.after"
     kind_of = lambda x: f"case when {x} = '' then 'edge' when {x} rlike '[A-Za-z0-9]' then 'word' when {x} rlike r'\\s' then 'space' when {x} rlike '[.,;:!?()]' then 'mark' else 'other' end"
     return f"""transform({column}, c -> named_struct('kind', '{kind}', 'start', c.start, 'end', c.end, 'base', {base},
       'votes', concat_ws(',', {_vote(base)}, {_vote(fine, 'true')}, {known},
@@ -187,11 +203,20 @@ def find(documents: DataFrame, *, text_column="text") -> DataFrame:
     found = materialize(candidates(documents, text_column=text_column), "pii-candidates")
     weights = train(found)
     table = ", ".join(f"'{k}', {v!r}D" for k, v in weights.items())
-    logit = "aggregate(c.features, element_at(w, c.kind), (s, f) -> s + coalesce(element_at(w, concat(c.kind, '|', f)), 0D))"
-    chosen = f"filter(candidates, c -> c.base or ({logit} >= 0 and not exists(candidates, b -> b.base and b.start < c.end and c.start < b.end)))".replace("element_at(w,", f"element_at(map({table}),")
+    logit = "aggregate(c.features, element_at(w, c.kind), (s, f) -> s + coalesce(element_at(w, concat(c.kind, '|', f)), 0D))".replace("element_at(w,", f"element_at(map({table}),")
+    # a base span overlaps a wider one if it starts before its end and ends after its start: one walk from either side
+    wide = f"filter(candidates, c -> c.base or {logit} >= 0)"
+    sorted_ = f"array_sort(transform({wide}, c -> named_struct('start', c.start, 'end', c.end, 'base', c.base, 'kind', c.kind, 'hit', false)))"
+    kind = "struct<start:int,end:int,base:boolean,kind:string,hit:boolean>"
+    hit = "named_struct('start', e.start, 'end', e.end, 'base', e.base, 'kind', e.kind, 'hit', e.hit or {})"
+    found = found.withColumn("_pii_sorted", F.expr(sorted_))
+    found = found.withColumn("_pii_sorted", F.expr(f"if(forall(_pii_sorted, c -> c.base), _pii_sorted, {_scan('_pii_sorted', '-1', 'if(e.base, greatest({s}, e.end), {s})', hit.format('{s} > e.start'), kind)})"))
+    back = _scan("reverse(_pii_sorted)", "2147483647", "if(e.base, least({s}, e.start), {s})", hit.format("{s} < e.end"), kind)
+    found = found.withColumn("_pii_sorted", F.expr(f"if(forall(_pii_sorted, c -> c.base), _pii_sorted, {back})"))
+    chosen = "filter(_pii_sorted, c -> c.base or not c.hit)"
     order = F.expr(f"transform({chosen}, c -> named_struct('k', array_position(array({', '.join(map(repr, KINDS))}), c.kind), 'start', c.start, 'end', c.end, 'base', c.base, 'kind', c.kind))")
     spans = F.transform(F.array_sort(order), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base")))
-    return found.withColumn("spans", spans).drop("candidates")
+    return found.withColumn("spans", spans).drop("candidates", "_pii_sorted")
 
 
 def digest(spans: str) -> str:

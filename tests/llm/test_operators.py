@@ -503,6 +503,56 @@ def test_pii(spark, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_spans_carry_what_stands_around_them(spark, monkeypatch):
+    import random
+
+    r = random.Random(12)
+    texts = ["".join(r.choice(["7", "7", "é", " ", "ab", "\n", "x" * 45]) for _ in range(r.randrange(0, 60))) for _ in range(120)] + ["", "777", "7" * 3 + "é7"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for block in (1, 2, 5, 256):
+        monkeypatch.setattr(pii, "BLOCK", block)
+        found = frame.selectExpr("i", "regexp_extract_all(text, '7+', 0) m", "split(text, '7+', -1) p").selectExpr("i", f"{pii._spans('m', 'p')} s")
+        for i, spans in found.collect():
+            want = [(m.start(), m.end(), m[0], texts[i][max(0, m.start() - 40) : m.start()], texts[i][m.end() : m.end() + 1]) for m in re.finditer("7+", texts[i])]
+            assert [tuple(s) for s in spans] == want
+
+
+def test_pii_work_grows_with_the_spans(spark):
+    """50,000 base spans and as many wider ones in one text."""
+    import time
+
+    text = " ".join(f"call +1 (906) 555-{k % 10000:04d} or 906-555-{k % 10000:04d}, mail a{k}@site.org;" for k in range(25_000))
+    docs = spark.createDataFrame([(1, text), (2, "phone 906-555-1234")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    assert time.perf_counter() - began < 60
+    base = [(s.kind, s.start, s.end) for s in got[1] if s.base]
+    assert base == [(k, m.start(), m.end()) for k, p in (("email", r"a\d+@site\.org"), ("phone", r"\+1 \(906\) 555-\d+")) for m in re.finditer(p, text)]
+    for s in got[1]:
+        assert s.base or text[s.start : s.end].startswith("906-")
+
+
+def test_wider_spans_yield_to_base_spans(spark, monkeypatch):
+    """Overlaps are found from either side, inside and around, over block borders."""
+    import random
+
+    r = random.Random(9)
+    rows = []
+    for k in range(60):
+        cells = sorted((a, a + r.randrange(1, 12), r.random() < 0.4) for a in (r.randrange(200) for _ in range(r.randrange(30))))
+        rows.append((k, [("phone", a, b, base, "1,1,1,1,1", []) for a, b, base in cells]))
+    schema = "i int, candidates array<struct<kind:string,start:int,end:int,base:boolean,votes:string,features:array<string>>>"
+    frame = spark.createDataFrame(rows, schema)
+    monkeypatch.setattr(pii, "candidates", lambda documents, **_: documents)
+    monkeypatch.setattr(pii, "train", lambda found: {k: 1.0 for k in pii.KINDS})
+    for block in (2, 256):
+        monkeypatch.setattr(pii, "BLOCK", block)
+        for i, spans in pii.find(frame).select("i", "spans").collect():
+            own = rows[i][1]
+            want = sorted((a, b, base) for _, a, b, base, *_ in own if base or not any(y and x < b and a < z for _, x, z, y, *_ in own))
+            assert [(s.start, s.end, s.base) for s in spans] == want
+
+
 def test_em_tells_reliable_labelers():
     p = pii.em({(1, 1, 1, 0, 1): 100, (0, -1, -1, 0, -1): 100, (1, 1, 0, 0, 1): 50, (0, 1, -1, -1, -1): 30})
     assert p[1, 1, 1, 0, 1] > 0.9 and p[0, -1, -1, 0, -1] < 0.1 and pii.em({}) == {}
@@ -540,37 +590,82 @@ def test_pii_learns_which_wider_forms_to_add(spark):
 # --- 9 language-model scores
 
 
-def lm_brute_force(rows: list, good: set) -> list:
+def lm_brute_force(rows: list, good: set, other: set) -> list:
+    """Conditional bigram losses with plain counters; rows are chosen by their place."""
     import math
-
-    def grams(text):
-        found = [w.lower().encode() for w in re.findall("[^\x20\x09-\x0D]+", text or "")] + [None]
-        return list(zip([None, *found], found))
-
-    size = len({g for _, t in rows for g in grams(t)})
-    models = [[g for i, t in rows if keep(i) for g in grams(t)] for keep in (lambda i: i in good, lambda i: True)]
-    d = lmscore.DISCOUNT
-    loss = lambda seen, text: -sum(math.log((seen.count(g) + d) / (len(seen) + d * size)) for g in grams(text)) / len(grams(text))
-    return [(doc, len(grams(text)), *(loss(seen, text) for seen in models)) for doc, text in rows]
-
-
-def test_lm_scores(spark, empty):
-    held = {r.i for r in spark.range(40).selectExpr("id as i").where(lmscore.held_out("i")).collect()}
-    rows = [(i, sentence(i % 7, 5 + i % 9) + (" fine Words" if i % 2 else "")) for i in range(40)] + [(41, None), (42, ""), (1, "again fine"), (None, "x y"), (3, sentence(3, 8))]
-    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 row", "'p' pair").repartition(3)
-    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(31, None), (None, 1)], "doc_id long, quality int")
-    good = {i for i in range(1, 30, 2)} - held
-    rows_of = lambda **o: sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lmscore.score(frame, labels, **o).collect())
-    got = rows_of()
-    for g, w in zip(rows_of(part_bytes=60), got):  # many small parts
-        assert g == pytest.approx(w, rel=1e-9)
-    want = sorted((-1 if d is None else d, n, t, b) for d, n, t, b in lm_brute_force(rows, good))
-    assert len(got) == len(want) and held & set(range(30))
+    from collections import Counter
+
+    tokens = lambda t: [w.lower().encode() for w in re.findall("[^\x20\x09-\x0D]+", t or "")] + [None]
+    size = len({w for _, t in rows for w in tokens(t)})
+    out = []
+    for chosen in (good, other):
+        single, double = Counter(), Counter()
+        for k in chosen:
+            found = tokens(rows[k][1])
+            single.update(found)
+            double.update(zip([None, *found], found))
+        n, d, prior = sum(single.values()), lmscore.DISCOUNT, lmscore.PRIOR
+        alone = lambda w: (single[w] + d) / (n + d * size)
+        chance = lambda u, w: (double[u, w] + prior * alone(w)) / (single[u] + prior)
+        words = {w for _, t in rows for w in tokens(t)}
+        assert sum(chance(None, w) for w in words) == pytest.approx(1)
+        out.append([-sum(math.log(chance(u, w)) for u, w in zip([None, *tokens(t)], tokens(t))) / len(tokens(t)) for _, t in rows])
+    return [(i, len(tokens(t)), a, b) for (i, t), a, b in zip(rows, *out)]
+
+
+@pytest.mark.parametrize("options", [{}, {"part_tokens": 9}])
+def test_lm_scores(spark, empty, monkeypatch, options):
+    monkeypatch.setattr(lmscore, "SLOTS", 16)
+    held = {r.i for r in spark.range(60).selectExpr("id as i").where(lmscore.held_out("i")).collect()}
+    rows = [(i, sentence(i % 7, 5 + i % 9) + (" fine Words" if i % 2 else "")) for i in range(60)] + [(61, None), (62, ""), (1, "again fine"), (None, "x y"), (3, sentence(3, 8))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 row", "'p' part", "2 batch").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(31, None), (None, 1), (5, 0)], "doc_id long, quality int")
+    slots = dict((-1 if r.i is None else r.i, r.s) for r in frame.selectExpr("doc_id as i", "cast(pmod(xxhash64(doc_id, 'background'), 16) as int) as s").collect())
+    good = {k for k, (i, _) in enumerate(rows) if i in set(range(1, 30, 2)) - held}
+    rest = [k for k, (i, _) in enumerate(rows) if k not in good and not (i in held and i < 30)]
+    length = [len((t or "").split()) + 1 for _, t in rows]
+    wanted = sum(length[k] for k in good)
+    taken = [{k for k in rest if slots[-1 if rows[k][0] is None else rows[k][0]] < n} for n in range(17)]
+    other = min(taken, key=lambda ks: abs(wanted - sum(length[k] for k in ks)))
+    assert held & set(range(30)) and 0 < len(other) < len(rest) and abs(wanted - sum(length[k] for k in other)) < 40
+    key = lambda r: (-1 if r[0] is None else r[0], *map(float, r[1:]))
+    got = sorted(key((r.doc_id, r.n_tokens, r.target_loss, r.background_loss)) for r in lmscore.score(frame, labels, **options).collect())
+    want = sorted(key(r) for r in lm_brute_force(rows, good, other))
+    assert len(got) == len(want)
     for g, w in zip(got, want):
         assert g == pytest.approx(w, rel=1e-9)
     assert lmscore.score(empty, labels).count() == 0
-    without = {r.target_loss for r in lmscore.score(frame, labels.where("false")).collect()}
-    assert len({round(x, 9) for x in without}) == 1
+    without = {round(x, 9) for r in lmscore.score(frame, labels.where("false")).collect() for x in (r.target_loss, r.background_loss)}
+    assert len(without) == 1
+
+
+def test_lm_parts_are_even(spark):
+    """A word in every document, many times, reaches its part once a batch."""
+    rows = [(k, "the " * 200 + " ".join(f"w{k}x{j}" for j in range(50))) for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "cast(1 as tinyint) as kind", "0 as slot").repartition(4)
+    batches = lmscore.materialize(lmscore._batches(frame), "lm-test")
+    sizes = [r.n for r in lmscore._packets(batches, 256, 1).groupBy("part").agg(F.sum(F.octet_length("codes") / 8).alias("n")).collect()]
+    assert len(sizes) == 256 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
+def test_lm_ranks_held_out_labels(spark):
+    """Two manners of writing with the same words: only what follows what tells them apart."""
+    import random
+
+    r = random.Random(6)
+
+    def walk(step: int) -> str:
+        at, out = r.randrange(40), []
+        for _ in range(60):
+            out.append(f"w{at}")
+            at = (at + step) % 40 if r.random() < 0.7 else r.randrange(40)
+        return " ".join(out)
+
+    rows = [(k, walk(3 if k % 2 else 7)) for k in range(300)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, quality int")
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held", lmscore.held_out()).repartition(3)
+    got = lmscore.score(frame, labels).join(frame, "doc_id").where("held").collect()
+    assert len(got) > 40 and all((r.score < 0) == bool(r.doc_id % 2) for r in got)
 
 
 def test_lm_word_hashes_do_not_depend_on_chunks(monkeypatch):
