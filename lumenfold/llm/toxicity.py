@@ -6,8 +6,9 @@ is the log ratio of the smoothed class rates. A logistic regression is then fitt
 Buckets whose counts say nothing about the class (a likelihood-ratio test at p = 0.001) keep weight 0; every other
 bucket is a feature, whatever their number.
 
-The labelled sample is bounded by ``MAX_LABELS`` rows, chosen by a hash of the id, half of it kept for label 1; that
-bound is what makes the broadcast and the collected matrix bounded. Scoring reads every whole text.
+The labelled sample is bounded by ``MAX_LABELS`` ids, chosen by a hash of the id, half of it kept for label 1, with one
+text an id (of several, the one with the smallest hash); that bound is what makes the broadcast and the collected matrix
+bounded. Scoring reads every whole text.
 
 Defined results: a null or empty text has no features and gets the score of the intercept; a null id is never held out
 (its remainder is unknown) and never used for learning; label rows with a null are ignored; several labels of one
@@ -78,7 +79,7 @@ def held_out(id_column: str = "doc_id"):
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, *, label="toxic", id_column="doc_id", text_column="text", max_labels=MAX_LABELS) -> tuple[DataFrame, DataFrame]:
-    """All usable labels, and texts with labels of at most ``max_labels`` documents outside the held-out fold."""
+    """All usable labels, one an id; id, label and one text of at most ``max_labels`` ids outside the held-out fold."""
     usable = labels.where(F.col(id_column).isNotNull() & F.col(label).isin(0, 1) & ~held_out(id_column))
     one_each = usable.groupBy(F.col(id_column).alias("_id")).agg(F.max(label).alias("_label"))
     order = [F.xxhash64("_id"), F.col("_id")]
@@ -87,7 +88,10 @@ def training_rows(documents: DataFrame, labels: DataFrame, *, label="toxic", id_
     negative = one_each.where("_label = 0").orderBy(*order).limit(half)
     sample = positive.unionAll(negative)
     texts = documents.select(F.col(id_column).alias("_doc"), F.col(text_column).alias("_text"))
-    return one_each, texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "_label", "_text")
+    found = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id"))  # at most max_labels ids
+    # texts of an id meet as one from each task
+    first = found.groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), F.coalesce("_text", F.lit("")).alias("t"))).alias("m"))
+    return one_each, first.select("_id", "_label", F.col("m.t").alias("_text"))
 
 
 def train(documents: DataFrame, labels: DataFrame, **options) -> Model:
@@ -143,7 +147,7 @@ def _train(documents: DataFrame, labels: DataFrame, **options) -> Model:
                 out.append(at[buckets[at] == row].astype(np.int32).tobytes())
             yield pd.DataFrame({"label": batch["label"], "columns": out})
 
-    labelled = rows.mapInPandas(restrict, "label int, columns binary").toArrow()  # at most max_labels rows
+    labelled = rows.mapInPandas(restrict, "label int, columns binary").toArrow()  # at most max_labels rows, one an id
     cells = [np.frombuffer(c.as_buffer(), np.int32) for c in labelled.column("columns")]
     y = labelled.column("label").to_numpy().astype(float)
     weights, intercept = fit(cells, ratio, y, base)

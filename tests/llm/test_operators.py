@@ -236,6 +236,18 @@ def test_toxicity(spark, empty):
     assert toxicity.reject(empty, labels).count() == 0 and toxicity.reject(docs, labels.where("false")).count() == len(rows)
 
 
+def test_toxicity_learns_one_text_an_id(spark):
+    """A labelled id a hundred thousand times, with three texts, is one row of the sample."""
+    docs = spark.range(100_000).selectExpr("1L as doc_id", "concat('copy ', id % 3) as text").unionAll(spark.createDataFrame([(2, "you dunce"), (3, "fine text"), (4, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 1)], "doc_id long, toxic int")
+    for bound in (2, 100):
+        usable, rows = toxicity.training_rows(docs, labels, max_labels=bound)
+        got = rows.collect()
+        assert len(got) == len({r._id for r in got}) == min(bound, usable.count())
+    again = toxicity.training_rows(docs.repartition(7), labels)[1]
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again.collect()))
+
+
 def test_toxicity_held_out_is_crc32(spark):
     rows = spark.range(50).withColumnRenamed("id", "doc_id").select("doc_id", toxicity.held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
