@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .scratch import bound_batches, drop, enter, materialize, release
 
 FOLDS = 5
-PRIOR = 10.0
+PRIOR = 200.0
 DISCOUNT = 0.1
 SLOTS = 4096
 #: Tokens of a part of the codes, on average; a part is held in memory, at up to a hundred bytes a token.
