@@ -47,7 +47,7 @@ class Execution:
     grouped: bool = False
 
 
-def _formulas(complete: dict[str, Column]) -> dict[str, Column]:
+def formulas(complete: dict[str, Column]) -> dict[str, Column]:
     c = F.col
     out: dict[str, Column] = {}
     for p in PERIODS:
@@ -141,8 +141,8 @@ def calculate_metrics(executions, metrics, group_by=()) -> DataFrame:
     row = joined.select(*group_by, *zeros, *[F.col(c) for c in joined.columns if c.endswith("_complete")])
     have = set(row.columns)
     row = row.select("*", *[F.lit(None).cast("double").alias(f"{p}_{s}") for tool in SUMS if tool not in chosen for s in SUMS[tool] for p in PERIODS if f"{p}_{s}" not in have])
-    formulas = _formulas(complete)
-    out = row.select(*group_by, *[formulas[m].alias(m) for m in metrics])
+    by_name = formulas(complete)
+    out = row.select(*group_by, *[by_name[m].alias(m) for m in metrics])
     return out.orderBy(*group_by) if group_by else out
 
 

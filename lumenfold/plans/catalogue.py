@@ -316,7 +316,7 @@ f_daily AS (SELECT period, g.product_id, category, CAST(coalesce(sum(impressions
 SPEND = "f_spend AS (SELECT period, m.product_id, category, campaign_id, CAST(sum(spend) AS DOUBLE) AS spend FROM f_marketing m JOIN periods ON date BETWEEN a AND b JOIN f_products p ON p.product_id = m.product_id GROUP BY ALL)"
 
 
-def _derived(metrics: list[str], group_by: list[str], *, sales: str = "f_sales", traffic: bool = True) -> str:
+def derived(metrics: list[str], group_by: list[str], *, sales: str = "f_sales", traffic: bool = True, days: str = "15") -> str:
     """SELECT of derived metrics from the CTEs of the window queries."""
     both = ("current", "previous")
     on = ", ".join(group_by)
@@ -331,7 +331,7 @@ def _derived(metrics: list[str], group_by: list[str], *, sales: str = "f_sales",
     parts = [sums(sales, ["gmv", "orders", "refund_orders"])]
     if traffic:
         parts += [sums("f_daily", ["impressions", "clicks", "visits", "observed_days"]), sums("f_spend", ["spend"])]
-        inner = ", ".join(f"coalesce(max(observed_days) FILTER (period = '{p}'), -1) = 15 AS {p}_ok" for p in both)
+        inner = ", ".join(f"coalesce(max(observed_days) FILTER (period = '{p}'), -1) = {days} AS {p}_ok" for p in both)
         parts.append(f"(SELECT {lead}{', '.join(f'bool_and({p}_ok) AS {p}_full' for p in both)} FROM (SELECT {lead}product_id AS pid, {inner} FROM f_daily GROUP BY {lead}product_id) {by})")
     source = parts[0] + " s0"
     for k, part in enumerate(parts[1:], 1):
@@ -394,12 +394,12 @@ ORACLES = {
     "query_traffic": f"WITH {FUNNEL}, {GRID} SELECT * FROM f_daily",
     "query_traffic_complete": f"WITH {FUNNEL}, {GRID} SELECT * FROM f_daily WHERE missing_days = 0",
     "query_marketing": f"WITH {FUNNEL}, {SPEND} SELECT * FROM f_spend",
-    "metrics_total": _ALL + _derived(COMMON_METRICS, []),
-    "metrics_by_product": _ALL + _derived(list(derive.METRICS), ["product_id"]),
-    "metrics_by_category": _ALL + _derived(COMMON_METRICS, ["category"]),
-    "metrics_by_product_category": _ALL + _derived(COMMON_METRICS, ["product_id", "category"]),
-    "metrics_by_region": f"WITH {FUNNEL}, {_funnel_sales()} " + _derived(SALES_METRICS, ["region"], traffic=False),
-    "metrics_by_channel": f"WITH {COMMERCE} " + _derived(SALES_METRICS, ["channel"], sales="c_sales", traffic=False),
+    "metrics_total": _ALL + derived(COMMON_METRICS, []),
+    "metrics_by_product": _ALL + derived(list(derive.METRICS), ["product_id"]),
+    "metrics_by_category": _ALL + derived(COMMON_METRICS, ["category"]),
+    "metrics_by_product_category": _ALL + derived(COMMON_METRICS, ["product_id", "category"]),
+    "metrics_by_region": f"WITH {FUNNEL}, {_funnel_sales()} " + derived(SALES_METRICS, ["region"], traffic=False),
+    "metrics_by_channel": f"WITH {COMMERCE} " + derived(SALES_METRICS, ["channel"], sales="c_sales", traffic=False),
     "daily_kpis": f"WITH {FUNNEL}, {KPI} SELECT * FROM kpi",
     "coverage_gaps": f"WITH {FUNNEL}, d AS (SELECT date, count(*) AS observed_rows, (SELECT count(*) FROM f_products) AS total_rows FROM f_traffic GROUP BY date) SELECT *, CAST(observed_rows AS DOUBLE) / total_rows AS coverage FROM d WHERE observed_rows < total_rows",
     "summary_stats": f"WITH {FUNNEL}, {KPI} "
@@ -476,7 +476,7 @@ def _answer_sql(task: str) -> str:
     cells = ", ".join(f"'{name} ' || {_shown(c, kind)}" for part in answers.FIELDS[task] for c, name, kind in part)
     missing = " OR ".join(f"{m} IS NULL" for m in runner.METRICS[task])
     order = f"{column} {direction.upper()} NULLS LAST, product_id"
-    metrics = _ALL + _derived(runner.METRICS[task], ["product_id"])
+    metrics = _ALL + derived(runner.METRICS[task], ["product_id"])
     return f"SELECT CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rank, '- ' || {label} || '：' || concat_ws('；', {cells}) AS line, {missing} AS missing FROM ({metrics}) ORDER BY {order} LIMIT 5"
 
 
