@@ -110,6 +110,36 @@ def query_marketing(tables: Tables, windows: DataFrame) -> DataFrame:
 RUN = {"query_sales": query_sales, "query_traffic": query_traffic, "query_marketing": query_marketing}
 
 
+def sums(results: dict[str, DataFrame], keys: list[str]) -> list[DataFrame]:
+    """For each result by name, a row for each of ``keys`` with the sums of either period and the number of rows."""
+    parts = []
+    for tool, rows in results.items():
+        # money is summed as decimals, so the order of rows can't change a total
+        exact = {s: F.col(s).cast("decimal(28,6)") if s in ("gmv", "spend") else F.col(s) for s in derive.SUMS[tool]}
+        values = [F.sum(F.when(F.col("period") == p, x)).cast("double" if s in ("gmv", "spend") else "long").alias(f"{p}_{s}") for s, x in exact.items() for p in PERIODS]
+        parts.append(rows.groupBy(*keys).agg(F.count("*").alias(f"{tool}_rows"), *values))
+    return parts
+
+
+def _days(windows: DataFrame) -> DataFrame:
+    return windows.groupBy("window_id").agg(*[F.max(F.when(F.col("period") == p, F.datediff("end", "start") + 1)).alias(f"{p}_days") for p in PERIODS])
+
+
+def completeness(traffic: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
+    """For each of ``keys``, whether each of its products, in either period, was observed on all days of a period."""
+    per_product = traffic.groupBy(*dict.fromkeys([*keys, "product_id"])).agg(*[F.sum(F.when(F.col("period") == p, F.col("observed_days"))).alias(p) for p in PERIODS])
+    return per_product.join(_days(windows), "window_id").groupBy(*keys).agg(*[F.bool_and(F.coalesce(F.col(p) == F.col(f"{p}_days"), F.lit(False))).alias(f"{p}_complete") for p in PERIODS])
+
+
+def formulas_over(joined: DataFrame) -> tuple[DataFrame, dict]:
+    """``joined`` sums with zeros for what a result lacks and nulls for results that are not there, and the metrics over it."""
+    have = set(joined.columns)
+    others = [c for c in joined.columns if not any(c == f"{p}_{s}" for names in derive.SUMS.values() for s in names for p in PERIODS)]
+    cells = [(F.coalesce(F.col(c), F.lit(0)) if c in have else F.lit(None).cast("double")).alias(c) for names in derive.SUMS.values() for s in names for p in PERIODS for c in [f"{p}_{s}"]]
+    complete = {p: F.coalesce(F.col(f"{p}_complete"), F.lit(False)) if f"{p}_complete" in have else F.lit(True) for p in PERIODS}
+    return joined.select(*others, *cells), derive.formulas(complete)
+
+
 def calculate_metrics(windows: DataFrame, results: dict[str, DataFrame], metrics, group_by=()) -> DataFrame:
     """``window_id``, ``group_by``, ``metrics`` for each window pair, from results of the queries above by name. Without
     groups each window has one row, whatever the results hold."""
@@ -120,21 +150,11 @@ def calculate_metrics(windows: DataFrame, results: dict[str, DataFrame], metrics
     if "evidence_value" in metrics and group_by != ["product_id"]:
         raise ValueError("evidence_value is defined by product only")
     keys = ["window_id", *group_by]
-    days = windows.groupBy("window_id").agg(*[F.max(F.when(F.col("period") == p, F.datediff("end", "start") + 1)).alias(f"{p}_days") for p in PERIODS])
-    parts = [] if group_by else [days.select("window_id")]
-    for tool in needed:
-        exact = {s: F.col(s).cast("decimal(28,6)") if s in ("gmv", "spend") else F.col(s) for s in derive.SUMS[tool]}
-        values = [F.sum(F.when(F.col("period") == p, x)).cast("double" if s in ("gmv", "spend") else "long").alias(f"{p}_{s}") for s, x in exact.items() for p in PERIODS]
-        parts.append(results[tool].groupBy(*keys).agg(*values))
+    parts = sums({t: results[t] for t in needed}, keys)
+    if not group_by:
+        parts = [windows.select("window_id").distinct(), *parts]
     joined = reduce(lambda a, b: a.join(b, keys, "full" if group_by else "left"), parts)
-    complete = {p: F.lit(True) for p in PERIODS}
     if "query_traffic" in needed:
-        per_product = results["query_traffic"].groupBy(*dict.fromkeys([*keys, "product_id"])).agg(*[F.sum(F.when(F.col("period") == p, F.col("observed_days"))).alias(p) for p in PERIODS])
-        flags = per_product.join(days, "window_id").groupBy(*keys).agg(*[F.bool_and(F.coalesce(F.col(p) == F.col(f"{p}_days"), F.lit(False))).alias(f"{p}_complete") for p in PERIODS])
-        joined = joined.join(flags, keys, "left")
-        complete = {p: F.coalesce(F.col(f"{p}_complete"), F.lit(False)) for p in PERIODS}
-    have = set(joined.columns)
-    cells = [(F.coalesce(F.col(c), F.lit(0)) if c in have else F.lit(None).cast("double")).alias(c) for tool in derive.SUMS for s in derive.SUMS[tool] for p in PERIODS for c in [f"{p}_{s}"]]
-    row = joined.select(*keys, *cells, *[c for c in joined.columns if c.endswith("_complete")])
-    formulas = derive.formulas(complete)
-    return row.select(*keys, *[formulas[m].alias(m) for m in metrics])
+        joined = joined.join(completeness(results["query_traffic"], windows, keys), keys, "left")
+    row, by_name = formulas_over(joined)
+    return row.select(*keys, *[by_name[m].alias(m) for m in metrics])

@@ -24,8 +24,11 @@ SCHEMA = "sequence int, case_id string, split string, dataset_id string, dataset
 
 def check_record(record: dict) -> None:
     """ValueError unless a record is complete, agrees with its status and holds no forbidden key."""
-    if set(record) != RECORD_KEYS or record["split"] not in SPLITS or record["status"] not in STATUSES or record["usage"] is not None:
+    if set(record) != RECORD_KEYS or record["split"] not in SPLITS or record["status"] not in STATUSES:
         raise ValueError(f"malformed record {record.get('case_id')}")
+    use = record["usage"]
+    if use is not None and (set(use) != {"prompt_tokens", "completion_tokens", "total_tokens"} or any(type(v) is not int or v < 0 for v in use.values()) or use["prompt_tokens"] + use["completion_tokens"] != use["total_tokens"]):
+        raise ValueError(f"{record['case_id']}: usage doesn't add up")
     done = record["status"] == "completed"
     if (record["final_answer"] is not None) != done or (record["error_code"] is None) != done:
         raise ValueError(f"{record['case_id']}: answer and error don't fit its status")

@@ -460,7 +460,7 @@ CASES = f"""WITH {GOLD}, {_cells()},
   cases AS (SELECT *, CASE WHEN place <= 30 THEN 'easy' WHEN place <= 70 THEN 'medium' ELSE 'hard' END AS difficulty FROM placed)"""
 
 
-def _shown(name: str, kind: str) -> str:
+def shown(name: str, kind: str) -> str:
     percent = f"round(CAST({name} AS DECIMAL(28,10)) * 100, 2)"
     text = {
         "money": f"'¥' || format('{{:,.2f}}', CAST(CAST(round(CAST({name} AS DECIMAL(28,6)), 2) AS DECIMAL(18,2)) AS DOUBLE))",
@@ -473,7 +473,7 @@ def _shown(name: str, kind: str) -> str:
 def _answer_sql(task: str) -> str:
     column, direction = answers.ORDER[task]
     label = "product_id" if task == "conversion_decline" else "'Cohort ' || CAST(CAST(substr(product_id, 2) AS INTEGER) AS VARCHAR) || '（' || product_id || '）'"
-    cells = ", ".join(f"'{name} ' || {_shown(c, kind)}" for part in answers.FIELDS[task] for c, name, kind in part)
+    cells = ", ".join(f"'{name} ' || {shown(c, kind)}" for part in answers.FIELDS[task] for c, name, kind in part)
     missing = " OR ".join(f"{m} IS NULL" for m in runner.METRICS[task])
     order = f"{column} {direction.upper()} NULLS LAST, product_id"
     metrics = _ALL + derived(runner.METRICS[task], ["product_id"])

@@ -1,4 +1,5 @@
-"""Registered queries over tables of windows, and their SQL counterparts: 200 overlapping pairs of windows at once."""
+"""Registered queries over tables of windows or requests, and their SQL counterparts: 200 overlapping pairs of windows, and a
+hundred requests, at once."""
 
 from __future__ import annotations
 
@@ -6,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import derive, periods
 from ..sources import testdata
-from . import catalogue
+from . import answers, batched, catalogue, runner
 
-WINDOWS = 200
+WINDOWS, REQUESTS = 200, 100
 
 
 def _table(spark, as_of, step: int, around: int, least: int, spread: int, ids: str):
@@ -52,7 +53,22 @@ def _metrics(metrics, group_by):
     return run
 
 
+def requests_table(spark, as_of):
+    """Requests of all tasks in turn, with windows of 3 to 10 days that end up to 11 days ago; some name products."""
+    task = F.element_at(F.array(*[F.lit(t) for t in runner.PATHS]), (F.col("id") % len(runner.PATHS) + 1).cast("int"))
+    ids = F.expr("case when id % 4 = 0 then array(concat('P', lpad(cast(id % 70 as string), 3, '0')), 'P002') when id % 9 = 0 then array('P999') else array() end")
+    last = F.date_sub(F.lit(as_of), (F.col("id") % 11).cast("int"))
+    return spark.range(REQUESTS).select(F.concat(F.lit("R"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("request_id"), task.alias("task"), ids.alias("product_ids"), F.date_sub(last, (2 + F.col("id") % 8).cast("int")).alias("start"), last.alias("end"))
+
+
+def batch_answers(spark, sf_dir):
+    """Answers to a hundred requests from one plan."""
+    tables = testdata.funnel(spark, sf_dir)
+    return batched.answer(tables, requests_table(spark, tables.traffic.agg(F.max("date")).first()[0]))
+
+
 QUERIES = {
+    "batch_answers": batch_answers,
     "query_sales_periods": query_sales_periods,
     "query_traffic_periods": query_traffic_periods,
     "query_marketing_periods": query_marketing_periods,
@@ -91,3 +107,43 @@ ORACLES = {
     "metrics_periods": f"{BASE} {catalogue.derived(catalogue.COMMON_METRICS, ['window_id'], days=DAYS)}",
     "metrics_periods_by_product": f"{BASE} {catalogue.derived(list(derive.METRICS), ['window_id', 'product_id'], days=DAYS)}",
 }
+
+
+_TASKS = list(runner.PATHS)
+_WANTED = list(dict.fromkeys(m for names in runner.METRICS.values() for m in names))
+
+
+def _by_task(texts: dict[str, str]) -> str:
+    return "CASE task " + " ".join(f"WHEN '{task}' THEN {text}" for task, text in texts.items()) + " END"
+
+
+def _line(part) -> str:
+    return "'- ' || label || concat_ws('；', " + ", ".join(f"'{name} ' || {catalogue.shown(c, kind)}" for c, name, kind in part) + ")"
+
+
+_SORT = {task: f"{column} * {1 if direction == 'asc' else -1}" for task, (column, direction) in answers.ORDER.items()}
+_MISSING = {task: " OR ".join(f"{m} IS NULL" for m in metrics) for task, metrics in runner.METRICS.items()}
+_WHOLE = {task: _line([f for part in parts for f in part]) for task, parts in answers.FIELDS.items()}
+_SPLIT = {task: " || chr(10) || ".join(_line(part) for part in parts) for task, parts in answers.FIELDS.items()}
+
+ORACLES["batch_answers"] = f"""WITH {catalogue.FUNNEL},
+  r0 AS (SELECT k, 'R' || lpad(CAST(k AS VARCHAR), 3, '0') AS window_id, [{', '.join(f"'{t}'" for t in _TASKS)}][CAST(k % {len(_TASKS)} + 1 AS INT)] AS task,
+    CASE WHEN k % 4 = 0 THEN ['P' || lpad(CAST(k % 70 AS VARCHAR), 3, '0'), 'P002'] WHEN k % 9 = 0 THEN ['P999'] END AS ids, CAST((SELECT max(date) FROM f_traffic) - CAST(k % 11 AS INT) AS DATE) AS e, CAST(3 + k % 8 AS INT) AS n FROM range({REQUESTS}) t(k)),
+  r AS (SELECT *, CAST(e - n + 1 AS DATE) AS s, task IN ('product_anomaly', 'next_week_priority', 'products_to_watch') OR (task = 'conversion_decline' AND ids IS NOT NULL) AS grouped FROM r0),
+  w AS (SELECT window_id, 'current' AS period, s AS a, e AS b, n, ids, task, grouped FROM r UNION ALL SELECT window_id, 'previous', CAST(s - n AS DATE), CAST(s - 1 AS DATE), n, ids, task, grouped FROM r),
+  {SALES.replace('f_sales AS', 'raw_sales AS')}, {TRAFFIC.replace('f_daily AS', 'raw_daily AS').replace('FROM w JOIN', "FROM (SELECT * FROM w WHERE task <> 'gmv_diagnosis') w JOIN")},
+  f_sales AS (SELECT x.*, CASE WHEN grouped THEN product_id ELSE '' END AS scope FROM raw_sales x JOIN r USING (window_id)),
+  f_daily AS (SELECT x.*, CASE WHEN grouped THEN product_id ELSE '' END AS scope FROM raw_daily x JOIN r USING (window_id)),
+  f_spend AS (SELECT window_id, scope, 'current' AS period, CAST(0 AS DOUBLE) AS spend FROM f_sales WHERE FALSE),
+  m AS ({catalogue.derived(_WANTED, ['window_id', 'scope'], days=DAYS)}),
+  counts AS (SELECT window_id, (SELECT count(*) FROM raw_sales x WHERE x.window_id = r.window_id) AS n_sales, CASE WHEN task <> 'gmv_diagnosis' THEN (SELECT count(*) FROM raw_daily x WHERE x.window_id = r.window_id) END AS n_traffic,
+    CASE WHEN task = 'product_anomaly' AND ids IS NOT NULL THEN (SELECT count(*) FROM f_products p WHERE list_contains(ids, p.product_id)) END AS n_products, (SELECT count(*) FROM m WHERE m.window_id = r.window_id) AS n_found FROM r),
+  c AS (SELECT *, CASE WHEN (SELECT grouped FROM r WHERE r.window_id = counts.window_id) THEN n_found ELSE 1 END AS n_metrics FROM counts),
+  ranked AS (SELECT m.*, task, grouped, row_number() OVER (PARTITION BY window_id ORDER BY {_by_task(_SORT)} NULLS LAST, scope) AS rank, {_by_task(_MISSING)} AS missing,
+    CASE WHEN NOT grouped THEN '' WHEN task = 'product_anomaly' AND ids IS NOT NULL THEN 'Cohort ' || CAST(CAST(substr(scope, 2) AS INTEGER) AS VARCHAR) || '（' || scope || '）：' ELSE scope || '：' END AS label FROM m JOIN r USING (window_id)),
+  lines AS (SELECT window_id, bool_or(missing) AS limited, string_agg(CASE WHEN grouped THEN {_by_task(_WHOLE)} ELSE {_by_task(_SPLIT)} END, chr(10) ORDER BY rank) AS text FROM ranked WHERE rank <= {answers.TOP} GROUP BY window_id),
+  f AS (SELECT *, n_sales = 0 OR coalesce(n_traffic = 0, FALSE) OR n_metrics = 0 OR coalesce(n_products = 0, FALSE) AS warned FROM r JOIN c USING (window_id) LEFT JOIN lines USING (window_id))
+  SELECT window_id AS request_id, n_sales, n_traffic, n_products, n_metrics, CASE WHEN NOT warned THEN limited END AS limited,
+    '数据来源：{batched.SOURCE_LABEL}。' || chr(10) || '时间窗口：当前期 ' || s || ' 至 ' || e || '；对照期 ' || CAST(s - n AS DATE) || ' 至 ' || CAST(s - 1 AS DATE) || '。' || chr(10)
+    || CASE WHEN warned THEN '{answers.INSUFFICIENT.format(answers.REASONS["warning"])}' WHEN limited THEN '{answers.LIMITED}' ELSE {_by_task({t: f"'{c}'" for t, c in answers.CONCLUSIONS.items()})} END
+    || CASE WHEN warned THEN '' ELSE chr(10) || text END AS answer FROM f"""
