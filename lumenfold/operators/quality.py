@@ -17,7 +17,7 @@ PATTERNS = {"product_id": "^P[0-9]{3}$", "customer_id": "^C[0-9]{4}$", "campaign
 REFERENCES = [("traffic", "product_id", "products"), ("marketing", "product_id", "products"), ("orders", "product_id", "products"), ("orders", "customer_id", "customers")]
 
 
-def _row_rules(name: str, *, identifiers: bool = True) -> dict[str, str]:
+def row_rules(name: str, *, identifiers: bool = True) -> dict[str, str]:
     """Rule name to the SQL condition that each row must meet."""
     metrics = ("impressions", "clicks", "visits")
     rules = {
@@ -50,7 +50,7 @@ ABOUT = {"name": "product_name", "missing": "is_missing", "sign": "impressions",
 def table_errors(name: str, df: DataFrame, *, identifiers: bool = True) -> DataFrame:
     """table, key, location (column), type (missing or value_error) and message for each row rule that a row breaks."""
     found = []
-    for rule, condition in _row_rules(name, identifiers=identifiers).items():
+    for rule, condition in row_rules(name, identifiers=identifiers).items():
         column = rule if rule in df.columns else ABOUT.get(rule, rule)
         kind = F.when(F.col(column).isNull(), "missing").otherwise("value_error")
         broken = F.struct(F.lit(column).alias("location"), kind.alias("type"), F.lit(condition).alias("message"))
@@ -101,15 +101,10 @@ def revenue_violations(orders: DataFrame) -> DataFrame:
 
 
 def report(tables: Tables, *, identifiers: bool = True) -> DataFrame:
-    """check and failed (how many cases), in fixed order."""
-    t = dict(tables.items())
-    checks: list[tuple[str, DataFrame]] = [(f"schema:{n}", table_errors(n, t[n], identifiers=identifiers)) for n in TABLES]
-    checks += [(f"key:{n}", duplicate_keys(t[n], KEYS[n])) for n in TABLES]
-    checks += [(f"reference:{c}.{k}", broken_references(t[c], t[p], k)) for c, k, p in REFERENCES]
-    checks += [("grain:traffic", grain_gaps(tables, t["traffic"])), ("grain:marketing", grain_gaps(tables, t["marketing"]))]
-    checks += [("funnel", funnel_violations(t["traffic"])), ("revenue", revenue_violations(t["orders"]))]
-    parts = [df.agg(F.count("*").alias("failed")).select(F.lit(k).alias("position"), F.lit(n).alias("check"), "failed") for k, (n, df) in enumerate(checks)]
-    return reduce(DataFrame.unionAll, parts).orderBy("position").select("check", "failed")
+    """check and failed (how many cases), in fixed order; each table is scanned once."""
+    from . import validation
+
+    return validation.examine(tables, identifiers=identifiers).select("check", "failed")
 
 
 #: Names of the checks in the order in which they are reported.
@@ -128,12 +123,14 @@ def validate(tables: dict[str, DataFrame], products: int, customers: int) -> dic
     customers; without the five tables nothing else is checked."""
     if set(tables) != set(TABLES):
         return {"status": "fail", "errors": ["required_tables"], "schema_errors": [], "rows": {}}
+    from . import validation
+
     whole = Tables(**tables)
-    failed = {r.check: r.failed for r in report(whole).collect()}
+    found = validation.sums(whole).collect()[0].asDict()  # one row
+    failed = {c: found.get(c) or 0 for c in validation.CHECKS if not c.startswith("grain:")}
+    failed |= {f"grain:{n}": validation.gaps(found, n) for n in validation.DAILY} | {f"funnel:{n}": found[n] or 0 for n in ("impressions", "visits")}
     failed["ids:products"] = id_differences(tables["products"], "product_id", "P", products).count()
     failed["ids:customers"] = id_differences(tables["customers"], "customer_id", "C", customers).count()
-    traffic = tables["traffic"].where("not is_missing")
-    failed["funnel:impressions"], failed["funnel:visits"] = traffic.agg(F.expr("count_if(impressions < clicks)"), F.expr("count_if(visits < clicks)")).first()
     errors = [name for name, check in NAMES.items() if failed[check]]
     details = [r.asDict() for n in TABLES if failed[f"schema:{n}"] for r in table_errors(n, tables[n]).orderBy("key", "location").collect()]
-    return {"status": "fail" if errors else "pass", "errors": errors, "schema_errors": details, "rows": {n: df.count() for n, df in tables.items()}}
+    return {"status": "fail" if errors else "pass", "errors": errors, "schema_errors": details, "rows": {n: found[f"rows:{n}"] or 0 for n in TABLES}}
