@@ -19,15 +19,22 @@ def contained(root: Path, relative: str | Path) -> Path:
     return target
 
 
-def read_regular(path: Path) -> bytes:
-    """Bytes of a regular file; symbolic links and devices are refused."""
+def open_regular(path: Path):
+    """A regular file, open for reading; symbolic links and devices are refused."""
     try:
         fd = os.open(path, os.O_RDONLY | os.O_NOFOLLOW | os.O_NONBLOCK)
     except OSError as e:
         raise ValueError(f"{path} is no regular file") from e
-    with os.fdopen(fd, "rb") as f:
-        if not stat.S_ISREG(os.fstat(f.fileno()).st_mode):
-            raise ValueError(f"{path} is no regular file")
+    f = os.fdopen(fd, "rb")
+    if not stat.S_ISREG(os.fstat(fd).st_mode):
+        f.close()
+        raise ValueError(f"{path} is no regular file")
+    return f
+
+
+def read_regular(path: Path) -> bytes:
+    """Bytes of a regular file."""
+    with open_regular(path) as f:
         return f.read()
 
 

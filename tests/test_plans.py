@@ -334,7 +334,11 @@ def test_distributed_snapshot(spark, tables, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in plan
     with pytest.raises(FileExistsError):
         lake.write(tables, folder)
-    tables.customers.limit(1).write.mode("append").parquet(f"{folder}/customers.parquet")
+    tables.customers.limit(1).write.mode("append").parquet(f"{folder}/{manifest['data']}/customers")  # a file that the manifest doesn't name
+    assert lake.read(spark, folder)[1].customers.count() == tables.customers.count()
+    some = next((tmp_path / "lake" / manifest["data"] / "customers").glob("*.parquet"))
+    named = tmp_path / "lake" / manifest["data"] / "customers" / next(iter(manifest["tables"]["customers"]["files"]))
+    named.write_bytes(some.read_bytes() + b"x")
     with pytest.raises(ValueError):
         lake.read(spark, folder)
 
