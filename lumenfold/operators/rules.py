@@ -73,9 +73,33 @@ def product_metrics(tables: Tables, windows: Windows) -> DataFrame:
     )
 
 
-def gmv_change(tables: Tables, days: int = DAYS) -> DataFrame:
-    """One row, also where there are no orders."""
+@dataclass(frozen=True)
+class Frame:
+    """The latest windows and the wide frame over them, which all rules read."""
+
+    windows: Windows
+    wide: DataFrame
+
+
+#: A frame of at most so many products is fetched to be read several times.
+SETTLED = 10_000
+
+
+def frame(tables: Tables, days: int = DAYS, *, settle: bool = False) -> Frame:
+    """The frame of the rules; ``settle`` computes it now, for callers that read it several times. It has a row a product;
+    where there are more than ``SETTLED``, it stays a plan."""
     windows = latest(tables, days)
+    wide = product_metrics(tables, windows)
+    if settle:
+        rows = wide.limit(SETTLED + 1).collect()
+        if len(rows) <= SETTLED:
+            wide = wide.sparkSession.createDataFrame(rows, wide.schema)
+    return Frame(windows, wide)
+
+
+def gmv_change(tables: Tables, days: int = DAYS, *, given: Frame | None = None) -> DataFrame:
+    """One row, also where there are no orders."""
+    windows = given.windows if given else latest(tables, days)
     per_order = tables.orders.where(windows.either("order_date")).groupBy("order_id").agg(
         *[F.sum(F.when(windows.within("order_date", p), F.col("revenue"))).alias(f"{p}_gmv") for p in windows.periods],
         *[F.max(windows.within("order_date", p).cast("int")).alias(f"{p}_orders") for p in windows.periods],
@@ -85,8 +109,9 @@ def gmv_change(tables: Tables, days: int = DAYS) -> DataFrame:
     return total.select(*windows.columns(), "*", change_rate("current_gmv", "previous_gmv").alias("gmv_change_rate"), change_rate("current_aov", "previous_aov").alias("aov_change_rate"))
 
 
-def product_anomalies(tables: Tables, days: int = DAYS) -> DataFrame:
-    windows = latest(tables, days)
+def product_anomalies(tables: Tables, days: int = DAYS, *, given: Frame | None = None) -> DataFrame:
+    given = given or frame(tables, days)
+    windows = given.windows
     traffic_fell, sales_fell = F.col("traffic_change_rate") <= LIMITS.drop, F.col("gmv_change_rate") <= LIMITS.drop
     kind = F.coalesce(
         F.when(F.col("gaps"), "missing_traffic"),
@@ -96,20 +121,22 @@ def product_anomalies(tables: Tables, days: int = DAYS) -> DataFrame:
         F.when(F.col("cvr_change") <= LIMITS.conversion, "conversion_drop"),
         F.when(sales_fell & (F.col("aov_change_rate") <= LIMITS.drop), "sales_drop"),
     )
-    found = product_metrics(tables, windows).withColumn("anomaly_type", kind).where(F.col("anomaly_type").isNotNull())
+    found = given.wide.withColumn("anomaly_type", kind).where(F.col("anomaly_type").isNotNull())
     shown = ["product_id", "anomaly_type", "traffic_change_rate", "current_cvr", "previous_cvr", "current_refund_rate", "gmv_change_rate", "aov_change_rate", "current_observed_days", "previous_observed_days"]
     return found.select(*windows.columns(), *shown).orderBy("product_id")
 
 
-def conversion_decline(tables: Tables, days: int = DAYS, top: int = TOP) -> DataFrame:
-    windows = latest(tables, days)
-    found = product_metrics(tables, windows).where("cvr_change < 0")
+def conversion_decline(tables: Tables, days: int = DAYS, top: int = TOP, *, given: Frame | None = None) -> DataFrame:
+    given = given or frame(tables, days)
+    windows = given.windows
+    found = given.wide.where("cvr_change < 0")
     shown = ["product_id", "current_cvr", "previous_cvr", "cvr_change", *[f"{p}_{m}" for m in ("orders", "visits", "observed_days") for p in windows.periods]]
     return found.select(*windows.columns(), *shown).orderBy("cvr_change", "product_id").limit(top)
 
 
-def products_to_watch(tables: Tables, days: int = DAYS, top: int = TOP) -> DataFrame:
-    windows = latest(tables, days)
+def products_to_watch(tables: Tables, days: int = DAYS, top: int = TOP, *, given: Frame | None = None) -> DataFrame:
+    given = given or frame(tables, days)
+    windows = given.windows
     branches = [
         (F.col("gaps"), "data_quality_review"),
         (F.col("current_refund_rate") >= LIMITS.refund, "refund_risk"),
@@ -117,12 +144,13 @@ def products_to_watch(tables: Tables, days: int = DAYS, top: int = TOP) -> DataF
         (F.col("gmv_change_rate") <= LIMITS.decline, "gmv_decline"),
     ]
     hit = first_match(*[(test, {"rank": F.lit(k), "reason": F.lit(reason)}) for k, (test, reason) in enumerate(branches)])
-    found = product_metrics(tables, windows).withColumn("hit", hit).where("hit is not null").orderBy("hit.rank", "product_id").limit(top)
+    found = given.wide.withColumn("hit", hit).where("hit is not null").orderBy("hit.rank", "product_id").limit(top)
     return found.select(*windows.columns(), "product_id", F.col("hit.reason").alias("watch_reason"), "gmv_change_rate", "cvr_change", F.col("current_refund_rate").alias("refund_rate"), "current_observed_days", "previous_observed_days").orderBy("hit.rank", "product_id")
 
 
-def next_week_priorities(tables: Tables, days: int = DAYS, top: int = TOP) -> DataFrame:
-    windows = latest(tables, days)
+def next_week_priorities(tables: Tables, days: int = DAYS, top: int = TOP, *, given: Frame | None = None) -> DataFrame:
+    given = given or frame(tables, days)
+    windows = given.windows
     least = F.least("current_observed_days", "previous_observed_days").cast("double")
     branches = [
         (F.col("gaps"), "repair_data_quality", "observed_days", least),
@@ -132,7 +160,7 @@ def next_week_priorities(tables: Tables, days: int = DAYS, top: int = TOP) -> Da
     ]
     hit = first_match(*[(test, {"rank": F.lit(k), "reason": F.lit(reason), "metric": F.lit(metric), "value": value}) for k, (test, reason, metric, value) in enumerate(branches)])
     order = [F.col("hit.rank"), F.abs(F.col("hit.value")).desc(), F.col("product_id")]
-    found = product_metrics(tables, windows).withColumn("hit", hit).where("hit is not null").orderBy(*order).limit(top)
+    found = given.wide.withColumn("hit", hit).where("hit is not null").orderBy(*order).limit(top)
     return found.select(*windows.columns(), "product_id", F.col("hit.reason").alias("priority_reason"), F.col("hit.metric").alias("evidence_metric"), F.col("hit.value").alias("evidence_value"), "current_observed_days", "previous_observed_days").orderBy(*order)
 
 

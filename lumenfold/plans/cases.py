@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import canonical, strict
-from ..operators.rules import RULES
+from ..operators.ranks import numbered
+from ..operators.rules import RULES, frame
 from . import contract as agreed
 from .contract import CAPABILITIES, DEFAULT, INSUFFICIENT, INSUFFICIENT_PRODUCT, TASK_RULES, TASKS, TOP, VALIDATION, WEIGHTS
 from .tools import SOURCE_LABEL
@@ -83,10 +84,11 @@ def rank_columns(rule: str) -> list:
 
 
 def evidence(tables, days: int = 30) -> dict[str, DataFrame]:
-    """Rows of each task's rule, numbered EV_<TASK>_<NNN> in rule order; results hold at most a row a product."""
-    out = {}
+    """Rows of each task's rule, numbered EV_<TASK>_<NNN> in rule order. The rules read one frame, which is computed once;
+    results hold at most a row a product, of which the pattern of ids allows a thousand."""
+    out, given = {}, frame(tables, days, settle=True)
     for task in TASKS:
-        rows = RULES[TASK_RULES[task]](tables, days)
+        rows = RULES[TASK_RULES[task]](tables, days, given=given)
         order = Window.orderBy(*rank_columns(TASK_RULES[task])) if "product_id" in rows.columns else None
         numbered = rows.withColumn("number", F.lit(1) if order is None else F.row_number().over(order))
         out[task] = numbered.withColumn("evidence_id", F.format_string(f"EV_{task.upper()}_%03d", "number"))
@@ -101,10 +103,10 @@ def _pairs(columns: list[str]):
     return F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("string"))]) if columns else F.create_map().cast("map<string,string>")
 
 
-def gold(tables, days: int = 30) -> DataFrame:
+def gold(tables, days: int = 30, frames: dict[str, DataFrame] | None = None) -> DataFrame:
     """task, number, product_id, evidence_id, dimensions and metrics (maps of text) of every row of every rule."""
     parts = []
-    for task, rows in evidence(tables, days).items():
+    for task, rows in (frames or evidence(tables, days)).items():
         product = F.col("product_id") if "product_id" in rows.columns else F.lit(None).cast("string")
         parts.append(rows.select(F.lit(task).alias("task"), "number", product.alias("product_id"), "evidence_id", _pairs([c for c in rows.columns if c in DIMENSIONS]).alias("dimensions"), _pairs(metrics_of(rows)).alias("metrics")))
     out = parts[0]
@@ -124,10 +126,9 @@ def distractors(tables, gold_rows: DataFrame, dataset_id: str) -> DataFrame:
 
 def difficulty(scored: DataFrame, score: str = "score", case_id: str = "case_id") -> DataFrame:
     """Cases ranked by score, then id: the first 30 % easy, the next 40 % medium, the rest hard."""
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    rank = F.row_number().over(Window.orderBy(score, case_id))  # evaluation sets hold hundreds of cases
-    share = (rank - 1) / n
-    return scored.withColumn("difficulty", F.when(share < EASY, "easy").when(share < MEDIUM, "medium").otherwise("hard"))
+    ranked, n = numbered(scored, score, case_id, output="_rank")
+    share = (F.col("_rank") - 1) / F.lit(n)
+    return ranked.withColumn("difficulty", F.when(share < EASY, "easy").when(share < MEDIUM, "medium").otherwise("hard")).drop("_rank")
 
 
 def grid(spark, contract: agreed.Contract = DEFAULT) -> DataFrame:
@@ -223,7 +224,7 @@ def build(spark, datasets: dict, contract: agreed.Contract = DEFAULT, days: int
     out = []
     for split, (tables, identity) in datasets.items():
         frames = evidence(tables, days)
-        gold_rows = gold(tables, days)
+        gold_rows = gold(tables, days, frames)
         rows = {t: [r.asDict() | {"source": TASK_RULES[t]} for r in df.orderBy("number").collect()] for t, df in frames.items()}  # a row a product
         free = {r.task: r.distractor for r in distractors(tables, gold_rows, identity["dataset_id"]).collect()}
         for cell in case_table(grid(spark, contract), gold_rows).where(F.col("split") == split).collect():

@@ -2,7 +2,7 @@
 
 Every fact has a random stream of its own, keyed by seed, field, date, product and sequence, so any partition can make any
 product-day. Products and customers are small and made on the driver; traffic, marketing and orders each come from a pass
-of ``mapInPandas`` over the product-day grid.
+of ``mapInPandas`` over the product-day grid, whose streams are seeded and drawn from as arrays (``streams``).
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ import re
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 from decimal import ROUND_HALF_UP, Decimal
-from itertools import islice
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from . import streams
 from .schemas import SCHEMAS, Tables
 
 CENT = Decimal("0.01")
@@ -41,7 +41,9 @@ DROPS = {"sales_drop", "traffic_drop", "conversion_drop", "multi_factor_drop"}
 RISES = {"high_refund", "extreme_traffic_spike"}
 #: What an anomaly changes, where it is not a multiplier.
 TOUCHES = {"missing_traffic": ("observation",)}
-FACTS = "kind string, date date, product_id string, impressions long, clicks long, visits long, is_missing boolean, campaign_id string, spend decimal(18,2), order_id string, customer_id string, quantity long, unit_price decimal(18,2), revenue decimal(18,2), is_refund boolean, status string"
+TRAFFIC = "date date, product_id string, impressions long, clicks long, visits long, is_missing boolean"
+MARKETING = "date date, product_id string, campaign_id string, cents long"
+ORDERS = "order_id string, product_id string, customer_id string, order_date date, quantity long, cents long, is_refund boolean"
 
 
 @dataclass(frozen=True)
@@ -135,58 +137,80 @@ def effects(config: Config, product_id: str, day: int) -> dict[str, float]:
     return out
 
 
-def product_day(config: Config, day: int, product_id: str, price: Decimal):
-    """Traffic, marketing and order facts of one product on one day."""
-    today, n = config.start + timedelta(days=day), int(product_id[1:])
-    effect = effects(config, product_id, day)
-    of = lambda name, k=None: stream(config.seed, f"{name}|{today.isoformat()}|{product_id}" + ("" if k is None else f"|{k}"))
-    expected = (850 + 12 * n) * (1.12 if today.weekday() >= 5 else 1.0) * (1 + 0.0008 * day) * effect["traffic"]
-    impressions = int(of("traffic.impressions").poisson(expected))
-    clicks = int(of("traffic.clicks").binomial(impressions, min(MAX_CTR, 0.07 + (n % 5) * 0.01)))
-    visits = clicks + int(of("traffic.visits").poisson(max(4, clicks * 0.12)))
-    hidden = bool(effect["missing"])
-    shown = (None, None, None) if hidden else (impressions, clicks, visits)
-    yield ("traffic", today, product_id, *shown, hidden) + (None,) * 9
-    rate = Decimal("0.012") + Decimal(day % 7) * Decimal("0.0005")
-    yield ("marketing", today, product_id, None, None, None, None, f"M{n:03d}", _cents(Decimal(impressions) * rate)) + (None,) * 7
-    count = int(of("orders.count").binomial(visits, min(MAX_CONVERSION, (0.035 + (n % 4) * 0.008) * effect["conversion"])))
-    refund_share = min(MAX_REFUND, (0.035 + (n % 3) * 0.01) * effect["refund"])
-    unit = _cents(price * Decimal(str(effect["aov"])))
-    for k in range(1, count + 1):
-        customer = f"C{int(of('orders.customer', k).integers(1, config.customers + 1)):04d}"
-        quantity = int(of("orders.quantity", k).choice(list(QUANTITIES)))
-        refunded = bool(of("orders.refund", k).random() < refund_share)
-        yield ("orders", today, product_id, None, None, None, None, None, None, f"O{today:%Y%m%d}-{product_id}-{k:06d}", customer, quantity, unit, _cents(unit * quantity), refunded, "refunded" if refunded else "paid")
+def _visits(config: Config, days: list[tuple[int, str]]):
+    """impressions, clicks and visits of each day and product, their stream keys and effects."""
+    keys = [f"{(config.start + timedelta(days=day)).isoformat()}|{product_id}" for day, product_id in days]
+    held = [effects(config, product_id, day) for day, product_id in days]
+    of = lambda field: streams.generators(config.seed, [f"{field}|{k}" for k in keys])
+    numbers, weekend = [int(p[1:]) for _, p in days], [(config.start + timedelta(days=d)).weekday() >= 5 for d, _ in days]
+    expected = [(850 + 12 * n) * (1.12 if late else 1.0) * (1 + 0.0008 * day) * effect["traffic"] for n, late, (day, _), effect in zip(numbers, weekend, days, held)]
+    impressions = [int(g.poisson(x)) for g, x in zip(of("traffic.impressions"), expected)]
+    clicks = [int(g.binomial(x, min(MAX_CTR, 0.07 + (n % 5) * 0.01))) for g, x, n in zip(of("traffic.clicks"), impressions, numbers)]
+    visits = [c + int(g.poisson(max(4, c * 0.12))) for g, c in zip(of("traffic.visits"), clicks)]
+    return impressions, clicks, visits, keys, held
+
+
+def traffic_rows(config: Config, days: list[tuple[int, str]]) -> list[tuple]:
+    impressions, clicks, visits, _, held = _visits(config, days)
+    hide = lambda x, effect: None if effect["missing"] else x
+    return [(config.start + timedelta(days=d), p, hide(i, e), hide(c, e), hide(v, e), bool(e["missing"])) for (d, p), i, c, v, e in zip(days, impressions, clicks, visits, held)]
+
+
+def marketing_rows(config: Config, days: list[tuple[int, str]]) -> list[tuple]:
+    """Spend in cents, rounded half up: a rate of 0.012 and 0.0005 more on each day of a week."""
+    impressions = _visits(config, days)[0]
+    return [(config.start + timedelta(days=d), p, f"M{p[1:]}", (i * (24 + d % 7) + 10) // 20) for (d, p), i in zip(days, impressions)]
+
+
+def order_rows(config: Config, days: list[tuple[int, str]], prices: list[Decimal]) -> list[tuple]:
+    """Orders with their unit price in cents."""
+    import numpy as np
+
+    _, _, visits, keys, held = _visits(config, days)
+    numbers = [int(p[1:]) for _, p in days]
+    generators = streams.generators(config.seed, [f"orders.count|{k}" for k in keys])
+    counts = [int(g.binomial(v, min(MAX_CONVERSION, (0.035 + (n % 4) * 0.008) * e["conversion"]))) for g, v, n, e in zip(generators, visits, numbers, held)]
+    refund = np.repeat([min(MAX_REFUND, (0.035 + (n % 3) * 0.01) * e["refund"]) for n, e in zip(numbers, held)], counts)
+    cents = [int(_cents(price * Decimal(str(e["aov"]))).scaleb(2)) for price, e in zip(prices, held)]
+    of = lambda field: [f"{field}|{key}|{k}" for key, count in zip(keys, counts) for k in range(1, count + 1)]
+    customers = streams.below(config.seed, of("orders.customer"), config.customers) + 1
+    quantities = np.array(QUANTITIES)[streams.below(config.seed, of("orders.quantity"), len(QUANTITIES))]
+    refunded = streams.uniform(config.seed, of("orders.refund")) < refund
+    out = zip(((d, p, c, k) for (d, p), c, count in zip(days, cents, counts) for k in range(1, count + 1)), customers.tolist(), quantities.tolist(), refunded.tolist())
+    dates = {d: config.start + timedelta(days=d) for d, _ in days}
+    return [(f"O{dates[d]:%Y%m%d}-{p}-{k:06d}", p, f"C{customer:04d}", dates[d], quantity, c, back) for (d, p, c, k), customer, quantity, back in out]
 
 
 def generate(spark: SparkSession, config: Config) -> Tables:
     products = spark.createDataFrame(product_rows(config), SCHEMAS["products"])
     customers = spark.createDataFrame(customer_rows(config), SCHEMAS["customers"])
-    names = [part.split()[0] for part in FACTS.split(", ")]
 
     grid = spark.range(config.days).withColumnRenamed("id", "day").crossJoin(F.broadcast(products.select("product_id", "price")))  # at most 999 products
     grid = grid.repartition("day", "product_id")
 
-    def pick(kind):
-        # a day's traffic and marketing come first, so its orders are made for their own table only
-        most = None if kind == "orders" else 2
+    def make(rows_of, schema):
+        names = [part.split()[0] for part in schema.split(", ")]
 
-        def make(batches):
+        def run(batches):
             import pandas as pd
 
             for batch in batches:
-                days = (product_day(config, int(day), product_id, price) for day, product_id, price in zip(batch["day"], batch["product_id"], batch["price"]))
-                rows = [row for facts in days for row in islice(facts, most) if row[0] == kind]
-                yield pd.DataFrame(rows, columns=names).astype(object).where(lambda x: x.notna(), None)
+                days = list(zip(batch["day"].tolist(), batch["product_id"].tolist()))
+                for at in range(0, len(days), 1000):
+                    more = (batch["price"].tolist()[at : at + 1000],) if rows_of is order_rows else ()
+                    rows = rows_of(config, days[at : at + 1000], *more)
+                    yield pd.DataFrame(rows, columns=names).astype(object).where(lambda x: x.notna(), None)
 
-        return grid.mapInPandas(make, FACTS)
+        return grid.mapInPandas(run, schema)
 
+    money = lambda cents: F.expr(f"cast(cast({cents} as decimal(20,0)) * 0.01BD as decimal(18,2))")
+    status = F.when(F.col("is_refund"), "refunded").otherwise("paid").alias("status")
     return Tables(
         products,
         customers,
-        pick("traffic").select("date", "product_id", "impressions", "clicks", "visits", "is_missing"),
-        pick("marketing").select("date", "product_id", "campaign_id", "spend"),
-        pick("orders").select("order_id", "product_id", "customer_id", F.col("date").alias("order_date"), "quantity", "unit_price", "revenue", "is_refund", "status"),
+        make(traffic_rows, TRAFFIC),
+        make(marketing_rows, MARKETING).select("date", "product_id", "campaign_id", money("cents").alias("spend")),
+        make(order_rows, ORDERS).select("order_id", "product_id", "customer_id", "order_date", "quantity", money("cents").alias("unit_price"), money("cents * quantity").alias("revenue"), "is_refund", status),
     )
 
 
