@@ -7,8 +7,10 @@ of bound and stops when the bound falls below its kth score; a block whose bound
 it may hold a tie with a smaller id.
 
 The rows are written once as ranges (ids and integer matrix of at most ``RANGE_ROWS`` rows or ``RANGE_BYTES``), the queries
-likewise as blocks. One job pairs every query block with every range; a task carries each query's k best over all of its
-ranges, so later ranges are pruned by them, and returns k rows a query; a window over these picks the k best.
+likewise as blocks. Ranges are dealt to runs of about ``RUN_BYTES``, query blocks to groups of about ``GROUP_BYTES``, and each
+run meets each group once, by key: a run goes out once for each group, a group once for each run. There, the blocks of all
+ranges of the run are ordered together for each query, and a query keeps its k best; so memory is one run and one group,
+whatever the number of queries. A window over the k rows of each query and run picks the k best.
 
 Defined results: rows with a null id or vector, or with a null or non-finite component, take no part; a shorter vector
 counts as padded with zeros; equal scores go to the smaller id; a repeated candidate row is as many candidates; a query
@@ -26,6 +28,7 @@ from .scratch import bound_batches, materialize
 SCALE, K = 1024, 10
 BLOCK_ROWS, QUERY_ROWS = 256, 2048
 RANGE_ROWS, RANGE_BYTES = 8192, 4 << 20
+RUN_BYTES = GROUP_BYTES = 32 << 20
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -37,7 +40,7 @@ def usable(vectors: DataFrame, *, id_column="vec_id", vector_column="embedding")
 
 
 class Blocks:
-    """Rows of one range, cut into blocks of consecutive ids."""
+    """Rows of one run, cut into blocks of consecutive ids."""
 
     def __init__(self, ids, values, block_rows: int = BLOCK_ROWS):
         import numpy as np
@@ -116,35 +119,48 @@ def pack(rows: DataFrame, n_rows: int) -> DataFrame:
     return rows.mapInArrow(ranges, "width int, ids binary, values binary")
 
 
+def _parts(packed: DataFrame, size: int, least: int) -> int:
+    """How many parts of about ``size`` bytes; at least ``least``, where there are so many rows to deal."""
+    found = packed.agg(F.count("*").alias("n"), F.sum(F.octet_length("values")).alias("bytes")).first()
+    return max(1, -(-(found["bytes"] or 0) // size), min(least, found["n"]))
+
+
 def search(vectors: DataFrame, queries: DataFrame, *, k: int = K, query_rows: int = QUERY_ROWS, block_rows: int = BLOCK_ROWS, range_rows: int = RANGE_ROWS, **names) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows of ``vectors`` for each row of ``queries``."""
     bound_batches(vectors.sparkSession)
     ranges = materialize(pack(usable(vectors, **names), range_rows), "topk-ranges")
     asked = usable(queries, **names).groupBy("id").agg(F.min("x").alias("x"))
     blocks = materialize(pack(asked, query_rows), "topk-queries")
-    # a query set in blocks against all ranges: each pair of (query block, range) is one row of one job
-    pairs = blocks.select(*[F.col(c).alias(f"q_{c}") for c in blocks.columns]).crossJoin(ranges)
+    runs = _parts(ranges, RUN_BYTES, vectors.sparkSession.sparkContext.defaultParallelism)
+    groups = _parts(blocks, GROUP_BYTES, 1)
+    dealt = lambda n: F.pmod(F.xxhash64("ids", "width"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    sides = ranges.select("*", dealt(runs).alias("run"), every(groups).alias("group")), blocks.select("*", dealt(groups).alias("group"), every(runs).alias("run"))
 
-    def scan(batches):
+    def scan(own, asking):
         import numpy as np
         import pyarrow as pa
 
-        best: dict = {}  # of the query blocks of this task, carried over all of its ranges
-        for batch in batches:
-            for q_width, q_ids, q_values, width, ids, values in zip(*(c.to_pylist() for c in batch.columns)):
-                query_ids, ids, wide = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64), max(q_width, width)
-                of_block = best.setdefault(q_ids, {})  # a query is in one block only
-                pad = lambda v, n, w: np.pad(np.frombuffer(v).reshape(n, w), ((0, 0), (0, wide - w)))
-                Blocks(ids, pad(values, len(ids), width), block_rows).search(query_ids, pad(q_values, len(query_ids), q_width), k, of_block)
-        for q_ids, found in best.items():
-            if found:
-                n = [len(ids) for ids, _ in found.values()]
-                q = np.repeat(np.frombuffer(q_ids, np.int64)[list(found)], n)
-                ids = np.concatenate([ids for ids, _ in found.values()])
-                scores = [int(s) for _, scores in found.values() for s in scores]
-                yield pa.RecordBatch.from_pydict({"query_id": q, "vec_id": ids, "score": pa.array(scores, pa.int64())})
-
-    found = pairs.mapInArrow(scan, RESULT)
+        out = {"query_id": [], "vec_id": [], "score": []}
+        by_width: dict = {}
+        for width, ids, values in zip(*(own.column(c).to_pylist() for c in ("width", "ids", "values"))):
+            by_width.setdefault(width, []).append((np.frombuffer(ids, np.int64), np.frombuffer(values).reshape(-1, width)))
+        stored = [(width, Blocks(np.concatenate([i for i, _ in parts]), np.concatenate([v for _, v in parts]), block_rows)) for width, parts in sorted(by_width.items())]
+        by_width.clear()
+        for width, ids, values in zip(*(asking.column(c).to_pylist() for c in ("width", "ids", "values"))):
+            query_ids, best = np.frombuffer(ids, np.int64), {}
+            asked = np.frombuffer(values).reshape(len(query_ids), width)
+            for wide, rows in stored:
+                # what is longer than the other side meets zeros there
+                fit = np.pad(asked, ((0, 0), (0, wide - width))) if wide > width else asked[:, :wide]
+                rows.search(query_ids, fit, k, best)
+            for q, (found, scores) in best.items():
+                out["query_id"] += [query_ids[q]] * len(found)
+                out["vec_id"] += found.tolist()
+                out["score"] += [int(s) for s in scores]
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
+
+    found = sides[0].groupBy("run", "group").cogroup(sides[1].groupBy("run", "group")).applyInArrow(scan, RESULT)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -427,14 +427,34 @@ def test_topk_prunes_and_keeps_exact_sums():
     assert best_of([big], [9], [[2.0**30, 1.0]], 2)[0][1] == [2**60 + 2, 2**60 + 1]
 
 
-def test_topk_returns_k_rows_a_query_from_each_task(spark, monkeypatch):
+def test_topk_returns_k_rows_a_query_from_each_run(spark, monkeypatch):
     seen = []
     vectors = spark.range(0, 3000, 1, 2).selectExpr("id as vec_id", "array(cast(id % 97 as double), 1D) as embedding")
     frame_of = type(vectors).withColumn
     monkeypatch.setattr(type(vectors), "withColumn", lambda self, name, col: (seen.append(self) if name == "rank" else None) or frame_of(self, name, col))
     assert topk.search(vectors, vectors.where("vec_id % 100 = 0"), k=4, range_rows=100).count() == 30 * 4
     [found] = seen
-    assert found.count() <= 4 * 30 * found.rdd.getNumPartitions()
+    assert found.count() <= 4 * 30 * spark.sparkContext.defaultParallelism
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("run", "group"), [(1, 1), (500, 200), (1 << 20, 1 << 20)])
+def test_topk_in_many_runs_and_groups(spark, monkeypatch, run, group):
+    """However runs and query groups are cut, and whatever widths meet, the results are the same."""
+    import numpy as np
+
+    monkeypatch.setattr(topk, "RUN_BYTES", run)
+    monkeypatch.setattr(topk, "GROUP_BYTES", group)
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=r.integers(1, 7)).round(2).tolist()) for i in range(150)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [(x.query_id, x["rank"], x.vec_id, x.score) for x in topk.search(vectors, vectors.where("vec_id % 10 = 0"), k=5, query_rows=4, block_rows=8, range_rows=20).orderBy("query_id", "rank").collect()]
+    fine = {i: np.floor(1024 * np.pad(np.array(v), (0, 8 - len(v)))).astype(int) for i, v in rows}
+    want = []
+    for q in range(0, 150, 10):
+        best = sorted((-int(fine[q] @ v), i) for i, v in fine.items() if i != q)[:5]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert got == want
 
 
 # --- 7 near duplicates
