@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches, cache, enter, materialize, new_path, release
+from .scratch import BATCH_BYTES, bound_batches, cache, enter, materialize, new_path, release
 
 END_ID = 0
 LEVEL = 1
@@ -265,8 +265,12 @@ def read_tokens(spark: SparkSession, files: DataFrame, doc_ids: list[int] | None
                 with system.open_input_file(local) as stream:
                     frames = FrameReader(stream, stream.size())
                     starts = first + np.concatenate([[0], np.cumsum(frames.sizes.astype(np.int64) // 4)])
-                    for at in range(0, len(frames), 512):
-                        span = range(at, min(at + 512, len(frames)))
+                    ends = np.cumsum(frames.sizes.astype(np.int64))
+                    at = 0
+                    while at < len(frames):
+                        # frames of BATCH_BYTES as they were before compression, or one
+                        until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, side="right")))
+                        span, at = range(at, until), until
                         if wanted is not None:
                             keep = [k for k in span if not frames.nulls[k] and int(frames.doc_ids[k]) in wanted]
                             sums = [zlib.crc32(next(frames.frames(k, k + 1))) for k in keep]
