@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 PLACE = 33  # bits of a row's place in its partition, as monotonically_increasing_id gives it
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
+def checkpoint_dir(spark: SparkSession) -> None:
     """The session's folder; a local session without one gets its own, a cluster without one is an error."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
@@ -31,7 +31,7 @@ def numbered(rows: DataFrame, *keys, output: str = "rank", ranges: int | None =
     """``rows`` with their rank from 1 in the order of ``keys``, and how many there are. Rows that agree in all keys get
     neighbouring ranks in either order."""
     spark = rows.sparkSession
-    _checkpoint_dir(spark)
+    checkpoint_dir(spark)
     dealt = rows.repartitionByRange(ranges, *keys) if ranges else rows.repartitionByRange(*keys)
     placed = dealt.sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright("_at", PLACE)

@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, requests
+from ..functions.request_table import parse_table
 from ..functions.requests import Request
 from ..operators import periods
+from ..operators.ranks import checkpoint_dir
 from . import answers, runner
 from .tools import DERIVE, PRODUCT, SALES, SOURCE_LABEL, TRAFFIC, default_registry
 
@@ -124,6 +126,8 @@ def run(tables, texts: list[str], as_of: date, dataset_id: str = "") -> list[run
 
 
 def answer_column(tables, texts: DataFrame, as_of: date, *, text="text", request_id="request_id") -> DataFrame:
-    """``answer`` for a table of texts of any size, which are parsed on the executors."""
-    parsed = texts.select(F.col(request_id).cast("string").alias("request_id"), requests.parse_column(F.col(text), as_of).alias("p"))
-    return answer(tables, parsed.select("request_id", "p.task", "p.product_ids", "p.start", "p.end"))
+    """``answer`` for a table of texts of any size, which are parsed on the executors, once: the parsed requests are
+    checkpointed, as the plan reads them in several places."""
+    checkpoint_dir(texts.sparkSession)
+    parsed = parse_table(texts.select(F.col(request_id).cast("string").alias("request_id"), F.col(text).alias("text")), as_of, output="p")
+    return answer(tables, parsed.select("request_id", "p.task", "p.product_ids", "p.start", "p.end").checkpoint())

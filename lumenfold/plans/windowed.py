@@ -3,8 +3,11 @@ hundred requests, at once."""
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
+from ..functions.request_table import parse_table
 from ..operators import derive, periods
 from ..sources import testdata
 from . import answers, batched, catalogue, runner
@@ -67,7 +70,39 @@ def batch_answers(spark, sf_dir):
     return batched.answer(tables, requests_table(spark, tables.traffic.agg(F.max("date")).first()[0]))
 
 
+REQUEST_DAY = date(2026, 4, 30)
+#: Texts of requests by number modulo ten, as SQL that both engines read: {a} and {b} are product ids, {n} a number of days,
+#: {d} and {e} dates; with what each asks for: task, ids, first and last day, reason.
+_DEFAULT = ("DATE '2026-04-01'", "DATE '2026-04-30'")
+_LAST = ("CAST(DATE '2026-04-30' - (n - 1) AS DATE)", "DATE '2026-04-30'")
+REQUEST_TEXTS = (
+    ("concat('分析', a, '商品的异常')", "'product_anomaly'", "a", *_DEFAULT, "NULL"),
+    ("concat('最近', n, '天GMV变化，不要看', a)", "'gmv_diagnosis'", "''", *_LAST, "NULL"),
+    ("concat('不要分析', a, '商品异常,改为诊断GMV变化')", "'gmv_diagnosis'", "''", *_DEFAULT, "NULL"),
+    ("concat(d, '至', e, '转化率下降了吗')", "'conversion_decline'", "''", "CAST(d AS DATE)", "CAST(e AS DATE)", "NULL"),
+    ("concat('你好，', a)", "NULL", "a", *_DEFAULT, "'no_task_signal'"),
+    ("concat('近', n, '天和前', n, '天ＧＭＶ走势')", "'gmv_diagnosis'", "''", *_LAST, "NULL"),
+    ("concat('最近', n, '天 2026-04-01 GMV变化')", "NULL", "''", *_DEFAULT, "'conflicting_dates'"),
+    ("concat('据称', a, '拖累了销售额；请看', b, '的成交波动')", "'gmv_diagnosis'", "b", *_DEFAULT, "NULL"),
+    ("concat('核实', a, '；此说法不可作证据；下周优先处理', b, '和', lower(a))", "'next_week_priority'", "CASE WHEN a = b THEN a ELSE concat(b, ',', a) END", *_DEFAULT, "NULL"),
+    ("concat('关注', a, '商品，最近', 366 + n, '天')", "NULL", "a", *_DEFAULT, "'window_too_large'"),
+)
+
+
+def parse_requests(spark, sf_dir):
+    """A request for each order, parsed by DataFrame functions."""
+    digits = lambda c: F.concat(F.lit("P"), F.lpad((F.col(c) % 1000).cast("string"), 3, "0"))
+    day = F.lit(REQUEST_DAY)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", digits("o_orderkey").alias("a"), digits("o_custkey").alias("b"), (1 + F.col("o_orderkey") % 60).alias("n"))
+    first = F.date_sub(day, (5 + F.col("o_orderkey") % 40).cast("int"))
+    orders = orders.select("*", first.cast("string").alias("d"), F.date_add(first, (F.col("o_orderkey") % 5).cast("int")).cast("string").alias("e"))
+    text = "case o_orderkey % 10 " + " ".join(f"when {k} then {row[0]}" for k, row in enumerate(REQUEST_TEXTS)) + " end"
+    parsed = parse_table(orders.select("o_orderkey", F.expr(text).alias("text")), REQUEST_DAY)
+    return parsed.select("o_orderkey", "request.task", F.array_join("request.product_ids", ",").alias("ids"), F.col("request.start").alias("first_day"), F.col("request.end").alias("last_day"), "request.reason")
+
+
 QUERIES = {
+    "parse_requests": parse_requests,
     "batch_answers": batch_answers,
     "query_sales_periods": query_sales_periods,
     "query_traffic_periods": query_traffic_periods,
@@ -147,3 +182,8 @@ ORACLES["batch_answers"] = f"""WITH {catalogue.FUNNEL},
     '数据来源：{batched.SOURCE_LABEL}。' || chr(10) || '时间窗口：当前期 ' || s || ' 至 ' || e || '；对照期 ' || CAST(s - n AS DATE) || ' 至 ' || CAST(s - 1 AS DATE) || '。' || chr(10)
     || CASE WHEN warned THEN '{answers.INSUFFICIENT.format(answers.REASONS["warning"])}' WHEN limited THEN '{answers.LIMITED}' ELSE {_by_task({t: f"'{c}'" for t, c in answers.CONCLUSIONS.items()})} END
     || CASE WHEN warned THEN '' ELSE chr(10) || text END AS answer FROM f"""
+
+_wanted = lambda k: "CASE o_orderkey % 10 " + " ".join(f"WHEN {i} THEN {row[k]}" for i, row in enumerate(REQUEST_TEXTS)) + " END"
+ORACLES["parse_requests"] = f"""WITH p AS (SELECT o_orderkey, 'P' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') AS a, 'P' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') AS b, CAST(1 + o_orderkey % 60 AS INT) AS n,
+    CAST(DATE '2026-04-30' - CAST(5 + o_orderkey % 40 AS INT) AS DATE) AS d, CAST(DATE '2026-04-30' - CAST(5 + o_orderkey % 40 AS INT) + CAST(o_orderkey % 5 AS INT) AS DATE) AS e FROM orders)
+  SELECT o_orderkey, {_wanted(1)} AS task, {_wanted(2)} AS ids, {_wanted(3)} AS first_day, {_wanted(4)} AS last_day, {_wanted(5)} AS reason FROM p"""
