@@ -137,7 +137,7 @@ def grid(spark, contract: agreed.Contract = DEFAULT) -> DataFrame:
     cells = spark.range(1).select(values(TASKS, "task")).select("*", values(CAPABILITIES, "capability")).select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("variant"))
     number = (F.col("task_at") * len(CAPABILITIES) + F.col("capability_at")) * 2 + F.col("variant")
     key = F.concat_ws(":", "task", "capability", F.col("variant").cast("string"))
-    frozen = [f"{task}:{capability}:{variant}" for capability, pairs in VALIDATION.items() for task, variant in pairs]
+    frozen = [f"{task}:{capability}:{variant}" for task, capability, variant in VALIDATION]
     lookup = lambda table: F.create_map(*[x for k, v in table.items() for x in (F.lit(k), v)])
     tools = lookup({f"{t}:{c}": F.array(*[F.lit(x) for x in contract.tools(t, c)]) for t in TASKS for c in CAPABILITIES})
     short = F.col("capability") == "data_insufficiency"

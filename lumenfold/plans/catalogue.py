@@ -446,7 +446,7 @@ def _cells() -> str:
             for variant in (1, 2):
                 source, answerable, _ = contract.INSUFFICIENT[task]
                 short = capability == "data_insufficiency"
-                split = "public_validation" if (task, variant) in contract.VALIDATION[capability] else "development"
+                split = "public_validation" if (task, capability, variant) in contract.VALIDATION else "development"
                 tools = contract.DEFAULT.tools(task, capability)
                 per_row = len(answerable) if short else RULE_ROWS[task][1]
                 rows.append(f"({(i * 10 + j) * 2 + variant}, '{task}', '{capability}', {variant}, '{split}', '{','.join(tools)}', {len(tools)}, {weight}, '{source if short else task}', {'NULL' if short else contract.TOP[task]}, {per_row})")

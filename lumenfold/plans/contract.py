@@ -30,19 +30,39 @@ WEIGHTS = {
 }
 CAPABILITIES = tuple(WEIGHTS)
 SPLITS = ("development", "public_validation")
-#: Capability to the (task, variant) pairs of the public validation split.
-VALIDATION = {
-    "basic_query": (("gmv_diagnosis", 1), ("gmv_diagnosis", 2), ("product_anomaly", 1)),
-    "metric_calculation": (("product_anomaly", 2), ("conversion_decline", 1), ("conversion_decline", 2)),
-    "tool_selection": (("products_to_watch", 2), ("next_week_priority", 1), ("next_week_priority", 2)),
-    "parameter_selection": (("conversion_decline", 1), ("conversion_decline", 2), ("products_to_watch", 1)),
-    "multi_step_reasoning": (("product_anomaly", 2), ("products_to_watch", 1), ("products_to_watch", 2)),
-    "anomaly_detection": (("gmv_diagnosis", 1), ("gmv_diagnosis", 2), ("product_anomaly", 1)),
-    "root_cause_analysis": (("products_to_watch", 2), ("next_week_priority", 1), ("next_week_priority", 2)),
-    "recommendation": (("products_to_watch", 1), ("next_week_priority", 1), ("next_week_priority", 2)),
-    "data_insufficiency": (("product_anomaly", 2), ("conversion_decline", 1), ("conversion_decline", 2)),
-    "adversarial_distractor": (("gmv_diagnosis", 1), ("gmv_diagnosis", 2), ("product_anomaly", 1)),
-}
+#: Task, capability and variant of the public validation split.
+VALIDATION = (
+    ("gmv_diagnosis", "adversarial_distractor", 1),
+    ("gmv_diagnosis", "adversarial_distractor", 2),
+    ("product_anomaly", "adversarial_distractor", 1),
+    ("gmv_diagnosis", "anomaly_detection", 1),
+    ("gmv_diagnosis", "anomaly_detection", 2),
+    ("product_anomaly", "anomaly_detection", 1),
+    ("gmv_diagnosis", "basic_query", 1),
+    ("gmv_diagnosis", "basic_query", 2),
+    ("product_anomaly", "basic_query", 1),
+    ("product_anomaly", "data_insufficiency", 2),
+    ("conversion_decline", "data_insufficiency", 1),
+    ("conversion_decline", "data_insufficiency", 2),
+    ("product_anomaly", "metric_calculation", 2),
+    ("conversion_decline", "metric_calculation", 1),
+    ("conversion_decline", "metric_calculation", 2),
+    ("product_anomaly", "multi_step_reasoning", 2),
+    ("products_to_watch", "multi_step_reasoning", 1),
+    ("products_to_watch", "multi_step_reasoning", 2),
+    ("conversion_decline", "parameter_selection", 1),
+    ("conversion_decline", "parameter_selection", 2),
+    ("products_to_watch", "parameter_selection", 1),
+    ("products_to_watch", "recommendation", 1),
+    ("next_week_priority", "recommendation", 1),
+    ("next_week_priority", "recommendation", 2),
+    ("products_to_watch", "root_cause_analysis", 2),
+    ("next_week_priority", "root_cause_analysis", 1),
+    ("next_week_priority", "root_cause_analysis", 2),
+    ("products_to_watch", "tool_selection", 2),
+    ("next_week_priority", "tool_selection", 1),
+    ("next_week_priority", "tool_selection", 2),
+)
 #: Task to the task whose evidence an insufficiency case reads, what that evidence can answer, and what it can't.
 INSUFFICIENT = {
     "gmv_diagnosis": ("product_anomaly", ("gmv_change_rate", "aov_change_rate"), ("traffic_change_rate", "current_cvr", "cvr_change")),
