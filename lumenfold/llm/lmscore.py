@@ -218,8 +218,10 @@ def _answers(packets: DataFrame, parts: int) -> DataFrame:
     def add_up(tables):
         import numpy as np
         import pyarrow as pa
+        import zstandard
 
         enter("lmscore")
+        packed = zstandard.ZstdCompressor(level=1).compress  # counts are small numbers in wide words
         names = ["part", "batch", "target", "background", "words", "n_target", "n_background"]
         schema = pa.schema([("part", pa.int32()), ("batch", pa.int64()), *((n, pa.binary()) for n in names[2:4]), *((n, pa.int64()) for n in names[4:])])
 
@@ -236,7 +238,7 @@ def _answers(packets: DataFrame, parts: int) -> DataFrame:
             at = 0
             for batch, c, *_ in held:
                 until = at + len(c) // 8
-                yield pa.RecordBatch.from_pylist([{"part": part, "batch": batch, "target": back[0, at:until].tobytes(), "background": back[1, at:until].tobytes()}], schema=schema)
+                yield pa.RecordBatch.from_pylist([{"part": part, "batch": batch, "target": packed(back[0, at:until].tobytes()), "background": packed(back[1, at:until].tobytes())}], schema=schema)
                 at = until
             yield pa.RecordBatch.from_pylist([{"part": part, "batch": -1, "words": int(words.sum()), "n_target": sums[0], "n_background": sums[1]}], schema=schema)
 
@@ -261,15 +263,17 @@ def _scores(batches: DataFrame, answers: DataFrame, words: int, totals: tuple[in
     def gather(tables):
         import numpy as np
         import pyarrow as pa
+        import zstandard
 
         enter("lmscore")
+        whole = zstandard.ZstdDecompressor().decompress
 
         def flush(row, target, background):
             w, place, text, _, _ = _expand(row, 0)
             _, single, double, bigram, first, second = codes_of(w, place)
             out = []
             for packets, n in zip((target, background), totals):
-                count = np.frombuffer(b"".join(packets), np.uint64).astype(float)
+                count = np.frombuffer(b"".join(map(whole, packets)), np.uint64).astype(float)
                 alone = (count[single] + DISCOUNT) / (n + DISCOUNT * words)
                 chance = (count[double] + PRIOR * alone[second]) / (count[single][first] + PRIOR)
                 out.append(np.bincount(text, -np.log(chance)[bigram], len(row["sizes"])))
