@@ -22,65 +22,75 @@ from .requests import DEFAULT_DAYS, EARLIER, PATTERNS, PRODUCT, PRODUCT_WORDS, T
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 KNOWN = r"^[\x20-\x7E\n\t\x{3000}-\x{3002}\x{4E00}-\x{9FFF}\x{FF01}-\x{FF5E}]*$"
-MARK = "struct<kind:string,start:int,end:int,x:string>"
+#: A bit for each kind of mark, and for each group of words of a task: a clause knows what it holds by one number.
+BITS = {name: 1 << k for k, name in enumerate([*PATTERNS, "product", *[(task, side) for task in TASKS for side in (0, 1)]])}
 FIRST_DAY = "date'0001-01-01'"
 
 
+def _bits(*names) -> int:
+    return sum({BITS[n] for n in names})
+
+
+def _groups_of(word: str) -> list:
+    """The groups of the task table that hold a word; a product id stands for the word product."""
+    return [(task, side) for task, groups in TASKS.items() for side, group in enumerate(groups) if word in group or (word == "" and PRODUCT_WORDS & set(group))]
+
+
 def _marks() -> str:
-    kinds = {k: PATTERNS[k] for k in PATTERNS} | {"product": f"(?i){PRODUCT.pattern}"} | {f"word:{w}": f"(?i){p.pattern}" for w, p in WORDS.items()}
-    return "concat(" + ", ".join(f"transform({spans('t', p)}, m -> named_struct('kind', '{kind}', 'start', m.start, 'end', m.end, 'x', m.x))" for kind, p in kinds.items()) + ")"
+    kinds = [(p, _bits(k)) for k, p in PATTERNS.items()] + [(f"(?i){PRODUCT.pattern}", _bits("product", *_groups_of("")))]
+    kinds += [(f"(?i){p.pattern}", _bits(*_groups_of(w))) for w, p in WORDS.items()]
+    return "concat(" + ", ".join(f"transform({spans('t', p)}, m -> named_struct('bits', {bits}, 'start', m.start, 'end', m.end, 'x', m.x))" for p, bits in kinds) + ")"
 
 
-def _of(*kinds: str, clause: str = "c") -> str:
-    return f"filter({clause}.marks, m -> m.kind in ({', '.join(map(repr, kinds))}))"
+def _is(*names) -> str:
+    return f"m.bits & {_bits(*names)} <> 0"
 
 
-def _has(*kinds: str, clause: str = "c") -> str:
-    return f"exists({clause}.marks, m -> m.kind in ({', '.join(map(repr, kinds))}))"
+def _of(*names) -> str:
+    return f"filter(c.marks, m -> {_is(*names)})"
 
 
-def _group(words) -> list[str]:
-    return [f"word:{w}" for w in words] + (["product"] if PRODUCT_WORDS & set(words) else [])
+def _has(*names) -> str:
+    """Each of some kinds stands in the clause."""
+    return "(" + " and ".join(f"c.mask & {_bits(n)} <> 0" for n in names) + ")"
 
 
 def _names(task: str) -> str:
-    return "(" + " and ".join(_has(*_group(g)) for g in TASKS[task]) + ")"
+    return _has((task, 0), (task, 1))
 
 
 def _leads(kind: str) -> str:
-    return f"exists(c.marks, m -> m.kind = '{kind}' and m.start = c.first)"
+    return f"({_has(kind)} and exists({_of(kind)}, m -> m.start = c.first))"
 
 
 def _ordered(earlier: str, later: str) -> str:
-    return f"exists({_of(earlier)}, a -> exists({_of(later)}, b -> a.end <= b.start))"
+    return f"({_has(earlier, later)} and exists({_of(earlier)}, a -> exists({_of(later)}, b -> a.end <= b.start)))"
 
 
 def _glue(a: str, b: str) -> str:
     """Only blanks between two places."""
-    return f"({a} <= {b} and not substring(t, {a} + 1, {b} - {a}) rlike r'\\S')"
+    return rf"({a} <= {b} and not substring(t, {a} + 1, {b} - {a}) rlike r'\S')"
 
 
 def _negated_task() -> str:
     """A negation before the words of a task, or between them."""
-    between = "exists({n}, n -> n.end <= greatest(a.start, b.start) and (n.end <= least(a.start, b.start) or if(struct(a.start, a.end) <= struct(b.start, b.end), a.end, b.end) <= n.start))"
-    later = "if(struct(a.start, a.end) <= struct(b.start, b.end), b.start, a.start)"
-    sooner = "if(struct(a.start, a.end) <= struct(b.start, b.end), a.start, b.start)"
-    between = f"exists({_of('not')}, n -> n.end <= {later} and (n.end <= {sooner} or if(struct(a.start, a.end) <= struct(b.start, b.end), a.end, b.end) <= n.start))"
-    return " or ".join(f"exists({_of(*_group(first))}, a -> exists({_of(*_group(second))}, b -> {between}))" for first, second in TASKS.values())
+    first = "struct(a.start, a.end) <= struct(b.start, b.end)"
+    between = f"exists({_of('not')}, n -> n.end <= if({first}, b.start, a.start) and (n.end <= if({first}, a.start, b.start) or if({first}, a.end, b.end) <= n.start))"
+    each = [f"({_names(task)} and exists({_of((task, 0))}, a -> exists({_of((task, 1))}, b -> {between})))" for task in TASKS]
+    return f"({_has('not')} and ({' or '.join(each)}))"
 
 
 def _negated_date() -> str:
     """A negation, perhaps an adverb, a verb, perhaps a particle, and a date, with nothing else between."""
     to_date = f"({_glue('v.end', 'd.start')} or exists({_of('of')}, o -> {_glue('o.end', 'd.start')} and {_glue('v.end', 'o.start')}))"
     to_verb = f"exists({_of('not')}, n -> {_glue('n.end', 'v.start')} or exists({_of('adverb')}, w -> {_glue('w.end', 'v.start')} and {_glue('n.end', 'w.start')}))"
-    return f"exists({_of('relative', 'day')}, d -> exists({_of('verb')}, v -> {to_date} and {to_verb}))"
+    return f"({_has('not', 'verb')} and exists({_of('relative', 'day')}, d -> exists({_of('verb')}, v -> {to_date} and {to_verb})))"
 
 
 def _verdict() -> str:
     tasks = " or ".join(_names(t) for t in TASKS)
-    return f"""case when {_ordered('ban', 'evidence')} then 'disclaimed' when {_has('claim')} and {_has('product')} then 'disclaimed'
-      when {_has('verify')} and {_has('claimed')} then 'disclaimed' when {_leads('instead')} and ({tasks}) then 'replaces'
-      when ({_negated_task()}) then 'negated' when {_ordered('not', 'product')} then 'negated' when {_negated_date()} then 'negated' else 'counts' end"""
+    return f"""case when {_ordered('ban', 'evidence')} or {_has('claim', 'product')} or {_has('verify', 'claimed')} then 'disclaimed' when {_leads('instead')} and ({tasks}) then 'replaces'
+      when {_negated_task()} or {_ordered('not', 'product')} or {_negated_date()} then 'negated' else 'counts' end"""
 
 
 def _windows(as_of: date) -> tuple[str, str, str]:
@@ -88,7 +98,7 @@ def _windows(as_of: date) -> tuple[str, str, str]:
     day = f"date'{as_of.isoformat()}'"
     before = (as_of - date.min).days
     number = "ltrim('0', regexp_extract(m.x, r'([0-9]+)', 1))"
-    relative, days, ranges = "filter(kept, m -> m.kind = 'relative')", "filter(kept, m -> m.kind = 'day')", "filter(kept, m -> m.kind = 'range')"
+    relative, days, ranges = (f"filter(kept, m -> {_is(kind)})" for kind in ("relative", "day", "range"))
     lengths = f"""transform({relative}, m -> named_struct('earlier', regexp_extract(m.x, {literal(PATTERNS['relative'])}, 1) in ({', '.join(map(repr, sorted(EARLIER)))}),
       'fault', case when char_length({number}) > {len(str(MAX_DAYS))} then 'window_too_large' when cast(concat('0', {number}) as int) > {MAX_DAYS} then 'window_too_large' when {number} = '' then 'invalid_window_days' end,
       'n', if(char_length({number}) <= 3, cast(concat('0', {number}) as int), 0)))"""
@@ -117,13 +127,14 @@ def parse_table(texts: DataFrame, as_of: date, *, text: str = "text", output: st
     rows = texts.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.when(known, F.translate(F.col(f"`{text}`"), WIDE, NARROW)).alias("t"), F.when(~known, F.col(f"`{text}`")).alias("other"))
     kept_names = [*names.values(), "t", "other"]
     rows = rows.selectExpr(*kept_names, f"{_marks()} as marks")
-    cuts = "array_sort(transform(filter(marks, m -> m.kind in ('break', 'instead')), m -> named_struct('start', m.start, 'end', if(m.kind = 'break', m.end, m.start))))"
+    cuts = f"array_sort(transform(filter(marks, m -> {_is('break', 'instead')}), m -> named_struct('start', m.start, 'end', if({_is('break')}, m.end, m.start))))"
     rows = rows.selectExpr(*kept_names, "marks", f"{cuts} as cuts")
     bounds = "transform(sequence(0, size(cuts)), i -> named_struct('a', if(i = 0, 0, cuts[greatest(i - 1, 0)].end), 'b', if(i = size(cuts), char_length(t), get(cuts, i).start)))"
-    clauses = f"""transform(filter({bounds}, x -> x.a <= x.b and substring(t, x.a + 1, x.b - x.a) rlike r'\\S'), x -> named_struct(
-      'first', x.b - char_length(ltrim(replace(replace(substring(t, x.a + 1, x.b - x.a), '\\n', ' '), '\\t', ' '))), 'marks', filter(marks, m -> m.start >= x.a and m.end <= x.b)))"""
+    clauses = f"""transform(transform(filter({bounds}, x -> x.a <= x.b and substring(t, x.a + 1, x.b - x.a) rlike r'\\S'), x -> named_struct(
+      'first', x.b - char_length(ltrim(replace(replace(substring(t, x.a + 1, x.b - x.a), '\\n', ' '), '\\t', ' '))), 'marks', filter(marks, m -> m.start >= x.a and m.end <= x.b))),
+      c -> named_struct('first', c.first, 'marks', c.marks, 'mask', aggregate(c.marks, 0, (bits, m) -> bits | m.bits)))"""
     rows = rows.selectExpr(*kept_names, f"{clauses} as clauses")
-    facts = f"""transform(clauses, c -> named_struct('verdict', {_verdict()}, 'takes_back', {_leads('that')} and {_ordered('ban', 'evidence')}, 'checks', {_has('verify')} and {_has('product')},
+    facts = f"""transform(clauses, c -> named_struct('verdict', {_verdict()}, 'takes_back', {_leads('that')} and {_ordered('ban', 'evidence')}, 'checks', {_has('verify', 'product')},
       'marks', c.marks, 'tasks', array({', '.join(_names(t) for t in TASKS)})))"""
     rows = rows.selectExpr(*kept_names, f"{facts} as facts")
     verdicts = "transform(facts, (f, i) -> named_struct('verdict', if(f.checks and coalesce(get(facts, i + 1).takes_back, false), 'disclaimed', f.verdict), 'marks', f.marks, 'tasks', f.tasks))"
@@ -132,7 +143,7 @@ def parse_table(texts: DataFrame, as_of: date, *, text: str = "text", output: st
     rows = rows.selectExpr(*kept_names, "facts", f"{last} as last")
     rows = rows.selectExpr(*kept_names, "filter(facts, (f, i) -> i >= last and f.verdict in ('counts', 'replaces')) as facts")
     rows = rows.selectExpr(*kept_names, "facts", "flatten(transform(facts, f -> f.marks)) as kept")
-    ids = "array_distinct(flatten(transform(facts, f -> transform(array_sort(transform(filter(f.marks, m -> m.kind = 'product'), m -> named_struct('start', m.start, 'x', upper(m.x)))), m -> m.x))))"
+    ids = f"array_distinct(flatten(transform(facts, f -> transform(array_sort(transform(filter(f.marks, m -> {_is('product')}), m -> named_struct('start', m.start, 'x', upper(m.x)))), m -> m.x))))"
     task = "case " + " ".join(f"when exists(facts, f -> f.tasks[{k}]) then '{t}'" for k, t in enumerate(TASKS)) + " end"
     rows = rows.selectExpr(*kept_names, f"{ids} as ids", f"{task} as task", f"{_windows(as_of)} as w")
     day = f"date'{as_of.isoformat()}'"
