@@ -187,7 +187,8 @@ class RunIndex:
         self.run_start = np.flatnonzero(np.concatenate([[True], transform[1:] != transform[:-1]]))
         self.run_symbol = transform[self.run_start]
         self.run_end = np.append(self.run_start[1:], n)
-        #: Text positions of the first and the last row of each run; all that is kept of the suffix order.
+        #: Text positions of the first and the last row of each run, from which jumps start. The sort's ranks stay beside them,
+        #: to measure common prefixes: runs save steps here, and no memory.
         self.sample_first, self.sample_last = self.order[self.run_start], self.order[self.run_end - 1]
         # with the runs sorted by symbol, what comes before a run is all smaller symbols and its symbol's earlier runs
         self.by_symbol = np.argsort(self.run_symbol * (n + 1) + self.run_start)
