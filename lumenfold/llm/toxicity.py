@@ -32,8 +32,8 @@ MIN_G2 = 10.8  # likelihood-ratio statistic at p = 0.001
 SMOOTHING = 1.0
 THRESHOLD = 0.5
 FOLDS = 5
-#: Documents of at most so many bytes are hashed together.
-CHUNK = 1 << 20
+#: Documents whose features leave a Python worker together: a document has thousands of them.
+ROWS = 128
 
 
 def features(text: str | None, among=None):
@@ -109,8 +109,9 @@ def _train(documents: DataFrame, labels: DataFrame, **options) -> Model:
 
         enter("toxicity")
         for batch in batches:
-            rows = [features(t) for t in batch["_text"]]
-            yield pd.DataFrame({"label": batch["_label"], "buckets": [r.astype(np.int32) for r in rows]})
+            for at in range(0, len(batch), ROWS):
+                some = batch.iloc[at : at + ROWS]
+                yield pd.DataFrame({"label": some["_label"], "buckets": [features(t).astype(np.int32) for t in some["_text"]]})
         release()
 
     usable, sample = training_rows(documents, labels, **options)
