@@ -30,16 +30,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import bound_batches, drop, enter, materialize, release
+from .scratch import BATCH_BYTES, bound_batches, drop, enter, materialize, release
 
 FOLDS = 5
 PRIOR = 200.0
 DISCOUNT = 0.1
 SLOTS = 4096
 #: Tokens of a part of the codes, on average; a part is held in memory, at up to a hundred bytes a token.
-PART_TOKENS = 1_500_000
-#: Text of a batch (a longer document is a batch of its own).
-BATCH_TEXT = 8 << 20
+PART_TOKENS = 700_000
+#: Text of a batch (a longer document is a batch of its own). A Python worker takes about 30 times that.
+BATCH_TEXT = 5 << 20
 #: More parts than this share tasks, one after the other.
 MAX_TASKS = 20_000
 #: At most so many ids are broadcast (8 MB); more are joined as Spark plans it.
@@ -134,6 +134,29 @@ def codes_of(words, place):
     return codes[order], at[: len(words)], at[len(words) :], bigram, first, second
 
 
+def packed(*arrays) -> bytes:
+    """Integers of one length, compressed byte by byte place: most are small, and sorted codes travel as differences."""
+    import numpy as np
+    import zstandard
+
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpacked(data: bytes, *dtypes):
+    """What ``packed`` was given, of these types."""
+    import numpy as np
+    import zstandard
+
+    whole = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    sizes = [np.dtype(d).itemsize for d in dtypes]
+    n, at, out = len(whole) // sum(sizes), 0, []
+    for dtype, size in zip(dtypes, sizes):
+        out.append(np.ascontiguousarray(whole[at : at + n * size].reshape(size, n).T).view(dtype).reshape(n))
+        at += n * size
+    return out
+
+
 BATCHES = "batch long, docs array<long>, sizes array<int>, kinds array<tinyint>, slots array<int>, words binary, places binary"
 
 
@@ -155,7 +178,7 @@ def _batches(documents: DataFrame) -> DataFrame:
         def flush():
             some = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             words, place, sizes = tokens_of(*raw(some.column(1)))
-            row = {"batch": number, "docs": some.column(0).to_pylist(), "sizes": sizes.tolist(), "kinds": some.column(2).to_pylist(), "slots": some.column(3).to_pylist(), "words": words.tobytes(), "places": place.tobytes()}
+            row = {"batch": number, "docs": some.column(0).to_pylist(), "sizes": sizes.tolist(), "kinds": some.column(2).to_pylist(), "slots": some.column(3).to_pylist(), "words": words.tobytes(), "places": packed(place)}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
@@ -176,13 +199,13 @@ def _expand(row, threshold: int):
     """Tokens of a batch's row: words, places, text of each token, and which belong to the target and the background."""
     import numpy as np
 
-    words, place = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["places"], np.uint32)
+    words, place = np.frombuffer(row["words"], np.uint64), unpacked(row["places"], np.uint32)[0]
     kinds, slots = np.array(row["kinds"], np.int8), np.array(row["slots"])
     text = np.repeat(np.arange(len(kinds)), np.array(row["sizes"]))
     return words, place, text, (kinds == GOOD)[text], ((kinds == OTHER) & (slots < threshold))[text]
 
 
-PACKET = "part int, batch long, codes binary, target binary, background binary"
+PACKET = "part int, batch long, codes binary"
 ANSWER = "part int, batch long, target binary, background binary, words long, n_target long, n_background long"
 
 
@@ -205,8 +228,12 @@ def _packets(batches: DataFrame, parts: int, threshold: int) -> DataFrame:
                         counts[k, double] = np.bincount(bigram[chosen], minlength=len(double))
                 part = ((codes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
                 heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-                cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(part)])], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(part[heads]), pa.array([row["batch"]] * len(heads), pa.int64()), cut(codes), cut(counts[0]), cut(counts[1])], names=["part", "batch", "codes", "target", "background"])
+                spans = list(zip(heads.tolist(), [*heads[1:].tolist(), len(part)]))
+                step = max(1, len(heads) * BATCH_BYTES // (16 * len(codes)))
+                for at in range(0, len(heads), step):  # not all packets of a batch at once
+                    some = spans[at : at + step]
+                    data = [packed(np.diff(codes[a:b], prepend=np.uint64(0)), counts[0, a:b], counts[1, a:b]) for a, b in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[heads[at : at + step]]), pa.array([row["batch"]] * len(some), pa.int64()), pa.array(data, pa.binary())], names=["part", "batch", "codes"])
         release()
 
     return batches.mapInArrow(emit, PACKET)
@@ -218,27 +245,27 @@ def _answers(packets: DataFrame, parts: int) -> DataFrame:
     def add_up(tables):
         import numpy as np
         import pyarrow as pa
-        import zstandard
 
         enter("lmscore")
-        packed = zstandard.ZstdCompressor(level=1).compress  # counts are small numbers in wide words
         names = ["part", "batch", "target", "background", "words", "n_target", "n_background"]
         schema = pa.schema([("part", pa.int32()), ("batch", pa.int64()), *((n, pa.binary()) for n in names[2:4]), *((n, pa.int64()) for n in names[4:])])
 
         def flush(part, held):
-            codes = np.concatenate([np.frombuffer(c, np.uint64) for _, c, *_ in held])
+            each = [unpacked(c, np.uint64, np.uint32, np.uint32) for _, c in held]
+            ends, counts = np.cumsum([len(x) for x, *_ in each]), [np.concatenate([x[1 + k] for x in each]) for k in (0, 1)]
+            codes = np.concatenate([np.cumsum(x) for x, *_ in each])
+            del each
             order = np.argsort(codes, kind="stable")
             heads = np.flatnonzero(np.concatenate([[True], codes[order[1:]] != codes[order[:-1]]]))
             times, words = np.diff(np.append(heads, len(codes))), codes[order[heads]] & np.uint64(1) == 0
             back, sums = np.empty((2, len(codes)), np.uint64), []
             for k in (0, 1):
-                total = np.add.reduceat(np.concatenate([np.frombuffer(h[2 + k], np.uint32) for h in held])[order].astype(np.uint64), heads)
+                total = np.add.reduceat(counts[k][order].astype(np.uint64), heads)
                 back[k, order] = np.repeat(total, times)
                 sums.append(int(total[words].sum()))
             at = 0
-            for batch, c, *_ in held:
-                until = at + len(c) // 8
-                yield pa.RecordBatch.from_pylist([{"part": part, "batch": batch, "target": packed(back[0, at:until].tobytes()), "background": packed(back[1, at:until].tobytes())}], schema=schema)
+            for (batch, _), until in zip(held, ends.tolist()):
+                yield pa.RecordBatch.from_pylist([{"part": part, "batch": batch, "target": packed(back[0, at:until]), "background": packed(back[1, at:until])}], schema=schema)
                 at = until
             yield pa.RecordBatch.from_pylist([{"part": part, "batch": -1, "words": int(words.sum()), "n_target": sums[0], "n_background": sums[1]}], schema=schema)
 
@@ -258,22 +285,21 @@ def _answers(packets: DataFrame, parts: int) -> DataFrame:
 
 
 def _scores(batches: DataFrame, answers: DataFrame, words: int, totals: tuple[int, int]) -> DataFrame:
-    """doc_id, n, t, b: tokens and summed losses of each document, from batches and the answers to them."""
+    """doc_id, n, t, b: tokens and summed losses of each document, from batches and the answers to them. There are as many
+    tasks as batches, as a batch and its answers take tens of MB and a task sorts what it has."""
 
     def gather(tables):
         import numpy as np
         import pyarrow as pa
-        import zstandard
 
         enter("lmscore")
-        whole = zstandard.ZstdDecompressor().decompress
 
         def flush(row, target, background):
             w, place, text, _, _ = _expand(row, 0)
             _, single, double, bigram, first, second = codes_of(w, place)
             out = []
             for packets, n in zip((target, background), totals):
-                count = np.frombuffer(b"".join(map(whole, packets)), np.uint64).astype(float)
+                count = np.concatenate([unpacked(p, np.uint64)[0] for p in packets]).astype(float)
                 alone = (count[single] + DISCOUNT) / (n + DISCOUNT * words)
                 chance = (count[double] + PRIOR * alone[second]) / (count[single][first] + PRIOR)
                 out.append(np.bincount(text, -np.log(chance)[bigram], len(row["sizes"])))
@@ -294,7 +320,8 @@ def _scores(batches: DataFrame, answers: DataFrame, words: int, totals: tuple[in
         release()
 
     both = batches.withColumn("part", F.lit(-1)).unionByName(answers.select("part", "batch", "target", "background"), allowMissingColumns=True)
-    return both.repartition("batch").sortWithinPartitions("batch", "part").mapInArrow(gather, "doc_id long, n long, t double, b double")
+    tasks = min(max(1, batches.count()), MAX_TASKS)
+    return both.repartition(tasks, "batch").sortWithinPartitions("batch", "part").mapInArrow(gather, "doc_id long, n long, t double, b double")
 
 
 def held_out(id_column: str = "doc_id"):
@@ -324,11 +351,11 @@ def score(documents: DataFrame, labels: DataFrame, *, label="quality", id_column
     known = F.broadcast(marks) if marks.count() <= BROADCAST_IDS else marks
     slot = F.pmod(F.xxhash64("doc_id", F.lit("background")), F.lit(SLOTS)).cast("int")
     kinds = rows.join(known, F.col("doc_id") == F.col("label_id"), "left").select("doc_id", "text", F.coalesce("mark", F.lit(OTHER)).cast("tinyint").alias("kind"), slot.alias("slot"))
-    batches = materialize(_batches(kinds), "lm-batches", compression="zstd")
+    batches = materialize(_batches(kinds), "lm-batches", compression="zstd", wide=True)
     drop(marks)
     threshold, tokens = matched(batches)
     parts = max(1, -(-tokens // part_tokens))
-    answers = materialize(_answers(_packets(batches, parts, threshold), parts), "lm-answers", compression="zstd")
+    answers = materialize(_answers(_packets(batches, parts, threshold), parts), "lm-answers", compression="zstd", wide=True)
     totals = answers.where("batch = -1").agg(F.sum("words").alias("v"), F.sum("n_target").alias("t"), F.sum("n_background").alias("b")).first()
     found = _scores(batches, answers.where("batch >= 0"), totals["v"] or 0, (totals["t"] or 0, totals["b"] or 0))
     mean = lambda c: F.col(c) / F.col("n")

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of one Arrow batch on its way to or from a Python worker (a longer row is a batch of its own).
 BATCH_BYTES = 4 << 20
+#: For tables whose rows take MBs: a writer otherwise counts its bytes once in 100 rows, and a reader takes a row group of up
+#: to 4,096 rows at once.
+WIDE_ROWS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": False}
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -36,14 +39,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lumenfold/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, *, compression: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, name: str, *, compression: str = "snappy", wide: bool = False) -> DataFrame:
     """Write df once and return a reader of the written table: lineage ends there and a lost executor costs
-    a reread only. The shuffle files of the write are deleted with its end."""
+    a reread only. The shuffle files of the write are deleted with its end. ``wide``: rows take MBs."""
     spark = df.sparkSession
     path, before = new_path(spark, name), spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path, compression=compression)
+        df.write.options(**(WIDE_ROWS if wide else {})).parquet(path, compression=compression)
     finally:
         spark.conf.set(CLEANUP, before)
     written = spark.read.schema(df.schema).parquet(path)

@@ -676,6 +676,24 @@ def test_lm_scores(spark, empty, monkeypatch, options):
     assert len(without) == 1
 
 
+def test_lm_tables_hold_few_rows_in_memory(spark):
+    """Rows of a MB each: a writer closes a row group by its bytes, not after a hundred rows."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from lumenfold.llm.scratch import WIDE_ROWS, materialize
+
+    rows = spark.range(40).repartition(1).selectExpr("id", "cast(array_join(transform(sequence(1, 70000), i -> hex(xxhash64(id, i))), '') as binary) as b")
+    table = materialize(rows, "lm-wide", wide=True)
+    (file,) = table.inputFiles()
+    meta = pq.ParquetFile(file.removeprefix("file://")).metadata
+    assert meta.num_rows == 40 and max(meta.row_group(k).total_byte_size for k in range(meta.num_row_groups)) <= 1.25 * WIDE_ROWS["parquet.block.size"]
+    a, b = np.array([3, 2**63, 2**64 - 1], np.uint64), np.array([1, 0, 70_000], np.uint32)
+    assert all(x.tolist() == y.tolist() for x, y in zip(lmscore.unpacked(lmscore.packed(a, b), np.uint64, np.uint32), (a, b)))
+
+
+
 def test_lm_parts_are_even(spark):
     """A word in every document, many times, reaches its part once a batch."""
     rows = [(k, "the " * 200 + " ".join(f"w{k}x{j}" for j in range(50))) for k in range(400)]
