@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.schemas import Tables
@@ -62,14 +62,29 @@ def within(facts: DataFrame, day: str, windows: DataFrame) -> DataFrame:
 
 
 def query_sales(tables: Tables, windows: DataFrame, include_refunds: bool = True) -> DataFrame:
-    """Sales by window, product, category, region and channel. A fact meets its product and customer once, not once a window."""
+    """Sales by window, product, category, region and channel. A fact meets its product and customer once, not once a window.
+
+    An order's rows of one product and place are added up by day first. Where all lie on one day, they are one order in
+    every window that holds the day, so such orders are added up by day, and days meet the windows. An order of several days
+    keeps its id until it is counted, as a window may hold some of the days, or all, and it counts once there.
+    """
     orders = tables.orders if include_refunds else tables.orders.where(~F.col("is_refund"))
-    orders = orders.select("order_id", "product_id", "customer_id", "order_date", "quantity", "revenue", "is_refund")
-    held = within(orders, "order_date", windows)
-    known = held.join(tables.products.select("product_id", "category"), "product_id").join(tables.customers.select("customer_id", "region", "channel"), "customer_id")
-    by = ["window_id", "period", "product_id", "category", "region", "channel"]
-    per_order = known.groupBy(*by, "order_id").agg(F.sum("revenue").alias("gmv"), F.sum("quantity").alias("units"), F.max(F.col("is_refund").cast("int")).alias("refunded"))
-    return per_order.groupBy(*by).agg(F.sum("gmv").cast("double").alias("gmv"), F.count("*").alias("orders"), F.sum("units").alias("units"), F.sum("refunded").cast("long").alias("refund_orders"))
+    found = _bounds(windows)
+    orders = orders.where(F.col("order_date").between(F.lit(found["first"]).cast("date"), F.lit(found["last"]).cast("date")))
+    orders = orders.select("order_id", "product_id", "customer_id", F.col("order_date").alias("day"), "quantity", "revenue", "is_refund")
+    known = orders.join(tables.products.select("product_id", "category"), "product_id").join(tables.customers.select("customer_id", "region", "channel"), "customer_id")
+    place = ["product_id", "category", "region", "channel"]
+    totals = [F.sum(c).alias(c) for c in ("gmv", "units", "orders", "refunded")]
+    # dealt by order once, which both groupings below and the count of days keep
+    dealt = known.drop("customer_id").repartition("order_id")
+    daily = dealt.groupBy("order_id", *place, "day").agg(F.sum("revenue").alias("gmv"), F.sum("quantity").alias("units"), F.max(F.col("is_refund").cast("long")).alias("refunded"))
+    apart = F.count("*").over(Window.partitionBy("order_id", *place)) > 1
+    daily = daily.withColumn("apart", apart).withColumn("order_id", F.when(F.col("apart"), F.col("order_id"))).withColumn("orders", F.lit(1).cast("long"))
+    by = ["window_id", "period", *place]
+    held = within(daily.groupBy(*place, "day", "apart", "order_id").agg(*totals), "day", windows).groupBy(*by, "apart", "order_id").agg(*totals)
+    once = [F.when(F.col("apart"), F.least(F.col(c), F.lit(1))).otherwise(F.col(c)).alias(c) for c in ("orders", "refunded")]
+    counted = held.select(*by, "gmv", "units", *once).groupBy(*by).agg(*totals)
+    return counted.select(*by, F.col("gmv").cast("double").alias("gmv"), "orders", "units", F.col("refunded").alias("refund_orders"))
 
 
 def _asked(tables: Tables, windows: DataFrame) -> DataFrame:

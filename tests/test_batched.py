@@ -53,6 +53,25 @@ def test_windows_at_once_equal_one_after_the_other(spark, tables, monkeypatch, b
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), (name, tool)
 
 
+def test_orders_of_several_days_count_once_a_window(spark, tables):
+    """Rows of an order on other days, with another customer, without a number: as one window after the other; and days
+    meet the windows, not orders."""
+    odd = tables.orders.where("order_date between date'2026-02-05' and date'2026-02-20'")
+    far = odd.select(*[F.date_sub("order_date", 12).alias(c) if c == "order_date" else F.lit(True).alias(c) if c == "is_refund" else F.col(c) for c in odd.columns])
+    more = odd.select(*[F.lit("C0001").alias(c) if c == "customer_id" else F.col(c) for c in odd.columns])
+    nameless = far.select(*[F.lit(None).cast("string").alias(c) if c == "order_id" else F.col(c) for c in far.columns])
+    changed = Tables(**{name: df for name, df in tables.items()} | {"orders": tables.orders.unionAll(far).unionAll(more).unionAll(nameless).cache()})
+    windows = {k: v for k, v in some_windows(6).items() if k in ("w0", "w3", "wide", "overlapping")}
+    at_once = periods.query_sales(changed, periods.table(spark, windows))
+    got = at_once.collect()
+    for name, (w, ids) in windows.items():
+        want = lookups.query_sales(changed, w, ids)
+        assert sorted(tuple(r[c] for c in want.columns) for r in got if r.window_id == name) == sorted(map(tuple, want.collect())), name
+    plan = at_once._jdf.queryExecution().optimizedPlan().toString()
+    met = plan[: plan.index("_bin#")]  # above the join with the windows orders are no longer grouped one by one
+    assert "count(1)" not in met and "apart" in met
+
+
 def test_metrics_at_once_equal_one_after_the_other(spark, tables):
     windows = {k: v for k, v in some_windows(6).items() if k in ("w4", "overlapping")}
     table = periods.table(spark, windows)
