@@ -12,9 +12,12 @@ the mean length of words, and the logarithm of their number. They are scaled by
 The cut is the quantile of strengths at the share of label 0: as large a part of the labelled documents lies below it as was
 labelled 0. The score is the logistic function of the strength, moved so that the cut has the score ``THRESHOLD``.
 
-The sample is bounded by ``MAX_LABELS`` ids, by a hash of the id, half of it kept for label 1, with one text an id (of
-several, the one with the smallest hash); in the quantile they count by the share of their label among all labels. The
-driver holds that many rows of ``FEATURES`` numbers. Scoring reads every whole text.
+All usable labels are learnt from, with one text an id (of several, the one with the smallest hash). Their features are
+written once in blocks of about ``BLOCK`` documents, dealt by a hash of the id; a document's others are drawn in its block,
+and of a label that is rare its documents also stand in more blocks, as others only. The minimum is found by Newton's method:
+a pass over the blocks adds up loss, gradient and second derivatives, of which the driver gets one sum a task (at most
+``SUMS``). The quantile is exact, by bins that narrow. A caller may bound the labels by ``max_labels``: ids by a hash, half
+of them kept for label 1; in the quantile they count by the share of their label. Scoring reads every whole text.
 
 Defined results: a null or empty text has all features 0 and a score like others; a null id is never held out and never used
 for learning; label rows with a null or another value are ignored; several labels of one document count as 1 if any is 1;
@@ -33,7 +36,14 @@ from pyspark.sql import functions as F
 
 from .scratch import Workspace, bound_batches, enter, materialize, release, unused
 
-MAX_LABELS = 12_000
+#: At most so many labelled ids are broadcast; more are joined as Spark plans it.
+BROADCAST_IDS = 1_000_000
+#: Documents of a block, and how many of each label it has at least, on average, where there are so many.
+BLOCK, LEAST = 512, 32
+#: Sums that reach the driver at once, of FEATURES * FEATURES numbers each.
+SUMS = 64
+#: Bins of a step towards the quantile, and values that are looked at one by one.
+BINS, FEW = 1024, 4096
 PAIRS = 16
 THRESHOLD = 0.3
 PENALTY = 1e-3
@@ -76,14 +86,16 @@ def held_out(id_column: str = "doc_id"):
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % FOLDS == 0
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, *, label="quality", id_column="doc_id", text_column="text", max_labels=MAX_LABELS) -> tuple[DataFrame, DataFrame]:
-    """One label for each usable id; id, label and text of at most ``max_labels`` ids outside the held-out fold."""
+def training_rows(documents: DataFrame, labels: DataFrame, *, label="quality", id_column="doc_id", text_column="text", max_labels: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """One label for each usable id; id, label and text of all ids outside the held-out fold, or of ``max_labels``."""
     usable = labels.where(F.col(id_column).isNotNull() & F.col(label).isin(0, 1) & ~held_out(id_column))
     one_each = usable.groupBy(F.col(id_column).cast("long").alias("_id")).agg(F.max(label).cast("int").alias("_label"))
-    order, half = [F.xxhash64("_id"), F.col("_id")], max_labels // 2
-    sample = one_each.where("_label = 1").orderBy(*order).limit(half).unionAll(one_each.where("_label = 0").orderBy(*order).limit(half))
+    sample = one_each
+    if max_labels is not None:
+        order, half = [F.xxhash64("_id"), F.col("_id")], max_labels // 2
+        sample = one_each.where("_label = 1").orderBy(*order).limit(half).unionAll(one_each.where("_label = 0").orderBy(*order).limit(half))
     texts = documents.select(F.col(id_column).cast("long").alias("_doc"), F.col(text_column).alias("_text"))
-    found = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id"))  # at most max_labels ids
+    found = texts.join(F.broadcast(sample) if sample.count() <= BROADCAST_IDS else sample, F.col("_doc") == F.col("_id"))
     # copies of an id meet as hashes first, combined in each task; then one text of each is taken
     first = found.groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), F.coalesce("_text", F.lit("")).alias("t"))).alias("m"))
     return one_each, first.select("_id", "_label", F.col("m.t").alias("_text"))
@@ -100,44 +112,143 @@ def pairs(label, count: int, seed: int = 13):
     return np.concatenate(left), np.concatenate(right)
 
 
-def fit(x, label, *, count: int = PAIRS, penalty: float = PENALTY, steps: int = 200):
-    """Weights that minimise the mean of log(1 + exp(-(s_i - s_j))) over pairs (i preferred to j), s = x @ weights, by
-    accelerated gradient steps on scaled features; a step is taken back to the plain gradient where the loss rises."""
+def terms(z, label, own, w, *, count: int = PAIRS, seed: int = 13):
+    """Over the pairs that ``own`` rows of a block draw: their number, and the sums of loss, gradient and second derivatives
+    (one after the other), s = z @ w."""
     import numpy as np
 
-    spread = x.std(axis=0)
-    scale = np.where(spread > 1e-9, 1 / np.maximum(spread, 1e-9), 0.0)
-    z = (x - x.mean(axis=0)) * scale
-    i, j = pairs(label, count)
-
-    def loss(w):
-        s = z @ w
-        gap = s[i] - s[j]
-        pull = -1 / (1 + np.exp(np.clip(gap, -35, 35))) / len(gap)
-        each = np.bincount(i, pull, len(s)) - np.bincount(j, pull, len(s))
-        return np.logaddexp(0, -gap).mean() + penalty / 2 * w @ w, z.T @ each + penalty * w
-
-    w = ahead = np.zeros(x.shape[1])
-    value, rate, t = loss(w)[0], 1.0, 1.0
+    n = len(z)
+    i, j = pairs(label, count, seed)
+    drawn = np.concatenate([np.repeat(own[label == k], count) for k in (1, 0)])
+    i, j, s = i[drawn], j[drawn], z @ w
+    gap = s[i] - s[j]
+    back = 1 / (1 + np.exp(np.clip(gap, -35, 35)))
+    slope = z.T @ (np.bincount(j, back, n) - np.bincount(i, back, n))
+    met = np.bincount(i * n + j, back * (1 - back), n * n).reshape(n, n)
+    bend = z.T @ ((met.sum(0) + met.sum(1))[:, None] * z - (met + met.T) @ z)
+    return np.concatenate([[len(i), np.logaddexp(0, -gap).sum()], slope, bend.ravel()])
+
+
+def newton(sums, width: int, penalty: float = PENALTY, steps: int = 60):
+    """Weights that minimise the mean of log(1 + exp(-(s_i - s_j))) over pairs (i preferred to j) with the penalty, from the
+    ``terms`` of all pairs; a step that doesn't lower it is halved."""
+    import numpy as np
+
+    def at(w):
+        got = sums(w)
+        n, loss = max(got[0], 1), got[1]
+        return loss / n + penalty / 2 * w @ w, got[2 : 2 + width] / n + penalty * w, got[2 + width :].reshape(width, width) / n + penalty * np.eye(width)
+
+    w = np.zeros(width)
+    value, slope, bend = at(w)
     for _ in range(steps):
-        at, slope = loss(ahead)
-        while True:
-            new = ahead - rate * slope
-            got = loss(new)[0]
-            if got <= at - rate / 2 * slope @ slope or rate < 1e-8:
-                break
+        step = np.linalg.solve(bend, slope)
+        gain, rate = slope @ step, 1.0
+        if gain < 1e-7:
+            break
+        new = at(w - step)
+        while new[0] > value - 1e-4 * rate * gain and rate > 1e-6:
             rate /= 2
-        if got > value:  # the momentum led uphill: start anew from the best point
-            if t == 1.0:
+            new = at(w - rate * step)
+        w = w - rate * step
+        value, slope, bend = new
+    return w
+
+
+def fit(x, label, *, count: int = PAIRS, penalty: float = PENALTY):
+    """Weights for the rows of one block."""
+    import numpy as np
+
+    spread = x.std(axis=0)
+    scale = np.where(spread > 1e-9, 1 / np.maximum(spread, 1e-9), 0.0)
+    z, own = (x - x.mean(axis=0)) * scale, np.ones(len(x), bool)
+    return newton(lambda w: terms(z, label, own, w, count=count), x.shape[1], penalty) * scale
+
+
+def blocks(rows: DataFrame, n1: int, n0: int) -> DataFrame:
+    """Written once: block, x, label, own (arrays as bytes) from id, label, x."""
+
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        enter("ranking")
+        names = ["block", "x", "label", "own"]
+
+        def flush(block, held):
+            x, label, own = zip(*held)
+            return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "x": [b"".join(x)], "label": [np.array(label, np.int8).tobytes()], "own": [np.array(own, bool).tobytes()]})
+
+        held, current = [], None
+        for batch in batches:
+            for block, *row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if held and block != current:
+                    yield flush(current, held)
+                    held = []
+                current = block
+                held.append(row)
+        if held:
+            yield flush(current, held)
+        release()
+
+    many = max(1, -(-(n1 + n0) // BLOCK))
+    copies = F.when(F.col("label") == 1, F.lit(min(many, -(-LEAST * many // max(n1, 1))))).otherwise(F.lit(min(many, -(-LEAST * many // max(n0, 1)))))
+    dealt = rows.select("id", "label", "x", F.posexplode(F.sequence(F.lit(0), copies - 1)).alias("k", "turn"))
+    # copies of a document stand in blocks that are evenly apart
+    block = F.pmod(F.pmod(F.xxhash64("id"), F.lit(many)) + F.floor(F.col("k") * F.lit(many) / copies), F.lit(many)).cast("long")
+    dealt = dealt.select(block.alias("block"), "x", "label", (F.col("k") == 0).alias("own"), "id")
+    tasks = min(-(-many // 4), 2000)
+    return materialize(dealt.repartition(tasks, "block").sortWithinPartitions("block", "id").mapInArrow(pack, "block long, x binary, label binary, own binary"), "ranking-blocks", compression="zstd", wide=True)
+
+
+def _opened(batches):
+    """Number, features, labels and own rows of each block."""
+    import numpy as np
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield row["block"], np.frombuffer(row["x"], np.float32).reshape(-1, FEATURES).astype(float), np.frombuffer(row["label"], np.int8), np.frombuffer(row["own"], bool)
+
+
+def _added(table: DataFrame, function):
+    """The sum of ``function(number, x, label, own)`` over the blocks; at most SUMS partial sums reach the driver."""
+
+    def add(batches):
+        import pyarrow as pa
+
+        enter("ranking")
+        first, total = None, 0
+        for number, *block in _opened(batches):
+            first, total = number if first is None else first, total + function(number, *block)
+        if first is not None:
+            yield pa.RecordBatch.from_pydict({"first": pa.array([first], pa.int64()), "total": [total.tobytes()]})
+        release()
+
+    import numpy as np
+
+    found = table.coalesce(SUMS).mapInArrow(add, "first long, total binary").toArrow().sort_by("first").to_pylist()
+    return sum(np.frombuffer(r["total"]) for r in found)
+
+
+def cut_at(strengths: DataFrame, share: float) -> float:
+    """``quantile`` of a table: s and weight."""
+    bounds = strengths.agg(F.min("s").alias("a"), F.max("s").alias("b"), F.sum("weight").alias("w"), F.count("*").alias("n")).first()
+    low, high, n, below, before = bounds["a"], bounds["b"], bounds["n"], 0.0, None
+    target = share * bounds["w"] * (1 + 1e-12)
+    while True:
+        inside = strengths.where(F.col("s").between(low, high))
+        few = n <= FEW or low == high
+        key = F.col("s") if few else F.least(F.floor((F.col("s") - low) / (high - low) * BINS), F.lit(BINS - 1))
+        found = sorted(inside.groupBy(key.alias("k")).agg(F.sum("weight").alias("w"), F.min("s").alias("a"), F.max("s").alias("b"), F.count("*").alias("n")).collect())
+        for r in found:
+            if below + r["w"] > target:
                 break
-            ahead, t = w, 1.0
-            continue
-        t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead, gain = new + (t - 1) / t_next * (new - w), value - got
-        w, value, t = new, got, t_next
-        if gain < 1e-8:
-            break
-    return w * scale
+            below, before = below + r["w"], r["b"]
+        else:
+            return float(before + 1e-9)
+        if few:
+            return float(r["a"] if before is None else (before + r["a"]) / 2)
+        low, high, n = r["a"], r["b"], r["n"]
 
 
 def quantile(values, weights, share: float) -> float:
@@ -165,22 +276,32 @@ def _train(documents: DataFrame, labels: DataFrame, threshold: float, **options)
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enter("ranking")
         for batch in batches:
-            yield pd.DataFrame({"id": batch["_id"], "label": batch["_label"], "x": [features(t) for t in batch["_text"]]})
+            yield pd.DataFrame({"id": batch["_id"], "label": batch["_label"], "x": [features(t).astype(np.float32).tobytes() for t in batch["_text"]]})
         release()
 
     usable, sample = training_rows(documents, labels, **options)
     counts = usable.agg(F.sum(F.col("_label").cast("long")).alias("n1"), F.count("*").alias("n")).first()
     n1, n0 = counts["n1"] or 0, counts["n"] - (counts["n1"] or 0)
-    rows = materialize(sample.mapInPandas(describe, "id long, label int, x array<double>"), "ranking-train").toArrow().sort_by("id")  # at most max_labels rows
-    label = rows.column("label").to_numpy()
-    if not (label == 1).any() or not (label == 0).any():
+    rows = materialize(sample.mapInPandas(describe, "id long, label int, x binary"), "ranking-train", compression="zstd")
+    seen = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(seen) < 2:
         return Model(np.zeros(FEATURES), float(np.log((n1 + 1) / (n0 + 1))))
-    x = np.stack(rows.column("x").to_numpy(zero_copy_only=False))
-    weights = fit(x, label)
-    strength = x @ weights
-    share = np.where(label == 1, n1 / (label == 1).sum(), n0 / (label == 0).sum())
-    cut = quantile(strength, share, n0 / (n0 + n1))
-    return Model(weights, float(np.log(threshold / (1 - threshold)) - cut))
+    table = blocks(rows, seen[1], seen[0])
+    n = seen[0] + seen[1]
+    mean = _added(table, lambda _, x, label, own: x[own].sum(axis=0)) / n
+    spread = np.sqrt(_added(table, lambda _, x, label, own: ((x[own] - mean) ** 2).sum(axis=0)) / n)
+    scale = np.where(spread > 1e-7, 1 / np.maximum(spread, 1e-7), 0.0)
+    weights = newton(lambda w: _added(table, lambda k, x, label, own: terms((x - mean) * scale, label, own, w, seed=13 + k)), FEATURES) * scale
+
+    def strong(batches):
+        import pyarrow as pa
+
+        for _, x, label, own in _opened(batches):
+            yield pa.RecordBatch.from_pydict({"label": pa.array(label[own], pa.int32()), "s": x[own] @ weights})
+
+    share = F.when(F.col("label") == 1, F.lit(n1 / seen[1])).otherwise(F.lit(n0 / seen[0]))
+    strengths = materialize(table.mapInArrow(strong, "label int, s double").select("s", share.alias("weight")), "ranking-strengths")
+    return Model(weights, float(np.log(threshold / (1 - threshold)) - cut_at(strengths, n0 / (n0 + n1))))
 
 
 def score(documents: DataFrame, model: Model, *, text_column="text", output="score") -> DataFrame:

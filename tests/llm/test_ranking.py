@@ -99,6 +99,25 @@ def test_sample_takes_one_text_an_id(spark, tables):
     assert rows.count() == 1
 
 
+def test_every_label_is_learnt(spark, tables, monkeypatch):
+    """Blocks hold each labelled document once as its own; a rare label stands in all of them; the quantile is that of all."""
+    monkeypatch.setattr(ranking, "BLOCK", 40)
+    monkeypatch.setattr(ranking, "FEW", 8)
+    monkeypatch.setattr(ranking, "BINS", 4)
+    rows = spark.range(12_700).selectExpr("id", "cast(id % 1000 != 0 as int) as label", f"cast(repeat('a', {4 * ranking.FEATURES}) as binary) as x")
+    found = [(np.frombuffer(r.label, np.int8), np.frombuffer(r.own, bool), len(r.x)) for r in ranking.blocks(rows, 12_687, 13).select("label", "own", "x").collect()]
+    assert len(found) == 318 and sum(own.sum() for _, own, _ in found) == 12_700
+    assert all((label == 0).sum() == 13 and size == 4 * ranking.FEATURES * len(label) for label, _, size in found)
+    r = np.random.default_rng(4)
+    v, w = np.round(r.normal(size=500), 3), r.choice([1.0, 2.5], 500)
+    frame = spark.createDataFrame([(float(a), float(b)) for a, b in zip(v, w)], "s double, weight double")
+    for share in (0.0, 0.31, 1.0):
+        assert ranking.cut_at(frame, share) == pytest.approx(ranking.quantile(v, w, share), abs=1e-3)
+    _, all_rows = ranking.training_rows(*tables)
+    assert all_rows.count() == sum(zlib.crc32(str(k).encode()) % 5 > 0 for k in range(400))
+    assert not hasattr(ranking, "MAX_LABELS")
+
+
 def test_odd_tables(spark, tables):
     docs, labels = tables
     odd = spark.createDataFrame([(1, None, "x", None), (1, "", "x", None), (None, "ka lo", "y", None), (2, "ka " * 100_000, "y", None)], SCHEMA)
