@@ -801,3 +801,14 @@ def test_damaged_frames_are_noticed(tmp_path):
 
 def test_every_operator_is_registered():
     assert {name.split("_")[0] for name in registry.QUERIES} == {f"op{n}" for n in range(1, 14)}
+
+
+def test_new_pieces_are_encoded_many_at_once(monkeypatch):
+    """The library gets one text for many new pieces, and the ids are those of each piece by itself."""
+    e, calls = tokens.Encoder(tokens.default_tokenizer()), []
+    library = e._library
+    monkeypatch.setattr(e, "_library", lambda texts: calls.append(len(texts)) or library(texts))
+    pieces = [f"{blank}{mark}{k}é{end}" for k in range(300) for blank in ("", " ") for mark in ("w", "'s", "(", "'ll7") for end in ("", ".,", "!?'")] + ["\n", "\t", "  ", "\u2003", "a\nb", " \n\n", "\x1c"]
+    got = e._pieces(pieces)
+    assert sum(calls) < len(pieces) / 50
+    assert got == library(pieces)
