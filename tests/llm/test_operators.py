@@ -181,6 +181,28 @@ def test_line_links_inside_one_large_bucket(spark, monkeypatch):
         assert len(true) >= 120 and all(root(p) == root(q) for p, q in true)
 
 
+def test_a_large_family_of_lines_is_not_compared_pair_by_pair(spark, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    base = sentence(900, 60)[:300]
+    variants = set()
+    while len(variants) < 600:  # two of ten places changed: those that share a place are similar, the others are not
+        t = list(base)
+        for at in r.sample(range(15, 295, 28), 2):
+            t[at] = r.choice("qxz7835ghk")
+        variants.add("".join(t))
+    docs = spark.createDataFrame(list(enumerate(sorted(variants))), "doc_id long, text string")
+    split = linededup.distinct_lines(linededup.split_lines(linededup._numbered(docs, "doc_id", "text")))
+    monkeypatch.setattr(linededup, "signatures", lambda x: x.select("lid").distinct().selectExpr("lid", "array(1L) as bands"))
+    compared, inner = [], linededup._compared
+    monkeypatch.setattr(linededup, "_compared", lambda pairs, *more: compared.append(pairs.count()) or inner(pairs, *more))
+    found = linededup.links(split)
+    root = {x.node: x.root for x in linededup.components(found).collect()}
+    assert len(root) == 600 and len(set(root.values())) == 1
+    assert sum(compared) < 25 * 600
+
+
 def test_near_copies_of_short_lines(spark):
     docs = spark.createDataFrame([(1, "page footer no 1"), (2, "page footer no 12"), (3, "page foo"), (4, "page fooo")], "doc_id long, text string")
     assert {r.doc_id: r.kept for r in linededup.decide(docs).collect()} == {1: [0], 2: [], 3: [0], 4: [0]}
